@@ -66,7 +66,7 @@ sized AS (SELECT passage_id, len(w) AS dl, len(list_distinct(w)) AS dw FROM docs
 tf AS (SELECT passage_id, term, count(*) AS tf FROM (SELECT passage_id, unnest(w) AS term FROM docs) GROUP BY 1, 2),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
 st AS (SELECT count(*) AS n, sum(dl) / count(*) AS avgdl FROM sized),
-scored AS (SELECT query_id, passage_id,
+scored AS MATERIALIZED (SELECT query_id, passage_id,
     round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * (1.2::DOUBLE + 1) / (tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS bm25,
     round(count(*) / sqrt(any_value(qw)::DOUBLE * any_value(dw)::DOUBLE), 6) AS semantic, round(count(*) / any_value(qw), 6) AS coverage
   FROM tf JOIN terms USING (term) JOIN df USING (term) JOIN sized USING (passage_id) CROSS JOIN st GROUP BY 1, 2)"""
@@ -222,8 +222,8 @@ FROM (SELECT journey, latency_p50_ms, row_number() OVER (PARTITION BY journey OR
   count(*) FILTER (WHERE grounded) / count(*) AS grounded_rate, count(*) FILTER (WHERE outcome_correct) / count(*) AS outcome_correct_rate,
   count(*) FILTER (WHERE must_contain_ok AND must_not_contain_ok) / count(*) AS content_ok_rate, count(error) AS errors FROM v_golden GROUP BY 1""",
     "intent_confusion": "SELECT expected_intent, response_intent, count(*) AS queries FROM v_results GROUP BY 1, 2",
-    "content_checks": """SELECT query_id, len(list_filter(must_contain, s -> NOT contains(lower(coalesce(response_text, '')), lower(s)))) = 0 AS must_contain_ok,
-  len(list_filter(must_not_contain, s -> contains(lower(coalesce(response_text, '')), lower(s)))) = 0 AS must_not_contain_ok
+    "content_checks": """SELECT query_id, len(list_filter(must_contain, lambda s: NOT contains(lower(coalesce(response_text, '')), lower(s)))) = 0 AS must_contain_ok,
+  len(list_filter(must_not_contain, lambda s: contains(lower(coalesce(response_text, '')), lower(s)))) = 0 AS must_not_contain_ok
 FROM v_queries LEFT JOIN v_responses USING (trace_id)""",
     "judge_prompts": """SELECT query_id, 'CUSTOMER: ' || utterance || chr(10) || 'REPLY: ' || response_text || chr(10) || 'EXPECTED: ' || expected_outcome || chr(10) || 'JOURNEY: ' || journey AS prompt
 FROM v_queries JOIN v_responses USING (trace_id) WHERE trim(response_text) <> ''""",
@@ -333,7 +333,7 @@ SELECT intent, before, after, p, q, CASE WHEN p > 0 AND q > 0 THEN round((q - p)
     "pii_redaction": f"""SELECT doc_id AS passage_id, {_P3} AS text, {_P3} <> text AS redacted, CASE WHEN text IS NULL OR text = '' THEN 'noop' ELSE 'regex_fallback' END AS method,
   len(regexp_extract_all(text, {_PHONE})) AS phone_hits, len(regexp_extract_all({_P1}, {_EMAIL})) AS email_hits, len(regexp_extract_all({_P2}, {_CARD})) AS card_hits FROM documents""",
     "claims": f"""WITH s AS (SELECT trace_id, turn, list_filter(list_transform(string_split(regexp_replace({_STRIP.format('text')}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)),
-    x -> {_STRIP.format('x')}), x -> length(x) >= 12) AS c FROM v_turns WHERE role = 'agent')
+    lambda x: {_STRIP.format('x')}), lambda x: length(x) >= 12) AS c FROM v_turns WHERE role = 'agent')
 SELECT trace_id, turn, i - 1 AS claim_no, c[i] AS claim FROM (SELECT *, unnest(generate_series(1, len(c))) AS i FROM s)""",
     "injection_flags": """SELECT modality, count(*) AS messages, count(*) FILTER (WHERE f) AS flagged, count(*) FILTER (WHERE f) / count(*) AS flag_rate
 FROM (SELECT modality, regexp_matches(utterance, '(?i)((ignore|disregard|forget)\\s+(all\\s+|any\\s+)?(the\\s+)?(previous|prior|above)\\s+instructions|reveal\\s+(your\\s+|the\\s+)?(system\\s+)?prompt|you\\s+are\\s+now\\s+(a|an|the)\\s+)') AS f FROM v_messages) GROUP BY 1""",
@@ -374,7 +374,7 @@ c AS (SELECT label, i, avg(v) AS c FROM y GROUP BY 1, 2),
 s AS (SELECT y.label, y.vec_id, round(sum(v * c) / (sqrt(sum(v * v)) * sqrt(sum(c * c))), 6) AS similarity FROM y JOIN c ON c.label = y.label AND c.i = y.i GROUP BY 1, 2)
 SELECT label, vec_id, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY similarity DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
     "grounding_check": f"""WITH s AS (SELECT trace_id, turn, list_filter(list_transform(string_split(regexp_replace({_STRIP.format('text')}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)),
-    x -> {_STRIP.format('x')}), x -> length(x) >= 12) AS c FROM v_turns WHERE role = 'agent'),
+    lambda x: {_STRIP.format('x')}), lambda x: length(x) >= 12) AS c FROM v_turns WHERE role = 'agent'),
 cl AS (SELECT trace_id, turn, i, unnest(list_distinct({_WORDS.format('c[i]')})) AS word FROM (SELECT *, unnest(generate_series(1, len(c))) AS i FROM s)),
 ctx AS (SELECT DISTINCT trace_id, unnest({_WORDS.format('text')}) AS word FROM v_turns WHERE role <> 'agent'),
 g AS (SELECT cl.trace_id, turn, i, count(ctx.word) >= 0.6::DOUBLE * count(*) AS ok FROM cl LEFT JOIN ctx ON ctx.trace_id = cl.trace_id AND ctx.word = cl.word GROUP BY 1, 2, 3),

@@ -8,7 +8,7 @@ REFUSAL = (
 )
 
 # One retrieval row has a passage that scores at least 0.5.
-HIT = """len(list_filter(CAST(json_extract(md, '$.passages[*]') AS JSON[]), p -> coalesce(TRY_CAST(coalesce(
+HIT = """len(list_filter(CAST(json_extract(md, '$.passages[*]') AS JSON[]), lambda p: coalesce(TRY_CAST(coalesce(
   CASE WHEN json_extract_string(p, '$.rerank_score') IS NOT NULL AND coalesce(TRY_CAST(json_extract_string(p, '$.rerank_score') AS DOUBLE), 1) <> 0 THEN json_extract_string(p, '$.rerank_score') END,
   CASE WHEN json_extract_string(p, '$.fused_score') IS NOT NULL AND coalesce(TRY_CAST(json_extract_string(p, '$.fused_score') AS DOUBLE), 1) <> 0 THEN json_extract_string(p, '$.fused_score') END,
   CASE WHEN json_extract_string(p, '$.semantic_score') IS NOT NULL AND coalesce(TRY_CAST(json_extract_string(p, '$.semantic_score') AS DOUBLE), 1) <> 0 THEN json_extract_string(p, '$.semantic_score') END,
@@ -249,7 +249,7 @@ SELECT trace_id, CAST(sum(coalesce(TRY_CAST(json_extract_string(md, '$.cost_usd'
        max(CASE WHEN event_type = 'retrieval' THEN CASE WHEN h THEN 1 ELSE 0 END END) = 1 AS hit
 FROM (SELECT trace_id, event_type, md, {HIT} AS h FROM v_events) GROUP BY 1""".replace("{HIT}", HIT),
     "v_judged": """
-SELECT trace_id, judge_cost_micro, json_valid(body) AND json_type(body) = 'OBJECT' AS parsed,
+SELECT trace_id, judge_cost_micro, CASE WHEN json_valid(body) THEN json_type(body) = 'OBJECT' ELSE false END AS parsed,
        lower(trim(coalesce(CASE WHEN json_valid(body) THEN json_extract_string(body, '$.task_success') END, 'error'))) AS task_success,
        lower(trim(coalesce(CASE WHEN json_valid(body) THEN json_extract_string(body, '$.tone_appropriate') END, 'unknown'))) AS tone_appropriate,
        lower(trim(coalesce(CASE WHEN json_valid(body) THEN json_extract_string(body, '$.hallucinated') END, 'unknown'))) AS hallucinated
@@ -261,8 +261,8 @@ SELECT run_id, query_id, journey, utterance, expected_intent, expected_outcome,
        response_grounded, response_escalate, derived_outcome, latency_ms, cost_micro,
        response_intent = expected_intent AS intent_correct, CASE WHEN NOT missing THEN hit END AS hit, response_grounded AS grounded,
        task_success, tone_appropriate, hallucinated, derived_outcome = lower(trim(expected_outcome)) AS outcome_correct,
-       len(list_filter(must_contain, s -> NOT contains(lower(response_text), lower(s)))) = 0 AS must_contain_ok,
-       len(list_filter(must_not_contain, s -> contains(lower(response_text), lower(s)))) = 0 AS must_not_contain_ok,
+       len(list_filter(must_contain, lambda s: NOT contains(lower(response_text), lower(s)))) = 0 AS must_contain_ok,
+       len(list_filter(must_not_contain, lambda s: contains(lower(response_text), lower(s)))) = 0 AS must_not_contain_ok,
        CASE WHEN missing THEN 'pipeline_exception: no response' END AS error
 FROM (
   SELECT q.*, r.trace_id IS NULL AS missing, coalesce(r.response_text, '') AS response_text, coalesce(r.response_intent, 'ambiguous') AS response_intent,

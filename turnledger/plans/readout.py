@@ -58,8 +58,8 @@ def business_readout(conversations: DataFrame, runs: DataFrame) -> DataFrame:
 def containment_sensitivity(conversations: DataFrame, points: int = 5) -> DataFrame:
     """What each percentage point of containment is worth, around the measured rate."""
     base = cohort_containment(conversations)
-    steps = F.explode(F.sequence(F.lit(-points), F.lit(points)))
-    rows = base.select("channel", "containment", steps.cast("long").alias("points"))
+    steps = F.sequence(F.lit(-points).cast("long"), F.lit(points).cast("long"))
+    rows = base.select("channel", "containment", F.explode(steps).alias("points"))
     calls = _per_channel(YEARLY_CONTACTS) * F.col("points") / 100.0
     minutes = calls * _per_channel(HANDLE_MINUTES)
     return rows.select(
