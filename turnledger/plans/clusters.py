@@ -120,7 +120,8 @@ def trace_failures(conversations: DataFrame, events: DataFrame) -> DataFrame:
     rows = parse_payload(
         events.where(
             F.col("event_type").isin("intent_routing", "retrieval", "grounding_verification", "escalation")
-        ).select("trace_id", "event_type", "metadata")
+        ).select("trace_id", "event_type", "metadata"),
+        "intent", "confidence", "passages", "verdict", "score", "reason",
     )
     kind = F.col("event_type")
     route = routed(F.col("p.intent"), F.col("p.confidence").try_cast("double"))

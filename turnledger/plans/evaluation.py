@@ -30,7 +30,7 @@ PERCENTILES = {"latency_p50_ms": 0.5, "latency_p95_ms": 0.95}
 
 def trace_signals(events: DataFrame) -> DataFrame:
     """Cost and retrieval hit per trace in one pass over the log."""
-    rows = parse_payload(events.select("trace_id", "event_type", "metadata"))
+    rows = parse_payload(events.select("trace_id", "event_type", "metadata"), "cost_usd", "passages")
     retrieval = F.col("event_type") == "retrieval"
     return rows.groupBy("trace_id").agg(
         F.sum(payload_cost(F.col("p.cost_usd"))).alias("trace_cost"),

@@ -25,7 +25,8 @@ def policy_inputs(conversations: DataFrame, events: DataFrame) -> DataFrame:
     """What the policy decides on, one row per trace: routing and both verdicts."""
     kinds = ("intent_routing", "grounding_verification", "escalation")
     rows = parse_payload(
-        events.where(F.col("event_type").isin(*kinds)).select("trace_id", "event_type", "event_id", "timestamp", "metadata")
+        events.where(F.col("event_type").isin(*kinds)).select("trace_id", "event_type", "event_id", "timestamp", "metadata"),
+        "intent", "confidence", "attempt", "verdict", "score", "reason",
     )
     at = F.struct("timestamp", "event_id")
     kind = F.col("event_type")
@@ -135,7 +136,7 @@ def policy_sweep(
 def verifier_rates(events: DataFrame) -> DataFrame:
     """Rejections per attempt; a rejected first attempt is what the customer would
     have been told without the verifier."""
-    rows = parse_payload(events.where(F.col("event_type") == "grounding_verification"))
+    rows = parse_payload(events.where(F.col("event_type") == "grounding_verification"), "attempt", "verdict", "score")
     attempt = F.coalesce(F.col("p.attempt").try_cast("int"), F.lit(1)).cast("long").alias("attempt")
     score = F.col("p.score").try_cast("double")
     rejected = ~F.coalesce(verdict_passes(F.col("p.verdict"), score), F.lit(False))
@@ -199,7 +200,8 @@ def failure_bursts(signals: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataF
 
 def cost_ledger(events: DataFrame) -> DataFrame:
     """Calls, tokens, recorded and list-price cost per model and stage."""
-    rows = parse_payload(events.where(F.col("event_type").isin("intent_routing", "synthesis", "grounding_verification")))
+    stages = events.where(F.col("event_type").isin("intent_routing", "synthesis", "grounding_verification"))
+    rows = parse_payload(stages, "model", "input_tokens", "output_tokens", "cost_usd")
     tokens_in = F.col("p.input_tokens").try_cast("long")
     tokens_out = F.col("p.output_tokens").try_cast("long")
     model = F.coalesce("p.model", F.lit("unknown"))

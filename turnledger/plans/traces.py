@@ -76,9 +76,13 @@ def trace_list(
     )
 
 
-def parse_payload(events: DataFrame) -> DataFrame:
-    """Parse the payload text once per row into the struct column ``p``."""
-    return events.withColumn("p", F.from_json("metadata", PAYLOAD, {"mode": "PERMISSIVE"}))
+def parse_payload(events: DataFrame, *fields: str) -> DataFrame:
+    """Parse the payload text once per row into the struct column ``p``.
+
+    Naming the fields a job needs keeps the parser from building the others.
+    """
+    schema = ", ".join(f"{name} {PAYLOAD[name]}" for name in fields or PAYLOAD)
+    return events.withColumn("p", F.from_json("metadata", schema, {"mode": "PERMISSIVE"}))
 
 
 def _num(name: str, default: float) -> Column:
@@ -133,7 +137,7 @@ def typed_events(events: DataFrame, full: bool = False) -> DataFrame:
     for stored, shown in EVENT_KINDS.items():
         kind = F.when(F.col("event_type") == stored, shown).otherwise(kind)
     is_kind = {shown: F.col("event_type") == stored for stored, shown in EVENT_KINDS.items()}
-    passages = F.coalesce("p.passages", F.array().cast("array<struct<passage_id:string,source:string,content:string,semantic_score:string,keyword_score:string,fused_score:string,rerank_score:string>>"))
+    passages = F.coalesce("p.passages", F.array().cast(PAYLOAD["passages"]))
     reply = F.coalesce("output_text", F.lit(""))
     heard = F.coalesce("input_text", F.lit(""))
     payload = {
@@ -297,7 +301,7 @@ def trace_costs(events: DataFrame) -> DataFrame:
 
 def retrieval_hits(events: DataFrame, threshold: float = DEFAULT_POLICY.hit_threshold) -> DataFrame:
     """Traces that ran retrieval and whether one passage was good enough."""
-    rows = parse_payload(events.where(F.col("event_type") == "retrieval"))
+    rows = parse_payload(events.where(F.col("event_type") == "retrieval"), "passages")
     return rows.groupBy("trace_id").agg(
         F.max(any_hit(F.col("p.passages"), threshold)).alias("hit"),
         F.count("*").alias("retrievals"),

@@ -236,21 +236,33 @@ TABLES = {
 
 # Event payloads arrive as JSON text. Numbers are read as text and cast leniently,
 # so one malformed number costs one default, not the row.
-PAYLOAD = (
-    "skipped boolean, reason string, model string, input_tokens string, "
-    "output_tokens string, cost_usd string, intent string, confidence string, "
-    "threshold string, reasoning string, "
-    "candidates array<struct<intent:string,score:string>>, "
-    "query string, k string, retriever string, "
-    "passages array<struct<passage_id:string,source:string,content:string,"
-    "semantic_score:string,keyword_score:string,fused_score:string,rerank_score:string>>, "
-    "attempt string, claims array<string>, "
-    "citations array<struct<passage_id:string,span:string>>, "
-    "verdict string, score string, rationale string, "
-    "ungrounded_claims array<struct<claim:string,reason:string>>, "
-    "audio_duration_ms string, voice string, audio_url string, channel string, "
-    "redaction_method string, customer_id string, order_id string, found boolean, "
-    "row_count string, lookup_mode string, detail string, turn string, "
-    "duration_ms string, turn_count string, escalated boolean, "
-    "cancelled_text_preview string, tool_name string, result_preview string"
+PASSAGE = (
+    "struct<passage_id:string,source:string,content:string,semantic_score:string,"
+    "keyword_score:string,fused_score:string,rerank_score:string>"
 )
+PAYLOAD = {
+    "skipped": "boolean",
+    "reason": "string",
+    "model": "string",
+    "input_tokens": "string",
+    "output_tokens": "string",
+    "cost_usd": "string",
+    "intent": "string",
+    "confidence": "string",
+    "threshold": "string",
+    "reasoning": "string",
+    "candidates": "array<struct<intent:string,score:string>>",
+    "query": "string",
+    "k": "string",
+    "passages": f"array<{PASSAGE}>",
+    "attempt": "string",
+    "claims": "array<string>",
+    "citations": "array<struct<passage_id:string,span:string>>",
+    "verdict": "string",
+    "score": "string",
+    "rationale": "string",
+    "ungrounded_claims": "array<struct<claim:string,reason:string>>",
+    "audio_duration_ms": "string",
+    "voice": "string",
+    "audio_url": "string",
+}

@@ -17,6 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Use every core when a file is too small to be split.
+
+    A large table already arrives in more splits than there are cores and is left as
+    it is; one small file with costly work per row is dealt out first.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def _pad(col: Column, width: int) -> Column:
     return F.lpad(col.cast("string"), width, "0")
 
@@ -111,31 +121,69 @@ def _text(*parts: Column | str) -> Column:
 
 
 def trace_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Six to nine log rows per trace, with JSON payloads and the awkward cases."""
-    rows = _with_conversation_columns(events_base(spark, sf_dir))
+    """Six to eleven log rows per trace, with JSON payloads and the awkward cases.
+
+    Only row numbers are unrolled; texts and payloads are built afterwards, for the
+    rows and columns that a query keeps.
+    """
+    base = spread(events_base(spark, sf_dir), "event_id")
+    rows = _with_conversation_columns(base)
     k = F.col("k")
     trace = F.col("trace_id")
     journey = F.col("journey")
+    seq = F.col("seq")
+    retried = k % 4 == 0
+    steps = F.array_compact(
+        F.array(
+            F.lit(1),
+            F.lit(2),
+            F.lit(3),
+            F.when(journey.isin("product_qa", "service_request", "order_status"), 4),
+            F.lit(5),
+            F.lit(6),
+            F.when(retried, 7),
+            F.when(retried, 8),
+            F.when(F.col("outcome") == "escalated", 9),
+            F.lit(10),
+            F.lit(11),
+            F.when(k % 50 == 7, 12),
+        )
+    )
+    rows = rows.withColumn("seq", F.explode(steps))
+
+    def by_step(values: dict[int, Column | str | int]) -> Column:
+        rule = F
+        for number, value in values.items():
+            rule = rule.when(seq == number, value)
+        return rule.otherwise(F.lit(None))
+
     live = (F.col("modality") == "voice") & (k % 6 == 5)
+    kind = by_step(
+        {
+            1: F.when(live, "live_user_transcript").otherwise("user_message"),
+            2: "stt",
+            3: "intent_routing",
+            4: F.when(journey == "order_status", "order_lookup").otherwise("retrieval"),
+            5: "synthesis",
+            6: "grounding_verification",
+            7: "synthesis",
+            8: "grounding_verification",
+            9: "escalation",
+            10: F.when(live, "live_assistant_text").otherwise("agent_response"),
+            11: "tts",
+            12: "debug_probe",
+        }
+    )
+    offset = by_step(
+        {1: 0, 2: 50, 3: 100 + k, 4: 300 + k, 5: 600 + k, 6: 800 + k, 7: 1000 + k, 8: 1200 + k, 9: 1400 + k,
+         10: 1500 + k, 11: 1600 + k, 12: 1700 + k}
+    )
     conf = _text("0.", _pad(k, 2))
     intent = (
         F.when(k % 8 == 0, "small_talk")
         .when(journey == "escalate", "escalation")
         .otherwise(journey)
     )
-    none = F.lit(None).cast("string")
-
-    def event(seq: int, kind: Column | str, offset: Column, meta: Column, source=none, reply=none):
-        kind = F.lit(kind) if isinstance(kind, str) else kind
-        return F.struct(
-            F.lit(seq).alias("seq"),
-            kind.alias("event_type"),
-            offset.alias("offset_ms"),
-            source.alias("input_text"),
-            reply.alias("output_text"),
-            meta.alias("metadata"),
-        )
-
     utterance = F.when(k % 25 == 0, F.lit("  ")).otherwise(_text("utt ", trace))
     reply = (
         F.when(k % 30 == 0, F.lit(" "))
@@ -164,24 +212,20 @@ def trace_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         '{"order_id":"#', F.col("event_id"), '","found":', F.when(k % 2 == 0, "true").otherwise("false"),
         ',"row_count":', k % 4, ',"lookup_mode":"recent_for_customer"}',
     )
-
-    def synthesis(attempt: int) -> Column:
-        return _text(
-            '{"model":"pro-a","input_tokens":', 400 + k, ',"output_tokens":', 40 + k % 9,
-            ',"cost_usd":0.00', _pad(k, 2), f',"attempt":{attempt},"claims":["c"],"citations":[]}}',
-        )
-
-    def check(attempt: int, verdict: Column, score: Column) -> Column:
-        return _text(
-            '{"model":"flash-a","input_tokens":', 200 + k, ',"output_tokens":20,"cost_usd":0.0005,"attempt":',
-            str(attempt), ',"verdict":"', verdict, '","score":', score,
-            ',"threshold":0.8,"rationale":"x","ungrounded_claims":[]}',
-        )
-
-    first_verdict = F.when(k % 4 == 0, "fail").otherwise("pass")
-    first_score = F.when(k % 4 == 0, "0.5").when(k % 12 == 5, "0.75").otherwise("0.9")
-    second_verdict = F.when(k % 8 == 0, "fail").otherwise("pass")
-    second_score = F.when(k % 8 == 0, "0.6").otherwise("0.95")
+    attempt = F.when(seq < 7, 1).otherwise(2)
+    synthesis = _text(
+        '{"model":"pro-a","input_tokens":', 400 + k, ',"output_tokens":', 40 + k % 9,
+        ',"cost_usd":0.00', _pad(k, 2), ',"attempt":', attempt, ',"claims":["c"],"citations":[]}',
+    )
+    failed = F.when(seq < 7, k % 4 == 0).otherwise(k % 8 == 0)
+    score = F.when(seq < 7, F.when(k % 4 == 0, "0.5").when(k % 12 == 5, "0.75").otherwise("0.9")).otherwise(
+        F.when(k % 8 == 0, "0.6").otherwise("0.95")
+    )
+    check = _text(
+        '{"model":"flash-a","input_tokens":', 200 + k, ',"output_tokens":20,"cost_usd":0.0005,"attempt":',
+        attempt, ',"verdict":"', F.when(failed, "fail").otherwise("pass"), '","score":', score,
+        ',"threshold":0.8,"rationale":"x","ungrounded_claims":[]}',
+    )
     reason = (
         F.when(k % 5 == 0, "low_confidence")
         .when(k % 5 == 1, "grounding_failed")
@@ -193,41 +237,35 @@ def trace_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("modality") == "chat", F.lit('{"skipped":true,"reason":"chat"}'))
         .otherwise(_text('{"audio_duration_ms":', 1000 + k, ',"confidence":', conf, ',"voice":"v1"}'))
     )
-    has_retrieval = journey.isin("product_qa", "service_request")
-    parts = F.array_compact(
-        F.array(
-            event(1, F.when(live, "live_user_transcript").otherwise("user_message"), F.lit(0), user_meta, source=utterance),
-            event(2, "stt", F.lit(50), voice_only, reply=_text("heard ", trace)),
-            event(3, "intent_routing", 100 + k, routing),
-            F.when(has_retrieval, event(4, "retrieval", 300 + k, retrieval)),
-            F.when(journey == "order_status", event(4, "order_lookup", 300 + k, lookup)),
-            event(5, "synthesis", 600 + k, synthesis(1), reply=_text("draft ", trace)),
-            event(6, "grounding_verification", 800 + k, check(1, first_verdict, first_score)),
-            F.when(k % 4 == 0, event(7, "synthesis", 1000 + k, synthesis(2), reply=_text("redraft ", trace))),
-            F.when(k % 4 == 0, event(8, "grounding_verification", 1200 + k, check(2, second_verdict, second_score))),
-            F.when(
-                F.col("outcome") == "escalated",
-                event(9, "escalation", 1400 + k, _text('{"reason":"', reason, '","detail":"d"}')),
-            ),
-            event(
-                10, F.when(live, "live_assistant_text").otherwise("agent_response"), 1500 + k,
-                _text('{"channel":"', F.col("modality"), '"}'), reply=reply,
-            ),
-            event(11, "tts", 1600 + k, voice_only),
-            F.when(k % 50 == 7, event(12, "debug_probe", 1700 + k, F.lit("{}"))),
-        )
+    metadata = by_step(
+        {
+            1: user_meta,
+            2: voice_only,
+            3: routing,
+            4: F.when(journey == "order_status", lookup).otherwise(retrieval),
+            5: synthesis,
+            6: check,
+            7: synthesis,
+            8: check,
+            9: _text('{"reason":"', reason, '","detail":"d"}'),
+            10: _text('{"channel":"', F.col("modality"), '"}'),
+            11: voice_only,
+            12: "{}",
+        }
+    )
+    output = by_step(
+        {2: _text("heard ", trace), 5: _text("draft ", trace), 7: _text("redraft ", trace), 10: reply}
     )
-    rows = rows.select("trace_id", "created_at", "k", F.explode(parts).alias("e"))
     return rows.select(
-        F.concat(trace, F.lit("_"), _pad(F.col("e.seq"), 2)).alias("event_id"),
+        F.concat(trace, F.lit("_"), _pad(seq, 2)).alias("event_id"),
         "trace_id",
-        F.col("e.event_type").alias("event_type"),
-        F.col("e.input_text").alias("input_text"),
-        F.col("e.output_text").alias("output_text"),
-        F.col("e.metadata").alias("metadata"),
-        (F.col("e.seq") * 10 + k % 10).cast("long").alias("latency_ms"),
+        kind.alias("event_type"),
+        F.when(seq == 1, utterance).alias("input_text"),
+        output.alias("output_text"),
+        metadata.alias("metadata"),
+        (seq * 10 + k % 10).cast("long").alias("latency_ms"),
         (k % 9 == 0).alias("pii_redacted"),
-        F.timestamp_micros(F.unix_micros("created_at") + F.col("e.offset_ms") * 1000).alias("timestamp"),
+        F.timestamp_micros(F.unix_micros("created_at") + offset.cast("long") * 1000).alias("timestamp"),
     )
 
 
@@ -269,7 +307,7 @@ def eval_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def judge_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw text a judge returned for each trace: clean, fenced, chatty and broken."""
-    rows = _with_conversation_columns(events_base(spark, sf_dir))
+    rows = _with_conversation_columns(spread(events_base(spark, sf_dir), "event_id"))
     k = F.col("k")
     success = (
         F.when(k % 4 == 0, "resolved").when(k % 4 == 1, "Partial ").when(k % 4 == 2, "failed").otherwise("RESOLVED")
@@ -395,7 +433,7 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents"), "doc_id").select(
         F.col("doc_id").alias("passage_id"), F.col("text").alias("content"), "source", "lang"
     )
 
@@ -409,7 +447,7 @@ def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def live_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Live-session signals: every turn's text in word-group fragments, with turn
     ends, interruptions and a close, as a voice channel would log them."""
-    t = table(spark, sf_dir, "conversations").where(F.col("role") != "system")
+    t = spread(table(spark, sf_dir, "conversations"), "conv_id").where(F.col("role") != "system")
     words = F.split("text", " ")
     pieces = F.transform(
         F.sequence(F.lit(0), F.floor((F.size(words) - 1) / 8).cast("int")),
