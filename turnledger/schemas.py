@@ -102,7 +102,7 @@ class Policy:
 DEFAULT_POLICY = Policy()
 
 
-def _fields(*specs: tuple[str, T.DataType, bool]) -> T.StructType:
+def struct_of(*specs: tuple[str, T.DataType, bool]) -> T.StructType:
     return T.StructType([T.StructField(n, t, nullable) for n, t, nullable in specs])
 
 
@@ -114,7 +114,7 @@ _S, _L, _D, _B, _TS = (
     T.TimestampType(),
 )
 
-CONVERSATIONS = _fields(
+CONVERSATIONS = struct_of(
     ("trace_id", _S, False),
     ("modality", _S, False),
     ("customer_id", _S, True),
@@ -127,7 +127,7 @@ CONVERSATIONS = _fields(
     ("created_at", _TS, False),
 )
 
-TRACE_EVENTS = _fields(
+TRACE_EVENTS = struct_of(
     ("event_id", _S, False),
     ("trace_id", _S, False),
     ("event_type", _S, False),
@@ -139,7 +139,7 @@ TRACE_EVENTS = _fields(
     ("timestamp", _TS, False),
 )
 
-CUSTOMERS_CONTEXT = _fields(
+CUSTOMERS_CONTEXT = struct_of(
     ("customer_id", _S, False),
     ("tier", _S, False),
     ("lifetime_value", _D, False),
@@ -147,7 +147,7 @@ CUSTOMERS_CONTEXT = _fields(
     ("recent_journey", _S, True),
 )
 
-ORDERS = _fields(
+ORDERS = struct_of(
     ("order_id", _S, False),
     ("customer_id", _S, False),
     ("sku", _S, False),
@@ -159,7 +159,7 @@ ORDERS = _fields(
     ("tracking_no", _S, True),
 )
 
-EVAL_RUNS = _fields(
+EVAL_RUNS = struct_of(
     ("run_id", _S, False),
     ("git_sha", _S, False),
     ("created_at", _TS, False),
@@ -179,7 +179,7 @@ EVAL_RUNS = _fields(
     ("cost_per_call_usd", _D, True),
 )
 
-LABELLED_SET = _fields(
+LABELLED_SET = struct_of(
     ("query_id", _S, False),
     ("journey", _S, False),
     ("utterance", _S, False),
@@ -190,7 +190,7 @@ LABELLED_SET = _fields(
     ("requires_grounding", _B, True),
 )
 
-QUERY_RESULTS = _fields(
+QUERY_RESULTS = struct_of(
     ("query_id", _S, False),
     ("journey", _S, False),
     ("utterance", _S, True),
@@ -216,7 +216,7 @@ QUERY_RESULTS = _fields(
     ("error", _S, True),
 )
 
-ERROR_CLUSTERS = _fields(
+ERROR_CLUSTERS = struct_of(
     ("cluster_id", _S, False),
     ("label", _S, False),
     ("failure_type", _S, False),
