@@ -35,8 +35,9 @@ ORDER = ["timestamp", "id"]
 def test_lag_equals_window(skewed):
     w = Window.partitionBy("trace_id").orderBy(*ORDER)
     plain = skewed.withColumn("prev_v", F.lag("v").over(w)).withColumn("prev_id", F.lag("id").over(w))
+    plain = plain.withColumn("low", F.min("v").over(Window.partitionBy("trace_id")))
     mine = ordered.lag(
-        skewed, ["trace_id"], ordered.time_slice("timestamp", 60), ORDER, {"prev_v": "v", "prev_id": "id"}
+        skewed, ["trace_id"], ordered.time_slice("timestamp", 60), ORDER, {"prev_v": "v", "prev_id": "id"}, {"low": "v"}
     )
     assert _same(mine, plain)
 
@@ -47,8 +48,8 @@ def test_positions_and_running_sum_equal_window(skewed):
     assert _same(ordered.positions(skewed, ["trace_id"], ordered.time_slice("timestamp", 60), ORDER), plain)
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     plain = skewed.withColumn("s", F.sum(F.coalesce("v", F.lit(0))).over(run))
-    mine = ordered.running_sum(
-        skewed, ["trace_id"], ordered.time_slice("timestamp", 300), ORDER, F.coalesce("v", F.lit(0)), "s"
+    mine = ordered.running_sums(
+        skewed, ["trace_id"], ordered.time_slice("timestamp", 300), ORDER, {"s": F.coalesce("v", F.lit(0))}
     )
     assert _same(mine, plain)
 

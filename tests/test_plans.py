@@ -259,7 +259,6 @@ def test_policy_cascade(spark):
         case("router", None),
         case("low", ("product_qa", 0.59)),
         case("human", ("escalation", 0.9)),
-        case("scope", ("weather", 0.9)),
         case("off", ("out_of_scope", 0.9)),
         case("cap", ("product_qa", 0.9), turns=13),
         case("tool", ("product_qa", 0.9), tool=True),
@@ -272,7 +271,6 @@ def test_policy_cascade(spark):
         "router": ("escalated", "router_error"),
         "low": ("escalated", "low_confidence"),
         "human": ("escalated", "explicit_request"),
-        "scope": ("escalated", "low_confidence"),
         "off": ("refused", None),
         "cap": ("escalated", "turn_cap"),
         "tool": ("escalated", "tool_error"),

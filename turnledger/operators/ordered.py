@@ -36,15 +36,29 @@ def _across(keys: Sequence[str]) -> Window:
 
 
 def lag(
-    df: DataFrame, keys: Sequence[str], slice_by: Column, order: Sequence[str], columns: Mapping[str, str]
+    df: DataFrame,
+    keys: Sequence[str],
+    slice_by: Column,
+    order: Sequence[str],
+    columns: Mapping[str, str],
+    whole_min: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Add ``out = previous value of in`` for every ``out: in`` of ``columns``."""
+    """Add ``out = previous value of in`` for every ``out: in`` of ``columns``.
+
+    ``whole_min`` adds the key's minimum of further columns; it rides on the carry rows
+    and costs no extra pass.
+    """
+    whole_min = whole_min or {}
     df = df.withColumn(_SLICE, slice_by)
     tails = df.groupBy(*keys, _SLICE).agg(
-        *[F.max_by(F.struct(src), F.struct(*order)).alias(f"__t_{out}") for out, src in columns.items()]
+        *[F.max_by(F.struct(src), F.struct(*order)).alias(f"__t_{out}") for out, src in columns.items()],
+        *[F.min(src).alias(f"__m_{out}") for out, src in whole_min.items()],
     )
     carry = tails.select(
-        *keys, _SLICE, *[F.lag(f"__t_{out}").over(_across(keys)).alias(f"__c_{out}") for out in columns]
+        *keys,
+        _SLICE,
+        *[F.lag(f"__t_{out}").over(_across(keys)).alias(f"__c_{out}") for out in columns],
+        *[F.min(f"__m_{out}").over(Window.partitionBy(*keys)).alias(out) for out in whole_min],
     )
     w = _inner(keys, order)
     inside = df.select(
@@ -60,30 +74,33 @@ def lag(
             F.when(first, F.col(f"__c_{out}.{src}")).otherwise(F.col(f"__l_{out}")).alias(out)
             for out, src in columns.items()
         ],
+        *whole_min,
     )
 
 
-def running_sum(
-    df: DataFrame, keys: Sequence[str], slice_by: Column, order: Sequence[str], value: Column, out: str
+def running_sums(
+    df: DataFrame, keys: Sequence[str], slice_by: Column, order: Sequence[str], values: Mapping[str, Column]
 ) -> DataFrame:
-    """Add the inclusive running sum of ``value`` along the order."""
-    df = df.withColumn(_SLICE, slice_by).withColumn("__v", value)
+    """Add the inclusive running sum of every ``out: value`` along the order."""
+    columns = df.columns
+    df = df.select("*", slice_by.alias(_SLICE), *[v.alias(f"__v_{out}") for out, v in values.items()])
+    earlier = _across(keys).rowsBetween(Window.unboundedPreceding, -1)
     before = (
         df.groupBy(*keys, _SLICE)
-        .agg(F.sum("__v").alias("__s"))
+        .agg(*[F.sum(f"__v_{out}").alias(f"__s_{out}") for out in values])
         .select(
             *keys,
             _SLICE,
-            F.coalesce(
-                F.sum("__s").over(_across(keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-            ).alias("__before"),
+            *[F.coalesce(F.sum(f"__s_{out}").over(earlier), F.lit(0)).alias(f"__b_{out}") for out in values],
         )
     )
     w = _inner(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = df.withColumn("__run", F.sum("__v").over(w))
+    inside = df.select(
+        *columns, _SLICE, *[F.sum(f"__v_{out}").over(w).alias(f"__r_{out}") for out in values]
+    )
     joined = inside.join(before, [*keys, _SLICE])
     return joined.select(
-        *df.drop(_SLICE, "__v").columns, (F.col("__run") + F.col("__before")).alias(out)
+        *columns, *[(F.col(f"__r_{out}") + F.col(f"__b_{out}")).alias(out) for out in values]
     )
 
 
@@ -91,7 +108,7 @@ def positions(
     df: DataFrame, keys: Sequence[str], slice_by: Column, order: Sequence[str], out: str = "position"
 ) -> DataFrame:
     """Add the 1-based position of each row within its key."""
-    return running_sum(df, keys, slice_by, order, F.lit(1).cast("long"), out)
+    return running_sums(df, keys, slice_by, order, {out: F.lit(1).cast("long")})
 
 
 def carry_forward(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnledger.functions.scoring import (
@@ -132,12 +132,28 @@ _SUMMED = (
 
 
 def run_rows(results: DataFrame, keys: list[str], production: bool = False) -> DataFrame:
-    """Run metrics per key. Production runs have no labels: their label-dependent
-    metrics are null, and a task success of exactly 0 is null like a missing journey."""
+    """Run metrics per key in one pass over the results.
+
+    The results shrink to one row per key and millisecond before they are ordered, so
+    the window sees at most as many rows as there are distinct latencies. Production runs have no labels: their label-dependent
+    metrics are null, and a task success of exactly 0 is null like a missing journey.
+    """
     slim = _by_latency(results, keys)
-    sums = slim.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in _SUMMED])
-    ranks = nearest_rank(slim.where(F.col("latency_ms") > 0), keys, "latency_ms", "n", PERCENTILES)
-    rows = sums.join(ranks, keys, "left")
+    measured = F.when(F.col("latency_ms") > 0, F.col("n")).otherwise(0)
+    upto = Window.partitionBy(*keys).orderBy("latency_ms").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = slim.select(
+        "*",
+        F.sum(measured).over(upto).alias("__upto"),
+        F.sum(measured).over(Window.partitionBy(*keys)).alias("__measured"),
+    )
+
+    def at_rank(p: float) -> Column:
+        rank = F.rint(F.lit(p) * (F.col("__measured") - 1)) + 1
+        return F.min(F.when((F.col("latency_ms") > 0) & (F.col("__upto") >= rank), F.col("latency_ms")))
+
+    rows = ranked.groupBy(*keys).agg(
+        *[F.sum(c).alias(c) for c in _SUMMED], *[at_rank(p).alias(name) for name, p in PERCENTILES.items()]
+    )
 
     def success(j: str) -> Column:
         value = ratio(F.col(f"__s_{j}"), F.col(f"__n_{j}"))

@@ -31,17 +31,16 @@ def assemble_turns(fragments: DataFrame) -> DataFrame:
     pages = ordered.page_slice("seq", 4_000_000)
     ends = (F.col("kind") == "turn_complete").cast("long")
     cuts = (F.col("kind") == "interrupted").cast("long")
-    marked = ordered.running_sum(fragments, ["trace_id"], pages, ["seq"], ends, "ends_upto")
-    marked = marked.withColumn("segment", F.col("ends_upto") - ends)
-    marked = ordered.running_sum(marked, ["trace_id"], pages, ["seq"], cuts, "cuts_upto")
-    marked = marked.withColumn("era", F.col("cuts_upto") - cuts)
+    marked = ordered.running_sums(
+        fragments, ["trace_id"], pages, ["seq"], {"ends_upto": ends, "cuts_upto": cuts}
+    ).withColumns({"segment": F.col("ends_upto") - ends, "era": F.col("cuts_upto") - cuts})
 
     users = marked.groupBy("trace_id", "segment").agg(
         F.bool_or(F.col("kind") == "turn_complete").alias("complete"), _said("user_fragment").alias("user_text")
     )
     spoken = F.when(F.col("user_text") != "", 1).otherwise(0).cast("long")
-    turns = ordered.running_sum(
-        users.where("complete"), ["trace_id"], ordered.page_slice("segment", 4096), ["segment"], spoken, "turn"
+    turns = ordered.running_sums(
+        users.where("complete"), ["trace_id"], ordered.page_slice("segment", 4096), ["segment"], {"turn": spoken}
     )
     agents = marked.groupBy("trace_id", "segment", "era").agg(
         F.bool_or(F.col("kind") == "interrupted").alias("cut"), _said("assistant_fragment").alias("agent_text")

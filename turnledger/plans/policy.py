@@ -22,7 +22,7 @@ from turnledger.schemas import DEFAULT_POLICY, Policy
 
 
 def policy_inputs(conversations: DataFrame, events: DataFrame) -> DataFrame:
-    """What the policy decides on, one row per trace: routing and both verdicts."""
+    """What the policy decides on, one row per trace: normalised routing, both verdicts."""
     kinds = ("intent_routing", "grounding_verification", "escalation")
     rows = parse_payload(
         events.where(F.col("event_type").isin(*kinds)).select("trace_id", "event_type", "event_id", "timestamp", "metadata"),
@@ -34,7 +34,7 @@ def policy_inputs(conversations: DataFrame, events: DataFrame) -> DataFrame:
     check = F.struct(F.col("p.verdict").alias("verdict"), F.col("p.score").try_cast("double").alias("score"))
     signals = rows.groupBy("trace_id").agg(
         F.max_by(
-            F.struct("p.intent", F.col("p.confidence").try_cast("double").alias("confidence")),
+            routed(F.col("p.intent"), F.col("p.confidence").try_cast("double")),
             F.when(kind == "intent_routing", at),
         ).alias("route"),
         F.max_by(check, F.when((kind == "grounding_verification") & (attempt == 1), at)).alias("first_check"),
@@ -54,7 +54,7 @@ def decide(inputs: DataFrame, policy: Policy | Column = DEFAULT_POLICY) -> DataF
     def bound(name: str) -> Column:
         return policy[name] if isinstance(policy, Column) else F.lit(getattr(policy, name))
 
-    route = routed(F.col("route.intent"), F.col("route.confidence"))
+    route = F.col("route")
     grounding = bound("grounding_threshold")
 
     def passes(check: str) -> Column:

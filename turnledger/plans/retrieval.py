@@ -42,8 +42,10 @@ def keyword_scores(passages: DataFrame, queries: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("tf"))
     )
     spread = counted.groupBy("term").agg(F.count("*").alias("df"))
-    total = sized.agg(F.count("*")).scalar()
-    mean_length = sized.agg(F.sum("length") / F.count("*")).scalar()
+    corpus = sized.agg(
+        F.struct(F.count("*").alias("passages"), (F.sum("length") / F.count("*")).alias("mean_length")).alias("s")
+    ).scalar()
+    total, mean_length = corpus["passages"], corpus["mean_length"]
     rarity = F.ln(1 + (total - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = terms.join(spread, "term").select("term", "query_id", "query_words", rarity.alias("idf"))
     tf = F.col("tf")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnledger.functions.scoring import any_hit, payload_cost
@@ -123,19 +123,28 @@ EXTRA_KINDS = (
 )
 
 
+def shown_events(events: DataFrame, full: bool = False, *fields: str) -> DataFrame:
+    """Rows a reader shows, with their payload parsed: known kinds, stages not skipped."""
+    kept = list(EVENT_KINDS) + (list(EXTRA_KINDS) if full else [])
+    rows = parse_payload(events.where(F.col("event_type").isin(kept)), *fields)
+    return rows.where(~F.coalesce(F.col("p.skipped"), F.lit(False)))
+
+
+def shown_kind() -> Column:
+    kind = F.col("event_type")
+    for stored, shown in EVENT_KINDS.items():
+        kind = F.when(F.col("event_type") == stored, shown).otherwise(kind)
+    return kind
+
+
 def typed_events(events: DataFrame, full: bool = False) -> DataFrame:
     """Stored rows as typed events: a tagged union with one nullable struct per kind.
 
     Skipped stages and unknown kinds are dropped. ``full`` also keeps the escalation,
     lookup, slot and live kinds that the console's reader leaves out.
     """
-    kept = list(EVENT_KINDS) + (list(EXTRA_KINDS) if full else [])
-    rows = parse_payload(events.where(F.col("event_type").isin(kept))).where(
-        ~F.coalesce(F.col("p.skipped"), F.lit(False))
-    )
-    kind = F.col("event_type")
-    for stored, shown in EVENT_KINDS.items():
-        kind = F.when(F.col("event_type") == stored, shown).otherwise(kind)
+    rows = shown_events(events, full)
+    kind = shown_kind()
     is_kind = {shown: F.col("event_type") == stored for stored, shown in EVENT_KINDS.items()}
     passages = F.coalesce("p.passages", F.array().cast(PAYLOAD["passages"]))
     reply = F.coalesce("output_text", F.lit(""))
@@ -232,34 +241,42 @@ def trace_documents(conversations: DataFrame, events: DataFrame, page_size: int
 
     A page bounds the array, so one endless trace becomes many rows, not one huge one.
     """
-    typed = typed_events(events).select("trace_id", "event_id", "event_type", "timestamp")
+    shown = shown_events(events, False, "skipped").select(
+        "trace_id", "event_id", shown_kind().alias("event_type"), "timestamp"
+    )
     numbered = ordered.positions(
-        typed, ["trace_id"], ordered.time_slice("timestamp", SLICE_SECONDS), ["timestamp", "event_id"]
+        shown, ["trace_id"], ordered.time_slice("timestamp", SLICE_SECONDS), ["timestamp", "event_id"]
     )
+    whole = Window.partitionBy("trace_id")
     pages = (
-        numbered.withColumn("page", F.floor((F.col("position") - 1) / page_size).cast("long"))
-        .groupBy("trace_id", "page")
-        .agg(F.array_sort(F.collect_list(F.struct("position", "event_id", "event_type", "timestamp"))).alias("events"))
-    )
-    span = typed.groupBy("trace_id").agg(F.max("timestamp").alias("last_at"), F.count("*").alias("event_count"))
-    return (
-        conversations.join(span, "trace_id", "left")
-        .join(pages, "trace_id", "left")
+        numbered.groupBy("trace_id", F.floor((F.col("position") - 1) / page_size).cast("long").alias("page"))
+        .agg(
+            F.array_sort(F.collect_list(F.struct("position", "event_id", "event_type", "timestamp"))).alias("events"),
+            F.max("timestamp").alias("page_last"),
+            F.count("*").alias("page_events"),
+        )
         .select(
             "trace_id",
-            "modality",
-            customer_label().alias("customer_label"),
-            "outcome",
-            iso_millis("created_at").alias("started_at"),
-            iso_millis(F.coalesce("last_at", "created_at")).alias("ended_at"),
-            F.coalesce("event_count", F.lit(0)).alias("event_count"),
-            F.coalesce("page", F.lit(0)).alias("page"),
-            F.coalesce(
-                "events",
-                F.array().cast("array<struct<position:bigint,event_id:string,event_type:string,timestamp:timestamp>>"),
-            ).alias("events"),
+            "page",
+            "events",
+            F.max("page_last").over(whole).alias("last_at"),
+            F.sum("page_events").over(whole).alias("event_count"),
         )
     )
+    return conversations.join(pages, "trace_id", "left").select(
+        "trace_id",
+        "modality",
+        customer_label().alias("customer_label"),
+        "outcome",
+        iso_millis("created_at").alias("started_at"),
+        iso_millis(F.coalesce("last_at", "created_at")).alias("ended_at"),
+        F.coalesce("event_count", F.lit(0)).alias("event_count"),
+        F.coalesce("page", F.lit(0)).alias("page"),
+        F.coalesce(
+            "events",
+            F.array().cast("array<struct<position:bigint,event_id:string,event_type:string,timestamp:timestamp>>"),
+        ).alias("events"),
+    )
 
 
 def trace_document(conversations: DataFrame, events: DataFrame, trace_id: str, page_size: int = 500) -> DataFrame:
@@ -277,10 +294,10 @@ def trace_timeline(events: DataFrame) -> DataFrame:
         ordered.time_slice("timestamp", SLICE_SECONDS),
         ["timestamp", "event_id"],
         {"previous_at": "timestamp"},
+        {"first_at": "timestamp"},
     )
-    starts = rows.groupBy("trace_id").agg(F.min("timestamp").alias("first_at"))
     micros = F.unix_micros("timestamp")
-    return gaps.join(starts, "trace_id").select(
+    return gaps.select(
         "trace_id",
         "event_id",
         "event_type",
