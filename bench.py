@@ -1,4 +1,4 @@
-"""Time every registered query once warm and print one JSON line.
+"""Time every registered query after one warm-up and print one JSON line.
 
 ``BENCH_SF_DIR`` is the data folder, ``BENCH_CPUS`` the number of local threads,
 ``BENCH_RUNS`` the timed runs per query (the median counts) and ``BENCH_ONLY`` an
@@ -34,8 +34,7 @@ def main() -> int:
     for name, fn in QUERIES.items():
         if only and name not in only:
             continue
-        if runs > 1:
-            seconds(spark, fn, sf_dir)
+        seconds(spark, fn, sf_dir)
         times[name] = round(statistics.median(seconds(spark, fn, sf_dir) for _ in range(runs)), 3)
         print(f"{name} {times[name]}", file=sys.stderr, flush=True)
     spark.stop()

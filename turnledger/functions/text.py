@@ -153,3 +153,13 @@ def first_missing_slot(columns: dict[str, Column]) -> Column:
 def words(text: str | Column) -> Column:
     """Lower-cased letter and digit runs."""
     return F.regexp_extract_all(F.lower(_c(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
+def unroll(array: str | Column) -> Column:
+    """One row per element, for arrays that are costly to build.
+
+    A plain ``explode`` makes the optimizer add size and null checks below the
+    generator, which build the array again; the outer form does not. Empty arrays give
+    one null row, so callers filter or join on the element.
+    """
+    return F.explode_outer(_c(array))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnledger.functions.scoring import ratio
-from turnledger.functions.text import claims, words
+from turnledger.functions.text import claims, unroll, words
 from turnledger.operators.ranking import top_k
 from turnledger.schemas import DEFAULT_POLICY
 
@@ -36,7 +36,7 @@ def keyword_scores(passages: DataFrame, queries: DataFrame) -> DataFrame:
         "passage_id", F.size("w").alias("length"), F.size(F.array_distinct("w")).alias("distinct_words"), "w"
     )
     counted = (
-        sized.select("passage_id", "length", "distinct_words", F.explode("w").alias("term"))
+        sized.select("passage_id", "length", "distinct_words", unroll("w").alias("term"))
         .join(vocabulary, "term", "left_semi")
         .groupBy("passage_id", "length", "distinct_words", "term")
         .agg(F.count("*").alias("tf"))
@@ -138,12 +138,12 @@ def planted_pairs(passages: DataFrame, queries: DataFrame) -> DataFrame:
     )
     shingles = passages.select(
         "passage_id", F.regexp_extract_all("content", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("w")
-    ).select("passage_id", F.explode(runs).alias("anchor"))
+    ).select("passage_id", unroll(runs).alias("anchor"))
     met = shingles.join(anchors, "anchor").select("query_id", "passage_id")
     short = sized.where((F.size("w") < ANCHOR_WORDS + 2) & (F.length("query") > 0)).select(
         "query_id", F.substring("query", 1, 1).alias("anchor")
     )
-    letters = passages.select("passage_id", F.explode(F.array_distinct(F.split("content", ""))).alias("anchor"))
+    letters = passages.select("passage_id", unroll(F.array_distinct(F.split("content", ""))).alias("anchor"))
     met_short = letters.join(short, "anchor").select("query_id", "passage_id")
     return (
         met.unionByName(met_short)
@@ -212,13 +212,13 @@ def grounding_check(turns: DataFrame, threshold: float = DEFAULT_POLICY.groundin
     scores 1.
     """
     replies = turns.where(F.col("role") == "agent").select("trace_id", "turn", claims("text").alias("c"))
-    stated = replies.select("trace_id", "turn", F.posexplode("c").alias("claim_no", "claim"))
+    stated = replies.select("trace_id", "turn", F.posexplode_outer("c").alias("claim_no", "claim"))
     claim_words = stated.select(
-        "trace_id", "turn", "claim_no", F.explode(F.array_distinct(words("claim"))).alias("word")
-    )
+        "trace_id", "turn", "claim_no", unroll(F.array_distinct(words("claim"))).alias("word")
+    ).where(F.col("word").isNotNull())
     context = (
         turns.where(F.col("role") != "agent")
-        .select("trace_id", F.explode(F.array_distinct(words("text"))).alias("word"))
+        .select("trace_id", unroll(F.array_distinct(words("text"))).alias("word"))
         .distinct()
         .withColumn("known", F.lit(1))
     )

@@ -25,9 +25,10 @@ def pii_redaction(rows: DataFrame, key: str, text: str) -> DataFrame:
 
 def claims(turns: DataFrame, minimum: int = 12) -> DataFrame:
     """One row per claim of every agent turn."""
-    return turns.where(F.col("role") == "agent").select(
-        "trace_id", "turn", F.posexplode(fx.claims("text", minimum)).alias("claim_no", "claim")
+    stated = turns.where(F.col("role") == "agent").select(
+        "trace_id", "turn", F.posexplode_outer(fx.claims("text", minimum)).alias("claim_no", "claim")
     )
+    return stated.where(F.col("claim").isNotNull())
 
 
 def content_checks(queries: DataFrame, responses: DataFrame) -> DataFrame:
