@@ -391,3 +391,57 @@ def test_results_do_not_depend_on_partitioning(spark, sf_dir, name):
         spark.conf.set("spark.sql.shuffle.partitions", before)
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert one == other
+
+
+def test_classifier_and_verifier_hooks(spark):
+    def classify(batch: pd.DataFrame) -> pd.DataFrame:
+        if (batch["text"] == "boom").any():
+            raise RuntimeError("down")
+        return pd.DataFrame({"intent": batch["text"], "confidence": [0.9] * len(batch)})
+
+    turns = spark.createDataFrame([("a", "order_status"), ("b", "small_talk"), ("c", "boom")], "trace_id string, text string")
+    got = {r["trace_id"]: tuple(r["route"]) for r in judging.classify_with(turns, classify).collect()}
+    assert got == {"a": ("order_status", 0.9), "b": ("out_of_scope", 0.4), "c": ("out_of_scope", 0.0)}
+
+    def scorer(batch: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"grounded": [a in b for a, b in zip(batch["claim"], batch["context"])]})
+
+    claims = spark.createDataFrame(
+        [("t", 1, "x", "x y"), ("t", 1, "z", "x y"), ("t", 2, "y", "x y"), ("t", 3, None, "x y")],
+        "trace_id string, turn long, claim string, context string",
+    )
+    rows = {r["turn"]: (r["claims"], r["score"], r["verdict"]) for r in judging.verify_with(claims, scorer).collect()}
+    assert rows == {1: (2, 0.5, "fail"), 2: (1, 1.0, "pass"), 3: (1, 0.0, "fail")}
+
+
+def test_golden_run_row_and_policy_hash(spark, tmp_path):
+    from turnledger.schemas import Policy
+
+    row = evaluation.golden_run(_results(spark, [_result("q")]), "abc", NOW)
+    sinks.append_runs(row, str(tmp_path / "r"))
+    stored = spark.read.schema(EVAL_RUNS).parquet(str(tmp_path / "r")).first()
+    assert (stored["source"], stored["sample_size"], stored["containment_rate"]) == ("golden", 1, 1.0)
+    assert sinks.policy_hash(Policy()) == sinks.policy_hash(Policy()) != sinks.policy_hash(Policy(router_threshold=0.7))
+
+
+def test_list_filters(spark):
+    conv = _conversations(spark, [_conversation("trc_1", "voice", day=3), _conversation("trc_2", "chat", day=9), _conversation("trc_3", "voice", day=12)])
+    names = lambda **kw: [r["trace_id"] for r in traces.trace_list(conv, **kw).collect()]
+    assert names() == ["trc_3", "trc_2", "trc_1"]
+    assert names(modality="voice", limit=1) == ["trc_3"]
+    assert names(since=datetime(2024, 1, 9)) == ["trc_3", "trc_2"]
+    assert len(names(limit=0)) == 3  # no limit means the default
+
+
+def test_readout_scope_and_drill(spark):
+    conv = _conversations(spark, [_conversation("trc_1", "voice", "escalated"), _conversation("trc_2", "chat", "escalated"), _conversation("trc_3", "chat", "refused")])
+    tool = '{"reason":"tool_error"}'
+    hit = '{"passages":[{"rerank_score":0.9}]}'
+    events = spark.createDataFrame(
+        [_event("trc_1", 1, "escalation", meta=tool), _event("trc_2", 1, "escalation", meta=tool), _event("trc_3", 1, "retrieval", meta=hit)], TRACE_EVENTS
+    )
+    rows = {r["failure_type"]: (r["modality"], r["count"]) for r in clusters.cluster_readout(conv, events).collect()}
+    assert rows == {"tool_error": ("both", 2), "over_eager_refusal": ("chat", 1)}
+    voice = clusters.cluster_readout(conv, events, scope="voice")
+    assert [r["failure_type"] for r in voice.collect()] == ["tool_error"]
+    assert {r["trace_id"] for r in clusters.cluster_drill(voice, conv).collect()} == {"trc_1", "trc_2"}

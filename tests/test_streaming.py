@@ -135,3 +135,20 @@ def test_incremental_evaluation_judges_each_conversation_once(spark, sf_dir, tmp
     assert runs.count() == 2
     assert runs.agg(F.sum("sample_size")).first()[0] == judged
     assert runs.where("refusal_precision IS NOT NULL").count() == 0
+
+
+def test_replies_are_verified_after_the_turn(spark, tmp_path):
+    from turnledger.streaming.live import verify_after_turn
+
+    schema = "trace_id string, turn long, event_type string, text string"
+    log = spark.createDataFrame(
+        [
+            ("live_1", 1, "live_user_transcript", "my blue drill order is late"),
+            ("live_1", 1, "live_assistant_text", "Your blue drill order is late. It was eaten by wolves yesterday night."),
+            ("live_2", 1, "live_assistant_text", "Nobody asked about this reply here."),
+        ],
+        schema,
+    )
+    verify_after_turn(log, str(tmp_path))(log.where("trace_id = 'live_1'"), 0)
+    row = spark.read.parquet(f"{tmp_path}/batch_id=0").collect()
+    assert [(r["trace_id"], r["claims"], r["supported"], r["verdict"]) for r in row] == [("live_1", 2, 1, "fail")]

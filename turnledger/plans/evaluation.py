@@ -22,6 +22,9 @@ from turnledger.plans.judging import recorded_judge, rule_judge
 from turnledger.plans.traces import parse_payload
 from turnledger.schemas import SPECIALIST_JOURNEYS
 
+# A sample is broadcast to the log scan up to this many ids (its limit is the bound).
+BROADCAST_SAMPLE = 10_000
+
 PERCENTILES = {"latency_p50_ms": 0.5, "latency_p95_ms": 0.95}
 
 
@@ -178,6 +181,16 @@ def run_rows(results: DataFrame, keys: list[str], production: bool = False) -> D
     )
 
 
+def golden_run(results: DataFrame, git_sha: str, created_at: datetime) -> DataFrame:
+    """Stored run rows of a labelled evaluation, with their source and size."""
+    return run_rows(results, ["run_id"]).select(
+        "*",
+        F.lit("golden").alias("source"),
+        F.lit(git_sha).alias("git_sha"),
+        F.lit(created_at).cast("timestamp").alias("created_at"),
+    )
+
+
 def journey_counts(run: DataFrame) -> DataFrame:
     """The per-journey query counts of a run row as a map."""
     pairs = [F.struct(F.lit(j).alias("key"), F.col(f"queries_{j}").alias("value")) for j in SPECIALIST_JOURNEYS]
@@ -295,16 +308,20 @@ def production_sample(
     since_hours: int = 24,
     seed: str = "0",
     sample_first: bool = False,
+    log_from: datetime | None = None,
 ) -> DataFrame:
     """A reproducible sample of conversations no earlier batch has covered.
 
     By default blank conversations are left out before the sample is drawn and live
     voice counts; ``sample_first`` draws first, drops blanks afterwards and reads
     the chat kinds only. The sample is at most ``sample_size`` rows by its limit, which
-    is the bound that allows it to be broadcast to the log scan.
+    is the bound that allows it to be broadcast to the log scan. ``log_from`` prunes the
+    log where the caller knows that no new conversation started earlier.
     """
     mark = high_water_mark(runs, modality, now, since_hours)
     fresh = _new_conversations(conversations, mark, modality)
+    if log_from is not None:
+        events = events.where(F.col("timestamp") >= F.lit(log_from))
     if not sample_first:
         heard = (
             events.where(F.col("event_type").isin(*USER_KINDS))
@@ -315,7 +332,10 @@ def production_sample(
         )
         fresh = fresh.join(heard, "trace_id", "left_semi")
     drawn = sample_n(fresh, "trace_id", sample_size, seed)
-    log = events.join(F.broadcast(drawn.select("trace_id")), "trace_id", "left_semi")
+    chosen = drawn.select("trace_id")
+    if sample_size <= BROADCAST_SAMPLE:
+        chosen = F.broadcast(chosen)
+    log = events.join(chosen, "trace_id", "left_semi")
     return (
         drawn.join(reconstruct(log, live=not sample_first), "trace_id", "left")
         .where(not_blank("utterance"))

@@ -8,21 +8,60 @@ Python worker at all.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnledger.functions.scoring import derived_outcome, judge_fields, normal_outcome
+from turnledger.functions.scoring import derived_outcome, judge_fields, normal_outcome, routed
 from turnledger.functions.text import not_blank, render
+from turnledger.schemas import DEFAULT_POLICY
 
-JudgeFn = Callable[[pd.DataFrame], pd.DataFrame]
+Hook = Callable[[pd.DataFrame], pd.DataFrame]
 
-VERDICT = "task_success string, tone_appropriate string, hallucinated string, judge_cost_usd decimal(18,6)"
-VERDICT_COLUMNS = ("task_success", "tone_appropriate", "hallucinated", "judge_cost_usd")
 INPUT_COLUMNS = ("utterance", "response_text", "expected_outcome", "journey")
+VERDICT = "task_success string, tone_appropriate string, hallucinated string, judge_cost_usd decimal(18,6)"
+NO_VERDICT = {
+    "task_success": "error",
+    "tone_appropriate": "unknown",
+    "hallucinated": "unknown",
+    "judge_cost_usd": Decimal(0),
+}
+
+
+def run_hook(
+    rows: DataFrame, fn: Hook, inputs: Sequence[str], outputs: str, sentinel: Mapping[str, object], batch_rows: int = 256
+) -> DataFrame:
+    """Add the ``outputs`` columns that ``fn`` computes from the ``inputs`` of a batch.
+
+    ``fn`` must be picklable and return one row per row, in order.
+    """
+    added = T.StructType.fromDDL(outputs)
+    schema = T.StructType(rows.schema.fields + added.fields)
+    inputs, names = list(inputs), added.fieldNames()
+
+    def safe(part: pd.DataFrame) -> pd.DataFrame:
+        try:
+            out = fn(part[inputs]).reset_index(drop=True)
+            if len(out) != len(part):
+                raise ValueError("a hook must return one row per row")
+            return out[names]
+        except Exception:
+            if len(part) == 1:
+                return pd.DataFrame([dict(sentinel)])[names]
+        alone = [safe(part.iloc[[i]].reset_index(drop=True)) for i in range(len(part))]
+        return pd.concat(alone, ignore_index=True)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for start in range(0, len(batch), batch_rows):
+                part = batch.iloc[start : start + batch_rows].reset_index(drop=True)
+                yield pd.concat([part, safe(part)], axis=1)
+
+    return rows.mapInPandas(run, schema)
 
 
 def recorded_judge(rows: DataFrame, texts: DataFrame, key: str = "trace_id") -> DataFrame:
@@ -77,11 +116,10 @@ def rule_judge(rows: DataFrame) -> DataFrame:
     )
 
 
-def judge_with(rows: DataFrame, fn: JudgeFn, batch_rows: int = 256) -> DataFrame:
-    """Score rows with a user-supplied batch judge.
+def judge_with(rows: DataFrame, fn: Hook, batch_rows: int = 256) -> DataFrame:
+    """Score rows with a user-supplied batch judge over the four input columns.
 
-    ``fn`` receives the four input columns and returns the four verdict columns in
-    the same order of rows. Blank replies are never sent. ``fn`` must be picklable.
+    Blank replies are never sent; a failed row gets error, unknown, unknown and cost 0.
     """
     blank = rows.where(~not_blank("response_text")).select(
         "*",
@@ -90,48 +128,35 @@ def judge_with(rows: DataFrame, fn: JudgeFn, batch_rows: int = 256) -> DataFrame
         F.lit("unknown").alias("hallucinated"),
         F.lit(0).cast("decimal(18,6)").alias("judge_cost_usd"),
     )
-    schema = T.StructType(rows.schema.fields + T.StructType.fromDDL(VERDICT).fields)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for start in range(0, len(batch), batch_rows):
-                part = batch.iloc[start : start + batch_rows].reset_index(drop=True)
-                yield pd.concat([part, _safe_verdicts(fn, part)], axis=1)
-
-    return rows.where(not_blank("response_text")).mapInPandas(run, schema).unionByName(blank)
-
-
-def _sentinel() -> dict[str, object]:
-    from decimal import Decimal
 
-    return {
-        "task_success": "error",
-        "tone_appropriate": "unknown",
-        "hallucinated": "unknown",
-        "judge_cost_usd": Decimal(0),
-    }
-
-
-def _safe_verdicts(fn: JudgeFn, part: pd.DataFrame) -> pd.DataFrame:
-    try:
-        return _checked(fn, part)
-    except Exception:
-        if len(part) == 1:
-            return pd.DataFrame([_sentinel()])
-    halves = [part.iloc[[i]].reset_index(drop=True) for i in range(len(part))]
-    return pd.concat([_safe_verdicts(fn, half) for half in halves], ignore_index=True)
-
-
-def _checked(fn: JudgeFn, part: pd.DataFrame) -> pd.DataFrame:
-    from decimal import Decimal
-
-    out = fn(part[list(INPUT_COLUMNS)]).reset_index(drop=True)
-    if len(out) != len(part):
-        raise ValueError("a judge must return one verdict per row")
-    out = out.assign(judge_cost_usd=[Decimal(str(round(float(c), 6))) for c in out["judge_cost_usd"]])
-    for name in VERDICT_COLUMNS[:3]:
-        out[name] = out[name].astype(str).str.strip().str.lower()
-    return out[list(VERDICT_COLUMNS)]
+    def tidy(batch: pd.DataFrame) -> pd.DataFrame:
+        out = fn(batch)
+        labels = {n: out[n].astype(str).str.strip().str.lower() for n in NO_VERDICT if n != "judge_cost_usd"}
+        return out.assign(**labels, judge_cost_usd=[Decimal(str(round(float(c), 6))) for c in out["judge_cost_usd"]])
+
+    asked = rows.where(not_blank("response_text"))
+    return run_hook(asked, tidy, INPUT_COLUMNS, VERDICT, NO_VERDICT, batch_rows).unionByName(blank)
+
+
+def classify_with(turns: DataFrame, fn: Hook, inputs: Sequence[str] = ("text",)) -> DataFrame:
+    """Route turns with a user-supplied classifier that returns ``intent`` and
+    ``confidence``; its output is normalised, and a failed row routes nowhere."""
+    raw = run_hook(turns, fn, inputs, "intent string, confidence double", {"intent": None, "confidence": 0.0})
+    return raw.select(*turns.columns, routed(F.col("intent"), F.col("confidence")).alias("route"))
+
+
+def verify_with(
+    claims: DataFrame, fn: Hook, keys: Sequence[str] = ("trace_id", "turn"), threshold: float = DEFAULT_POLICY.grounding_threshold
+) -> DataFrame:
+    """Ground claims with a user-supplied scorer over (claim, context) that returns
+    ``grounded``. A claim that could not be checked counts as not grounded."""
+    checked = run_hook(claims, fn, ("claim", "context"), "grounded boolean", {"grounded": False})
+    score = F.count_if("grounded") / F.count("*")
+    return checked.groupBy(*keys).agg(
+        F.count("*").alias("claims"),
+        score.alias("score"),
+        F.when(score >= threshold, "pass").otherwise("fail").alias("verdict"),
+    )
 
 
 def keyword_judge(batch: pd.DataFrame) -> pd.DataFrame:

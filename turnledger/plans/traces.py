@@ -123,11 +123,12 @@ EXTRA_KINDS = (
 )
 
 
-def shown_events(events: DataFrame, full: bool = False, *fields: str) -> DataFrame:
-    """Rows a reader shows, with their payload parsed: known kinds, stages not skipped."""
+def shown_events(events: DataFrame, full: bool = False) -> DataFrame:
+    """Rows a reader shows: known kinds, stages not skipped."""
     kept = list(EVENT_KINDS) + (list(EXTRA_KINDS) if full else [])
-    rows = parse_payload(events.where(F.col("event_type").isin(kept)), *fields)
-    return rows.where(~F.coalesce(F.col("p.skipped"), F.lit(False)))
+    # the plain text test spares most rows a JSON parse
+    skipped = F.contains("metadata", F.lit('"skipped"')) & (F.get_json_object("metadata", "$.skipped") == "true")
+    return events.where(F.col("event_type").isin(kept) & ~F.coalesce(skipped, F.lit(False)))
 
 
 def shown_kind() -> Column:
@@ -143,7 +144,7 @@ def typed_events(events: DataFrame, full: bool = False) -> DataFrame:
     Skipped stages and unknown kinds are dropped. ``full`` also keeps the escalation,
     lookup, slot and live kinds that the console's reader leaves out.
     """
-    rows = shown_events(events, full)
+    rows = parse_payload(shown_events(events, full))
     kind = shown_kind()
     is_kind = {shown: F.col("event_type") == stored for stored, shown in EVENT_KINDS.items()}
     passages = F.coalesce("p.passages", F.array().cast(PAYLOAD["passages"]))
@@ -241,7 +242,7 @@ def trace_documents(conversations: DataFrame, events: DataFrame, page_size: int
 
     A page bounds the array, so one endless trace becomes many rows, not one huge one.
     """
-    shown = shown_events(events, False, "skipped").select(
+    shown = shown_events(events).select(
         "trace_id", "event_id", shown_kind().alias("event_type"), "timestamp"
     )
     numbered = ordered.positions(

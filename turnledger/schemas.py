@@ -241,7 +241,6 @@ PASSAGE = (
     "keyword_score:string,fused_score:string,rerank_score:string>"
 )
 PAYLOAD = {
-    "skipped": "boolean",
     "reason": "string",
     "model": "string",
     "input_tokens": "string",

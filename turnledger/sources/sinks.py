@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Mapping
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +14,7 @@ from pyspark.sql import types as T
 from turnledger.plans.clusters import cluster_documents
 from turnledger.plans.evaluation import journey_counts, run_rows
 from turnledger.plans.traces import load_counts
-from turnledger.schemas import EVAL_RUNS, TABLES
+from turnledger.schemas import EVAL_RUNS, TABLES, Policy
 from turnledger.session import durable
 
 
@@ -73,5 +76,11 @@ def write_run(results: DataFrame, run_meta: Mapping[str, object], root: str) ->
     ).json(f"{root}/clusters")
 
 
+def policy_hash(policy: Policy) -> str:
+    """A stable hash of the thresholds a run was made with."""
+    text = json.dumps(asdict(policy), sort_keys=True)
+    return "cfg_" + hashlib.sha256(text.encode()).hexdigest()[:12]
+
+
 def write_label_set(labelled: DataFrame, path: str) -> None:
     labelled.write.mode("overwrite").json(path)

@@ -50,7 +50,7 @@ def evaluate_stream(
         fresh = batch if modality == "all" else batch.where(F.col("modality") == modality)
         judged = turns_to_judge(fresh, events)
         run_id = f"evr_stream_{batch_id:08d}"
-        newest = judged.agg(F.max("created_at").alias("created_at"), F.lit(run_id).alias("run_id"))
+        newest = fresh.agg(F.max("created_at").alias("created_at"), F.first(F.lit(run_id)).alias("run_id"))
         row = production_run(production_results(judged, run_id), modality).join(newest, "run_id")
         row = row.withColumn("git_sha", F.lit(git_sha))
         conform(row, EVAL_RUNS).write.mode("overwrite").parquet(f"{root}/batch_id={batch_id}")
