@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from turnledger.operators import ordered
+from turnledger.operators.joins import lookup
 from turnledger.operators.ranking import nearest_rank, top_k
 from turnledger.operators.sampling import sample_n, sample_per_stratum
 
@@ -88,3 +89,19 @@ def test_samples_do_not_depend_on_partitioning(skewed):
     assert _same(a, b)
     per = sample_per_stratum(skewed, ["trace_id"], "id", 2)
     assert per.groupBy("trace_id").count().agg(F.max("count")).first()[0] == 2
+
+
+def test_lookup_spreads_rows_without_a_key(spark):
+    rows = spark.range(4000).select("id", F.when(F.col("id") % 4 == 0, F.col("id") % 50).alias("k"))
+    table = spark.range(30).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = lookup(rows, table, "k", "id")
+        placed = joined.select("k", "v", F.spark_partition_id().alias("p")).groupBy("p").agg(F.count_if(F.col("k").isNull()).alias("n"))
+        sizes = [r["n"] for r in placed.collect()]
+        assert _same(joined.select("id", "k", "v"), rows.join(table, "k", "left").select("id", "k", "v"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(sizes) == 4 and max(sizes) < 1500

@@ -38,3 +38,10 @@ def test_query_matches_oracle(name, spark, duck, sf_dir):
     theirs = _rows(columns, cursor.fetchall())
     assert sorted(df.columns) == sorted(columns)
     assert mine == theirs
+
+
+@pytest.mark.parametrize("name", sorted(entry.queries()))
+def test_no_query_plans_a_cross_join(name, spark, sf_dir):
+    df = entry.queries()[name](spark, sf_dir)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan

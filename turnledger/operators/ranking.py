@@ -65,6 +65,26 @@ def nearest_rank(
     )
 
 
+def with_ranks(slim: DataFrame, keys: Sequence[str], value: str, weight: str) -> DataFrame:
+    """Prepare a small histogram (one row per key and value, with any other counters) for
+    ``at_rank``, so that sums and percentiles come out of one aggregation. Only positive
+    values are ranked. Use it where the values are few, such as milliseconds under a
+    ceiling; ``nearest_rank`` is for wide ranges."""
+    counted = F.when(F.col(value) > 0, F.col(weight)).otherwise(0)
+    upto = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    return slim.select(
+        "*",
+        F.sum(counted).over(upto).alias("__upto"),
+        F.sum(counted).over(Window.partitionBy(*keys)).alias("__measured"),
+    )
+
+
+def at_rank(value: str, p: float) -> Column:
+    """Aggregate: the nearest-rank percentile of a frame made by ``with_ranks``."""
+    rank = F.rint(F.lit(p) * (F.col("__measured") - 1)) + 1
+    return F.min(F.when((F.col(value) > 0) & (F.col("__upto") >= rank), F.col(value)))
+
+
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], k: int, rank: str = "rank") -> DataFrame:
     """The first ``k`` rows per key.
 

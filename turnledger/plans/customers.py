@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnledger.functions.text import iso_millis, normalise_order_id, order_reference
+from turnledger.operators.joins import lookup
 from turnledger.operators.ranking import top_k
 from turnledger.plans.traces import customer_label
 
@@ -68,10 +69,10 @@ def customer_context(customers: DataFrame, orders: DataFrame, conversations: Dat
     )
 
 
-def attach_customer(rows: DataFrame, customers: DataFrame) -> DataFrame:
+def attach_customer(rows: DataFrame, customers: DataFrame, row_id: str = "trace_id") -> DataFrame:
     """Add label and tier to any rows with a customer id; anonymous when absent."""
     known = customers.select("customer_id", F.col("tier").alias("__tier"))
-    joined = rows.drop("tier").join(known, "customer_id", "left")
+    joined = lookup(rows.drop("tier"), known, "customer_id", row_id)
     return joined.select(
         *[c for c in rows.columns if c != "tier"],
         F.coalesce("__tier", F.lit("anonymous")).alias("tier"),
@@ -113,11 +114,8 @@ def order_status_context(requests: DataFrame, orders: DataFrame) -> DataFrame:
         .groupBy("customer_id")
         .agg(F.array_sort(F.collect_list(F.struct("recency", "block"))).alias("recent"))
     )
-    rows = (
-        requests.withColumn("order_id", order_reference("utterance"))
-        .join(by_id, "order_id", "left")
-        .join(recent, "customer_id", "left")
-    )
+    asked_for = requests.withColumn("order_id", order_reference("utterance"))
+    rows = lookup(lookup(asked_for, by_id, "order_id", "request_id"), recent, "customer_id", "request_id")
     listing = F.when(F.col("recent").isNull(), NO_ORDERS).otherwise(
         F.concat(
             F.lit(ORDERS_HEAD),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnledger.functions.scoring import (
@@ -16,7 +16,7 @@ from turnledger.functions.scoring import (
     task_score,
 )
 from turnledger.functions.text import contains_all, contains_none, iso_millis, not_blank
-from turnledger.operators.ranking import nearest_rank
+from turnledger.operators.ranking import at_rank, nearest_rank, with_ranks
 from turnledger.operators.sampling import sample_n, sample_per_stratum
 from turnledger.plans.judging import recorded_judge, rule_judge
 from turnledger.plans.traces import parse_payload
@@ -142,20 +142,13 @@ def run_rows(results: DataFrame, keys: list[str], production: bool = False) -> D
     metrics are null, and a task success of exactly 0 is null like a missing journey.
     """
     slim = _by_latency(results, keys)
-    measured = F.when(F.col("latency_ms") > 0, F.col("n")).otherwise(0)
-    upto = Window.partitionBy(*keys).orderBy("latency_ms").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = slim.select(
-        "*",
-        F.sum(measured).over(upto).alias("__upto"),
-        F.sum(measured).over(Window.partitionBy(*keys)).alias("__measured"),
-    )
-
-    def at_rank(p: float) -> Column:
-        rank = F.rint(F.lit(p) * (F.col("__measured") - 1)) + 1
-        return F.min(F.when((F.col("latency_ms") > 0) & (F.col("__upto") >= rank), F.col("latency_ms")))
-
-    rows = ranked.groupBy(*keys).agg(
-        *[F.sum(c).alias(c) for c in _SUMMED], *[at_rank(p).alias(name) for name, p in PERCENTILES.items()]
+    rows = (
+        with_ranks(slim, keys, "latency_ms", "n")
+        .groupBy(*keys)
+        .agg(
+            *[F.sum(c).alias(c) for c in _SUMMED],
+            *[at_rank("latency_ms", p).alias(name) for name, p in PERCENTILES.items()],
+        )
     )
 
     def success(j: str) -> Column:

@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from turnledger.functions.scoring import ratio
 from turnledger.functions.text import redact, strip
 from turnledger.operators import ordered
-from turnledger.operators.ranking import nearest_rank
+from turnledger.operators.ranking import at_rank, with_ranks
 from turnledger.schemas import DEFAULT_POLICY
 
 PREVIEW_CHARS = 200
 
 
 def _said(kind: str) -> Column:
-    """The fragments of one speaker, joined in order."""
+    """The fragments of one speaker in one turn, joined in order; the session ceiling
+    bounds how many there can be."""
     parts = F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("seq", "text"))))
     return strip(F.array_join(F.transform(parts, lambda p: p["text"]), ""))
 
@@ -84,14 +85,19 @@ def session_rows(fragments: DataFrame) -> DataFrame:
 
 
 def live_session_kpis(fragments: DataFrame, ceiling_seconds: int = DEFAULT_POLICY.session_ceiling_seconds) -> DataFrame:
-    sessions = session_rows(fragments).withColumn("scope", F.lit("live"))
-    hist = sessions.groupBy("scope", "duration_ms").agg(F.count("*").alias("n"))
-    ranks = nearest_rank(hist, ["scope"], "duration_ms", "n", {"duration_p50_ms": 0.5, "duration_p95_ms": 0.95})
-    totals = sessions.groupBy("scope").agg(
+    by_duration = session_rows(fragments).groupBy("duration_ms").agg(
         F.count("*").alias("sessions"),
-        ratio(F.sum("turns"), F.count("*")).alias("turns_per_session"),
-        ratio(F.count_if(F.col("interruptions") > 0), F.count("*")).alias("barge_in_rate"),
+        F.sum("turns").alias("turns"),
+        F.count_if(F.col("interruptions") > 0).alias("cut"),
         F.sum("tool_calls").alias("tool_calls"),
-        F.count_if(F.col("duration_ms") > ceiling_seconds * 1000).alias("over_ceiling"),
     )
-    return totals.join(ranks, "scope").drop("scope")
+    over = F.col("duration_ms") > ceiling_seconds * 1000
+    return with_ranks(by_duration, [], "duration_ms", "sessions").agg(
+        F.sum("sessions").alias("sessions"),
+        ratio(F.sum("turns"), F.sum("sessions")).alias("turns_per_session"),
+        ratio(F.sum("cut"), F.sum("sessions")).alias("barge_in_rate"),
+        F.sum("tool_calls").alias("tool_calls"),
+        F.coalesce(F.sum(F.when(over, F.col("sessions"))), F.lit(0)).alias("over_ceiling"),
+        at_rank("duration_ms", 0.5).alias("duration_p50_ms"),
+        at_rank("duration_ms", 0.95).alias("duration_p95_ms"),
+    )

@@ -155,7 +155,7 @@ def escalation_reasons(events: DataFrame, conversations: DataFrame) -> DataFrame
         .groupBy(F.coalesce(F.get_json_object("metadata", "$.reason"), F.lit("unknown")).alias("reason"))
         .agg(F.count("*").alias("escalations"))
     )
-    escalated = reasons.agg(F.sum("escalations")).scalar()
+    escalated = F.sum("escalations").over(Window.partitionBy(F.lit(0)))  # a few reason rows
     everyone = conversations.agg(F.count("*")).scalar()
     return reasons.select(
         "reason",

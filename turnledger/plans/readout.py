@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnledger.functions.scoring import ratio
@@ -127,9 +127,15 @@ def intent_drift(rows: DataFrame, split: date, intent: str = "journey", at: str
     counts = rows.groupBy(F.col(intent).alias("intent")).agg(
         F.count_if(~later).alias("before"), F.count_if(later).alias("after")
     )
-    before = counts.agg(F.sum("before")).scalar()
-    after = counts.agg(F.sum("after")).scalar()
-    shares = counts.select("intent", "before", "after", ratio(F.col("before"), before).alias("p"), ratio(F.col("after"), after).alias("q"))
+    # a handful of intent rows by now: the totals are a window, not two more scans
+    everything = Window.partitionBy(F.lit(0))
+    shares = counts.select(
+        "intent",
+        "before",
+        "after",
+        ratio(F.col("before"), F.sum("before").over(everything)).alias("p"),
+        ratio(F.col("after"), F.sum("after").over(everything)).alias("q"),
+    )
     part = F.when(
         (F.col("p") > 0) & (F.col("q") > 0), (F.col("q") - F.col("p")) * F.ln(F.col("q") / F.col("p"))
     )

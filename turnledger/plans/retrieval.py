@@ -26,7 +26,8 @@ def keyword_scores(passages: DataFrame, queries: DataFrame) -> DataFrame:
 
     Words outside the queries' vocabulary leave the stream before the first exchange,
     and a passage counts its words where it was read. After one exchange on the passage
-    id, scoring and the local top-k both stay in place: pairs are never shuffled.
+    id, scoring and the local top-k both stay in place. The query words are joined by
+    broadcast while Spark's size check allows, else by a shuffle on the word.
     """
     spoken = queries.select("query_id", F.array_distinct(words("query")).alias("w"))
     terms = spoken.select("query_id", F.size("w").alias("query_words"), F.explode("w").alias("term"))
