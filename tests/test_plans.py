@@ -330,7 +330,10 @@ def test_planted_pairs_equal_brute_force(spark):
         "passage_id long, content string",
     )
     queries = spark.createDataFrame(
-        [(1, "The quick brown fox jumps over dogs"), (2, "fox"), (3, " fox"), (4, "absent words in here that never come together")],
+        [
+            (1, "The quick brown fox jumps over dogs"), (2, "fox"), (3, " fox"), (4, "absent words in here that never come together"),
+            (5, "quick brown fox jumps over dogsy and"), (6, "he quick brown fox jumps over dog"), (7, "quick, brown fox jumps over dogs and"),
+        ],
         "query_id long, query string",
     )
     brute = {

@@ -116,30 +116,38 @@ def rerank_with(
     return top_k(scored, ["query_id"], [F.desc("rerank_score"), "fused_rank"], k)
 
 
+def _runs(words_column: Column) -> Column:
+    """All distinct runs of ``ANCHOR_WORDS`` words; null when there are too few words."""
+    starts = F.sequence(F.lit(1), F.size(words_column) - ANCHOR_WORDS + 1)
+    cut = F.transform(starts, lambda i: F.array_join(F.slice(words_column, i, F.lit(ANCHOR_WORDS)), " "))
+    return F.when(F.size(words_column) >= ANCHOR_WORDS, F.array_distinct(cut))
+
+
 def planted_pairs(passages: DataFrame, queries: DataFrame) -> DataFrame:
     """Pairs in which the passage contains the query's text verbatim.
 
     A passage that contains the text also contains the words inside it, one after the
     other. So both sides meet on a run of five inner words (short texts on their first
-    character), and only the pairs that meet are compared in full.
+    character), and only the pairs that meet are compared in full. A text is looked up
+    by the run it shares with the fewest other texts, so a common opening does not bring
+    all texts together in one place.
     """
     word_list = F.regexp_extract_all("query", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     sized = queries.select("query_id", "query", word_list.alias("w"))
-    long = sized.where(F.size("w") >= ANCHOR_WORDS + 2)
-    anchors = long.select("query_id", F.array_join(F.slice("w", 2, ANCHOR_WORDS), " ").alias("anchor"))
-    w = F.col("w")
-    runs = F.when(
-        F.size(w) >= ANCHOR_WORDS,
-        F.array_distinct(
-            F.transform(
-                F.sequence(F.lit(1), F.size(w) - ANCHOR_WORDS + 1),
-                lambda i: F.array_join(F.slice(w, i, F.lit(ANCHOR_WORDS)), " "),
-            )
-        ),
+    inner = sized.where(F.size("w") >= ANCHOR_WORDS + 2).select(
+        "query_id", F.slice("w", F.lit(2), F.size("w") - 2).alias("w")
+    )
+    offered = inner.select("query_id", unroll(_runs(F.col("w"))).alias("anchor"))
+    sharing = offered.groupBy("anchor").agg(F.count("*").alias("n"))
+    anchors = (
+        offered.join(sharing, "anchor")
+        .groupBy("query_id")
+        .agg(F.min(F.struct("n", "anchor")).alias("pick"))
+        .select("query_id", F.col("pick.anchor").alias("anchor"))
     )
     shingles = passages.select(
         "passage_id", F.regexp_extract_all("content", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("w")
-    ).select("passage_id", unroll(runs).alias("anchor"))
+    ).select("passage_id", unroll(_runs(F.col("w"))).alias("anchor"))
     met = shingles.join(anchors, "anchor").select("query_id", "passage_id")
     short = sized.where((F.size("w") < ANCHOR_WORDS + 2) & (F.length("query") > 0)).select(
         "query_id", F.substring("query", 1, 1).alias("anchor")
