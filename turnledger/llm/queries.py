@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnledger.llm import exact_dedup, mixing, packing, pii, quality, simhash
+from turnledger.llm import (
+    exact_dedup,
+    lm_scoring,
+    mixing,
+    packing,
+    pii,
+    quality,
+    simhash,
+    substring_dedup,
+    suffix_dedup,
+    token_rows,
+)
 from turnledger.llm.common import documents, text_of, word_count
 
 
@@ -22,14 +33,32 @@ def length_bucket_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), word_count(text_of("text")))
 
 
+def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(documents(spark, sf_dir))
+
+
+def cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target corpus is the documents labelled as good."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return lm_scoring.score(documents(spark, sf_dir), labels.filter("quality = 1"))
+
+
 def line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir)).drop("text_key", "lost_lines")
 
 
+def gear_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(documents(spark, sf_dir))
+
+
 def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(documents(spark, sf_dir)).drop("text_key")
 
 
+def best_fit_token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_rows.token_rows(documents(spark, sf_dir))
+
+
 def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
@@ -38,8 +67,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_sanitisation": pii_sanitisation,
     "op2_tree_merge_dedup": tree_merge_dedup,
     "op3_length_bucket_packing": length_bucket_packing,
+    "op4_suffix_array_dedup": suffix_array_dedup,
+    "op5_cross_entropy_difference": cross_entropy_difference,
     "op6_line_frequency_rules": line_frequency_rules,
+    "op7_gear_chunk_dedup": gear_chunk_dedup,
     "op8_simhash_near_dedup": simhash_near_dedup,
+    "op9_best_fit_token_rows": best_fit_token_rows,
     "op10_source_mixing": source_mixing,
 }
 
