@@ -45,7 +45,8 @@ from turnledger.llm.first_seen import order, place, slim_documents, start_of, ta
 DEPTH = 100
 GRAM = 20
 SHALLOW = 24
-FULL = 2048
+# Units of one gram a task gathers: some 5 MB of text and 1.5 million suffixes.
+FULL = 1 << 15
 PART = 1 << 22
 WINDOWS_AT_ONCE = 1 << 18
 LOW = np.uint64((1 << 24) - 1)
