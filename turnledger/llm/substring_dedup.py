@@ -120,7 +120,8 @@ def repeated_runs(
 ) -> DataFrame:
     """(id, tag, runs): for each document with repeated runs, its (start, end) in bytes."""
     again = store(repeated(chunks(df, id_col, text_col, mean), "digest", "chunk-keys"), "chunks")
-    first = again.groupBy("digest", "size").agg(F.min(order()).alias("first"))
+    # Stored, so that the join meets two plain shuffles and a hot chunk can be split.
+    first = store(again.groupBy("digest", "size").agg(F.min(order()).alias("first")), "first-chunks")
     later = again.join(first, ["digest", "size"]).filter(order() != F.col("first"))
     pieces = later.groupBy("id", tag_of("where").alias("tag")).agg(
         F.sort_array(F.collect_set(F.struct(start_of("where").alias("start"), "size"))).alias("chunks")
