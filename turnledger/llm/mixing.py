@@ -182,9 +182,11 @@ def _plan(df: DataFrame, id_col: str, text_col: str, source_col: str, block_word
     )
     placed = placed.drop("offset", "slice", "h", "slots", "blocks")
 
-    most = targets.agg(F.max("slots")).first()[0] or 0
-    bits = max(3, math.ceil(math.log2(max(1, most / SLOTS_PER_SHARD))))
-    draws = shard_draws(targets.filter("slots > 0"), bits, seed).repartition("s", "shard")
+    most, all_slots = targets.agg(F.max("slots"), F.sum("slots")).first()
+    bits = max(3, math.ceil(math.log2(max(1, (most or 0) / SLOTS_PER_SHARD))))
+    # A few draws stand for many slots: deal them by what they stand for.
+    parts = max(8, math.ceil((all_slots or 0) / (8 * SLOTS_PER_SHARD)))
+    draws = shard_draws(targets.filter("slots > 0"), bits, seed).repartition(parts, "s", "shard")
     nth = draws.filter("slots > 0").select(
         "s",
         "blocks",
@@ -236,7 +238,8 @@ def mix(
 ) -> DataFrame:
     """One row per document: id, size, source, source_size, target, taken."""
     placed, slots = _plan(df, id_col, text_col, source_col, block_words, seed)
-    uses = slots.groupBy("s", "block").agg(F.count(F.lit(1)).alias("uses"))
+    # Stored: Spark cannot guess how many slots a draw makes and would broadcast them.
+    uses = store(slots.groupBy("s", "block").agg(F.count(F.lit(1)).alias("uses")), "uses")
     taken = _pieces(placed).join(uses, ["s", "block"], "left")
     return (
         taken.groupBy("s", "start", "id", "size", "text_key", "source", "source_size", "target")
@@ -268,12 +271,16 @@ def mixed_documents(
     """
     placed, slots = _plan(df, id_col, text_col, source_col, block_words, seed)
     placed = placed.filter("size > 0")
-    drawn = _pieces(placed).join(slots.select("s", "epoch", "block"), ["s", "block"])
+    slots = store(slots.select("s", "epoch", "block"), "slots")
+    drawn = _pieces(placed).join(slots, ["s", "block"])
     ranges = drawn.groupBy("s", "start", "id", "text_key", "size", "epoch").agg(
         F.sort_array(F.collect_list(F.struct("lo", "n"))).alias("runs"), F.sum("n").alias("words")
     )
-    ranges = ranges.groupBy("id", "text_key", "size", "epoch").agg(
-        F.max(F.struct("words", "runs")).alias("best")
+    ranges = store(
+        ranges.groupBy("id", "text_key", "size", "epoch").agg(
+            F.max(F.struct("words", "runs")).alias("best")
+        ),
+        "ranges",
     )
     ranges = ranges.select(
         F.col("id").alias("__id"),
