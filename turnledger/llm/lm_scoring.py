@@ -28,7 +28,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnledger.llm.common import arrow_batches, text_of
@@ -36,6 +36,7 @@ from turnledger.llm.common import arrow_batches, text_of
 WORD_BITS = 18
 PAIR_BITS = 20
 BLOCK = 4096
+FAN_IN = 16
 ALPHA = 0.1
 MU = 200.0
 AT_ONCE = 1 << 20
@@ -143,8 +144,8 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 BLOCKS = "kind int, block int, part int, counts binary"
 
 
-def _sum(blocks: DataFrame, groups: int) -> DataFrame:
-    keyed = blocks.withColumn("part", F.col("part") % groups)
+def _sum(blocks: DataFrame, part: Column) -> DataFrame:
+    keyed = blocks.withColumn("part", part.cast("int"))
     keyed = keyed.repartition("kind", "block", "part").sortWithinPartitions("kind", "block", "part")
     return keyed.mapInArrow(_summed, BLOCKS)
 
@@ -159,10 +160,13 @@ def train(
     arrow_batches(df.sparkSession, rows=500, mbytes=8)
     good = targets.select(F.col(id_col).alias("its_id")).filter("its_id is not null").distinct()
     slim = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    marked = slim.join(good, slim["id"] == good["its_id"], "left").select(
+    # The labelled identifiers grow with the corpus, so they are never broadcast.
+    marked = slim.join(good.hint("merge"), slim["id"] == good["its_id"], "left").select(
         "text", F.col("its_id").isNotNull().alias("target"), F.spark_partition_id().alias("part")
     )
-    blocks = _sum(_sum(marked.mapInArrow(_counted, BLOCKS), 64), 1)
+    blocks = _sum(
+        _sum(marked.mapInArrow(_counted, BLOCKS), F.floor(F.col("part") / FAN_IN)), F.lit(0)
+    )
     tables = _tables()
     for r in blocks.toLocalIterator():
         tables[r["kind"]].reshape(-1, BLOCK)[r["block"]] += np.frombuffer(r["counts"], "<i8")
