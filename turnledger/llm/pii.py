@@ -2,13 +2,13 @@
 
 Four patterns find the protected values (emails, IP addresses, cards, phones). The corpus
 then tells which other terms give a value away: a term that stands near a value is compared
-with all texts that hold the term. With p(value | term) the share of those texts in which
-the value stands near the term, -log2 p is what remains unknown of the value once the term
+with all documents that hold the term. With p(value | term) the share of those documents
+in which the value stands near the term, -log2 p is what remains unknown of the value once the term
 is read (its information content less its pointwise mutual information with the term).
 Terms that leave at most ``generalise_bits`` unknown are generalised to a class, those that
 leave at most ``remove_bits`` are removed, wherever they stand in the corpus. A pair counts
-only if seen in ``min_contexts`` different contexts; one sighting is no estimate. Equal
-texts count once.
+only if seen in ``min_contexts`` different contexts; one sighting, or one text copied, is no
+estimate.
 
 A term is a run of two or more letters, in lower case, of a white-space delimited token
 that has neither digits nor "@" in it; so no term lies inside a protected value. The
@@ -163,12 +163,16 @@ def _show(spans: Column) -> Column:
 
 
 def protected(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, text_key, base (array of spans with their contexts)."""
-    base = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("__text"))
+    """One row per document: row, id, text_key, base (array of spans with their contexts)."""
+    base = df.select(
+        F.monotonically_increasing_id().alias("row"),
+        F.col(id_col).alias("id"),
+        text_of(text_col).alias("__text"),
+    )
     base = base.withColumn("text_key", F.sha2("__text", 256))
     for kind, pattern, sign in zip(KINDS, (EMAIL, IP, CARD, PHONE), ("@", ".", "", "+"), strict=True):
         base = _with_kind(base, kind, pattern, sign)
-    return base.select("id", "text_key", F.concat(*KINDS).alias("base"))
+    return base.select("row", "id", "text_key", F.concat(*KINDS).alias("base"))
 
 
 def disclosing_terms(
@@ -177,42 +181,39 @@ def disclosing_terms(
     min_contexts: int = MIN_CONTEXTS,
     generalise_bits: float = GENERALISE_BITS,
     remove_bits: float = REMOVE_BITS,
-) -> tuple[DataFrame, DataFrame]:
-    """(terms with the bits they leave unknown and what to do, (text_key, term) pairs).
+) -> DataFrame:
+    """Terms with the bits they leave unknown of some value and what to do with them.
 
-    ``texts`` has text_key and text. Only terms seen near a value in enough contexts are
-    looked up in the corpus; their table is written first, so Spark knows its size.
+    ``base`` is the stored frame of protected values, ``texts`` has the column text. The
+    documents of every term are counted with a combine before the shuffle, which then has a
+    row for each term and task.
     """
-    near = base.filter(F.size("base") > 0).select("text_key", F.explode("base").alias("v"))
+    near = base.filter(F.size("base") > 0).select("row", F.explode("base").alias("v"))
     near = near.select(
-        "text_key",
+        "row",
         F.concat_ws(":", "v.kind", "v.value").alias("value"),
         _near_terms(F.col("v.left"), F.col("v.right")).alias("near"),
     )
     near = near.select(
-        "text_key", "value", F.xxhash64("near").alias("context"), F.explode(F.array_distinct("near")).alias("term")
+        "row",
+        "value",
+        F.xxhash64("near").alias("context"),
+        F.explode(F.array_distinct("near")).alias("term"),
     )
     seen = (
-        near.groupBy("value", "term", "text_key", "context")
-        .agg(F.count(F.lit(1)).alias("times"))
-        .groupBy("value", "term")
+        near.groupBy("value", "term")
         .agg(
-            F.count_distinct("text_key").alias("together"),
+            F.count_distinct("row").alias("together"),
             F.count_distinct("context").alias("contexts"),
         )
         .filter(F.col("contexts") >= min_contexts)
     )
     seen = store(seen, "seen")
-    wanted = store(seen.select("term").distinct(), "wanted")
-    here = texts.select(
-        "text_key", F.explode(F.array_distinct(terms(F.lower("text")))).alias("term")
-    )
-    hits = store(here.join(wanted, "term").distinct(), "hits")
-    among = hits.groupBy("term").agg(F.count(F.lit(1)).alias("texts"))
+    among = _terms_of(texts).groupBy("term").agg(F.count(F.lit(1)).alias("texts"))
     # The share cannot pass 1: lower-casing may hide a term from the count in rare scripts.
     share = F.least(F.col("together") / F.col("texts"), F.lit(1.0))
-    told = (
-        seen.join(among, "term")
+    return (
+        among.join(seen, "term")
         .withColumn("unknown_bits", -F.log2(share))
         .filter(F.col("unknown_bits") <= generalise_bits)
         .groupBy("term")
@@ -221,16 +222,27 @@ def disclosing_terms(
             "action", F.when(F.col("unknown_bits") <= remove_bits, "remove").otherwise("generalise")
         )
     )
-    return told, hits
 
 
-def _term_spans(texts: DataFrame, told: DataFrame, hits: DataFrame) -> DataFrame:
-    """(text_key, found): the spans of disclosing terms of each text that has some."""
-    revealed = hits.join(told, "term").groupBy("text_key").agg(
+def _terms_of(texts: DataFrame, *keep: str) -> DataFrame:
+    """A row for each different term of a text, in lower case."""
+    return texts.select(
+        *keep, F.explode(F.array_distinct(terms(F.lower("text")))).alias("term")
+    )
+
+
+def _term_spans(texts: DataFrame, told: DataFrame) -> DataFrame:
+    """(text_key, found): the spans of disclosing terms of each text that has some.
+
+    Texts with a hit are found by a short hash; spans come from the text itself, so texts
+    that share a hash by chance lose nothing and gain nothing.
+    """
+    hashed = texts.withColumn("mark", F.xxhash64("text"))
+    revealed = _terms_of(hashed, "mark").join(told, "term").groupBy("mark").agg(
         F.collect_set(F.when(F.col("action") == "remove", F.col("term"))).alias("gone"),
         F.collect_set(F.when(F.col("action") != "remove", F.col("term"))).alias("wide"),
     )
-    here = texts.join(store(revealed, "revealed"), "text_key")
+    here = hashed.join(store(revealed, "revealed"), "mark")
     # Alternate pieces: tokens with digits or "@", letter runs, and everything between.
     piece = r"(?<!\S)[^\s@0-9]*+[@0-9]\S*+|\p{L}{2,}+|(?s)."
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
@@ -265,8 +277,8 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits
     texts = df.select(text_of(text_col).alias("text")).select(
         F.sha2("text", 256).alias("text_key"), "text"
     )
-    told, hits = disclosing_terms(base, texts, **limits)
-    found = _term_spans(texts, store(told, "told"), hits)
+    told = store(disclosing_terms(base, texts, **limits), "told")
+    found = _term_spans(texts, told)
     slim = lambda s: F.struct(s["kind"], s["start"], s["end"])
     none = F.expr("cast(array() as array<struct<kind:string,start:int,end:int>>)")
     return base.join(store(found, "found"), "text_key", "left").select(
