@@ -253,7 +253,7 @@ FROM ({RUN_METRICS.format(source='res')})""",
     ),
     "stratified_sample": """SELECT modality, journey, CAST(rn AS INTEGER) AS sample_rank, trace_id, outcome
 FROM (SELECT *, row_number() OVER (PARTITION BY modality, journey ORDER BY md5(trace_id || '0'), trace_id) AS rn FROM v_conv) WHERE rn <= 5""",
-    "eval_run_list": "SELECT * EXCLUDE (created_at) FROM (SELECT * FROM v_listed ORDER BY created_at DESC, run_id DESC LIMIT 20)",
+    "eval_run_list": "SELECT * EXCLUDE (created_at) FROM v_listed",
     "latest_run": """SELECT run_id, source, run_timestamp, containment_rate, (SELECT max(run_id) FROM v_listed) AS greatest_run_id
 FROM v_listed ORDER BY source = 'golden' DESC, created_at DESC, run_id DESC LIMIT 1""",
     "eval_metrics_long": "SELECT * EXCLUDE (created_at) FROM v_long",
@@ -338,7 +338,7 @@ SELECT trace_id, turn, i - 1 AS claim_no, c[i] AS claim FROM (SELECT *, unnest(g
     "injection_flags": """SELECT modality, count(*) AS messages, count(*) FILTER (WHERE f) AS flagged, count(*) FILTER (WHERE f) / count(*) AS flag_rate
 FROM (SELECT modality, regexp_matches(utterance, '(?i)((ignore|disregard|forget)\\s+(all\\s+|any\\s+)?(the\\s+)?(previous|prior|above)\\s+instructions|reveal\\s+(your\\s+|the\\s+)?(system\\s+)?prompt|you\\s+are\\s+now\\s+(a|an|the)\\s+)') AS f FROM v_messages) GROUP BY 1""",
     "transcript": """SELECT trace_id, turn // 256 AS page, count(*) AS turns, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS transcript FROM v_turns GROUP BY 1, 2""",
-    "router_prompts": f"""SELECT trace_id, turn, CASE WHEN turn < 12 THEN {_ROUTER_TEXT.format(h="coalesce(h, '(no prior turns)')")} END AS prompt
+    "router_prompts": f"""SELECT trace_id, turn, {_ROUTER_TEXT.format(h="coalesce(h, '(no prior turns)')")} AS prompt
 FROM (SELECT *, string_agg(role || ': ' || text, chr(10)) OVER (PARTITION BY trace_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS h FROM v_turns) WHERE role = 'customer'""",
     "slot_state": f"""WITH f AS (SELECT trace_id, turn, {', '.join(f'{sql} AS {n}' for n, sql in _SLOT.items())} FROM v_service_turns),
 k AS (SELECT trace_id, turn, {', '.join(f'last_value({n} IGNORE NULLS) OVER (PARTITION BY trace_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS {n}' for n in _SLOT)} FROM f)
@@ -370,9 +370,9 @@ SELECT count(*) AS queries, round(sum(coalesce(1.0::DOUBLE / rank, 0)) / count(*
     "relevance_pairs": f"WITH {_RELEVANT} SELECT * FROM relevant",
     "vector_search": """WITH x AS (SELECT vec_id, label, unnest(generate_series(1, len(embedding))) AS i, embedding FROM embeddings),
 y AS (SELECT vec_id, label, i, CAST(embedding[i] AS DOUBLE) AS v FROM x),
-c AS (SELECT label, i, avg(v) AS c FROM y GROUP BY 1, 2),
-s AS (SELECT y.label, y.vec_id, round(sum(v * c) / (sqrt(sum(v * v)) * sqrt(sum(c * c))), 6) AS similarity FROM y JOIN c ON c.label = y.label AND c.i = y.i GROUP BY 1, 2)
-SELECT label, vec_id, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY similarity DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
+c AS (SELECT label AS query_id, i, avg(v) AS c FROM y GROUP BY 1, 2),
+s AS (SELECT query_id, vec_id, round(sum(v * c) / (sqrt(sum(v * v)) * sqrt(sum(c * c))), 6) AS similarity FROM y JOIN c ON c.i = y.i GROUP BY 1, 2)
+SELECT query_id, vec_id, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
     "grounding_check": f"""WITH s AS (SELECT trace_id, turn, list_filter(list_transform(string_split(regexp_replace({_STRIP.format('text')}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)),
     lambda x: {_STRIP.format('x')}), lambda x: length(x) >= 12) AS c FROM v_turns WHERE role = 'agent'),
 cl AS (SELECT trace_id, turn, i, unnest(list_distinct({_WORDS.format('c[i]')})) AS word FROM (SELECT *, unnest(generate_series(1, len(c))) AS i FROM s)),
@@ -383,11 +383,13 @@ SELECT s.trace_id, s.turn, len(s.c) AS claims, coalesce(t.supported, 0) AS suppo
   CASE WHEN len(s.c) = 0 OR coalesce(t.supported, 0) / len(s.c) >= 0.8 THEN 'pass' ELSE 'fail' END AS verdict
 FROM s LEFT JOIN t ON t.trace_id = s.trace_id AND t.turn = s.turn""",
     "live_turns": f"""WITH {_LIVE}
-SELECT trace_id, segment, turn, 'live_user_transcript' AS event_type, {_redact('user_text')[2]} AS text, {_redact('user_text')[2]} <> user_text AS pii_redacted FROM t WHERE user_text <> ''
-UNION ALL SELECT a.trace_id, a.segment, t.turn, 'live_assistant_text', a.agent_text, false FROM a JOIN t ON t.trace_id = a.trace_id AND t.segment = a.segment WHERE NOT a.cut AND a.agent_text <> ''
-UNION ALL SELECT trace_id, segment, NULL, 'live_interruption', substring(agent_text, 1, 200), false FROM a WHERE cut""",
-    "live_session_kpis": f"""WITH s AS (SELECT trace_id, (epoch_us(max(ts)) - epoch_us(min(ts))) // 1000 AS duration_ms, greatest(1, count(*) FILTER (WHERE kind = 'turn_complete')) AS turns,
-  count(*) FILTER (WHERE kind = 'interrupted') AS cuts, count(*) FILTER (WHERE kind = 'tool_call') AS tools FROM v_live GROUP BY 1),
+SELECT trace_id, segment, turn, 'live_user_transcript' AS event_type, {_redact('user_text')[2]} AS text, {_redact('user_text')[2]} <> user_text AS pii_redacted, NULL::VARCHAR AS preview FROM t WHERE user_text <> ''
+UNION ALL SELECT a.trace_id, a.segment, t.turn, 'live_assistant_text', a.agent_text, false, NULL FROM a JOIN t ON t.trace_id = a.trace_id AND t.segment = a.segment WHERE NOT a.cut AND a.agent_text <> ''
+UNION ALL SELECT trace_id, segment, NULL, 'live_interruption', agent_text, false, substring(agent_text, 1, 200) FROM a WHERE cut""",
+    "live_session_kpis": f"""WITH {_LIVE},
+s AS (SELECT l.trace_id, (epoch_us(max(ts)) - epoch_us(min(ts))) // 1000 AS duration_ms,
+  greatest(1, coalesce((SELECT max(turn) FROM t WHERE t.trace_id = l.trace_id), 0)) AS turns,
+  count(*) FILTER (WHERE kind = 'interrupted') AS cuts, count(*) FILTER (WHERE kind = 'tool_call') AS tools FROM v_live l GROUP BY 1),
 r AS (SELECT duration_ms, row_number() OVER (ORDER BY duration_ms) AS rn, count(*) OVER () AS n FROM s)
 SELECT count(*) AS sessions, sum(turns) / count(*) AS turns_per_session, count(*) FILTER (WHERE cuts > 0) / count(*) AS barge_in_rate, CAST(sum(tools) AS BIGINT) AS tool_calls,
   count(*) FILTER (WHERE duration_ms > 600000) AS over_ceiling,

@@ -370,12 +370,26 @@ def test_anonymous_and_foreign_callers(spark):
     assert [line.split(",")[0] for line in got["f"]["context"].split("\n")[1:]] == ["- order_id=#4524", "- order_id=#4523", "- order_id=#4522"]
 
 
-def test_turns_past_the_cap_are_not_prompted(spark):
+def test_nearest_vectors_are_found_per_query_in_all_cells(spark):
+    vectors = spark.createDataFrame(
+        [(i, "a" if i < 4 else "b", [1.0, float(i)]) for i in range(8)], "vec_id long, label string, embedding array<double>"
+    )
+    queries = spark.createDataFrame([("p", [1.0, 3.6]), ("q", [1.0, 0.0])], "query_id string, query_vector array<double>")
+    got = {}
+    for r in retrieval.vector_search(vectors, queries, k=3).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    assert {q: [v for _, v in sorted(found)] for q, found in got.items()} == {"p": [4, 3, 5], "q": [0, 1, 2]}
+
+
+def test_every_customer_turn_is_prompted(spark):
     turns = spark.createDataFrame(
         [("t", i, "customer" if i % 2 == 0 else "agent", f"x{i}") for i in range(6)], "trace_id string, turn long, role string, text string"
     )
-    rows = {r["turn"]: r["prompt"] for r in texts.router_prompts(turns, "{{HISTORY}}>{{UTTERANCE}}", turn_cap=3).collect()}
-    assert rows == {0: "(no prior turns)>x0", 2: "customer: x0\nagent: x1>x2", 4: None}
+    rows = {r["turn"]: r["prompt"] for r in texts.router_prompts(turns, "{{HISTORY}}>{{UTTERANCE}}").collect()}
+    assert rows[0] == "(no prior turns)>x0" and rows[2] == "customer: x0\nagent: x1>x2"
+    assert rows[4] == "customer: x0\nagent: x1\ncustomer: x2\nagent: x3>x4"
+    long = spark.createDataFrame([("t", i, "customer", f"x{i}") for i in range(30)], turns.schema)
+    assert texts.router_prompts(long).where("prompt is not null").count() == 30
     pages = texts.transcript(turns, page_turns=4).collect()
     assert sorted((r["page"], r["turns"]) for r in pages) == [(0, 4), (1, 2)]
 

@@ -75,7 +75,7 @@ def test_live_turns_stream_equals_batch(spark, sf_dir, tmp_path):
     query.awaitTermination()
     got = spark.table("live_out").where(F.col("event_type") != "live_session_close").drop("duration_ms")
     expected = live.assemble_turns(fragments)
-    names = ["trace_id", "segment", "turn", "event_type", "text", "pii_redacted"]
+    names = ["trace_id", "segment", "turn", "event_type", "text", "pii_redacted", "preview"]
     key = lambda r: tuple(str(v) for v in r)
     assert sorted(map(key, got.select(names).collect())) == sorted(map(key, expected.select(names).collect()))
 

@@ -465,7 +465,8 @@ def relevance_pairs(s, d):
 @query
 def vector_search(s, d):
     vectors = c.table(s, d, "embeddings")
-    found = retrieval.vector_search(vectors, retrieval.centroids(vectors))
+    means = retrieval.centroids(vectors).withColumnRenamed("label", "query_id")
+    found = retrieval.vector_search(vectors, means)
     return found.withColumn("rank", F.col("rank").cast("long"))
 
 

@@ -59,7 +59,7 @@ def assemble_turns(fragments: DataFrame) -> DataFrame:
         "segment",
         F.lit(None).cast("long").alias("turn"),
         F.lit("live_interruption").alias("event_type"),
-        F.substring("agent_text", 1, PREVIEW_CHARS).alias("text"),
+        F.col("agent_text").alias("text"),
         F.lit(False).alias("pii_redacted"),
     )
     written = replied.select(
@@ -70,18 +70,31 @@ def assemble_turns(fragments: DataFrame) -> DataFrame:
         F.col("agent_text").alias("text"),
         F.lit(False).alias("pii_redacted"),
     )
-    return said.unionByName(written).unionByName(cancelled)
+    return said.unionByName(written).unionByName(cancelled).withColumn("preview", preview())
+
+
+def preview() -> Column:
+    """The start of what an interruption cut off; the full words stay in ``text``."""
+    return F.when(F.col("event_type") == "live_interruption", F.substring("text", 1, PREVIEW_CHARS))
 
 
 def session_rows(fragments: DataFrame) -> DataFrame:
-    """One row per session with the figures its close event carries."""
+    """One row per session with the figures its close event carries; only turns in which
+    the user spoke are counted."""
     kind = F.col("kind")
-    return fragments.groupBy("trace_id").agg(
+    figures = fragments.groupBy("trace_id").agg(
         F.floor((F.unix_micros(F.max("timestamp")) - F.unix_micros(F.min("timestamp"))) / 1000).alias("duration_ms"),
-        F.greatest(F.lit(1), F.count_if(kind == "turn_complete")).alias("turns"),
         F.count_if(kind == "interrupted").alias("interruptions"),
         F.count_if(kind == "tool_call").alias("tool_calls"),
     )
+    spoken = (
+        assemble_turns(fragments)
+        .where(F.col("event_type") == "live_user_transcript")
+        .groupBy("trace_id")
+        .agg(F.count("*").alias("turns"))
+    )
+    turns = F.greatest(F.lit(1), F.coalesce("turns", F.lit(0))).alias("turns")
+    return figures.join(spoken, "trace_id", "left").select(*figures.columns, turns)
 
 
 def live_session_kpis(fragments: DataFrame, ceiling_seconds: int = DEFAULT_POLICY.session_ceiling_seconds) -> DataFrame:

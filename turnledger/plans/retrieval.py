@@ -196,17 +196,20 @@ def _dot(a: Column, b: Column) -> Column:
 
 
 def vector_search(
-    vectors: DataFrame, queries: DataFrame, k: int = 5, cell: str = "label", key: str = "vec_id", vector: str = "embedding"
+    vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding"
 ) -> DataFrame:
-    """The ``k`` nearest vectors by cosine to each query, inside the query's cell.
+    """The ``k`` nearest vectors of all by cosine to each query, exactly.
 
-    Queries carry ``query_vector`` and the cell they search; the two sides meet on the
-    cell, and only the local best ``k`` leave a task.
+    ``queries`` is a stated set of ``(query_id, query_vector)``, handed to every task as one
+    array; each vector is read once and scored against the whole set where it lies, and
+    only the local best ``k`` per query leave a task.
     """
-    v, q = F.col(vector), F.col("query_vector")
+    asked = queries.agg(F.collect_list(F.struct("query_id", "query_vector"))).scalar()
+    rows = vectors.select(key, F.col(vector).alias("v"), F.explode(asked).alias("q"))
+    v, q = F.col("v"), F.col("q.query_vector")
     cosine = ratio(_dot(v, q), F.sqrt(_dot(v, v)) * F.sqrt(_dot(q, q)))
-    scored = vectors.join(queries, cell).select(cell, key, F.round(cosine, 6).alias("similarity"))
-    return top_k(scored, [cell], [F.desc("similarity"), key], k)
+    scored = rows.select(F.col("q.query_id").alias("query_id"), key, F.round(cosine, 6).alias("similarity"))
+    return top_k(scored, ["query_id"], [F.desc("similarity"), key], k)
 
 
 # --- grounding --------------------------------------------------------------------

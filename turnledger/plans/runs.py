@@ -36,8 +36,14 @@ def run_list(runs: DataFrame) -> DataFrame:
     )
 
 
-def newest_first(runs: DataFrame, limit: int = 20) -> DataFrame:
-    return run_list(runs).orderBy(F.desc("created_at"), F.desc("run_id")).limit(limit)
+def newest_first(runs: DataFrame, limit: int | None = None) -> DataFrame:
+    """All runs, or the newest few where a page asks for so many."""
+    listed = run_list(runs).orderBy(F.desc("created_at"), F.desc("run_id"))
+    return listed if limit is None else listed.limit(limit)
+
+
+def run_by_id(runs: DataFrame, run_id: str) -> DataFrame:
+    return run_list(runs.where(F.col("run_id") == run_id))
 
 
 def metrics_long(listed: DataFrame) -> DataFrame:

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from turnledger.functions import text as fx
 from turnledger.functions.scoring import ratio
 from turnledger.operators import ordered
-from turnledger.schemas import DEFAULT_POLICY
 
 PAGE_TURNS = 256
 
@@ -68,17 +67,16 @@ ROUTER_TEMPLATE = "HISTORY:\n{{HISTORY}}\nUTTERANCE: {{UTTERANCE}}"
 NO_HISTORY = "(no prior turns)"
 
 
-def router_prompts(turns: DataFrame, template: str = ROUTER_TEMPLATE, turn_cap: int = DEFAULT_POLICY.turn_cap) -> DataFrame:
+def router_prompts(turns: DataFrame, template: str = ROUTER_TEMPLATE) -> DataFrame:
     """The routing prompt of every customer turn, with all turns before it.
 
-    A turn past the cap is handed to a person and never routed: it keeps a row with a
-    null prompt. That rule also bounds the history a prompt can have.
+    Every turn is rendered: whether a turn is routed or handed to a person is for the
+    policy to say. The output of a long conversation is quadratic in its turns by nature.
     """
-    open_turns = turns.where(F.col("turn") < turn_cap)
     before = Window.partitionBy("trace_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     history = _lines(F.collect_list(F.struct("role", "text")).over(before))
-    prompts = (
-        open_turns.withColumn("history", history)
+    return (
+        turns.withColumn("history", history)
         .where(F.col("role") == "customer")
         .select(
             "trace_id",
@@ -90,10 +88,6 @@ def router_prompts(turns: DataFrame, template: str = ROUTER_TEMPLATE, turn_cap:
             ).alias("prompt"),
         )
     )
-    capped = turns.where((F.col("turn") >= turn_cap) & (F.col("role") == "customer")).select(
-        "trace_id", "turn", F.lit(None).cast("string").alias("prompt")
-    )
-    return prompts.unionByName(capped)
 
 
 # --- slots --------------------------------------------------------------------

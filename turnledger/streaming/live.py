@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from turnledger.functions.text import redact
-from turnledger.plans.live import PREVIEW_CHARS
+from turnledger.plans.live import preview
 from turnledger.plans.retrieval import grounding_check
 from turnledger.schemas import DEFAULT_POLICY, struct_of
 from turnledger.streaming.ingest import LATENESS, batch_folder
@@ -73,7 +73,7 @@ class TurnAssembler(StatefulProcessor):
                 open_turn.append((seq, kind, text))
                 continue
             said, replied, cancelled = _split(open_turn)
-            out.extend((trace_id, segment, None, "live_interruption", c[:PREVIEW_CHARS], None) for c in cancelled)
+            out.extend((trace_id, segment, None, "live_interruption", c, None) for c in cancelled)
             if said:
                 turn += 1
                 out.append((trace_id, segment, turn, "live_user_transcript", said, None))
@@ -91,7 +91,7 @@ class TurnAssembler(StatefulProcessor):
         unfinished speech is not."""
         segment, turn, _, first, last = self.session.get()
         rest = sorted(tuple(p) for p in self.pending.get())
-        out = [(key[0], segment, None, "live_interruption", c[:PREVIEW_CHARS], None) for c in _split(rest)[2]]
+        out = [(key[0], segment, None, "live_interruption", c, None) for c in _split(rest)[2]]
         out.append((key[0], None, max(turn, 1), "live_session_close", None, (last - first) // 1000))
         self.pending.clear()
         self.session.clear()
@@ -143,6 +143,7 @@ def live_turn_stream(
         "event_type",
         F.when(user, clean["text"]).otherwise(F.col("text")).alias("text"),
         (user & clean["redacted"]).alias("pii_redacted"),
+        preview().alias("preview"),
         "duration_ms",
     )
 
