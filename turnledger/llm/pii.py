@@ -84,23 +84,33 @@ def _identity(kind: str, value: Column) -> Column:
     return {"email": F.lower(value), "ip": value}.get(kind, _digits(value))
 
 
-def _prefix_sums(lens: Column, n: Column) -> Column:
-    """Sums of the elements before each of the first n, by chunks: linear for long arrays."""
-    chunks = F.sequence(F.lit(0), F.floor((n - 1) / CHUNK).cast("int"))
+def _total(lens: Column, first: Column, count: Column) -> Column:
+    return F.aggregate(F.slice(lens, first, count), F.lit(0), lambda a, x: a + x)
 
-    def total(first, count):
-        return F.aggregate(F.slice(lens, first, count), F.lit(0), lambda a, x: a + x)
 
-    bases = F.aggregate(
-        chunks,
+def _chunks(n: Column) -> Column:
+    return F.sequence(F.lit(0), F.floor((n - 1) / CHUNK).cast("int"))
+
+
+def _chunk_bases(lens: Column, n: Column) -> Column:
+    """The sum of all elements before each chunk."""
+    return F.aggregate(
+        _chunks(n),
         F.array(F.lit(0)),
-        lambda acc, c: F.array_append(acc, F.element_at(acc, -1) + total(c * CHUNK + 1, F.lit(CHUNK))),
+        lambda acc, c: F.array_append(
+            acc, F.element_at(acc, -1) + _total(lens, c * CHUNK + 1, F.lit(CHUNK))
+        ),
     )
+
+
+def _prefix_sums(lens: Column, bases: Column, n: Column) -> Column:
+    """Sums of the elements before each of the first n, by chunks: near linear for long
+    arrays. ``bases`` must be a column of its own, so that it is made once."""
     rows = F.transform(
-        chunks,
+        _chunks(n),
         lambda c: F.transform(
             F.sequence(F.lit(0), F.least(F.lit(CHUNK - 1), n - 1 - c * CHUNK)),
-            lambda k: F.get(bases, c) + total(c * CHUNK + 1, k),
+            lambda k: F.get(bases, c) + _total(lens, c * CHUNK + 1, k),
         ),
     )
     return F.flatten(rows)
@@ -118,7 +128,10 @@ def _with_kind(df: DataFrame, kind: str, pattern: str, sign: str) -> DataFrame:
     )
     lens = F.zip_with("__gaps", "__raw", lambda g, m: F.length(g) + F.coalesce(F.length(m), F.lit(0)))
     df = df.withColumn("__lens", lens)
-    df = df.withColumn("__sums", F.when(F.col("__raw").isNotNull(), _prefix_sums(F.col("__lens"), F.size("__raw"))))
+    some, n = F.col("__raw").isNotNull(), F.size("__raw")
+    df = df.withColumn("__bases", F.when(some, _chunk_bases(F.col("__lens"), n)))
+    sums = _prefix_sums(F.col("__lens"), F.col("__bases"), n)
+    df = df.withColumn("__sums", F.when(some, sums))
 
     def span(value, i):
         gap = F.get("__gaps", i)
@@ -139,7 +152,7 @@ def _with_kind(df: DataFrame, kind: str, pattern: str, sign: str) -> DataFrame:
         "left:string,right:string,raw:string>>)"
     )
     df = df.withColumn(kind, F.coalesce(spans, none))
-    return df.drop("__raw", "__gaps", "__lens", "__sums")
+    return df.drop("__raw", "__gaps", "__lens", "__bases", "__sums")
 
 
 def terms(text: Column) -> Column:
