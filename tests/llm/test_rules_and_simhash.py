@@ -65,7 +65,7 @@ def line_corpus(spark):
         own = "\n".join(prose(rng, 30, 10**6) for _ in range(3))
         menu = "Home   News CONTACT page" if i % 2 else ""
         rows.append((i, f"{menu}\n{own}", "en", "site", 1))
-    menus = [f"menu entry number {k} " + "word " * 12 for k in range(5)]
+    menus = [prose(rng, 16, 10**6) for _ in range(5)]
     for i in range(300, 330):  # depleted: nearly all of their words are menus
         rows.append((i, "\n".join([*menus, prose(rng, 20, 10**6)]), "en", "site", 1))
     copy = "\n".join(prose(rng, 30, 10**6) for _ in range(4))
