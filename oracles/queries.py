@@ -357,9 +357,9 @@ UNION ALL SELECT 'product_qa', count(*), count(*) FILTER (WHERE item_id % 5 < 2)
 UNION ALL SELECT 'service_request', count(*), 0, 0 FROM v_service_turns""",
     "bm25_search": f"""WITH {_SCORED} SELECT query_id, passage_id, bm25, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, passage_id) AS rank FROM scored) WHERE rank <= 10""",
     "hybrid_search": f"""WITH {_SCORED},
-kw AS (SELECT * FROM (SELECT query_id, passage_id, coverage, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, passage_id) AS rank FROM scored) WHERE rank <= 20),
-se AS (SELECT * FROM (SELECT query_id, passage_id, coverage, row_number() OVER (PARTITION BY query_id ORDER BY semantic DESC, passage_id) AS rank FROM scored) WHERE rank <= 20),
-f AS (SELECT query_id, passage_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS fused_score, max(coverage) AS rerank_score, count(*) AS lists FROM (SELECT * FROM kw UNION ALL SELECT * FROM se) GROUP BY 1, 2),
+r AS (SELECT query_id, passage_id, coverage, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, passage_id) AS bm25_rank,
+  row_number() OVER (PARTITION BY query_id ORDER BY semantic DESC, passage_id) AS semantic_rank FROM scored),
+f AS (SELECT query_id, passage_id, bm25_rank, semantic_rank, round(1.0::DOUBLE / (60 + bm25_rank) + 1.0::DOUBLE / (60 + semantic_rank), 9) AS fused_score, coverage AS rerank_score FROM r),
 h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused_score DESC, passage_id) AS fused_rank FROM f) WHERE fused_rank <= 20)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, fused_rank) AS rank FROM h) WHERE rank <= 5""",
     "retrieval_quality": f"""WITH {_SCORED}, {_RELEVANT},

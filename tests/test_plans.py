@@ -345,6 +345,27 @@ def test_planted_pairs_equal_brute_force(spark):
     assert {tuple(r) for r in retrieval.planted_pairs(passages, queries).collect()} == brute
 
 
+def test_fusion_takes_full_ranks(spark):
+    """A passage beyond rank 20 of one list still gets its share of that list."""
+    texts = [(i, "drill " * (1 + i % 7) + "part " * (i % 3) + f"w{i} " * (i % 11)) for i in range(60)]
+    passages = spark.createDataFrame(texts, "passage_id long, content string")
+    queries = spark.createDataFrame([(7, "drill part"), (8, "part")], "query_id long, query string")
+    scored = retrieval.keyword_scores(passages, queries).collect()
+    want = {}
+    for q in (7, 8):
+        rows = [r for r in scored if r["query_id"] == q]
+        for by in ("bm25", "semantic"):
+            for n, r in enumerate(sorted(rows, key=lambda r: (-r[by], r["passage_id"])), 1):
+                want.setdefault((q, r["passage_id"]), []).append(n)
+    got = retrieval.hybrid_search(passages, queries, k=60, candidates=60).collect()
+    assert {(r["query_id"], r["passage_id"]): [r["bm25_rank"], r["semantic_rank"]] for r in got} == want
+    assert max(max(ranks) for ranks in want.values()) > 20
+    for q in (7, 8):
+        fused = {p: round(1 / (60 + a) + 1 / (60 + b), 9) for (k, p), (a, b) in want.items() if k == q}
+        order = sorted(fused, key=lambda p: (-fused[p], p))
+        assert [r["passage_id"] for r in sorted(got, key=lambda r: r["fused_rank"]) if r["query_id"] == q] == order
+
+
 def test_rerank_hook(spark):
     passages = spark.createDataFrame([(1, "red drill"), (2, "blue drill drill")], "passage_id long, content string")
     queries = spark.createDataFrame([(7, "drill")], "query_id long, query string")

@@ -22,9 +22,6 @@ from turnledger.plans.judging import recorded_judge, rule_judge
 from turnledger.plans.traces import parse_payload
 from turnledger.schemas import SPECIALIST_JOURNEYS
 
-# A sample is broadcast to the log scan up to this many ids (its limit is the bound).
-BROADCAST_SAMPLE = 10_000
-
 PERCENTILES = {"latency_p50_ms": 0.5, "latency_p95_ms": 0.95}
 
 
@@ -307,9 +304,9 @@ def production_sample(
 
     By default blank conversations are left out before the sample is drawn and live
     voice counts; ``sample_first`` draws first, drops blanks afterwards and reads
-    the chat kinds only. The sample is at most ``sample_size`` rows by its limit, which
-    is the bound that allows it to be broadcast to the log scan. ``log_from`` prunes the
-    log where the caller knows that no new conversation started earlier.
+    the chat kinds only. How the sample meets the log scan is left to adaptive
+    execution, which sees its real size. ``log_from`` prunes the log where the caller
+    knows that no new conversation started earlier.
     """
     mark = high_water_mark(runs, modality, now, since_hours)
     fresh = _new_conversations(conversations, mark, modality)
@@ -326,8 +323,6 @@ def production_sample(
         fresh = fresh.join(heard, "trace_id", "left_semi")
     drawn = sample_n(fresh, "trace_id", sample_size, seed)
     chosen = drawn.select("trace_id")
-    if sample_size <= BROADCAST_SAMPLE:
-        chosen = F.broadcast(chosen)
     log = events.join(chosen, "trace_id", "left_semi")
     return (
         drawn.join(reconstruct(log, live=not sample_first), "trace_id", "left")

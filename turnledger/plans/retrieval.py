@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from turnledger.functions.scoring import ratio
 from turnledger.functions.text import claims, unroll, words
+from turnledger.operators.ordered import positions
 from turnledger.operators.ranking import top_k
 from turnledger.schemas import DEFAULT_POLICY
 
@@ -73,24 +74,32 @@ def bm25_search(passages: DataFrame, queries: DataFrame, k: int = 10) -> DataFra
     return top_k(scored, ["query_id"], [F.desc("bm25"), "passage_id"], k)
 
 
+def _with_rank(scored: DataFrame, by: str, slices: int) -> DataFrame:
+    """Add the rank of every pair in its query's list, ordered in slices of the score."""
+    down = scored.withColumn("__down", -F.col(by))
+    cut = F.floor(F.col("__down") * slices).cast("long")
+    return positions(down, ["query_id"], cut, ["__down", "passage_id"], f"{by}_rank").drop("__down")
+
+
 def hybrid_search(passages: DataFrame, queries: DataFrame, k: int = 5, candidates: int = CANDIDATES) -> DataFrame:
     """Keyword and semantic ranks fused by reciprocal rank, the head reranked.
 
+    Every scored passage takes its full rank in both lists into the fusion; only the
+    fused list is cut, to the ``candidates`` that are reranked.
+
     The rerank column is the share of the query's words in the passage; ``rerank_with``
     swaps in a model.
     """
-    scored = keyword_scores(passages, queries)
-
-    def ranked(by: str) -> Column:
-        return top_k(scored, ["query_id"], [F.desc(by), "passage_id"], candidates).select(
-            "query_id", "passage_id", "coverage", F.lit(by).alias("list"), "rank"
-        )
-
-    both = ranked("bm25").unionByName(ranked("semantic"))
-    fused = both.groupBy("query_id", "passage_id").agg(
-        F.round(F.sum(1.0 / (RRF_CONSTANT + F.col("rank"))), 9).alias("fused_score"),
-        F.max("coverage").alias("rerank_score"),
-        F.count("*").alias("lists"),
+    fused = _with_rank(keyword_scores(passages, queries), "bm25", 64)
+    fused = _with_rank(fused, "semantic", 1024)
+    share = [1.0 / (RRF_CONSTANT + F.col(f"{by}_rank")) for by in ("bm25", "semantic")]
+    fused = fused.select(
+        "query_id",
+        "passage_id",
+        "bm25_rank",
+        "semantic_rank",
+        F.round(share[0] + share[1], 9).alias("fused_score"),
+        F.col("coverage").alias("rerank_score"),
     )
     head = top_k(fused, ["query_id"], [F.desc("fused_score"), "passage_id"], candidates, rank="fused_rank")
     return top_k(head, ["query_id"], [F.desc("rerank_score"), "fused_rank"], k)
