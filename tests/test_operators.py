@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from turnledger.operators import ordered
 from turnledger.operators.joins import lookup
-from turnledger.operators.ranking import nearest_rank, top_k
+from turnledger.operators.ranking import at_rank, nearest_rank, top_k, with_ranks
 from turnledger.operators.sampling import sample_n, sample_per_stratum
 
 
@@ -105,3 +105,20 @@ def test_lookup_spreads_rows_without_a_key(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert len(sizes) == 4 and max(sizes) < 1500
+
+
+def test_ranked_aggregates_over_blocks(spark):
+    """Percentiles of positive values from ranked blocks, null keys and values included."""
+    rng = random.Random(3)
+    values = [None, 0, *(rng.randrange(1, 9000) for _ in range(400))]
+    cells = {(k, v): rng.randrange(1, 5) for k in ("a", None) for v in values}
+    slim = spark.createDataFrame([(k, v, n) for (k, v), n in cells.items()], "k string, v long, n long")
+    rows = with_ranks(slim, ["k"], "v", "n").groupBy("k").agg(
+        F.sum("n").alias("n"), at_rank("v", 0.5).alias("p50"), at_rank("v", 0.95).alias("p95")
+    )
+    for row in rows.collect():
+        mine = {v: n for (k, v), n in cells.items() if k == row["k"]}
+        flat = sorted(v for v, n in mine.items() if v for _ in range(n))
+        assert row["n"] == sum(mine.values())
+        assert row["p50"] == flat[round(0.5 * (len(flat) - 1))]
+        assert row["p95"] == flat[round(0.95 * (len(flat) - 1))]

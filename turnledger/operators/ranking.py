@@ -66,16 +66,32 @@ def nearest_rank(
 
 
 def with_ranks(slim: DataFrame, keys: Sequence[str], value: str, weight: str) -> DataFrame:
-    """Prepare a small histogram (one row per key and value, with any other counters) for
+    """Prepare a histogram (one row per key and value, with any other counters) for
     ``at_rank``, so that sums and percentiles come out of one aggregation. Only positive
-    values are ranked. Use it where the values are few, such as milliseconds under a
-    ceiling; ``nearest_rank`` is for wide ranges."""
+    values are ranked. Values are ordered inside blocks of 1,024, and only the block
+    totals of a key meet in one task."""
+    keys = list(keys)
     counted = F.when(F.col(value) > 0, F.col(weight)).otherwise(0)
-    upto = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return slim.select(
-        "*",
-        F.sum(counted).over(upto).alias("__upto"),
-        F.sum(counted).over(Window.partitionBy(*keys)).alias("__measured"),
+    slim = slim.select("*", F.shiftright(value, _BUCKET_BITS).alias("__b"), counted.alias("__c"))
+    earlier = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = (
+        slim.groupBy(*keys, "__b")
+        .agg(F.sum("__c").alias("__c"))
+        .select(
+            *[F.col(k).alias(f"__k_{k}") for k in keys],
+            F.col("__b").alias("__k_b"),
+            F.coalesce(F.sum("__c").over(earlier), F.lit(0)).alias("__before"),
+            F.sum("__c").over(Window.partitionBy(*keys)).alias("__measured"),
+        )
+    )
+    met = F.col("__b").eqNullSafe(F.col("__k_b"))
+    for k in keys:
+        met = met & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    inside = Window.partitionBy(*keys, "__b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        slim.join(blocks, met)
+        .withColumn("__upto", F.col("__before") + F.sum("__c").over(inside))
+        .drop("__b", "__c", "__before", "__k_b", *[f"__k_{k}" for k in keys])
     )
 
 
