@@ -180,6 +180,11 @@ UNION ALL SELECT 'conversation_traces', r.rule, r.v FROM (SELECT count(*) FILTER
     count(*) FILTER (WHERE event_type = 'user_message' AND trim(coalesce(input_text, '')) = '') AS d FROM v_events) x,
   LATERAL (VALUES ('trace_id_pattern', x.a), ('event_type_enum', x.b), ('metadata_json', x.c), ('blank_user_message', x.d)) AS r(rule, v)
 UNION ALL SELECT 'conversations', 'trace_id_unique', count(*) FROM (SELECT trace_id FROM v_conv GROUP BY 1 HAVING count(*) > 1)""",
+    "quarantined_events": """SELECT event_id, trace_id, event_type, array_to_string(list_filter([
+    CASE WHEN NOT regexp_matches(trace_id, '(?i)^trc_[a-z0-9_]+$') THEN 'trace_id_pattern' END, CASE WHEN event_type = 'debug_probe' THEN 'event_type_enum' END,
+    CASE WHEN NOT json_valid(metadata) THEN 'metadata_json' END,
+    CASE WHEN event_type = 'user_message' AND trim(coalesce(input_text, '')) = '' THEN 'blank_user_message' END], lambda x: x IS NOT NULL), ',') AS violations
+FROM v_events WHERE violations <> ''""",
     "load_counts": """SELECT 'conversations' AS table_name, count(*) AS row_count FROM v_conv
 UNION ALL SELECT 'conversation_traces', count(*) FROM v_events UNION ALL SELECT 'customers_context', count(*) FROM v_customers
 UNION ALL SELECT 'orders', count(*) FROM v_orders UNION ALL SELECT 'eval_runs', count(*) FROM v_runs""",
@@ -310,6 +315,11 @@ FROM v_events WHERE event_type IN ('intent_routing', 'synthesis', 'grounding_ver
     "outcome_windows": """SELECT strftime(date_trunc('hour', created_at), '%Y-%m-%d %H:%M:%S') AS window_start, modality, count(*) AS conversations,
   count(*) FILTER (WHERE outcome = 'contained') AS contained, count(*) FILTER (WHERE outcome = 'escalated') AS escalated, count(*) FILTER (WHERE outcome = 'refused') AS refused,
   count(*) FILTER (WHERE outcome = 'refused') / count(*) AS refusal_rate FROM v_conv GROUP BY 1, 2""",
+    "refusal_spikes": """WITH w AS (SELECT strftime(date_trunc('hour', created_at), '%Y-%m-%d %H:%M:%S') AS window_start, modality, count(*) AS conversations,
+  count(*) FILTER (WHERE outcome = 'refused') AS refused FROM v_conv GROUP BY 1, 2),
+u AS (SELECT modality, count(*) FILTER (WHERE outcome = 'refused') / count(*) AS usual_rate FROM v_conv GROUP BY 1)
+SELECT window_start, modality, conversations, refused, refused / conversations AS refusal_rate, usual_rate
+FROM w JOIN u USING (modality) WHERE refused >= 5 AND refused / conversations > 2 * usual_rate""",
     "conversation_kpis": """SELECT modality, count(*) AS conversations, count(*) FILTER (WHERE outcome = 'contained') / count(*) AS containment_rate,
   count(*) FILTER (WHERE outcome = 'escalated') / count(*) AS escalation_rate, count(*) FILTER (WHERE outcome = 'refused') / count(*) AS refusal_rate,
   sum(turns) FILTER (WHERE outcome = 'contained') / count(*) FILTER (WHERE outcome = 'contained') AS turns_to_resolution,
@@ -356,6 +366,11 @@ FROM (SELECT *, row_number() OVER (PARTITION BY journey ORDER BY seq) AS rn FROM
 UNION ALL SELECT 'product_qa', count(*), count(*) FILTER (WHERE item_id % 5 < 2), count(*) FROM benchmark
 UNION ALL SELECT 'service_request', count(*), 0, 0 FROM v_service_turns""",
     "bm25_search": f"""WITH {_SCORED} SELECT query_id, passage_id, bm25, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, passage_id) AS rank FROM scored) WHERE rank <= 10""",
+    "passage_context": f"""WITH {_SCORED},
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, passage_id) AS rank FROM scored)
+SELECT query_id, count(*) AS passages, 'Knowledge base passages (authoritative):' || chr(10) || string_agg('[' || rank || '] source=' || coalesce(d.source, '') || ' score='
+  || CAST(CAST(CAST(bm25 AS DECIMAL(18,6)) AS DECIMAL(18,2)) AS VARCHAR) || chr(10) || '    ' || coalesce(d.text, ''), chr(10) ORDER BY rank) AS context
+FROM r JOIN documents d ON d.doc_id = r.passage_id WHERE rank <= 3 GROUP BY 1""",
     "hybrid_search": f"""WITH {_SCORED},
 r AS (SELECT query_id, passage_id, coverage, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, passage_id) AS bm25_rank,
   row_number() OVER (PARTITION BY query_id ORDER BY semantic DESC, passage_id) AS semantic_rank FROM scored),
@@ -376,7 +391,7 @@ SELECT query_id, vec_id, similarity, rank FROM (SELECT *, row_number() OVER (PAR
     "grounding_check": f"""WITH s AS (SELECT trace_id, turn, list_filter(list_transform(string_split(regexp_replace({_STRIP.format('text')}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)),
     lambda x: {_STRIP.format('x')}), lambda x: length(x) >= 12) AS c FROM v_turns WHERE role = 'agent'),
 cl AS (SELECT trace_id, turn, i, unnest(list_distinct({_WORDS.format('c[i]')})) AS word FROM (SELECT *, unnest(generate_series(1, len(c))) AS i FROM s)),
-ctx AS (SELECT DISTINCT trace_id, unnest({_WORDS.format('text')}) AS word FROM v_turns WHERE role <> 'agent'),
+ctx AS (SELECT DISTINCT trace_id, unnest({_WORDS.format('text')}) AS word FROM v_turns WHERE role = 'context'),
 g AS (SELECT cl.trace_id, turn, i, count(ctx.word) >= 0.6::DOUBLE * count(*) AS ok FROM cl LEFT JOIN ctx ON ctx.trace_id = cl.trace_id AND ctx.word = cl.word GROUP BY 1, 2, 3),
 t AS (SELECT trace_id, turn, count(*) FILTER (WHERE ok) AS supported FROM g GROUP BY 1, 2)
 SELECT s.trace_id, s.turn, len(s.c) AS claims, coalesce(t.supported, 0) AS supported, CASE WHEN len(s.c) = 0 THEN 1.0::DOUBLE ELSE coalesce(t.supported, 0) / len(s.c) END AS score,

@@ -297,7 +297,9 @@ FROM v_conv c JOIN (
   FROM (SELECT trace_id, event_type, md, {HIT} AS h FROM v_events) GROUP BY 1) s USING (trace_id)""".replace("{HIT}", HIT),
     "v_readout": """
 SELECT 'clu_' || lpad(CAST(list_position(['router_misroute', 'retrieval_miss', 'grounding_rejection', 'over_eager_refusal', 'lost_context', 'tool_error'], failure_type) AS VARCHAR), 3, '0') AS cluster_id,
+       array_to_string(list_transform(string_split(failure_type, '_'), lambda w: upper(w[1]) || w[2:]), ' ') AS label,
        failure_type, CASE WHEN count(DISTINCT modality) > 1 THEN 'both' ELSE min(modality) END AS modality, count(*) AS "count",
+       count(*) || ' conversations, ' || CASE WHEN count(DISTINCT modality) > 1 THEN 'voice and chat' ELSE min(modality) END AS description,
        (list(trace_id ORDER BY trace_id))[1:5] AS sample_trace_ids
 FROM v_trace_failures WHERE failure_type IS NOT NULL GROUP BY failure_type""",
     "v_policy": """

@@ -12,6 +12,7 @@ from turnledger.plans import (
     evaluation,
     judging,
     policy,
+    readout,
     retrieval,
     runs,
     texts,
@@ -483,3 +484,70 @@ def test_readout_scope_and_drill(spark):
     voice = clusters.cluster_readout(conv, events, scope="voice")
     assert [r["failure_type"] for r in voice.collect()] == ["tool_error"]
     assert {r["trace_id"] for r in clusters.cluster_drill(voice, conv).collect()} == {"trc_1", "trc_2"}
+
+
+def test_ndjson_load_appends_and_fails_fast(spark, tmp_path):
+    from pyspark.sql.types import StructType
+
+    schema = StructType.fromDDL("run_id string, sample_size long")
+    good, bad, out = tmp_path / "good.json", tmp_path / "bad.json", str(tmp_path / "out")
+    good.write_text('{"run_id":"r1","sample_size":3}\n{"run_id":"r2"}\n')
+    bad.write_text('{"run_id":"r3","sample_size":"many"}\n')
+    for _ in range(2):
+        sinks.load_ndjson(spark, str(good), schema, out)
+    assert _key(spark.read.parquet(out).collect()) == _key([("r1", 3), ("r1", 3), ("r2", None), ("r2", None)])
+    with pytest.raises(Exception):
+        sinks.load_ndjson(spark, str(bad), schema, out)
+
+
+def test_empty_channel_takes_the_latest_run(spark):
+    conv = _conversations(spark, [_conversation("trc_1", "voice"), _conversation("trc_2", "voice", "refused")])
+    table = spark.createDataFrame([_run("a", "all", 1), _run("b", "all", 2)], EVAL_RUNS).withColumn(
+        "containment_rate", F.when(F.col("run_id") == "b", 0.25).otherwise(0.75)
+    )
+    rows = {r["channel"]: (r["n"], r["containment"]) for r in readout.business_readout(conv, table).collect()}
+    assert rows == {"voice": (2, 0.5), "chat": (0, 0.25), "all": (2, 0.5)}
+
+
+def test_customer_words_are_no_evidence(spark):
+    turns = spark.createDataFrame(
+        [
+            ("trc_1", 0, "customer", "The warranty covers water damage."),
+            ("trc_1", 1, "agent", "The warranty covers water damage."),
+            ("trc_2", 0, "context", "Our warranty covers water damage for a year."),
+            ("trc_2", 1, "agent", "The warranty covers water damage."),
+        ],
+        "trace_id string, turn long, role string, text string",
+    )
+    rows = {r["trace_id"]: r["verdict"] for r in retrieval.grounding_check(turns).collect()}
+    assert rows == {"trc_1": "fail", "trc_2": "pass"}
+    heard = retrieval.grounding_check(turns, evidence=("customer", "context"))
+    assert {r["verdict"] for r in heard.collect()} == {"pass"}
+
+
+def test_null_event_kind_breaks_its_rule(spark):
+    events = spark.createDataFrame([("trc_1_1", "trc_1", None, None, None, "{}", 5, False, NOW), ("trc_1_2", "trc_1", "stt", None, None, "{}", 5, False, NOW)],
+        "event_id string, trace_id string, event_type string, input_text string, output_text string, metadata string, latency_ms long, pii_redacted boolean, timestamp timestamp")
+    assert [(r["event_id"], r["violations"]) for r in traces.quarantined_events(events).collect()] == [("trc_1_1", "event_type_enum")]
+
+
+def test_collapsed_summaries_are_sampled_once(spark):
+    log = _conversations(spark, [_conversation("trc_1"), _conversation("trc_1"), _conversation("trc_2")])
+    events = spark.createDataFrame([_event(t, 1, "user_message", "hi") for t in ("trc_1", "trc_2")], TRACE_EVENTS)
+    table = spark.createDataFrame([_run("a", "all", 1)], EVAL_RUNS)
+    drawn = evaluation.production_sample(traces.collapse_summaries(log), events, table, "all", NOW)
+    assert sorted(r["trace_id"] for r in drawn.collect()) == ["trc_1", "trc_2"]
+
+
+def test_refusal_spikes_stand_out_of_their_channel(spark):
+    rows = [_conversation(f"trc_{i}", day=1 + i % 9) for i in range(60)]
+    rows += [_conversation(f"trc_r{i}", outcome="refused", day=12) for i in range(6)]
+    found = readout.refusal_spikes(_conversations(spark, rows)).collect()
+    assert [(r["window_start"], r["refused"], r["refusal_rate"]) for r in found] == [("2024-01-12 12:00:00", 6, 1.0)]
+
+
+def test_customers_are_listed_by_id_and_found(spark, sf_dir):
+    people = c.customers(spark, sf_dir)
+    ids = [r["customer_id"] for r in customers.customer_list(people).collect()]
+    assert ids == sorted(ids)
+    assert [r["customer_id"] for r in customers.customer_by_id(people, ids[3]).collect()] == [ids[3]]

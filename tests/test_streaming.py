@@ -152,3 +152,13 @@ def test_replies_are_verified_after_the_turn(spark, tmp_path):
     verify_after_turn(log, str(tmp_path))(log.where("trace_id = 'live_1'"), 0)
     row = spark.read.parquet(f"{tmp_path}/batch_id=0").collect()
     assert [(r["trace_id"], r["claims"], r["supported"], r["verdict"]) for r in row] == [("live_1", 2, 1, "fail")]
+
+
+def test_quarantined_rows_are_kept_with_their_rules(spark, tmp_path):
+    source, out, ckpt = (str(tmp_path / n) for n in ("in", "out", "ckpt"))
+    rows = [("e1", "trc_1", "stt", None, "{}"), ("e2", "trc_1", None, None, "{bad"), ("e3", "trc_1", "user_message", " ", "{}")]
+    log = spark.createDataFrame(rows, "event_id string, trace_id string, event_type string, input_text string, metadata string")
+    _files(log, source, 2, "event_id")
+    ingest.quarantine_log(_stream(spark, log, source), out, ckpt).awaitTermination()
+    kept = {r["event_id"]: list(r["violations"]) for r in spark.read.parquet(out).collect()}
+    assert kept == {"e2": ["event_type_enum", "metadata_json"], "e3": ["blank_user_message"]}

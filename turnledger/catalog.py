@@ -99,6 +99,11 @@ def contract_violations(s, d):
     return traces.contract_violations(c.conversations(s, d), c.trace_events(s, d))
 
 
+@query
+def quarantined_events(s, d):
+    return traces.quarantined_events(c.trace_events(s, d))
+
+
 @query
 def load_counts(s, d):
     return traces.load_counts(
@@ -251,8 +256,7 @@ def production_eval(s, d):
 
 @query
 def batch_preview(s, d):
-    parts = [evaluation.batch_preview(c.conversations(s, d), _runs(s, d), m, NOW) for m in ("voice", "chat", "all")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return evaluation.batch_preview(c.conversations(s, d), _runs(s, d), ("voice", "chat", "all"), NOW)
 
 
 @query
@@ -365,6 +369,11 @@ def outcome_windows(s, d):
     return readout.outcome_windows(c.conversations(s, d))
 
 
+@query
+def refusal_spikes(s, d):
+    return readout.refusal_spikes(c.conversations(s, d))
+
+
 @query
 def conversation_kpis(s, d):
     return readout.conversation_kpis(c.conversations(s, d))
@@ -452,6 +461,11 @@ def hybrid_search(s, d):
     return rows.withColumns({n: F.col(n).cast("long") for n in ("rank", "fused_rank")})
 
 
+@query
+def passage_context(s, d):
+    return retrieval.passage_context(c.passages(s, d), c.search_queries(s, d))
+
+
 @query
 def retrieval_quality(s, d):
     return retrieval.retrieval_quality(c.passages(s, d), c.search_queries(s, d))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnledger.functions.scoring import (
@@ -66,14 +66,15 @@ def _cluster_rank(col: str) -> Column:
 def failure_clusters(results: DataFrame) -> DataFrame:
     """Count and share of failures per run and cluster, in priority order."""
     counts = failures(results).groupBy("run_id", "cluster").agg(F.count("*").alias("failures"))
-    totals = counts.groupBy("run_id").agg(F.sum("failures").alias("total_failures"))
-    return counts.join(totals, "run_id").select(
+    # a run has at most one row per cluster by now
+    total = F.sum("failures").over(Window.partitionBy("run_id"))
+    return counts.select(
         "run_id",
         "cluster",
         _cluster_rank("cluster").cast("long").alias("priority"),
         "failures",
-        "total_failures",
-        ratio(F.col("failures"), F.col("total_failures")).alias("share"),
+        total.alias("total_failures"),
+        ratio(F.col("failures"), total).alias("share"),
     )
 
 
@@ -152,7 +153,7 @@ def trace_failures(conversations: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def cluster_readout(conversations: DataFrame, events: DataFrame, scope: str = "all", samples: int = 5) -> DataFrame:
-    """Console clusters: count, channel scope and sample traces per failure type."""
+    """Console clusters: label, count, channel scope and sample traces per failure type."""
     failed = trace_failures(conversations, events)
     by_channel = failed.groupBy("failure_type", "modality").agg(F.count("*").alias("n"))
     counts = by_channel.groupBy("failure_type").agg(
@@ -164,14 +165,17 @@ def cluster_readout(conversations: DataFrame, events: DataFrame, scope: str = "a
         .groupBy("failure_type")
         .agg(F.array_sort(F.collect_list("trace_id")).alias("sample_trace_ids"))
     )
+    scope_name = F.when(F.col("modality") == "both", "voice and chat").otherwise(F.col("modality"))
     out = counts.join(picked, "failure_type").select(
         F.format_string(
             "clu_%03d",
             F.array_position(F.array(*[F.lit(t) for t in FAILURE_TYPES]), F.col("failure_type")).cast("int"),
         ).alias("cluster_id"),
+        F.initcap(F.replace("failure_type", F.lit("_"), F.lit(" "))).alias("label"),
         "failure_type",
         "modality",
         "count",
+        F.concat_ws(" ", "count", F.lit("conversations,"), scope_name).alias("description"),
         "sample_trace_ids",
     )
     return out if scope == "all" else out.where(F.col("modality").isin(scope, "both"))

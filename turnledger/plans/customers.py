@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnledger.functions.text import iso_millis, normalise_order_id, order_reference
+from turnledger.functions.text import iso_millis, normalise_order_id, order_reference, render
 from turnledger.operators.joins import lookup
 from turnledger.operators.ranking import top_k
 from turnledger.plans.traces import customer_label
@@ -14,14 +14,24 @@ from turnledger.plans.traces import customer_label
 NO_ORDERS = "(no orders found for this customer)"
 ORDERS_HEAD = "Recent orders for this customer (most recent first):\n"
 NO_CALLER = "(no caller identified, no order number provided)"
-UNKNOWN_ORDER = ("The caller asked about order ", ", but no order with that ID exists in our system.")
-FOREIGN_ORDER = ("The customer asked about order ", ", but no order with that ID belongs to this customer.\n")
+UNKNOWN_ORDER = "The caller asked about order {{ORDER}}, but no order with that ID exists in our system."
+FOREIGN_ORDER = "The customer asked about order {{ORDER}}, but no order with that ID belongs to this customer.\n"
 
 
-def customer_list(customers: DataFrame) -> DataFrame:
+def _customer_row(customers: DataFrame) -> DataFrame:
     return customers.select("customer_id", "tier", customer_label().alias("display_label"), "lifetime_value", "open_orders")
 
 
+def customer_list(customers: DataFrame) -> DataFrame:
+    """All customers by id."""
+    return _customer_row(customers).orderBy("customer_id")
+
+
+def customer_by_id(customers: DataFrame, customer_id: str) -> DataFrame:
+    """One customer; the predicate reaches the scan."""
+    return _customer_row(customers.where(F.col("customer_id") == customer_id))
+
+
 def recent_orders(orders: DataFrame, k: int = 3) -> DataFrame:
     """The ``k`` newest orders per customer; ties on the date go to the greater key."""
     return top_k(orders, ["customer_id"], [F.desc("order_date"), F.desc("order_key")], k, rank="recency")
@@ -127,8 +137,8 @@ def order_status_context(requests: DataFrame, orders: DataFrame) -> DataFrame:
     asked, found = F.col("order_id").isNotNull(), F.col("block").isNotNull()
     own = found & (F.col("owner_id") == F.col("customer_id"))
 
-    def about(parts: tuple[str, str]) -> Column:
-        return F.concat(F.lit(parts[0]), F.col("order_id"), F.lit(parts[1]))
+    def about(template: str) -> Column:
+        return render(template, ORDER="order_id")
 
     context = (
         F.when(anonymous & ~asked, NO_CALLER)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -227,28 +228,42 @@ def high_water_mark(runs: DataFrame, modality: str, now: datetime, since_hours:
     A run over ``all`` covers either channel, but only a run over ``all`` covers
     ``all``. Without such a run the window of ``since_hours`` before ``now`` counts.
     """
-    covering = [modality] if modality == "all" else [modality, "all"]
-    newest = runs.where((F.col("source") == "production") & F.col("sample_modality").isin(covering)).agg(
-        F.max("created_at").alias("mark")
-    )
+    return high_water_marks(runs, [modality], now, since_hours)[modality]
+
+
+def high_water_marks(runs: DataFrame, modalities: Sequence[str], now: datetime, since_hours: int) -> Column:
+    """The marks of several modalities as one scalar struct: the runs are read once."""
     start = F.lit(now).cast("timestamp") - F.make_dt_interval(F.lit(0), F.lit(since_hours))
-    return newest.select(F.coalesce("mark", start)).scalar()
+
+    def newest(modality: str) -> Column:
+        covering = [modality] if modality == "all" else [modality, "all"]
+        covers = (F.col("source") == "production") & F.col("sample_modality").isin(covering)
+        return F.coalesce(F.max(F.when(covers, F.col("created_at"))), start).alias(modality)
+
+    return runs.agg(F.struct(*[newest(m) for m in modalities])).scalar()
 
 
-def _new_conversations(conversations: DataFrame, mark: Column, modality: str) -> DataFrame:
-    rows = conversations.where(F.col("created_at") > mark)
-    return rows if modality == "all" else rows.where(F.col("modality") == modality)
+def _is_new(mark: Column, modality: str) -> Column:
+    new = F.col("created_at") > mark
+    return new if modality == "all" else new & (F.col("modality") == modality)
 
 
 def batch_preview(
-    conversations: DataFrame, runs: DataFrame, modality: str, now: datetime, since_hours: int = 168
+    conversations: DataFrame, runs: DataFrame, modalities: str | Sequence[str], now: datetime, since_hours: int = 168
 ) -> DataFrame:
-    """How many conversations the next batch would choose from."""
-    mark = high_water_mark(runs, modality, now, since_hours)
-    fresh = _new_conversations(conversations, mark, modality)
-    return fresh.agg(F.count("*").alias("new_count")).select(
-        F.lit(modality).alias("modality"), iso_millis(mark).alias("since_at"), "new_count"
-    )
+    """How many conversations the next batch of each modality would choose from, in one
+    pass over the conversations."""
+    modalities = [modalities] if isinstance(modalities, str) else list(modalities)
+    marks = high_water_marks(runs, modalities, now, since_hours)
+    rows = [
+        F.struct(
+            F.lit(m).alias("modality"),
+            iso_millis(marks[m]).alias("since_at"),
+            F.count_if(_is_new(marks[m], m)).alias("new_count"),
+        ).alias(m)
+        for m in modalities
+    ]
+    return conversations.agg(*rows).select(F.inline(F.array(*modalities)))
 
 
 USER_KINDS = ("user_message", "live_user_transcript")
@@ -302,6 +317,9 @@ def production_sample(
 ) -> DataFrame:
     """A reproducible sample of conversations no earlier batch has covered.
 
+    ``conversations`` has one row per trace; a log with a row per turn goes through
+    ``collapse_summaries`` first. Only the log of new conversations is grouped.
+
     By default blank conversations are left out before the sample is drawn and live
     voice counts; ``sample_first`` draws first, drops blanks afterwards and reads
     the chat kinds only. How the sample meets the log scan is left to adaptive
@@ -309,12 +327,13 @@ def production_sample(
     knows that no new conversation started earlier.
     """
     mark = high_water_mark(runs, modality, now, since_hours)
-    fresh = _new_conversations(conversations, mark, modality)
+    fresh = conversations.where(_is_new(mark, modality))
     if log_from is not None:
         events = events.where(F.col("timestamp") >= F.lit(log_from))
     if not sample_first:
         heard = (
             events.where(F.col("event_type").isin(*USER_KINDS))
+            .join(fresh.select("trace_id"), "trace_id", "left_semi")
             .groupBy("trace_id")
             .agg(F.min_by("input_text", F.struct("timestamp", "event_id")).alias("__first"))
             .where(not_blank("__first"))
@@ -324,8 +343,13 @@ def production_sample(
     drawn = sample_n(fresh, "trace_id", sample_size, seed)
     chosen = drawn.select("trace_id")
     log = events.join(chosen, "trace_id", "left_semi")
+    return with_turns(drawn, reconstruct(log, live=not sample_first))
+
+
+def with_turns(conversations: DataFrame, rebuilt: DataFrame) -> DataFrame:
+    """Conversations with their rebuilt turn, as the judge reads them; blank ones are left out."""
     return (
-        drawn.join(reconstruct(log, live=not sample_first), "trace_id", "left")
+        conversations.join(rebuilt, "trace_id", "left")
         .where(not_blank("utterance"))
         .select(
             "trace_id",

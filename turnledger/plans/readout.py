@@ -17,18 +17,23 @@ AGENT_COST_PER_MINUTE = 0.85
 DEFAULT_CALL_COST = 0.0014
 
 
-def _channels() -> Column:
-    """A conversation counts for its own channel and for all channels."""
-    return F.explode(F.array(F.col("modality"), F.lit("all")))
-
-
-def cohort_containment(conversations: DataFrame) -> DataFrame:
-    return (
-        conversations.select(_channels().alias("channel"), "outcome")
-        .groupBy("channel")
-        .agg(F.count("*").alias("n"), F.count_if(F.col("outcome") == "contained").alias("contained"))
-        .select("channel", "n", ratio(F.col("contained"), F.col("n")).alias("containment"))
-    )
+def cohort_containment(conversations: DataFrame, fallback: Column | None = None) -> DataFrame:
+    """Containment of every channel and of all together, in one aggregation. A channel
+    without conversations takes ``fallback``."""
+    counts = []
+    for channel in YEARLY_CONTACTS:
+        mine = F.lit(True) if channel == "all" else F.col("modality") == channel
+        counts.append(
+            F.struct(
+                F.lit(channel).alias("channel"),
+                F.count_if(mine).alias("n"),
+                F.count_if(mine & (F.col("outcome") == "contained")).alias("contained"),
+            ).alias(channel)
+        )
+    rows = conversations.agg(*counts).select(F.inline(F.array(*YEARLY_CONTACTS)))
+    instead = F.lit(None).cast("double") if fallback is None else fallback
+    measured = ratio(F.col("contained"), F.col("n"))
+    return rows.select("channel", "n", F.when(F.col("n") > 0, measured).otherwise(instead).alias("containment"))
 
 
 def _per_channel(table: dict[str, int]) -> Column:
@@ -39,17 +44,19 @@ def _per_channel(table: dict[str, int]) -> Column:
 
 
 def business_readout(conversations: DataFrame, runs: DataFrame) -> DataFrame:
-    """Contained calls and displaced cost per channel and year."""
-    call_cost = runs.agg(F.max_by("cost_per_call_usd", F.struct("created_at", "run_id"))).scalar()
+    """Contained calls and displaced cost per channel and year. A channel nobody has used
+    yet is rated by the latest run."""
+    newest = F.max_by(F.struct("cost_per_call_usd", "containment_rate"), F.struct("created_at", "run_id"))
+    latest = runs.agg(newest).scalar()
     contained = F.floor(F.col("containment") * _per_channel(YEARLY_CONTACTS) + 0.5)
     agent_cost = F.lit(AGENT_COST_PER_MINUTE) * _per_channel(HANDLE_MINUTES)
-    rows = cohort_containment(conversations).select(
+    rows = cohort_containment(conversations, latest["containment_rate"]).select(
         "channel",
         "n",
         "containment",
         contained.alias("contained_calls"),
         agent_cost.alias("agent_cost_per_call"),
-        F.coalesce(call_cost, F.lit(DEFAULT_CALL_COST)).alias("llm_cost_per_call"),
+        F.coalesce(latest["cost_per_call_usd"], F.lit(DEFAULT_CALL_COST)).alias("llm_cost_per_call"),
     )
     displaced = F.col("contained_calls") * (F.col("agent_cost_per_call") - F.col("llm_cost_per_call"))
     return rows.withColumn("displaced_cost_usd", F.round(displaced, 2))
@@ -120,6 +127,17 @@ def outcome_windows(conversations: DataFrame, width: str = "1 hour") -> DataFram
     )
 
 
+def refusal_spikes(conversations: DataFrame, width: str = "1 hour", factor: float = 2.0, least: int = 5) -> DataFrame:
+    """Windows of a channel in which at least ``least`` conversations were refused and the
+    refusal rate is over ``factor`` times the channel's own."""
+    windows = outcome_windows(conversations, width)
+    usual = windows.groupBy("modality").agg(ratio(F.sum("refused"), F.sum("conversations")).alias("usual_rate"))
+    spike = (F.col("refused") >= least) & (F.col("refusal_rate") > factor * F.col("usual_rate"))
+    return windows.join(usual, "modality").where(spike).select(
+        "window_start", "modality", "conversations", "refused", "refusal_rate", "usual_rate"
+    )
+
+
 def intent_drift(rows: DataFrame, split: date, intent: str = "journey", at: str = "created_at") -> DataFrame:
     """Share of each intent before and after ``split`` and its part of the population
     stability index; the index is the sum of the parts."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnledger.functions.scoring import ratio
-from turnledger.functions.text import claims, unroll, words
+from turnledger.functions.text import claims, render, unroll, words
 from turnledger.operators.ordered import positions
 from turnledger.operators.ranking import top_k
 from turnledger.schemas import DEFAULT_POLICY
@@ -20,6 +20,10 @@ RRF_CONSTANT = 60
 CANDIDATES = 20
 ANCHOR_WORDS = 5
 
+# How passages are shown to the writer of a reply.
+CONTEXT_HEAD = "Knowledge base passages (authoritative):"
+CONTEXT_LINE = "[{{NUMBER}}] source={{SOURCE}} score={{SCORE}}\n    {{PASSAGE}}"
+
 
 def keyword_scores(passages: DataFrame, queries: DataFrame) -> DataFrame:
     """Exact BM25 and word-overlap cosine of every passage that shares a word with a
@@ -105,6 +109,26 @@ def hybrid_search(passages: DataFrame, queries: DataFrame, k: int = 5, candidate
     return top_k(head, ["query_id"], [F.desc("rerank_score"), "fused_rank"], k)
 
 
+def passage_context(passages: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
+    """The numbered block of the ``k`` best passages of every query, scores to two places.
+
+    Only the passages that are shown carry their text into the join.
+    """
+    found = bm25_search(passages, queries, k).join(passages.select("passage_id", "source", "content"), "passage_id")
+    line = render(
+        CONTEXT_LINE,
+        NUMBER=F.col("rank").cast("string"),
+        SOURCE="source",
+        SCORE=F.col("bm25").cast("decimal(18,6)").cast("decimal(18,2)").cast("string"),
+        PASSAGE="content",
+    )
+    lines = F.array_sort(F.collect_list(F.struct("rank", line.alias("line"))))
+    block = F.array_join(F.transform(lines, lambda x: x["line"]), "\n")
+    return found.groupBy("query_id").agg(
+        F.count("*").alias("passages"), F.concat(F.lit(CONTEXT_HEAD + "\n"), block).alias("context")
+    )
+
+
 def rerank_with(
     head: DataFrame, passages: DataFrame, queries: DataFrame, fn: Callable[[pd.DataFrame], pd.Series], k: int
 ) -> DataFrame:
@@ -224,11 +248,17 @@ def vector_search(
 # --- grounding --------------------------------------------------------------------
 
 
-def grounding_check(turns: DataFrame, threshold: float = DEFAULT_POLICY.grounding_threshold, support: float = 0.6) -> DataFrame:
+def grounding_check(
+    turns: DataFrame,
+    threshold: float = DEFAULT_POLICY.grounding_threshold,
+    support: float = 0.6,
+    evidence: Sequence[str] = ("context",),
+) -> DataFrame:
     """Share of the claims of every reply that its conversation's context supports.
 
     A claim is grounded when at least ``support`` of its distinct words occur in the
-    context (the turns that are not the agent's). Claim words meet context words on
+    context: the turns of the ``evidence`` roles, by default what was handed to the writer
+    of the reply and not what the customer said. Claim words meet context words on
     (trace, word), so claims are never paired with passages. A reply without claims
     scores 1.
     """
@@ -238,7 +268,7 @@ def grounding_check(turns: DataFrame, threshold: float = DEFAULT_POLICY.groundin
         "trace_id", "turn", "claim_no", unroll(F.array_distinct(words("claim"))).alias("word")
     ).where(F.col("word").isNotNull())
     context = (
-        turns.where(F.col("role") != "agent")
+        turns.where(F.col("role").isin(*evidence))
         .select("trace_id", unroll(F.array_distinct(words("text"))).alias("word"))
         .distinct()
         .withColumn("known", F.lit(1))

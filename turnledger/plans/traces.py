@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnledger.functions.scoring import any_hit, payload_cost
@@ -241,6 +241,8 @@ def trace_documents(conversations: DataFrame, events: DataFrame, page_size: int
     """Summary plus time-ordered events, nested, in pages of ``page_size`` events.
 
     A page bounds the array, so one endless trace becomes many rows, not one huge one.
+    The totals of a trace come from rows without arrays, so its pages never meet in one
+    task.
     """
     shown = shown_events(events).select(
         "trace_id", "event_id", shown_kind().alias("event_type"), "timestamp"
@@ -248,23 +250,12 @@ def trace_documents(conversations: DataFrame, events: DataFrame, page_size: int
     numbered = ordered.positions(
         shown, ["trace_id"], ordered.time_slice("timestamp", SLICE_SECONDS), ["timestamp", "event_id"]
     )
-    whole = Window.partitionBy("trace_id")
-    pages = (
-        numbered.groupBy("trace_id", F.floor((F.col("position") - 1) / page_size).cast("long").alias("page"))
-        .agg(
-            F.array_sort(F.collect_list(F.struct("position", "event_id", "event_type", "timestamp"))).alias("events"),
-            F.max("timestamp").alias("page_last"),
-            F.count("*").alias("page_events"),
-        )
-        .select(
-            "trace_id",
-            "page",
-            "events",
-            F.max("page_last").over(whole).alias("last_at"),
-            F.sum("page_events").over(whole).alias("event_count"),
-        )
-    )
-    return conversations.join(pages, "trace_id", "left").select(
+    pages = numbered.groupBy(
+        "trace_id", F.floor((F.col("position") - 1) / page_size).cast("long").alias("page")
+    ).agg(F.array_sort(F.collect_list(F.struct("position", "event_id", "event_type", "timestamp"))).alias("events"))
+    totals = shown.groupBy("trace_id").agg(F.max("timestamp").alias("last_at"), F.count("*").alias("event_count"))
+    summed = conversations.join(totals, "trace_id", "left")
+    return summed.join(pages, "trace_id", "left").select(
         "trace_id",
         "modality",
         customer_label().alias("customer_label"),
@@ -342,7 +333,7 @@ def conversation_rules() -> dict[str, Column]:
 def event_rules() -> dict[str, Column]:
     return {
         "trace_id_pattern": ~F.coalesce(F.col("trace_id").rlike(TRACE_ID_PATTERN), F.lit(False)),
-        "event_type_enum": ~F.col("event_type").isin(*EVENT_KINDS, *EXTRA_KINDS),
+        "event_type_enum": ~F.coalesce(F.col("event_type").isin(*EVENT_KINDS, *EXTRA_KINDS), F.lit(False)),
         "metadata_json": F.col("metadata").isNotNull() & F.try_parse_json("metadata").isNull(),
         "blank_user_message": (F.col("event_type") == "user_message")
         & (F.length(F.trim(F.coalesce("input_text", F.lit("")))) == 0),
@@ -355,6 +346,13 @@ def quarantine(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return df.withColumn("violations", broken).where(F.size("violations") > 0)
 
 
+def quarantined_events(events: DataFrame) -> DataFrame:
+    """The log rows that break a rule, with the rules they break."""
+    return quarantine(events, event_rules()).select(
+        "event_id", "trace_id", "event_type", F.array_join("violations", ",").alias("violations")
+    )
+
+
 def _violations(df: DataFrame, name: str, rules: dict[str, Column]) -> DataFrame:
     """One pass over a table: one counter per rule, then one row per rule."""
     counts = df.agg(*[F.count_if(bad).alias(rule) for rule, bad in rules.items()])

@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from turnledger.functions.text import not_blank
-from turnledger.plans.evaluation import production_results, production_run, reconstruct
+from turnledger.plans.evaluation import (
+    production_results,
+    production_run,
+    reconstruct,
+    with_turns,
+)
 from turnledger.schemas import EVAL_RUNS
 from turnledger.sources.sinks import conform
 
@@ -15,25 +19,7 @@ from turnledger.sources.sinks import conform
 def turns_to_judge(conversations: DataFrame, events: DataFrame) -> DataFrame:
     """New conversations with their rebuilt turn; blank ones are left out."""
     log = events.join(conversations.select("trace_id"), "trace_id", "left_semi")
-    rebuilt = reconstruct(log)
-    return (
-        conversations.join(rebuilt, "trace_id", "left")
-        .where(not_blank("utterance"))
-        .select(
-            "trace_id",
-            "modality",
-            "journey",
-            "outcome",
-            "utterance",
-            F.coalesce("response_text", F.lit("")).alias("response_text"),
-            F.coalesce("router_confidence", F.lit(0.0)).alias("confidence"),
-            F.coalesce(F.col("check.verdict") == "pass", F.lit(False)).alias("grounded"),
-            (F.col("outcome") == "escalated").alias("escalate"),
-            F.col("latency_p50_ms").alias("latency_ms"),
-            "cost_micro",
-            "created_at",
-        )
-    )
+    return with_turns(conversations, reconstruct(log))
 
 
 def evaluate_stream(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from turnledger.plans.readout import outcome_windows
+from turnledger.plans.traces import event_rules, quarantine
 
 LATENESS = "10 minutes"
 
@@ -32,6 +33,16 @@ def append_log(log: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
+def quarantine_log(log: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
+    """Keep the log rows that break a rule, with the rules, one folder per batch."""
+    return (
+        log.writeStream.foreachBatch(batch_folder(root, lambda rows: quarantine(rows, event_rules())))
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 # --- conversation summaries ------------------------------------------------------
 
 

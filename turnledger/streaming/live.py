@@ -160,6 +160,6 @@ def verify_after_turn(turn_log: DataFrame, root: str):
             F.when(F.col("event_type") == "live_assistant_text", "agent").otherwise("customer").alias("role"),
             "text",
         )
-        return grounding_check(kept.where(F.col("turn").isNotNull()))
+        return grounding_check(kept.where(F.col("turn").isNotNull()), evidence=("customer",))
 
     return batch_folder(root, verdicts)
