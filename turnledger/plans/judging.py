@@ -30,6 +30,8 @@ NO_VERDICT = {
     "hallucinated": "unknown",
     "judge_cost_usd": Decimal(0),
 }
+# A blank reply is not sent: it has failed.
+BLANK_VERDICT = {**NO_VERDICT, "task_success": "failed"}
 
 
 def run_hook(
@@ -119,23 +121,30 @@ def rule_judge(rows: DataFrame) -> DataFrame:
 def judge_with(rows: DataFrame, fn: Hook, batch_rows: int = 256) -> DataFrame:
     """Score rows with a user-supplied batch judge over the four input columns.
 
-    Blank replies are never sent; a failed row gets error, unknown, unknown and cost 0.
+    Rows are read once. Blank replies are never sent; a failed row gets error, unknown,
+    unknown and cost 0.
     """
-    blank = rows.where(~not_blank("response_text")).select(
-        "*",
-        F.lit("failed").alias("task_success"),
-        F.lit("unknown").alias("tone_appropriate"),
-        F.lit("unknown").alias("hallucinated"),
-        F.lit(0).cast("decimal(18,6)").alias("judge_cost_usd"),
-    )
+    names = list(NO_VERDICT)
 
     def tidy(batch: pd.DataFrame) -> pd.DataFrame:
-        out = fn(batch)
-        labels = {n: out[n].astype(str).str.strip().str.lower() for n in NO_VERDICT if n != "judge_cost_usd"}
-        return out.assign(**labels, judge_cost_usd=[Decimal(str(round(float(c), 6))) for c in out["judge_cost_usd"]])
-
-    asked = rows.where(not_blank("response_text"))
-    return run_hook(asked, tidy, INPUT_COLUMNS, VERDICT, NO_VERDICT, batch_rows).unionByName(blank)
+        asked = batch["__asked"].astype(bool)
+        verdicts = pd.DataFrame([dict(BLANK_VERDICT)] * len(batch), columns=names)
+        if asked.any():
+            out = fn(batch.loc[asked, list(INPUT_COLUMNS)].reset_index(drop=True))
+            if len(out) != asked.sum():
+                raise ValueError("a hook must return one row per row")
+            for n in names:
+                if n != "judge_cost_usd":
+                    verdicts.loc[asked, n] = out[n].astype(str).str.strip().str.lower().to_numpy()
+            costs = iter(out["judge_cost_usd"])
+            verdicts["judge_cost_usd"] = [
+                Decimal(str(round(float(next(costs)), 6))) if a else cost
+                for a, cost in zip(asked, verdicts["judge_cost_usd"], strict=True)
+            ]
+        return verdicts
+
+    marked = rows.withColumn("__asked", not_blank("response_text"))
+    return run_hook(marked, tidy, (*INPUT_COLUMNS, "__asked"), VERDICT, NO_VERDICT, batch_rows).drop("__asked")
 
 
 def classify_with(turns: DataFrame, fn: Hook, inputs: Sequence[str] = ("text",)) -> DataFrame:
