@@ -250,6 +250,32 @@ def test_entropies_match_a_plain_model(spark, docs):
         assert got[i]["score"] == pytest.approx(h[0] - h[1])
 
 
+def test_every_word_and_pair_has_counts_of_its_own(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", 1 << 18)
+    monkeypatch.setattr(lm_scoring, "PAIR_RANGE_BYTES", 1 << 18)
+    monkeypatch.setattr(lm_scoring, "WORD_RANGE_BYTES", 1 << 18)
+    rng = random.Random(12)
+    rows = [(i, prose(rng, 1000, 10**7), "en", "s", 1) for i in range(400)]
+    targets = spark.createDataFrame([(i,) for i in range(0, 400, 7)], "doc_id long")
+    uni, pair = [Counter(), Counter()], [Counter(), Counter()]
+    for i, t, *_ in rows:
+        w = t.split()
+        for m in (0, 1) if i % 7 == 0 else (0,):
+            uni[m].update([None, *w])
+            pair[m].update(zip([None, *w], w, strict=False))
+    # More words than the least vocabulary: what folds them into its places cannot agree.
+    places = max(1 << lm_scoring.WORD_BITS, len(uni[0])) - 1
+    assert places > 1 << lm_scoring.WORD_BITS
+    total = [sum(u.values()) - u[None] + lm_scoring.ALPHA * places for u in uni]
+    got = {r["doc_id"]: r for r in lm_scoring.score(spark.createDataFrame(rows, COLUMNS), targets).collect()}
+    for i, t, *_ in rows:
+        w, h = t.split(), []
+        for m in (1, 0):
+            p = [(pair[m][b, x] + lm_scoring.MU * (uni[m][x] + lm_scoring.ALPHA) / total[m]) / (uni[m][b] + lm_scoring.MU) for b, x in zip([None, *w], w, strict=False)]
+            h.append(-np.log2(p).sum() / len(w))
+        assert (got[i]["h_target"], got[i]["h_background"]) == (pytest.approx(h[0]), pytest.approx(h[1]))
+
+
 # Token rows
 
 

@@ -2,11 +2,16 @@
 
 A target model (documents given as good) and a background model (all documents) are
 bigram models with Dirichlet smoothing over their own unigrams. They are matched: the same
-vocabulary, the same tables and the same smoothing. The vocabulary they share is a space of
-``2**WORD_BITS`` hashed words, and bigrams are counted in ``2**PAIR_BITS`` hashed cells, so
-a model has a fixed size however large the corpus, and is broadcast with that bound. Counts
-cover all tokens of all documents: each task adds up its own tables and hands on blocks of
-them, which are summed in two rounds.
+vocabulary and the same smoothing. Every word and every pair of neighbouring words of the
+corpus has counts of its own, under a 64-bit hash; none is folded, dropped or sampled, so
+what is gathered grows with the corpus.
+
+Documents are dealt into blocks of about ``BLOCK_BYTES`` of text by a hash. A block adds up
+its own words and pairs and hands on its sorted distinct keys, cut into ranges of the key;
+each range sums the keys of all blocks and answers every block, in the order of its keys,
+with the counts in the whole corpus. A frequent word or pair costs one key a block,
+wherever it stands. Blocks, ranges and their tasks grow in number with the text, not in
+size, and nothing is broadcast or gathered at the driver.
 
 The score of a document is H_target - H_background in bits per token; lower is closer to
 the target.
@@ -14,6 +19,8 @@ the target.
 Defined results
     * A null or empty text has no tokens and null entropies and score.
     * Words are white-space separated runs, A-Z lower-cased; the first follows a start mark.
+    * The vocabulary has ``2**WORD_BITS`` places, or as many as there are words if these are
+      more; places without a word are words not seen.
     * Identifiers listed several times as target count once per document row; a null
       identifier is never a target.
     * Without any target document the target model is the uniform one.
@@ -22,30 +29,35 @@ Defined results
 
 from __future__ import annotations
 
+import math
+import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnledger.llm.common import arrow_batches, text_of
 
 WORD_BITS = 18
-PAIR_BITS = 20
-BLOCK = 4096
-FAN_IN = 16
 ALPHA = 0.1
 MU = 200.0
-AT_ONCE = 1 << 20
+BLOCK_BYTES = 8 << 20
+PAIR_RANGE_BYTES = 8 << 20
+WORD_RANGE_BYTES = 64 << 20
+LEAST_BLOCKS = 8
+AT_ONCE = 1 << 19
 CACHED = 500_000
 START = 0
 
 
 class Words:
-    """Hashed word numbers of texts; each word is hashed once while it is remembered."""
+    """Word numbers of texts, 63-bit hashes; each word is hashed once while remembered."""
 
     def __init__(self):
         self.known: dict[bytes, int] = {}
@@ -57,173 +69,230 @@ class Words:
             known.clear()
         for w in words:
             if w not in known:
-                known[w] = 1 + xxhash.xxh64_intdigest(w) % ((1 << WORD_BITS) - 1)
+                known[w] = 1 + xxhash.xxh64_intdigest(w) % ((1 << 63) - 1)
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def pair_cells(ids: np.ndarray) -> np.ndarray:
-    """The cell of each word with the one before it."""
-    before = np.concatenate([[START], ids[:-1]]).astype(np.uint64)
-    mixed = (before << np.uint64(32) | ids.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-    mixed ^= mixed >> np.uint64(29)
-    mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    return (mixed >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
-
-
-def _tables() -> dict[int, np.ndarray]:
-    """Word and pair counts of the background (0, 1) and of the target (2, 3)."""
-    return {k: np.zeros(1 << (PAIR_BITS if k % 2 else WORD_BITS), np.int64) for k in range(4)}
-
-
-def _blocks(tables: dict[int, np.ndarray], part: int) -> Iterator[pa.RecordBatch]:
-    for kind, table in tables.items():
-        cut = table.reshape(-1, BLOCK)
-        some = np.flatnonzero(cut.any(axis=1))
-        for s in range(0, len(some), 256):
-            mine = some[s : s + 256]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(len(mine), kind, np.int32)),
-                    pa.array(mine.astype(np.int32)),
-                    pa.array(np.full(len(mine), part, np.int32)),
-                    pa.array([cut[b].astype("<i8").tobytes() for b in mine], pa.binary()),
-                ],
-                names=["kind", "block", "part", "counts"],
-            )
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tables, words, part = _tables(), Words(), 0
-    held: dict[bool, list[np.ndarray]] = {False: [], True: []}
-
-    def add(force):
-        for target, lists in held.items():
-            if lists and (force or sum(map(len, lists)) >= AT_ONCE):
-                ids = np.concatenate(lists)
-                # A start mark stands before each text, so pairs never cross texts.
-                cells = np.concatenate([pair_cells(x) for x in lists])
-                for base in (0, 2) if target else (0,):
-                    tables[base] += np.bincount(ids, minlength=1 << WORD_BITS)
-                    tables[base][START] += len(lists)
-                    tables[base + 1] += np.bincount(cells, minlength=1 << PAIR_BITS)
-                lists.clear()
+    """The key of each word with the one before it."""
+    before = np.concatenate([[START], ids[:-1]]).astype(np.int64).view(np.uint64)
+    mixed = _mixed(before + np.uint64(0x9E3779B97F4A7C15)) ^ ids.astype(np.int64).view(np.uint64)
+    return _mixed(mixed).view(np.int64)
 
-    for batch in batches:
-        part = batch.column("part")[0].as_py() if batch.num_rows else part
-        texts = batch.column("text").cast(pa.binary())
-        for text, target in zip(texts, batch.column("target").to_pylist(), strict=True):
-            ids = words.of(text.as_py())
-            if len(ids):
-                held[target].append(ids)
-        add(False)
-    add(True)
-    yield from _blocks(tables, part)
-
-
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of the blocks of a partition sorted by (kind, block, part)."""
-    key, total = None, None
-
-    def out():
-        return pa.RecordBatch.from_arrays(
-            [*(pa.array([k], pa.int32()) for k in key), pa.array([total.tobytes()], pa.binary())],
-            names=["kind", "block", "part", "counts"],
-        )
 
-    for batch in batches:
-        for *k, counts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            if k != key:
-                if key is not None:
-                    yield out()
-                key, total = k, np.zeros(BLOCK, "<i8")
-            total += np.frombuffer(counts, "<i8")
-    if key is not None:
-        yield out()
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of numbers by significance, so that the empty ones lie together."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
 
 
-BLOCKS = "kind int, block int, part int, counts binary"
+def _numbers(planes: bytes, kind: str) -> np.ndarray:
+    wide = np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(wide.T).view(kind).ravel()
 
 
-def _sum(blocks: DataFrame, part: Column) -> DataFrame:
-    keyed = blocks.withColumn("part", part.cast("int"))
-    keyed = keyed.repartition("kind", "block", "part").sortWithinPartitions("kind", "block", "part")
-    return keyed.mapInArrow(_summed, BLOCKS)
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys as differences."""
+    return _planes(np.diff(keys, prepend=np.uint64(0)).astype("<u8"))
 
 
-def train(
-    df: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text"
-) -> dict[int, np.ndarray]:
-    """The count tables. ``targets`` holds the identifiers of the target documents.
+def unpack_keys(packed: bytes) -> np.ndarray:
+    return np.cumsum(_numbers(packed, "<u8"), dtype=np.uint64)
 
-    The tables that reach the driver have 2 * (2**WORD_BITS + 2**PAIR_BITS) numbers in all.
-    """
-    arrow_batches(df.sparkSession, rows=500, mbytes=8)
-    good = targets.select(F.col(id_col).alias("its_id")).filter("its_id is not null").distinct()
-    slim = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    # The labelled identifiers grow with the corpus, so they are never broadcast.
-    marked = slim.join(good.hint("merge"), slim["id"] == good["its_id"], "left").select(
-        "text", F.col("its_id").isNotNull().alias("target"), F.spark_partition_id().alias("part")
-    )
-    blocks = _sum(
-        _sum(marked.mapInArrow(_counted, BLOCKS), F.floor(F.col("part") / FAN_IN)), F.lit(0)
-    )
-    tables = _tables()
-    for r in blocks.toLocalIterator():
-        tables[r["kind"]].reshape(-1, BLOCK)[r["block"]] += np.frombuffer(r["counts"], "<i8")
-    return tables
 
+def pack_counts(counts: np.ndarray) -> bytes:
+    return zlib.compress(_planes(counts.astype("<i8")), 1)
 
-def model(words: np.ndarray, pairs: np.ndarray, alpha: float = ALPHA, mu: float = MU) -> tuple:
-    """(word probabilities, history counts, pair counts, mu); the start mark is no word."""
-    total = words.sum() - words[START] + alpha * (len(words) - 1)
-    return (words + alpha) / total, words, pairs, mu
 
+def unpack_counts(packed: bytes) -> np.ndarray:
+    return _numbers(zlib.decompress(packed), "<i8") if packed else np.zeros(0, "<i8")
 
-def bits(ids: np.ndarray, cells: np.ndarray, of: tuple) -> float:
-    """Bits of a text under a model: every word given the one before it."""
-    unigram, history, pairs, mu = of
-    before = history[np.concatenate([[START], ids[:-1]])]
-    # Pairs that share a cell are counted together, but never above their history.
-    seen = np.minimum(pairs[cells], before)
-    return float(-np.log2((seen + mu * unigram[ids]) / (before + mu)).sum())
 
+KEYS = "kind int, range int, block int, keys binary, background binary, target binary"
+COUNTS = (
+    "block int, kind int, range int, background binary, target binary, "
+    "n_words long, n_background long, n_target long"
+)
 
-def _scored(batches: Iterator[pa.RecordBatch], tables) -> Iterator[pa.RecordBatch]:
-    counts = tables.value
-    background, target = model(counts[0], counts[1]), model(counts[2], counts[3])
-    words = Words()
+
+def _ranges_of(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Where each range of ascending keys begins, and the end."""
+    edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else []
+    return np.concatenate([[0], np.searchsorted(keys, np.array(edges, np.uint64)), [len(keys)]])
+
+
+def _keys_of_block(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All words of the texts with a start mark for each, and all pairs, unsigned."""
+    words = np.concatenate([*texts, np.zeros(len(texts), np.int64)]).view(np.uint64)
+    return words, np.concatenate([pair_cells(x) for x in texts]).view(np.uint64)
+
+
+def _counted(batches: Iterator[pa.RecordBatch], bits: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """The distinct keys of each block of a partition with their counts in it."""
+    words, good, held = Words(), defaultdict(set), defaultdict(list)
     for batch in batches:
-        made = []
-        for t in batch.column("text").cast(pa.binary()):
-            ids = words.of(t.as_py())
-            if len(ids):
-                cells = pair_cells(ids)
-                b, g = bits(ids, cells, background) / len(ids), bits(ids, cells, target) / len(ids)
-                made.append((len(ids), g, b, g - b))
-            else:
-                made.append((0, None, None, None))
-        cols = list(zip(*made, strict=True)) if made else [()] * 4
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("id"),
-                pa.array(cols[0], pa.int64()),
-                *(pa.array(c, pa.float64()) for c in cols[1:]),
-            ],
-            names=["id", "n_tokens", "h_target", "h_background", "score"],
-        )
+        texts = batch.column("text").cast(pa.binary()).to_pylist()
+        rows = zip(batch.column("block").to_pylist(), batch.column("id").to_pylist(), texts, strict=True)
+        for block, its_id, text in rows:
+            if text is None:
+                good[block].add(its_id)
+            elif len(ids := words.of(text)):
+                held[block].append((its_id, ids))
+    for block in list(held):
+        rows = held.pop(block)
+        mine = good[block]
+        everyone = _keys_of_block([x for _, x in rows])
+        chosen = [x for i, x in rows if i in mine]
+        targets = _keys_of_block(chosen) if chosen else (np.zeros(0, np.uint64),) * 2
+        for kind in (0, 1):
+            keys, n = np.unique(everyone[kind], return_counts=True)
+            some, m = np.unique(targets[kind], return_counts=True)
+            target = np.zeros(len(keys), np.int64)
+            target[np.searchsorted(keys, some)] = m
+            at = _ranges_of(keys, bits[kind])
+            full = np.flatnonzero(np.diff(at))
+            for s in range(0, len(full), 256):
+                part = full[s : s + 256]
+                packed = ((pack_keys, keys), (pack_counts, n), (pack_counts, target))
+                cut = [[pack(x[at[r] : at[r + 1]]) for r in part] for pack, x in packed]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(part), kind, np.int32)),
+                        pa.array(part.astype(np.int32)),
+                        pa.array(np.full(len(part), block, np.int32)),
+                        *(pa.array(c, pa.binary()) for c in cut),
+                    ],
+                    names=["kind", "range", "block", "keys", "background", "target"],
+                )
+
+
+def _summed(table: pa.Table, blocks: int) -> pa.Table:
+    """The counts of one range over all blocks, for each block those of its own keys.
+
+    A range of words also tells every block its number of words and their totals.
+    """
+    kind, which = table.column("kind")[0].as_py(), table.column("range")[0].as_py()
+    theirs = [unpack_keys(k.as_py()) for k in table.column("keys")]
+    sizes = [len(k) for k in theirs]
+    keys, back = np.unique(np.concatenate(theirs), return_inverse=True)
+    sums = []
+    for c in ("background", "target"):
+        total = np.zeros(len(keys), np.int64)
+        np.add.at(total, back, np.concatenate([unpack_counts(x.as_py()) for x in table.column(c)]))
+        sums.append(total)
+    ends = np.cumsum(sizes)
+    made: dict[int, tuple] = {}
+    for block, s, e in zip(table.column("block").to_pylist(), ends - sizes, ends, strict=True):
+        made[block] = tuple(pack_counts(total[back[s:e]]) for total in sums)
+    to = range(blocks) if kind == 0 else sorted(made)
+    word = keys != START
+    totals = (int(word.sum()), *(int(x[word].sum()) for x in sums)) if kind == 0 else (0, 0, 0)
+    n = len(to)
+    return pa.table(
+        {
+            "block": pa.array(list(to), pa.int32()),
+            "kind": pa.array(np.full(n, kind, np.int32)),
+            "range": pa.array(np.full(n, which, np.int32)),
+            "background": pa.array([made.get(b, (b"", b""))[0] for b in to], pa.binary()),
+            "target": pa.array([made.get(b, (b"", b""))[1] for b in to], pa.binary()),
+            "n_words": pa.array(np.full(n, totals[0], np.int64)),
+            "n_background": pa.array(np.full(n, totals[1], np.int64)),
+            "n_target": pa.array(np.full(n, totals[2], np.int64)),
+        }
+    )
+
+
+def bits(word: np.ndarray, before: np.ndarray, pair: np.ndarray, total: float, mu: float = MU):
+    """Bits of words under a model, from their counts, their histories' and their pairs'."""
+    unigram = (word + ALPHA) / total
+    return -np.log2((pair + mu * unigram) / (before + mu))
+
+
+def _scored(docs: pa.Table, counts: pa.Table) -> pa.Table:
+    """Scores of the documents of a block from the corpus counts of its keys."""
+    docs = docs.filter(pc.is_valid(docs.column("text")))
+    words = Words()
+    texts = [words.of(t) for c in docs.column("text").chunks for t in c.cast(pa.binary()).to_pylist()]
+    sizes = np.array([len(x) for x in texts], np.int64)
+    entropy = np.full((2, len(texts)), np.nan)
+    full = np.flatnonzero(sizes)
+    if len(full):
+        counts = counts.sort_by([("kind", "ascending"), ("range", "ascending")])
+        kinds = counts.column("kind").to_numpy()
+        of = {}
+        for k in (0, 1):
+            mine = counts.filter(pa.array(kinds == k))
+            of[k] = [
+                np.concatenate([unpack_counts(x.as_py()) for x in mine.column(c)]) for c in ("target", "background")
+            ]
+        keys = [np.unique(x) for x in _keys_of_block([texts[i] for i in full])]
+        if any(len(keys[k]) != len(x) for k in (0, 1) for x in of[k]):
+            raise ValueError("a block was not answered for all its words and pairs")
+        n_words = int(counts.column("n_words").to_numpy().sum())
+        places = max(1 << WORD_BITS, n_words + 1) - 1
+        totals = [int(counts.column(c).to_numpy().sum()) + ALPHA * places for c in ("n_target", "n_background")]
+        # Whole texts at a time, about AT_ONCE words of them.
+        cut = np.cumsum(sizes[full]) // AT_ONCE
+        for some in np.split(full, np.flatnonzero(np.diff(cut)) + 1):
+            mine = [texts[i] for i in some]
+            first = np.concatenate([[0], np.cumsum(sizes[some])[:-1]])
+            word = np.searchsorted(keys[0], np.concatenate(mine).view(np.uint64))
+            before = np.concatenate([[0], word[:-1]])
+            before[first] = 0  # the start mark is the least key
+            pair = np.searchsorted(keys[1], np.concatenate([pair_cells(x) for x in mine]).view(np.uint64))
+            for m in (0, 1):
+                lost = bits(of[0][m][word], of[0][m][before], of[1][m][pair], totals[m])
+                entropy[m, some] = np.add.reduceat(lost, first) / sizes[some]
+    none = sizes == 0
+    return pa.table(
+        {
+            "id": docs.column("id"),
+            "n_tokens": pa.array(sizes),
+            "h_target": pa.array(entropy[0], mask=none),
+            "h_background": pa.array(entropy[1], mask=none),
+            "score": pa.array(entropy[0] - entropy[1], mask=none),
+        }
+    )
 
 
 def score(
     df: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """One row per document: id, n_tokens, h_target, h_background, score."""
-    spark = df.sparkSession
-    counts = train(df, targets, id_col, text_col)
-    tables = spark.sparkContext.broadcast({k: v.astype(np.int64) for k, v in counts.items()})
+    """One row per document: id, n_tokens, h_target, h_background, score.
+
+    ``targets`` holds the identifiers of the target documents.
+    """
+    arrow_batches(df.sparkSession, rows=500, mbytes=8)
     slim = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     kind = dict(slim.dtypes)["id"]
-    made = slim.mapInArrow(
-        partial(_scored, tables=tables),
-        f"id {kind}, n_tokens long, h_target double, h_background double, score double",
+    size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(LEAST_BLOCKS, math.ceil(size / BLOCK_BYTES))
+    ranges = tuple(
+        max(0, math.ceil(math.log2(max(1, size / most)))) for most in (WORD_RANGE_BYTES, PAIR_RANGE_BYTES)
+    )
+    # Labels go to the block of their documents, so a block knows its targets.
+    good = targets.select(F.col(id_col).cast(kind).alias("id"), F.lit(None).cast("string").alias("text"))
+    dealt = slim.unionByName(good.filter("id is not null"))
+    where = F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("id"))
+    dealt = dealt.select(F.pmod(where, F.lit(blocks)).cast("int").alias("block"), "id", "text")
+    # Both uses below read this one exchange.
+    dealt = dealt.repartition(2 * blocks, "block")
+    keys = dealt.mapInArrow(partial(_counted, bits=ranges), KEYS)
+    summed = partial(_summed, blocks=blocks)
+
+    def sums(table: pa.Table) -> pa.Table:
+        return summed(table)
+
+    def scores(docs: pa.Table, counts: pa.Table) -> pa.Table:
+        return _scored(docs, counts)
+
+    counts = keys.groupBy("kind", "range").applyInArrow(sums, COUNTS)
+    made = dealt.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(
+        scores, f"id {kind}, n_tokens long, h_target double, h_background double, score double"
     )
     return made.withColumnRenamed("id", id_col)
