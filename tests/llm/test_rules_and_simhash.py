@@ -86,6 +86,23 @@ def test_frequent_lines_go_and_depleted_documents_too(spark):
     assert "CONTACT" not in text[1] and "contact" in text[500]
 
 
+def test_documents_that_share_most_of_their_words_count_each(spark):
+    rng = random.Random(31)
+    rows = []
+    for host in range(6):
+        menus = [prose(rng, 16, 10**6) for _ in range(5)]
+        rows += [
+            (1000 * host + i, "\n".join([*menus, prose(rng, 5, 10**6)]), "en", f"h{host}", 1) for i in range(200)
+        ]
+    # Copies, whatever their case and white space, are one document still.
+    copy = "\n".join(prose(rng, 30, 10**6) for _ in range(4))
+    rows += [(9000 + i, copy.upper() + " " * i if i % 2 else copy, "en", "copies", 1) for i in range(60)]
+    got = quality.judge(spark.createDataFrame(rows, COLUMNS)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r["n_lost_words"], r["kept"]) == ((0, True) if r["doc_id"] >= 9000 else (80, False))
+
+
 def test_clean_keeps_columns(odd):
     out = quality.clean(odd)
     assert out.columns == odd.columns

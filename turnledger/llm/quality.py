@@ -6,9 +6,10 @@ are counted; lines in more than ``max_share`` of a host's documents, and in at l
 ``min_documents``, are removed, and documents that lose more than ``max_lost`` of their words
 are rejected.
 
-Copies of a document are one document here: documents are told apart by the smallest hash
-of their three-word windows, which copies and most near copies share. Without that, a
-document copied often within a host would count as boilerplate of itself.
+Copies of a document are one document here: documents are told apart by a hash of their
+whole text, with A-Z in lower case and white space squeezed. Without that, a document copied
+often within a host would count as boilerplate of itself. Any other difference makes another
+document, however much two texts share; what they share is what is counted.
 
 Defined results
     * A null or empty text has no words and fails the base rule.
@@ -39,7 +40,7 @@ LEAST_WORDS = 50
 
 FIGURES = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "sketch long, lines array<struct<line: long, words: int>>"
+    "text_hash long, lines array<struct<line: long, words: int>>"
 )
 SYMBOLS = b"#*$%&|<>"
 WHITE = b" \t\n\x0b\x0c\r"
@@ -71,23 +72,13 @@ def _repeated(words: list[bytes]) -> int:
     return int(covered.sum())
 
 
-def _sketch(words: list[bytes]) -> int:
-    """The smallest hash of the three-word windows: vectorised over hashes of the words."""
-    if not words:
-        return 0
-    cache: dict[bytes, int] = {}
-    for w in words:
-        if w not in cache:
-            cache[w] = xxhash.xxh64_intdigest(w)
-    h = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
-    if len(h) >= 3:
-        h = h[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ h[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) ^ h[2:]
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25)
-    return int(h.min().view("i8"))
+def _text_hash(text: bytes) -> int:
+    """What tells documents apart: equal for texts of the same words, but for case."""
+    return int(line_hash(text))
 
 
 def figures(text: bytes) -> tuple:
-    """The base figures of one text, its sketch and its lines as (hash, words)."""
+    """The base figures of one text, the hash of its text and its lines as (hash, words)."""
     words = text.split()
     seen: set[bytes] = set()
     lines: dict[int, int] = {}
@@ -102,7 +93,7 @@ def figures(text: bytes) -> tuple:
     points = len(text.decode("utf-8", "surrogatepass"))
     chars = points - sum(text.count(bytes([c])) for c in WHITE)
     symbols = sum(text.count(bytes([c])) for c in SYMBOLS)
-    return len(words), chars, symbols, again, _repeated(words), _sketch(words), lines
+    return len(words), chars, symbols, again, _repeated(words), _text_hash(text), lines
 
 
 def _figures_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +114,7 @@ def _figures_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 "n_symbols",
                 "n_dup_lines",
                 "n_repeat_words",
-                "sketch",
+                "text_hash",
                 "lines",
             ],
         )
@@ -150,16 +141,16 @@ def frequent_lines(
     figures: DataFrame, max_share: float = MAX_SHARE, min_documents: int = MIN_DOCUMENTS
 ) -> DataFrame:
     """(host, line, documents) of the lines above the limits."""
-    each = figures.select("host", "sketch", F.explode("lines.line").alias("line"))
+    each = figures.select("host", "text_hash", F.explode("lines.line").alias("line"))
     counts = (
-        each.groupBy("host", "line", "sketch")
+        each.groupBy("host", "line", "text_hash")
         .agg(F.lit(1).alias("one"))
         .groupBy("host", "line")
         .agg(F.count("one").alias("documents"))
         .filter(F.col("documents") >= min_documents)
     )
     hosts = (
-        figures.groupBy("host", "sketch")
+        figures.groupBy("host", "text_hash")
         .agg(F.lit(1).alias("one"))
         .groupBy(F.col("host").alias("its_host"))
         .agg(F.count("one").alias("of"))
