@@ -8,7 +8,8 @@ repeat are left out first, without loss. Each start of a ``depth``-byte string b
 the least-hashed ``GRAM``-byte gram of that string; starts with the same gram make up a
 unit, so units tile all starts, and equal strings belong to equal grams at equal offsets.
     * Units whose gram occurs once hold no repeated string.
-    * A unit equal to an earlier unit, byte by byte of its strings, is removed whole.
+    * A unit whose gram and 64-bit digest equal an earlier unit's is removed whole; its bytes
+      are not compared. Whole copies and the inside of long passages go this way.
     * What is left, different units around the same gram, is sorted.
 
 The sort orders the suffixes of these units to ``depth`` bytes: multikey quicksort by
