@@ -5,11 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from turnledger.llm import (
     exact_dedup,
+    language,
+    lexical_search,
     lm_scoring,
+    merkle,
     mixing,
+    oracles,
     packing,
     pii,
     quality,
@@ -18,7 +23,7 @@ from turnledger.llm import (
     suffix_dedup,
     token_rows,
 )
-from turnledger.llm.common import documents, text_of, word_count
+from turnledger.llm.common import documents, fold_ascii, text_of, word_count
 
 
 def pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +68,22 @@ def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+def bit_sliced_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return lexical_search.search(documents(spark, sf_dir), items)
+
+
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row against the root; a fifth of the identifiers has its text tampered with."""
+    tampered = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    lowered = {"text": F.when(F.col("text").isNotNull(), fold_ascii(F.col("text")))}
+    return merkle.verify(merkle.leaves(documents(spark, sf_dir), changed=lowered, when=tampered))
+
+
+def ngram_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_sanitisation": pii_sanitisation,
     "op2_tree_merge_dedup": tree_merge_dedup,
@@ -74,6 +95,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": simhash_near_dedup,
     "op9_best_fit_token_rows": best_fit_token_rows,
     "op10_source_mixing": source_mixing,
+    "op11_bit_sliced_search": bit_sliced_search,
+    "op12_merkle_manifest": merkle_manifest,
+    "op13_ngram_language_id": ngram_language_id,
 }
 
 ORACLES: dict[str, str] = {
@@ -90,4 +114,6 @@ ORACLES: dict[str, str] = {
           t.text_sha256
         FROM t JOIN g USING (text_sha256)
     """,
+    "op11_bit_sliced_search": oracles.SEARCH,
+    "op12_merkle_manifest": oracles.MANIFEST,
 }
