@@ -10,6 +10,7 @@ from turnledger.plans import (
     clusters,
     customers,
     evaluation,
+    index,
     judging,
     policy,
     readout,
@@ -325,6 +326,11 @@ def test_skipped_unknown_and_broken_payloads(spark):
     assert {tuple(r["violations"]) for r in broken} == {("event_type_enum",), ("metadata_json",)}
 
 
+def indexed(passages, folder):
+    index.write_index(passages, f"{folder}/index")
+    return index.open_index(passages.sparkSession, f"{folder}/index")
+
+
 def test_planted_pairs_equal_brute_force(spark):
     passages = spark.createDataFrame(
         [(1, "xThe quick brown fox jumps over dogsy and more"), (2, "the quick brown fox"), (3, "a fox"), (4, "The quick, brown fox jumps over dogs"), (5, None)],
@@ -346,19 +352,20 @@ def test_planted_pairs_equal_brute_force(spark):
     assert {tuple(r) for r in retrieval.planted_pairs(passages, queries).collect()} == brute
 
 
-def test_fusion_takes_full_ranks(spark):
+def test_fusion_takes_full_ranks(spark, tmp_path):
     """A passage beyond rank 20 of one list still gets its share of that list."""
     texts = [(i, "drill " * (1 + i % 7) + "part " * (i % 3) + f"w{i} " * (i % 11)) for i in range(60)]
     passages = spark.createDataFrame(texts, "passage_id long, content string")
     queries = spark.createDataFrame([(7, "drill part"), (8, "part")], "query_id long, query string")
-    scored = retrieval.keyword_scores(passages, queries).collect()
+    table = indexed(passages, tmp_path)
+    scored = index.score(table, index.weighted_terms(table, queries)).collect()
     want = {}
     for q in (7, 8):
         rows = [r for r in scored if r["query_id"] == q]
         for by in ("bm25", "semantic"):
             for n, r in enumerate(sorted(rows, key=lambda r: (-r[by], r["passage_id"])), 1):
                 want.setdefault((q, r["passage_id"]), []).append(n)
-    got = retrieval.hybrid_search(passages, queries, k=60, candidates=60).collect()
+    got = retrieval.hybrid_search(table, queries, k=60, candidates=60).collect()
     assert {(r["query_id"], r["passage_id"]): [r["bm25_rank"], r["semantic_rank"]] for r in got} == want
     assert max(max(ranks) for ranks in want.values()) > 20
     for q in (7, 8):
@@ -367,10 +374,10 @@ def test_fusion_takes_full_ranks(spark):
         assert [r["passage_id"] for r in sorted(got, key=lambda r: r["fused_rank"]) if r["query_id"] == q] == order
 
 
-def test_rerank_hook(spark):
+def test_rerank_hook(spark, tmp_path):
     passages = spark.createDataFrame([(1, "red drill"), (2, "blue drill drill")], "passage_id long, content string")
     queries = spark.createDataFrame([(7, "drill")], "query_id long, query string")
-    head = retrieval.hybrid_search(passages, queries, k=2)
+    head = retrieval.hybrid_search(indexed(passages, tmp_path), queries, k=2)
     rows = retrieval.rerank_with(head, passages, queries, lambda b: b["content"].str.count("drill"), 1).collect()
     assert [(r["passage_id"], r["rerank_score"]) for r in rows] == [(2, 2.0)]
 
@@ -392,17 +399,6 @@ def test_anonymous_and_foreign_callers(spark):
     assert [line.split(",")[0] for line in got["f"]["context"].split("\n")[1:]] == ["- order_id=#4524", "- order_id=#4523", "- order_id=#4522"]
 
 
-def test_nearest_vectors_are_found_per_query_in_all_cells(spark):
-    vectors = spark.createDataFrame(
-        [(i, "a" if i < 4 else "b", [1.0, float(i)]) for i in range(8)], "vec_id long, label string, embedding array<double>"
-    )
-    queries = spark.createDataFrame([("p", [1.0, 3.6]), ("q", [1.0, 0.0])], "query_id string, query_vector array<double>")
-    got = {}
-    for r in retrieval.vector_search(vectors, queries, k=3).collect():
-        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
-    assert {q: [v for _, v in sorted(found)] for q, found in got.items()} == {"p": [4, 3, 5], "q": [0, 1, 2]}
-
-
 def test_every_customer_turn_is_prompted(spark):
     turns = spark.createDataFrame(
         [("t", i, "customer" if i % 2 == 0 else "agent", f"x{i}") for i in range(6)], "trace_id string, turn long, role string, text string"

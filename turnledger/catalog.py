@@ -13,6 +13,7 @@ from turnledger.plans import (
     clusters,
     customers,
     evaluation,
+    index,
     judging,
     live,
     policy,
@@ -21,6 +22,7 @@ from turnledger.plans import (
     runs,
     texts,
     traces,
+    vectors,
 )
 from turnledger.session import configure
 from turnledger.sources import canonical as c
@@ -450,25 +452,29 @@ def label_summary(s, d):
 # --- retrieval --------------------------------------------------------------------
 
 
+def _index(s: SparkSession, d: str) -> index.PassageIndex:
+    return index.index_of(s, f"{d}/documents.parquet", c.passages(s, d))
+
+
 @query
 def bm25_search(s, d):
-    return retrieval.bm25_search(c.passages(s, d), c.search_queries(s, d)).withColumn("rank", F.col("rank").cast("long"))
+    return retrieval.bm25_search(_index(s, d), c.search_queries(s, d)).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query
 def hybrid_search(s, d):
-    rows = retrieval.hybrid_search(c.passages(s, d), c.search_queries(s, d))
+    rows = retrieval.hybrid_search(_index(s, d), c.search_queries(s, d))
     return rows.withColumns({n: F.col(n).cast("long") for n in ("rank", "fused_rank")})
 
 
 @query
 def passage_context(s, d):
-    return retrieval.passage_context(c.passages(s, d), c.search_queries(s, d))
+    return retrieval.passage_context(_index(s, d), c.passages(s, d), c.search_queries(s, d))
 
 
 @query
 def retrieval_quality(s, d):
-    return retrieval.retrieval_quality(c.passages(s, d), c.search_queries(s, d))
+    return retrieval.retrieval_quality(_index(s, d), c.passages(s, d), c.search_queries(s, d))
 
 
 @query
@@ -478,9 +484,9 @@ def relevance_pairs(s, d):
 
 @query
 def vector_search(s, d):
-    vectors = c.table(s, d, "embeddings")
-    means = retrieval.centroids(vectors).withColumnRenamed("label", "query_id")
-    found = retrieval.vector_search(vectors, means)
+    table = c.table(s, d, "embeddings")
+    means = retrieval.centroids(table).withColumnRenamed("label", "query_id")
+    found = vectors.vector_search(vectors.index_of(s, f"{d}/embeddings.parquet"), table, means)
     return found.withColumn("rank", F.col("rank").cast("long"))
 
 

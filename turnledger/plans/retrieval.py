@@ -3,118 +3,152 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnledger.functions.scoring import ratio
 from turnledger.functions.text import claims, render, unroll, words
-from turnledger.operators.ordered import positions
 from turnledger.operators.ranking import top_k
+from turnledger.plans.index import PassageIndex, best_passages, score, weighted_terms
 from turnledger.schemas import DEFAULT_POLICY
+from turnledger.session import stored
 
-BM25_K1, BM25_B = 1.2, 0.75
 RRF_CONSTANT = 60
 CANDIDATES = 20
 ANCHOR_WORDS = 5
+GRAM = 3
 
 # How passages are shown to the writer of a reply.
 CONTEXT_HEAD = "Knowledge base passages (authoritative):"
 CONTEXT_LINE = "[{{NUMBER}}] source={{SOURCE}} score={{SCORE}}\n    {{PASSAGE}}"
 
 
-def keyword_scores(passages: DataFrame, queries: DataFrame) -> DataFrame:
-    """Exact BM25 and word-overlap cosine of every passage that shares a word with a
-    query: ``(query_id, passage_id, bm25, semantic, coverage)``.
+def bm25_search(index: PassageIndex, queries: DataFrame, k: int = 10) -> DataFrame:
+    """The ``k`` best passages of every query; only blocks that can hold one are opened."""
+    return best_passages(index, queries, k)
 
-    Words outside the queries' vocabulary leave the stream before the first exchange,
-    and a passage counts its words where it was read. After one exchange on the passage
-    id, scoring and the local top-k both stay in place. The query words are joined by
-    broadcast while Spark's size check allows, else by a shuffle on the word.
+
+LISTS = ("bm25", "semantic")
+# Scores are counted in steps of these shares before they are compared one by one.
+_STEPS = {"bm25": 64, "semantic": 1024}
+
+
+def _bucket(name: str) -> Column:
+    return F.floor(F.col(name) * _STEPS[name]).cast("long")
+
+
+def _deep_ranks(scored: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Exact ranks of a few pairs, by counting the pairs before them.
+
+    ``wanted`` is (query_id, passage_id, list, score). All pairs are counted by steps of their
+    score, which combines where they lie; only those in a wanted pair's own step are
+    compared with it. Nothing is put in order but the steps.
     """
-    spoken = queries.select("query_id", F.array_distinct(words("query")).alias("w"))
-    terms = spoken.select("query_id", F.size("w").alias("query_words"), F.explode("w").alias("term"))
-    vocabulary = terms.select("term").distinct()
-    docs = passages.select("passage_id", words("content").alias("w"))
-    sized = docs.select(
-        "passage_id", F.size("w").alias("length"), F.size(F.array_distinct("w")).alias("distinct_words"), "w"
+    each = scored.select(
+        "query_id", "passage_id", F.inline(F.array(*[F.struct(F.lit(n).alias("list"), F.col(n).alias("score"), _bucket(n).alias("step")) for n in LISTS]))
     )
-    counted = (
-        sized.select("passage_id", "length", "distinct_words", unroll("w").alias("term"))
-        .join(vocabulary, "term", "left_semi")
-        .groupBy("passage_id", "length", "distinct_words", "term")
-        .agg(F.count("*").alias("tf"))
+    higher = Window.partitionBy("query_id", "list").orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, -1)
+    steps = (
+        each.join(wanted.select("query_id", "list").distinct(), ["query_id", "list"], "left_semi")
+        .groupBy("query_id", "list", "step")
+        .agg(F.count("*").alias("n"))
+        .withColumn("above", F.coalesce(F.sum("n").over(higher), F.lit(0)))
     )
-    spread = counted.groupBy("term").agg(F.count("*").alias("df"))
-    corpus = sized.agg(
-        F.struct(F.count("*").alias("passages"), (F.sum("length") / F.count("*")).alias("mean_length")).alias("s")
-    ).scalar()
-    total, mean_length = corpus["passages"], corpus["mean_length"]
-    rarity = F.ln(1 + (total - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = terms.join(spread, "term").select("term", "query_id", "query_words", rarity.alias("idf"))
-    tf = F.col("tf")
-    part = F.col("idf") * tf * (BM25_K1 + 1) / (
-        tf + BM25_K1 * (1 - BM25_B + BM25_B * F.col("length") / mean_length)
+    step = F.coalesce(*[F.when(F.col("list") == n, F.floor(F.col("score") * _STEPS[n]).cast("long")) for n in LISTS])
+    wanted = wanted.withColumn("step", step)
+    mine = wanted.withColumnsRenamed({"passage_id": "id", "score": "s"})
+    first = (F.col("score") > F.col("s")) | ((F.col("score") == F.col("s")) & (F.col("passage_id") < F.col("id")))
+    beside = (
+        each.join(mine, ["query_id", "list", "step"])
+        .groupBy("query_id", F.col("id").alias("passage_id"), "list")
+        .agg(F.count_if(first).alias("beside"))
     )
-    scored = (
-        counted.repartition("passage_id")
-        .join(weighted, "term")
-        .groupBy("passage_id", "query_id", "query_words", "distinct_words")
-        .agg(F.sum(part).alias("bm25"), F.count("*").alias("shared"))
-    )
-    return scored.select(
-        "query_id",
-        "passage_id",
-        F.round("bm25", 6).alias("bm25"),
-        F.round(F.col("shared") / F.sqrt(F.col("query_words") * F.col("distinct_words")), 6).alias("semantic"),
-        F.round(F.col("shared") / F.col("query_words"), 6).alias("coverage"),
+    return (
+        wanted.join(steps, ["query_id", "list", "step"])
+        .join(beside, ["query_id", "passage_id", "list"])
+        .select("query_id", "passage_id", "list", (F.col("above") + F.col("beside") + 1).alias("rank"))
     )
 
 
-def bm25_search(passages: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    scored = keyword_scores(passages, queries).select("query_id", "passage_id", "bm25")
-    return top_k(scored, ["query_id"], [F.desc("bm25"), "passage_id"], k)
+def fused_ranks(scored: DataFrame, candidates: int) -> DataFrame:
+    """The ``candidates`` best pairs of every query by reciprocal rank fusion of both
+    lists, with their exact ranks, without putting the lists in order.
 
+    Sorted access to the heads of both lists is enough. A pair outside both heads of depth
+    ``n`` scores at most ``2 / (c + n + 1)``, and the first ``candidates`` of one list score
+    more than ``1 / (c + candidates)`` each, so from ``n = c + 2 * candidates`` on no pair outside
+    can be among the best. Of the pairs inside, those whose upper bound is below the
+    ``candidates``-th lower bound go as well; the few others get a missing rank by counting.
+    """
+    depth = 2 * (RRF_CONSTANT + 2 * candidates)
+    heads = [
+        top_k(scored, ["query_id"], [F.desc(n), "passage_id"], depth, rank=f"{n}_rank").select(
+            "*", *[F.lit(None).cast("int").alias(f"{m}_rank") for m in LISTS if m != n]
+        )
+        for n in LISTS
+    ]
+    ranks = [f"{n}_rank" for n in LISTS]
+    seen = (
+        heads[0]
+        .unionByName(heads[1])
+        .groupBy("query_id", "passage_id")
+        .agg(*[F.max(n).alias(n) for n in (*LISTS, "coverage", *ranks)])
+    )
 
-def _with_rank(scored: DataFrame, by: str, slices: int) -> DataFrame:
-    """Add the rank of every pair in its query's list, ordered in slices of the score."""
-    down = scored.withColumn("__down", -F.col(by))
-    cut = F.floor(F.col("__down") * slices).cast("long")
-    return positions(down, ["query_id"], cut, ["__down", "passage_id"], f"{by}_rank").drop("__down")
+    def fused(unknown: Column) -> Column:
+        return sum((F.coalesce(1.0 / (RRF_CONSTANT + F.col(r)), unknown) for r in ranks), F.lit(0.0))
+
+    by_least = Window.partitionBy("query_id").orderBy(F.desc("least"), "passage_id")
+    least = seen.withColumn("least", fused(F.lit(0.0)))
+    bar = F.min(F.when(F.col("place") <= candidates, F.col("least"))).over(Window.partitionBy("query_id"))
+    alive = stored(
+        least.withColumn("place", F.row_number().over(by_least))
+        .withColumn("bar", bar)
+        # scores are rounded to nine places before they are compared
+        .where(fused(F.lit(1.0 / (RRF_CONSTANT + depth + 1))) + 1e-9 >= F.col("bar"))
+        .drop("least", "place", "bar"),
+        "alive",
+    )
+    missing = [
+        F.when(F.col(f"{n}_rank").isNull(), F.struct(F.lit(n).alias("list"), F.col(n).alias("score"))) for n in LISTS
+    ]
+    wanted = alive.select("query_id", "passage_id", F.inline(F.filter(F.array(*missing), lambda m: m.isNotNull())))
+    deep = _deep_ranks(scored, wanted).groupBy("query_id", "passage_id").agg(
+        *[F.max(F.when(F.col("list") == n, F.col("rank"))).alias(f"deep_{n}") for n in LISTS]
+    )
+    known = alive.join(deep, ["query_id", "passage_id"], "left").select(
+        "query_id",
+        "passage_id",
+        *[F.coalesce(F.col(f"{n}_rank").cast("long"), f"deep_{n}").alias(f"{n}_rank") for n in LISTS],
+        "coverage",
+    )
+    score = F.round(sum((1.0 / (RRF_CONSTANT + F.col(r)) for r in ranks), F.lit(0.0)), 9).alias("fused_score")
+    pairs = known.select("query_id", "passage_id", *ranks, score, F.col("coverage").alias("rerank_score"))
+    return top_k(pairs, ["query_id"], [F.desc("fused_score"), "passage_id"], candidates, rank="fused_rank")
 
 
-def hybrid_search(passages: DataFrame, queries: DataFrame, k: int = 5, candidates: int = CANDIDATES) -> DataFrame:
+def hybrid_search(index: PassageIndex, queries: DataFrame, k: int = 5, candidates: int = CANDIDATES) -> DataFrame:
     """Keyword and semantic ranks fused by reciprocal rank, the head reranked.
 
-    Every scored passage takes its full rank in both lists into the fusion; only the
-    fused list is cut, to the ``candidates`` that are reranked.
-
-    The rerank column is the share of the query's words in the passage; ``rerank_with``
-    swaps in a model.
+    Every scored passage counts with its full rank in both lists; only the fused list is
+    cut, to the ``candidates`` that are reranked. The rerank column is the share of the
+    query's words in the passage; ``rerank_with`` swaps in a model.
     """
-    fused = _with_rank(keyword_scores(passages, queries), "bm25", 64)
-    fused = _with_rank(fused, "semantic", 1024)
-    share = [1.0 / (RRF_CONSTANT + F.col(f"{by}_rank")) for by in ("bm25", "semantic")]
-    fused = fused.select(
-        "query_id",
-        "passage_id",
-        "bm25_rank",
-        "semantic_rank",
-        F.round(share[0] + share[1], 9).alias("fused_score"),
-        F.col("coverage").alias("rerank_score"),
-    )
-    head = top_k(fused, ["query_id"], [F.desc("fused_score"), "passage_id"], candidates, rank="fused_rank")
+    scored = stored(score(index, weighted_terms(index, queries)), "scored")
+    head = fused_ranks(scored, candidates)
     return top_k(head, ["query_id"], [F.desc("rerank_score"), "fused_rank"], k)
 
 
-def passage_context(passages: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
+def passage_context(index: PassageIndex, passages: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
     """The numbered block of the ``k`` best passages of every query, scores to two places.
 
     Only the passages that are shown carry their text into the join.
     """
-    found = bm25_search(passages, queries, k).join(passages.select("passage_id", "source", "content"), "passage_id")
+    found = bm25_search(index, queries, k).join(passages.select("passage_id", "source", "content"), "passage_id")
     line = render(
         CONTEXT_LINE,
         NUMBER=F.col("rank").cast("string"),
@@ -156,50 +190,79 @@ def _runs(words_column: Column) -> Column:
     return F.when(F.size(words_column) >= ANCHOR_WORDS, F.array_distinct(cut))
 
 
+def _rarest(offered: DataFrame) -> DataFrame:
+    """Of the anchors each text offers (query_id, anchor), the one the fewest texts share."""
+    sharing = offered.groupBy("anchor").agg(F.count("*").alias("n"))
+    return (
+        offered.join(sharing, "anchor")
+        .groupBy("query_id")
+        .agg(F.min(F.struct("n", "anchor")).alias("pick"))
+        .select("query_id", F.col("pick.anchor").alias("anchor"))
+    )
+
+
+def _grams(text: str, size: int) -> Column:
+    """All distinct runs of ``size`` characters; none when the text is shorter."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1)))
+    cut = F.transform(starts, lambda i: F.substring(F.col(text), i, F.lit(size)))
+    return F.when(F.length(text) >= size, F.array_distinct(cut))
+
+
+def _met_by_grams(passages: DataFrame, short: DataFrame) -> DataFrame:
+    """Short texts meet passages on the run of characters that the fewest passages hold."""
+    pairs = []
+    for size in range(1, GRAM + 1):
+        exact = F.length("query") == size if size < GRAM else F.length("query") >= size
+        offered = short.where(exact).select("query_id", F.explode(_grams("query", size)).alias("anchor"))
+        held = passages.select("passage_id", unroll(_grams("content", size)).alias("anchor")).join(
+            offered.select("anchor").distinct(), "anchor", "left_semi"
+        )
+        spread = held.groupBy("anchor").agg(F.count("*").alias("n"))
+        pick = (
+            offered.join(spread, "anchor")
+            .groupBy("query_id")
+            .agg(F.min(F.struct("n", "anchor")).alias("pick"))
+            .select("query_id", F.col("pick.anchor").alias("anchor"))
+        )
+        pairs.append(held.join(pick, "anchor").select("query_id", "passage_id"))
+    return reduce(DataFrame.unionByName, pairs)
+
+
 def planted_pairs(passages: DataFrame, queries: DataFrame) -> DataFrame:
     """Pairs in which the passage contains the query's text verbatim.
 
     A passage that contains the text also contains the words inside it, one after the
-    other. So both sides meet on a run of five inner words (short texts on their first
-    character), and only the pairs that meet are compared in full. A text is looked up
-    by the run it shares with the fewest other texts, so a common opening does not bring
-    all texts together in one place.
+    other. So both sides meet on a run of five inner words, and only the pairs that meet
+    are compared in full. A text is looked up by the run it shares with the fewest other
+    texts, so a common opening does not bring all texts together in one place. Texts too
+    short for such a run meet on their rarest run of characters; the passages are cut
+    into those only if there is such a text.
     """
     word_list = F.regexp_extract_all("query", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     sized = queries.select("query_id", "query", word_list.alias("w"))
     inner = sized.where(F.size("w") >= ANCHOR_WORDS + 2).select(
         "query_id", F.slice("w", F.lit(2), F.size("w") - 2).alias("w")
     )
-    offered = inner.select("query_id", unroll(_runs(F.col("w"))).alias("anchor"))
-    sharing = offered.groupBy("anchor").agg(F.count("*").alias("n"))
-    anchors = (
-        offered.join(sharing, "anchor")
-        .groupBy("query_id")
-        .agg(F.min(F.struct("n", "anchor")).alias("pick"))
-        .select("query_id", F.col("pick.anchor").alias("anchor"))
-    )
+    anchors = _rarest(inner.select("query_id", unroll(_runs(F.col("w"))).alias("anchor")))
     shingles = passages.select(
         "passage_id", F.regexp_extract_all("content", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("w")
     ).select("passage_id", unroll(_runs(F.col("w"))).alias("anchor"))
     met = shingles.join(anchors, "anchor").select("query_id", "passage_id")
-    short = sized.where((F.size("w") < ANCHOR_WORDS + 2) & (F.length("query") > 0)).select(
-        "query_id", F.substring("query", 1, 1).alias("anchor")
-    )
-    letters = passages.select("passage_id", unroll(F.array_distinct(F.split("content", ""))).alias("anchor"))
-    met_short = letters.join(short, "anchor").select("query_id", "passage_id")
+    short = sized.where((F.size("w") < ANCHOR_WORDS + 2) & (F.length("query") > 0)).select("query_id", "query")
+    if not short.isEmpty():
+        met = met.unionByName(_met_by_grams(passages, short))
     return (
-        met.unionByName(met_short)
-        .join(queries, "query_id")
+        met.join(queries, "query_id")
         .join(passages.select("passage_id", "content"), "passage_id")
         .where(F.contains("content", "query"))
         .select("query_id", "passage_id")
     )
 
 
-def retrieval_quality(passages: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def retrieval_quality(index: PassageIndex, passages: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """Mean reciprocal rank and hit rates of keyword search against planted passages."""
     relevant = planted_pairs(passages, queries)
-    ranked = bm25_search(passages, queries, k)
+    ranked = bm25_search(index, queries, k)
     first = (
         ranked.join(relevant, ["query_id", "passage_id"], "left_semi").groupBy("query_id").agg(F.min("rank").alias("rank"))
     )
@@ -223,28 +286,6 @@ def centroids(vectors: DataFrame, cell: str = "label", vector: str = "embedding"
     )
 
 
-def _dot(a: Column, b: Column) -> Column:
-    products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
-
-
-def vector_search(
-    vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding"
-) -> DataFrame:
-    """The ``k`` nearest vectors of all by cosine to each query, exactly.
-
-    ``queries`` is a stated set of ``(query_id, query_vector)``, handed to every task as one
-    array; each vector is read once and scored against the whole set where it lies, and
-    only the local best ``k`` per query leave a task.
-    """
-    asked = queries.agg(F.collect_list(F.struct("query_id", "query_vector"))).scalar()
-    rows = vectors.select(key, F.col(vector).alias("v"), F.explode(asked).alias("q"))
-    v, q = F.col("v"), F.col("q.query_vector")
-    cosine = ratio(_dot(v, q), F.sqrt(_dot(v, v)) * F.sqrt(_dot(q, q)))
-    scored = rows.select(F.col("q.query_id").alias("query_id"), key, F.round(cosine, 6).alias("similarity"))
-    return top_k(scored, ["query_id"], [F.desc("similarity"), key], k)
-
-
 # --- grounding --------------------------------------------------------------------
 
 

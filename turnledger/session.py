@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,3 +64,33 @@ def durable(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="turnledger-ckpt-"))
     return df.checkpoint()
+
+
+SCRATCH = "turnledger.scratch"
+
+
+def scratch(spark: SparkSession) -> str:
+    """The shared folder for stored intermediate tables, named by ``spark.checkpoint.dir``.
+
+    Only a local session without that setting gets a temporary folder of its own. What is
+    stored there belongs to the session's owner and may go when its queries are written.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(SCRATCH, None)
+    if folder is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or "cluster" in master:
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="turnledger-scratch-")
+        spark.conf.set(SCRATCH, folder)
+    return folder.rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame as a table in the scratch folder and read it back.
+
+    Later plans see its true size and choose their joins by it; a lost executor costs a
+    read, not a recomputation.
+    """
+    path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
