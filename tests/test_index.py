@@ -190,16 +190,16 @@ def test_whole_cells_are_left_out(spark, tmp_path):
     rng = random.Random(4)
     rows = [(i, [math.cos(i % 8) + rng.gauss(0, 0.01), math.sin(i % 8) + rng.gauss(0, 0.01), 0.5]) for i in range(800)]
     _, opened = _found(spark, rows, [(1, [1.0, 0.0, 0.5])], 3, tmp_path / "v", cells=8)
-    sent = spark.sparkContext.broadcast((vectors._matrix(pa.array([[1.0, 0.0, 0.5]]), 3)[0], opened.centres))
+    sent = spark.sparkContext.broadcast((vectors._matrix(pa.array([[1.0, 0.0, 0.5]]), 3), opened.centres))
     batches = opened.codes.orderBy("cell", "key").toArrow().to_batches(max_chunksize=50)
     scored = sum(b.column("scored").to_pylist()[0] for b in vectors._kept(iter(batches), sent, 3))
     assert 3 <= scored < 0.5 * len(rows)
 
 
-def test_vectors_without_a_cosine_come_last(spark, tmp_path):
+def test_vectors_without_a_direction_have_no_similarity(spark, tmp_path):
     rows = [(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [-1.0, 0.1]), (5, [1.0, None])]
     got, _ = _found(spark, rows, [(1, [1.0, 0.0])], 5, tmp_path / "v")
-    assert got[1] == [(1, 1.0), (2, 0.0), (4, -0.995037), (3, None), (5, None)]
+    assert got[1] == [(1, 1.0), (2, 0.0), (3, 0.0), (5, 0.0), (4, -0.995037)]
     few, _ = _found(spark, rows, [(1, [1.0, 0.0])], 2, tmp_path / "w")
     assert [i for i, _ in few[1]] == [1, 2]
 

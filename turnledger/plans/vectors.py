@@ -37,9 +37,8 @@ SAMPLE = 8192  # vectors that the centres are drawn from
 ROUNDS = 4
 QUERY_ROWS = 1024  # queries that travel to the tasks at once
 SLACK = 4e-6  # single-precision sums and similarities rounded to six places
-BELOW = -2.0  # of vectors without a cosine: under every other
 
-_CODES = "key long, cell int, known boolean, code binary, scale float, left_out float, angle float"
+_CODES = "key long, cell int, code binary, scale float, left_out float, angle float"
 _KEPT = "query int, key long, low double, high double, scored long"
 
 
@@ -61,20 +60,18 @@ def _centres(sample: np.ndarray, cells: int) -> np.ndarray:
     return centres
 
 
-def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors scaled to length one (zero stays zero), and which of them have no gap."""
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """Vectors scaled to length one. A null, one with a gap or of another width is zero."""
     rows = column.to_pylist()
-    known = np.array([r is not None and len(r) == width and None not in r for r in rows], bool)
-    out = np.array([r if ok else [0.0] * width for r, ok in zip(rows, known, strict=True)], np.float64).reshape(len(rows), width)
-    size = np.linalg.norm(out, axis=1)
-    known &= np.isfinite(size)
-    out[~known] = 0
-    return out / np.where(known & (size > 0), size, 1)[:, None], known
+    out = np.array([r if r is not None and len(r) == width and None not in r else [0.0] * width for r in rows], np.float64)
+    out = out.reshape(len(rows), width)
+    size = np.linalg.norm(out, axis=1, keepdims=True)
+    return out / np.where(size > 0, size, 1)
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], centres: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        unit, known = _matrix(batch.column(1), centres.shape[1])
+        unit = _matrix(batch.column(1), centres.shape[1])
         scale = np.abs(unit).max(axis=1, initial=1e-30) / 127
         code = np.rint(unit / scale[:, None]).astype(np.int8)
         left_out = np.linalg.norm(unit - code * scale.astype(np.float32)[:, None], axis=1)
@@ -86,7 +83,6 @@ def _encoded(batches: Iterator[pa.RecordBatch], centres: np.ndarray) -> Iterator
             [
                 batch.column(0),
                 pa.array(cell, pa.int32()),
-                pa.array(known),
                 pa.array([c.tobytes() for c in code], pa.binary()),
                 pa.array(scale, pa.float32()),
                 pa.array(left_out, pa.float32()),
@@ -102,8 +98,9 @@ def write_index(vectors: DataFrame, root: str, key: str, vector: str, cells: int
     picked = sample_n(vectors.select(key, vector), key, SAMPLE).select(vector).toArrow()[vector].combine_chunks()
     widths = [len(r) for r in picked.to_pylist() if r]
     width = max(set(widths), key=widths.count) if widths else 1
-    unit, known = _matrix(picked, width)
-    centres = _centres(unit[known], cells) if known.any() else np.zeros((1, width))
+    unit = _matrix(picked, width)
+    drawn = unit[unit.any(axis=1)]
+    centres = _centres(drawn, cells) if len(drawn) else np.zeros((1, width))
     rows = vectors.select(F.col(key).cast("long").alias("key"), F.col(vector).alias("vector"))
     codes = rows.mapInArrow(partial(_encoded, centres=centres), _CODES)
     codes.repartitionByRange("cell", "key").sortWithinPartitions("cell", "key").write.parquet(f"{root}/codes")
@@ -138,20 +135,18 @@ def _kept(batches: Iterator[pa.RecordBatch], sent, k: int) -> Iterator[pa.Record
     kept: list[tuple[np.ndarray, ...]] = []
     scored = 0
     for batch in batches:
-        column = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in ("key", "cell", "known", "scale", "left_out", "angle")}
-        # a cell's nearest possible cosine; rows without a cosine are kept while the bar is low
+        column = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in ("key", "cell", "scale", "left_out", "angle")}
+        # a cell's nearest possible cosine
         near = np.maximum(0, to_centres[:, column["cell"]] - column["angle"][None] - 1e-6)
         open_ = np.cos(near) + SLACK >= bar[:, None]
-        open_ = np.where(column["known"][None], open_, bar[:, None] <= BELOW)
         some = np.flatnonzero(open_.any(axis=0))
         if not len(some):
             continue
         code = np.frombuffer(b"".join(batch.column("code").take(pa.array(some)).to_pylist()), np.int8).reshape(len(some), -1)
         scored += len(some)
         cosines = (wide @ code.T.astype(np.float32)).astype(np.float64) * column["scale"][some][None]
-        known, margin = column["known"][some][None], column["left_out"][some][None] + SLACK
-        low = np.where(known, cosines - margin, BELOW)
-        high = np.where(known, cosines + margin, BELOW)
+        margin = column["left_out"][some][None] + SLACK
+        low, high = cosines - margin, cosines + margin
         both = np.hstack([lows, np.where(open_[:, some], low, -np.inf)])
         lows = -np.partition(-both, k - 1, axis=1)[:, :k]
         bar = lows.min(axis=1)
@@ -177,7 +172,7 @@ def candidates(index: VectorIndex, queries: list[list[float]], k: int) -> DataFr
     """(query, key): all that can be among the k nearest of a query of the block."""
     spark = index.codes.sparkSession
     width = index.centres.shape[1]
-    asked, _ = _matrix(pa.array(queries, pa.list_(pa.float64())), width)
+    asked = _matrix(pa.array(queries, pa.list_(pa.float64())), width)
     sent = spark.sparkContext.broadcast((asked, index.centres))
     kept = stored(index.codes.mapInArrow(partial(_kept, sent=sent, k=k), _KEPT), "kept-vectors")
     least = top_k(kept, ["query"], [F.desc("low"), "key"], k).where(F.col("rank") == k).select("query", F.col("low").alias("bar"))
@@ -201,8 +196,8 @@ def vector_search(
     """The ``k`` nearest vectors of all by cosine to each query, exactly.
 
     ``queries`` is a stated set of ``(query_id, query_vector)`` and is taken in blocks, so its
-    size is not bounded. A zero vector has similarity 0; vectors with a gap or of another
-    width have none and come last.
+    size is not bounded. A zero vector, a null, and one with a gap or of another width have
+    similarity 0.
     """
     spark = vectors.sparkSession
     full = vectors.select(F.col(key).alias("__key"), F.col(vector).alias("v"))
