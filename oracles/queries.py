@@ -107,9 +107,10 @@ _PHONE = "'\\b\\d{3}[-.\\s]?\\d{3}[-.\\s]?\\d{4}\\b'"
 _EMAIL = "'\\b[\\w.+-]+@[\\w-]+\\.[\\w.-]+\\b'"
 _CARD = "'\\b(?:\\d[ -]*?){13,16}\\b'"
 
-_LIVE = f"""
+def _live(source: str) -> str:
+    return f"""
 m AS (SELECT *, count(*) FILTER (WHERE kind = 'turn_complete') OVER (PARTITION BY trace_id ORDER BY seq) - CASE WHEN kind = 'turn_complete' THEN 1 ELSE 0 END AS segment,
-             count(*) FILTER (WHERE kind = 'interrupted') OVER (PARTITION BY trace_id ORDER BY seq) - CASE WHEN kind = 'interrupted' THEN 1 ELSE 0 END AS era FROM v_live),
+             count(*) FILTER (WHERE kind = 'interrupted') OVER (PARTITION BY trace_id ORDER BY seq) - CASE WHEN kind = 'interrupted' THEN 1 ELSE 0 END AS era FROM {source}),
 u AS (SELECT trace_id, segment, bool_or(kind = 'turn_complete') AS complete,
              {_STRIP.format("coalesce(string_agg(text, '' ORDER BY seq) FILTER (WHERE kind = 'user_fragment'), '')")} AS user_text FROM m GROUP BY 1, 2),
 t AS (SELECT *, count(*) FILTER (WHERE user_text <> '') OVER (PARTITION BY trace_id ORDER BY segment) AS turn FROM u WHERE complete),
@@ -117,6 +118,23 @@ a AS (SELECT trace_id, segment, era, bool_or(kind = 'interrupted') AS cut,
              {_STRIP.format("coalesce(string_agg(text, '' ORDER BY seq) FILTER (WHERE kind = 'assistant_fragment'), '')")} AS agent_text FROM m GROUP BY 1, 2, 3)"""
 
 
+_LIVE = _live("v_live")
+
+# Fragments up to the ceiling, and to the close where there is one.
+_BOUNDED = f"""
+timed AS (SELECT *, ts <= min(ts) OVER (PARTITION BY trace_id) + INTERVAL 600 SECOND AS in_time FROM v_live),
+marked AS (SELECT *, in_time AND seq <= coalesce(min(seq) FILTER (WHERE in_time AND kind = 'session_close') OVER (PARTITION BY trace_id), seq) AS inside FROM timed),
+inside AS (SELECT trace_id, seq, ts, kind, text FROM marked WHERE inside),
+{_live("inside")},
+closes AS (SELECT k.trace_id, 'live_session_close' AS event_type, (epoch_us(max(ts) FILTER (WHERE inside)) - epoch_us(min(ts))) // 1000 AS duration_ms,
+  greatest(1, coalesce(max(s.turn), 0)) AS turns,
+  bool_or(inside AND kind = 'tool_call' AND text = 'escalate_to_human') AS escalated,
+  count(*) FILTER (WHERE inside AND kind = 'interrupted') AS interruptions, count(*) FILTER (WHERE inside AND kind = 'tool_call') AS tool_calls,
+  (epoch_us(min(ts) FILTER (WHERE inside AND kind = 'assistant_fragment')) - epoch_us(min(ts))) // 1000 AS first_audio_ms,
+  count(*) FILTER (WHERE NOT inside) AS late_fragments, max(ts) FILTER (WHERE inside) AS closed_at
+  FROM marked k LEFT JOIN (SELECT trace_id, max(turn) AS turn FROM t GROUP BY 1) s USING (trace_id) GROUP BY 1)"""
+
+
 def _redact(col: str) -> tuple[str, str, str]:
     p1 = f"regexp_replace({col}, {_PHONE}, '[PHONE_NUMBER]', 'g')"
     p2 = f"regexp_replace({p1}, {_EMAIL}, '[EMAIL_ADDRESS]', 'g')"
@@ -409,6 +427,14 @@ r AS (SELECT duration_ms, row_number() OVER (ORDER BY duration_ms) AS rn, count(
 SELECT count(*) AS sessions, sum(turns) / count(*) AS turns_per_session, count(*) FILTER (WHERE cuts > 0) / count(*) AS barge_in_rate, CAST(sum(tools) AS BIGINT) AS tool_calls,
   count(*) FILTER (WHERE duration_ms > 600000) AS over_ceiling,
   (SELECT {_rank(0.5, 'duration_ms', 'x')[:-5]} FROM r) AS duration_p50_ms, (SELECT {_rank(0.95, 'duration_ms', 'x')[:-5]} FROM r) AS duration_p95_ms FROM s""",
+    "live_session_close": f"""WITH {_BOUNDED}
+SELECT * EXCLUDE (closed_at), CASE WHEN escalated THEN 'escalated' ELSE 'contained' END AS outcome, {_iso('closed_at')} AS closed_at FROM closes""",
+    "live_session_summaries": f"""WITH {_BOUNDED}
+SELECT trace_id, 'voice' AS modality, NULL::VARCHAR AS customer_id, NULL::VARCHAR AS tier, NULL::VARCHAR AS journey,
+  CASE WHEN escalated THEN 'escalated' ELSE 'contained' END AS outcome, turns, duration_ms AS latency_p50_ms, 0::BIGINT AS cost_micro, {_iso('closed_at')} AS created_at FROM closes""",
+    "live_tool_mix": f"""WITH {_BOUNDED}
+SELECT text AS tool_name, count(*) AS calls, count(DISTINCT trace_id) AS sessions, count(*) / (SELECT count(*) FROM inside WHERE kind = 'tool_call') AS share
+FROM inside WHERE kind = 'tool_call' GROUP BY 1""",
 }
 
 

@@ -324,7 +324,8 @@ FROM (
   UNION ALL SELECT conv_id, turn, role, 90000, 'interrupted', NULL FROM conversations
     WHERE role = 'assistant' AND (conv_id + turn) % 5 = 0
   UNION ALL SELECT conv_id, turn, role, 90001, 'turn_complete', NULL FROM conversations WHERE role = 'assistant'
-  UNION ALL SELECT conv_id, turn, role, 90002, 'tool_call', NULL FROM conversations WHERE role = 'assistant' AND conv_id % 7 = 3
+  UNION ALL SELECT conv_id, turn, role, 90002, 'tool_call',
+    ['lookup_recent_orders', 'lookup_order_by_id', 'search_knowledge_base', 'book_service_request', 'escalate_to_human'][conv_id % 5 + 1] FROM conversations WHERE role = 'assistant' AND conv_id % 7 = 3
 )""",
 }
 

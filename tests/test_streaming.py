@@ -9,7 +9,7 @@ from turnledger.schemas import EVAL_RUNS
 from turnledger.sources import canonical as c
 from turnledger.sources.readers import bad_rows, good_rows, read_trace_log
 from turnledger.streaming import evaluate, ingest
-from turnledger.streaming.live import live_turn_stream
+from turnledger.streaming.live import live_turn_stream, summary_of_closes
 
 
 def _files(df, path, parts, order):
@@ -73,8 +73,9 @@ def test_live_turns_stream_equals_batch(spark, sf_dir, tmp_path):
         .start()
     )
     query.awaitTermination()
-    got = spark.table("live_out").where(F.col("event_type") != "live_session_close").drop("duration_ms")
-    expected = live.assemble_turns(fragments)
+    got = spark.table("live_out").where(~F.col("event_type").isin("live_session_close", "live_tool_call", "live_late_fragment"))
+    inside = live.bounded_sessions(fragments).where("in_session").drop("in_session")
+    expected = live.assemble_turns(inside)
     names = ["trace_id", "segment", "turn", "event_type", "text", "pii_redacted", "preview"]
     key = lambda r: tuple(str(v) for v in r)
     assert sorted(map(key, got.select(names).collect())) == sorted(map(key, expected.select(names).collect()))
@@ -105,6 +106,85 @@ def test_session_ceiling_closes_the_session(spark, tmp_path):
     assert rows["live_1", "live_session_close"]["duration_ms"] == 2000
 
 
+START = datetime(2024, 1, 1)
+FRAGMENTS = "trace_id string, seq long, timestamp timestamp, kind string, text string"
+
+
+def _at(seconds):
+    return START + timedelta(seconds=seconds)
+
+
+def _live_out(spark, batches, folder, name):
+    """The rows of a live stream fed one batch of fragments after the other."""
+    for rows in batches:
+        spark.createDataFrame(rows, FRAGMENTS).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    df = spark.createDataFrame(batches[0], FRAGMENTS)
+    query = (
+        live_turn_stream(_stream(spark, df, f"{folder}/in"), lateness="1 hour")
+        .writeStream.format("memory")
+        .queryName(name)
+        .option("checkpointLocation", f"{folder}/ckpt")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return spark.table(name)
+
+
+def test_a_closed_session_stays_closed(spark, tmp_path):
+    batches = [
+        [("live_1", 1, _at(0), "user_fragment", "hello "), ("live_1", 2, _at(1), "tool_call", "search_knowledge_base"),
+         ("live_2", 1, _at(0), "user_fragment", "hi"), ("live_3", 1, _at(0), "interrupted", None)],
+        [("live_1", 3, _at(2), "assistant_fragment", "yes"), ("live_1", 4, _at(3), "turn_complete", None),
+         ("live_1", 5, _at(4), "tool_call", "escalate_to_human"), ("live_1", 6, _at(5), "assistant_fragment", "cut of"),
+         ("live_1", 7, _at(6), "interrupted", None), ("live_1", 8, _at(7), "session_close", None),
+         ("live_1", 9, _at(8), "user_fragment", "too late, call 555-123-4567")],
+        [("live_1", 10, _at(9), "user_fragment", "again"), ("live_1", 11, _at(10), "turn_complete", None),
+         ("live_2", 2, _at(700), "user_fragment", "after the ceiling"), ("live_2", 3, _at(30), "turn_complete", None)],
+        [("live_4", 1, _at(20_000), "user_fragment", "moves the clock")],
+        [("live_2", 4, _at(20_010), "user_fragment", "much later"), ("live_4", 2, _at(20_020), "turn_complete", None)],
+    ]
+    out = _live_out(spark, batches, tmp_path, "closed_out")
+    closes = {r["trace_id"]: r for r in out.where("event_type = 'live_session_close'").collect()}
+    assert out.where("event_type = 'live_session_close'").count() == len(closes)  # never a second close
+    one = closes["live_1"]
+    assert (one["turn"], one["duration_ms"], one["escalated"], one["outcome"], one["closed_at"]) == (1, 7000, True, "escalated", _at(7))
+    assert (closes["live_2"]["turn"], closes["live_2"]["duration_ms"], closes["live_2"]["outcome"]) == (1, 30_000, "contained")
+    assert closes["live_3"]["turn"] == 1  # one at least
+    late = [(r["trace_id"], r["text"]) for r in out.where("event_type = 'live_late_fragment'").collect()]
+    assert sorted(late, key=str) == sorted(
+        [("live_1", "too late, call [PHONE_NUMBER]"), ("live_1", "again"), ("live_1", None), ("live_2", "after the ceiling"), ("live_2", "much later")],
+        key=str,
+    )
+    tools = [(r["trace_id"], r["tool_name"]) for r in out.where("event_type = 'live_tool_call'").collect()]
+    assert sorted(tools) == [("live_1", "escalate_to_human"), ("live_1", "search_knowledge_base")]
+    assert out.where("event_type = 'live_interruption'").count() == 2
+
+    summary_of_closes(str(tmp_path / "summaries"))(out, 0)
+    summary_of_closes(str(tmp_path / "summaries"))(out, 0)  # replayed
+    rows = {r["trace_id"]: r for r in spark.read.parquet(str(tmp_path / "summaries")).collect()}
+    assert len(rows) == len(closes)
+    assert (rows["live_1"]["modality"], rows["live_1"]["outcome"], rows["live_1"]["turns"], rows["live_1"]["latency_p50_ms"]) == ("voice", "escalated", 1, 7000)
+
+
+def test_closed_sessions_equal_the_batch_job(spark, sf_dir, tmp_path):
+    fragments = c.live_fragments(spark, sf_dir)
+    ends = fragments.groupBy("trace_id").agg(F.max("seq").alias("seq"), F.max("timestamp").alias("timestamp"))
+    # half of the sessions are closed a turn before their last fragments
+    some = ends.where("hash(trace_id) % 2 = 0").select(
+        "trace_id", (F.col("seq") - 100_000).alias("seq"), "timestamp", F.lit("session_close").alias("kind"), F.lit("").alias("text")
+    )
+    shut = fragments.unionByName(some.where("seq > 0"))
+    batches = [[tuple(r) for r in shut.select("trace_id", "seq", "timestamp", "kind", "text").orderBy("seq").collect()]]
+    newest = max(r[2] for r in batches[0])
+    batches.append([("zz", 1, newest + timedelta(days=30), "user_fragment", "moves the clock")])
+    out = _live_out(spark, batches, tmp_path, "twin_out").where("event_type = 'live_session_close' AND trace_id <> 'zz'")
+    got = {(r["trace_id"], r["turn"], r["duration_ms"], r["escalated"], r["outcome"], r["closed_at"]) for r in out.collect()}
+    twin = live.session_closes(shut).collect()
+    assert got == {(r["trace_id"], r["turns"], r["duration_ms"], r["escalated"], r["outcome"], r["closed_at"]) for r in twin}
+    assert any(r["late_fragments"] for r in twin) and any(r["escalated"] for r in twin)
+
+
 def test_rolling_outcomes_equal_batch_for_closed_windows(spark, sf_dir, tmp_path):
     rows = c.conversations(spark, sf_dir)
     _files(rows, str(tmp_path / "in"), 3, "created_at")

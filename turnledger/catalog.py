@@ -506,3 +506,19 @@ def live_turns(s, d):
 @query
 def live_session_kpis(s, d):
     return live.live_session_kpis(c.live_fragments(s, d))
+
+
+@query
+def live_session_close(s, d):
+    return live.session_closes(c.live_fragments(s, d)).withColumn("closed_at", iso_millis("closed_at"))
+
+
+@query
+def live_session_summaries(s, d):
+    rows = live.close_summaries(live.session_closes(c.live_fragments(s, d)))
+    return rows.withColumn("created_at", iso_millis("created_at"))
+
+
+@query
+def live_tool_mix(s, d):
+    return live.tool_mix(c.live_fragments(s, d))

@@ -9,7 +9,7 @@ from turnledger.functions.scoring import ratio
 from turnledger.functions.text import redact, strip
 from turnledger.operators import ordered
 from turnledger.operators.ranking import at_rank, with_ranks
-from turnledger.schemas import DEFAULT_POLICY
+from turnledger.schemas import DEFAULT_POLICY, HANDOVER_TOOL
 
 PREVIEW_CHARS = 200
 
@@ -97,6 +97,88 @@ def session_rows(fragments: DataFrame) -> DataFrame:
     return figures.join(spoken, "trace_id", "left").select(*figures.columns, turns)
 
 
+def bounded_sessions(fragments: DataFrame, ceiling_seconds: int = DEFAULT_POLICY.session_ceiling_seconds) -> DataFrame:
+    """Add ``in_session``: a session ends with its first ``session_close``, or at the ceiling
+    counted from its first fragment; what comes after is late."""
+    in_time = F.col("timestamp") <= F.col("__first") + F.make_dt_interval(secs=F.lit(ceiling_seconds))
+    starts = fragments.groupBy("trace_id").agg(F.min("timestamp").alias("__first"))
+    timed = fragments.join(starts, "trace_id").withColumn("__in_time", in_time)
+    ends = timed.where(F.col("__in_time") & (F.col("kind") == "session_close"))
+    ends = ends.groupBy("trace_id").agg(F.min("seq").alias("__end"))
+    open_ = F.coalesce(F.col("seq") <= F.col("__end"), F.lit(True))
+    return timed.join(ends, "trace_id", "left").select(
+        *fragments.columns, (F.col("__in_time") & open_).alias("in_session")
+    )
+
+
+def session_closes(fragments: DataFrame, ceiling_seconds: int = DEFAULT_POLICY.session_ceiling_seconds) -> DataFrame:
+    """The close row of every session: how long it was, its turns (one at least), whether it
+    was handed over, and what arrived too late to count."""
+    marked = bounded_sessions(fragments, ceiling_seconds)
+    inside = marked.where("in_session").drop("in_session")
+    kind, at = F.col("kind"), F.unix_micros("timestamp")
+    more = marked.groupBy("trace_id").agg(
+        F.coalesce(F.bool_or(F.col("in_session") & (kind == "tool_call") & (F.col("text") == HANDOVER_TOOL)), F.lit(False)).alias(
+            "escalated"
+        ),
+        F.count_if(~F.col("in_session")).alias("late_fragments"),
+        F.max(F.when(F.col("in_session"), F.col("timestamp"))).alias("closed_at"),
+        F.floor((F.max(F.when(F.col("in_session"), at)) - F.min(at)) / 1000).alias("open_ms"),
+        F.floor(
+            (F.min(F.when(F.col("in_session") & (kind == "assistant_fragment"), at)) - F.min(at)) / 1000
+        ).alias("first_audio_ms"),
+    )
+    return session_rows(inside).join(more, "trace_id").select(
+        "trace_id",
+        F.lit("live_session_close").alias("event_type"),
+        F.col("open_ms").alias("duration_ms"),
+        "turns",
+        "escalated",
+        outcome_of("escalated").alias("outcome"),
+        "interruptions",
+        "tool_calls",
+        "first_audio_ms",
+        "late_fragments",
+        "closed_at",
+    )
+
+
+def outcome_of(escalated: str) -> Column:
+    return F.when(F.col(escalated), "escalated").otherwise("contained")
+
+
+def close_summaries(closes: DataFrame) -> DataFrame:
+    """Close rows as rows of the conversation summary. A live session is a voice
+    conversation there; its cost is not known."""
+    none = F.lit(None).cast("string")
+    return closes.where(F.col("event_type") == "live_session_close").select(
+        "trace_id",
+        F.lit("voice").alias("modality"),
+        none.alias("customer_id"),
+        none.alias("tier"),
+        none.alias("journey"),
+        "outcome",
+        "turns",
+        F.col("duration_ms").alias("latency_p50_ms"),
+        F.lit(0).cast("long").alias("cost_micro"),
+        F.col("closed_at").alias("created_at"),
+    )
+
+
+def tool_calls(fragments: DataFrame, ceiling_seconds: int = DEFAULT_POLICY.session_ceiling_seconds) -> DataFrame:
+    """The log row of every tool call made while its session was open."""
+    inside = bounded_sessions(fragments, ceiling_seconds).where(F.col("in_session") & (F.col("kind") == "tool_call"))
+    return inside.select("trace_id", "seq", F.lit("live_tool_call").alias("event_type"), F.col("text").alias("tool_name"))
+
+
+def tool_mix(fragments: DataFrame, ceiling_seconds: int = DEFAULT_POLICY.session_ceiling_seconds) -> DataFrame:
+    """Calls of each tool, the sessions that made them, and the share of all calls."""
+    used = tool_calls(fragments, ceiling_seconds).groupBy("tool_name", "trace_id").agg(F.count("*").alias("n"))
+    mix = used.groupBy("tool_name").agg(F.sum("n").alias("calls"), F.count("*").alias("sessions"))
+    total = mix.agg(F.sum("calls")).scalar()
+    return mix.select("tool_name", "calls", "sessions", ratio("calls", total).alias("share"))
+
+
 def live_session_kpis(fragments: DataFrame, ceiling_seconds: int = DEFAULT_POLICY.session_ceiling_seconds) -> DataFrame:
     by_duration = session_rows(fragments).groupBy("duration_ms").agg(
         F.count("*").alias("sessions"),

@@ -19,6 +19,15 @@ ROUTER_INTENTS = (
     "out_of_scope",
 )
 OUTCOMES = ("contained", "escalated", "refused", "in_progress")
+# The tools a live voice session can call; the last hands over to a person.
+LIVE_TOOLS = (
+    "lookup_recent_orders",
+    "lookup_order_by_id",
+    "search_knowledge_base",
+    "book_service_request",
+    "escalate_to_human",
+)
+HANDOVER_TOOL = LIVE_TOOLS[-1]
 ORDER_STATUSES = ("delivered", "in_transit", "processing")
 RUN_SOURCES = ("golden", "production")
 SAMPLE_MODALITIES = ("voice", "chat", "all")

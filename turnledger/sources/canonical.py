@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnledger.schemas import REFUSAL_TEXT
+from turnledger.schemas import LIVE_TOOLS, REFUSAL_TEXT
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -463,17 +463,18 @@ def live_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
     )
 
-    def signal(kind: str, part: int) -> Column:
-        return F.struct(
-            F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("text"), F.lit(part).cast("long").alias("part")
-        )
+    def signal(kind: str, part: int, text: Column | None = None) -> Column:
+        said = F.lit(None).cast("string") if text is None else text
+        return F.struct(F.lit(kind).alias("kind"), said.alias("text"), F.lit(part).cast("long").alias("part"))
+
+    tool = F.element_at(F.array(*[F.lit(n) for n in LIVE_TOOLS]), (F.col("conv_id") % len(LIVE_TOOLS) + 1).cast("int"))
 
     cut = ~is_user & ((F.col("conv_id") + F.col("turn")) % 5 == 0)
     tail = F.array_compact(
         F.array(
             F.when(cut, signal("interrupted", 90_000)),
             F.when(~is_user, signal("turn_complete", 90_001)),
-            F.when(~is_user & (F.col("conv_id") % 7 == 3), signal("tool_call", 90_002)),
+            F.when(~is_user & (F.col("conv_id") % 7 == 3), signal("tool_call", 90_002, tool)),
         )
     )
     start = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("conv_id") * 600)
