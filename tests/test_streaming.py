@@ -174,7 +174,11 @@ def test_closed_sessions_equal_the_batch_job(spark, sf_dir, tmp_path):
     some = ends.where("hash(trace_id) % 2 = 0").select(
         "trace_id", (F.col("seq") - 100_000).alias("seq"), "timestamp", F.lit("session_close").alias("kind"), F.lit("").alias("text")
     )
-    shut = fragments.unionByName(some.where("seq > 0"))
+    starts = fragments.groupBy("trace_id").agg(F.min("seq").alias("seq"), F.min("timestamp").alias("timestamp"))
+    handed = starts.where("hash(trace_id) % 3 = 0").select(
+        "trace_id", (F.col("seq") + 50_000).alias("seq"), "timestamp", F.lit("tool_call").alias("kind"), F.lit("escalate_to_human").alias("text")
+    )
+    shut = fragments.unionByName(some.where("seq > 0")).unionByName(handed)
     batches = [[tuple(r) for r in shut.select("trace_id", "seq", "timestamp", "kind", "text").orderBy("seq").collect()]]
     newest = max(r[2] for r in batches[0])
     batches.append([("zz", 1, newest + timedelta(days=30), "user_fragment", "moves the clock")])
