@@ -19,9 +19,10 @@ from turnledger.plans import (
     texts,
     traces,
 )
+from turnledger.operators.sampling import hash_order
 from turnledger.schemas import CONVERSATIONS, EVAL_RUNS, LABELLED_SET, QUERY_RESULTS, TRACE_EVENTS
 from turnledger.sources import canonical as c
-from turnledger.sources import readers, sinks
+from turnledger.sources import listing, readers, sinks
 
 NOW = datetime(2024, 1, 31)
 
@@ -184,7 +185,9 @@ def test_run_table_append_and_reload(spark, sf_dir, tmp_path):
     table = c.eval_runs(evaluation.run_rows(c.eval_results(spark, sf_dir), ["run_id"]))
     path = str(tmp_path / "eval_runs")
     sinks.append_runs(table, path)
-    sinks.append_runs(table.limit(1), path)
+    sinks.append_runs(table.limit(1), path)  # a retry
+    assert spark.read.schema(EVAL_RUNS).parquet(path).count() == table.count()
+    sinks.append_runs(table.limit(1).withColumn("run_id", F.lit("evr_more")), path)
     assert spark.read.schema(EVAL_RUNS).parquet(path).count() == table.count() + 1
     with pytest.raises(ValueError):
         sinks.append_runs(table.drop("git_sha"), path)
@@ -194,6 +197,55 @@ def test_run_table_append_and_reload(spark, sf_dir, tmp_path):
     assert ("eval_runs", str(table.count())) in first
 
 
+def test_a_reload_that_fails_halfway_changes_no_table(spark, sf_dir, tmp_path):
+    root = str(tmp_path / "wh")
+    table = c.eval_runs(evaluation.run_rows(c.eval_results(spark, sf_dir), ["run_id"]))
+    talks, people = c.conversations(spark, sf_dir), c.customers(spark, sf_dir)
+    sinks.reload_tables({"conversations": talks, "customers_context": people, "eval_runs": table}, root)
+    broken = people.withColumn("customer_id", F.raise_error(F.lit("halfway")).cast("string"))
+    with pytest.raises(Exception, match="halfway"):
+        sinks.reload_tables({"conversations": talks.limit(1), "customers_context": broken, "eval_runs": table.limit(1)}, root)
+    counts = {n: readers.read_table(spark, root, n).count() for n in ("conversations", "customers_context", "eval_runs")}
+    assert counts == {"conversations": talks.count(), "customers_context": people.count(), "eval_runs": table.count()}
+    sinks.reload_tables({"eval_runs": table.limit(1)}, root)  # the others stay
+    assert readers.read_table(spark, root, "eval_runs").count() == 1
+    assert readers.read_table(spark, root, "conversations").count() == talks.count()
+
+
+def test_two_writers_of_one_version(spark, tmp_path):
+    root = str(tmp_path)
+    empty = listing.read_manifest(spark, root)
+    assert empty.version == -1
+    first = listing.commit(spark, root, empty, {"a": 1})
+    with pytest.raises(RuntimeError):
+        listing.commit(spark, root, empty, {"a": 2})
+    assert listing.read_manifest(spark, root) == first
+    assert listing.read_manifest(spark, root, listing.commit(spark, root, first, {"a": 3}).version).entries == {"a": 3}
+
+
+def test_the_latest_run_is_found_by_its_folder(spark, tmp_path):
+    root = str(tmp_path / "runs")
+    results = _results(spark, [_result("q")])
+    for run in ("r1", "r10", "r2"):
+        sinks.write_run(results.withColumn("run_id", F.lit(run)), {}, root)
+    assert readers.read_latest_results(spark, str(tmp_path / "none")).count() == 0
+    latest = readers.read_latest_results(spark, f"{root}/results")
+    assert {f.split("run_id=")[1].split("/")[0] for f in latest.inputFiles()} == {"r2"}
+    assert latest.first()["run_id"] == "r2"
+
+
+def test_sampling_takes_ranges_of_the_hash_order(spark):
+    """More blank conversations than the first ranges hold, and fewer than asked."""
+    talks = _conversations(spark, [_conversation(f"trc_{i}") for i in range(120)])
+    said = lambda i: "hello" if i % 12 == 0 else " "
+    events = spark.createDataFrame([_event(f"trc_{i}", 1, "user_message", said(i)) for i in range(120)], TRACE_EVENTS)
+    order = [r["trace_id"] for r in talks.orderBy(hash_order("trace_id", "0")).select("trace_id").collect()]
+    heard = [t for t in order if int(t[4:]) % 12 == 0]
+    for n in (1, 3, 10, 40):
+        drawn = evaluation.first_heard(talks, events, n, growth=2)
+        assert [r["trace_id"] for r in drawn.collect()] == heard[:n]
+
+
 def test_label_set_round_trip(spark, sf_dir, tmp_path):
     labelled = texts.label_set(c.utterance_groups(spark, sf_dir))
     path = str(tmp_path / "labels")

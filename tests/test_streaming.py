@@ -2,12 +2,15 @@
 
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from turnledger.plans import live, readout, traces
 from turnledger.schemas import EVAL_RUNS
 from turnledger.sources import canonical as c
+from turnledger.sources import listing
 from turnledger.sources.readers import bad_rows, good_rows, read_trace_log
+from turnledger.sources.sinks import write_log
 from turnledger.streaming import evaluate, ingest
 from turnledger.streaming.live import live_turn_stream, summary_of_closes
 
@@ -52,13 +55,36 @@ def test_summary_upsert_equals_batch(spark, sf_dir, tmp_path):
     merged = ingest.current_summaries(spark, str(tmp_path / "out"))
     expected = traces.collapse_summaries(log)
     assert merged.exceptAll(expected).count() == 0 and expected.exceptAll(merged).count() == 0
-    # a replayed batch must change nothing
-    again = spark.read.parquet(str(tmp_path / "in"))
-    writer = ingest.batch_folder(str(tmp_path / "replay"), ingest.summary_partials)
-    writer(again, 0)
-    writer(again, 0)
-    replayed = ingest.current_summaries(spark, str(tmp_path / "replay"))
-    assert replayed.exceptAll(expected).count() == 0 and replayed.count() == expected.count()
+
+
+def test_summary_levels_bound_reads_and_replays_change_nothing(spark, sf_dir, tmp_path):
+    log = c.summary_log(spark, sf_dir).where("hash(trace_id) % 4 = 0")
+    root = str(tmp_path / "store")
+    store = ingest.SummaryStore(spark, root, fan_in=3)
+    assert store.read().count() == 0
+    parts = [log.where(F.abs(F.hash("trace_id", "created_at")) % 14 == i) for i in range(14)]
+    for i, part in enumerate(parts):
+        store.add(ingest.summary_partials(part), i)
+        live = store.segments()
+        assert all(sum(s["level"] == n for s in live) < 3 for n in range(4))  # few per level
+        assert sorted(b for s in live for b in range(s["first"], s["last"] + 1)) == list(range(i + 1))
+    assert len(store.segments()) <= 5 and max(s["level"] for s in store.segments()) == 2
+    read = store.read()
+    assert len(read.inputFiles()) < len(parts) * 2  # files of live segments only
+    expected = traces.collapse_summaries(log)
+    assert read.exceptAll(expected).count() == 0 and expected.exceptAll(read).count() == 0
+    before = store.segments()
+    for i in (0, 7, 13):
+        store.add(ingest.summary_partials(parts[i]), i)
+    assert store.segments() == before
+    # what no recent manifest names is gone
+    kept = {s["name"] for s in before}
+    assert len(listing.names(spark, f"{root}/segments")) <= len(kept) + 3
+    # a batch that fails before its commit leaves the store as it was
+    broken = ingest.summary_partials(parts[0]).withColumn("turns", F.raise_error(F.lit("broken")).cast("long"))
+    with pytest.raises(Exception, match="broken"):
+        store.add(broken, 99)
+    assert store.segments() == before and store.read().exceptAll(expected).count() == 0
 
 
 def test_live_turns_stream_equals_batch(spark, sf_dir, tmp_path):
@@ -212,8 +238,10 @@ def test_incremental_evaluation_judges_each_conversation_once(spark, sf_dir, tmp
     source = str(tmp_path / "in")
     _files(rows, source, 2, "created_at")
     args = (str(tmp_path / "runs"), str(tmp_path / "ckpt"))
-    evaluate.evaluate_stream(_stream(spark, rows, source), events, *args).awaitTermination()
-    evaluate.evaluate_stream(_stream(spark, rows, source), events, *args).awaitTermination()  # nothing new
+    log = str(tmp_path / "log")
+    write_log(events, log)
+    evaluate.evaluate_stream(_stream(spark, rows, source), log, *args).awaitTermination()
+    evaluate.evaluate_stream(_stream(spark, rows, source), log, *args).awaitTermination()  # nothing new
     runs = spark.read.schema(EVAL_RUNS).parquet(f"{args[0]}/batch_id=*")
     judged = evaluate.turns_to_judge(rows, events).count()
     assert runs.count() == 2
@@ -221,6 +249,19 @@ def test_incremental_evaluation_judges_each_conversation_once(spark, sf_dir, tmp
     assert runs.where("refusal_precision IS NOT NULL").count() == 0
 
 
+def test_a_batch_reads_only_the_days_of_the_log_it_needs(spark, sf_dir, tmp_path):
+    rows, events = c.conversations(spark, sf_dir), c.trace_events(spark, sf_dir)
+    log = str(tmp_path / "log")
+    write_log(events, log)
+    days = listing.partition_values(spark, log, "event_date")
+    day = rows.where(F.to_date("created_at") == days[10])
+    near = evaluate.log_around(spark, log, day)
+    assert {f.split("event_date=")[1][:10] for f in near.inputFiles()} == set(days[9:12])
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(evaluate.turns_to_judge(day, near)) == key(evaluate.turns_to_judge(day, events)) != []
+    assert evaluate.log_around(spark, log, day.where("false")).count() == 0
+
+
 def test_replies_are_verified_after_the_turn(spark, tmp_path):
     from turnledger.streaming.live import verify_after_turn
 

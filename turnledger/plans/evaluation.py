@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,10 +19,11 @@ from turnledger.functions.scoring import (
 )
 from turnledger.functions.text import contains_all, contains_none, iso_millis, not_blank
 from turnledger.operators.ranking import at_rank, nearest_rank, with_ranks
-from turnledger.operators.sampling import sample_n, sample_per_stratum
+from turnledger.operators.sampling import hash_order, sample_n, sample_per_stratum
 from turnledger.plans.judging import recorded_judge, rule_judge
 from turnledger.plans.traces import parse_payload
 from turnledger.schemas import SPECIALIST_JOURNEYS
+from turnledger.session import stored
 
 PERCENTILES = {"latency_p50_ms": 0.5, "latency_p95_ms": 0.95}
 
@@ -331,19 +333,37 @@ def production_sample(
     if log_from is not None:
         events = events.where(F.col("timestamp") >= F.lit(log_from))
     if not sample_first:
-        heard = (
-            events.where(F.col("event_type").isin(*USER_KINDS))
-            .join(fresh.select("trace_id"), "trace_id", "left_semi")
-            .groupBy("trace_id")
-            .agg(F.min_by("input_text", F.struct("timestamp", "event_id")).alias("__first"))
-            .where(not_blank("__first"))
-            .select("trace_id")
-        )
-        fresh = fresh.join(heard, "trace_id", "left_semi")
+        return first_heard(fresh, events, sample_size, seed)
     drawn = sample_n(fresh, "trace_id", sample_size, seed)
-    chosen = drawn.select("trace_id")
-    log = events.join(chosen, "trace_id", "left_semi")
-    return with_turns(drawn, reconstruct(log, live=not sample_first))
+    log = events.join(drawn.select("trace_id"), "trace_id", "left_semi")
+    return with_turns(drawn, reconstruct(log, live=False))
+
+
+def first_heard(fresh: DataFrame, events: DataFrame, n: int, seed: str = "0", growth: int = 4) -> DataFrame:
+    """The first ``n`` conversations in hash order that are not blank, with their turns.
+
+    Conversations are taken in ranges of the hash order. Only those of a range meet the log,
+    as a small side, and only their rows are grouped; their rebuilt turn tells which are
+    blank. The sample is complete when ``n`` were heard, since every later hash is larger,
+    or when the conversations have run out; until then the next range is larger by
+    ``growth``.
+    """
+    place = hash_order("trace_id", seed)
+    ranked = fresh.withColumn("__place", place)
+    size, heard, parts, last = 2 * n + 8, 0, [], None
+    while True:
+        later = ranked if last is None else ranked.where(F.struct("__place", "trace_id") > last)
+        drawn = stored(later.orderBy("__place", "trace_id").limit(size), "drawn")
+        chosen = drawn.drop("__place")
+        log = events.join(chosen.select("trace_id"), "trace_id", "left_semi")
+        parts.append(stored(with_turns(chosen, reconstruct(log)), "heard"))
+        heard += parts[-1].count()
+        end = drawn.agg(F.count("*").alias("rows"), F.max(F.struct("__place", "trace_id")).alias("last")).first()
+        if heard >= n or end["rows"] < size:
+            break
+        last = F.struct(F.lit(end["last"]["__place"]).alias("__place"), F.lit(end["last"]["trace_id"]).alias("trace_id"))
+        size *= growth
+    return sample_n(reduce(DataFrame.unionByName, parts), "trace_id", n, seed)
 
 
 def with_turns(conversations: DataFrame, rebuilt: DataFrame) -> DataFrame:

@@ -274,3 +274,21 @@ PAYLOAD = {
     "voice": "string",
     "audio_url": "string",
 }
+
+_LATEST = struct_of(
+    ("modality", _S, True),
+    ("customer_id", _S, True),
+    ("tier", _S, True),
+    ("journey", _S, True),
+    ("outcome", _S, True),
+    ("latency_p50_ms", _L, True),
+)
+# What a batch adds to the summary of a trace.
+PARTIALS = struct_of(
+    ("trace_id", _S, True),
+    ("latest", _LATEST, True),
+    ("latest_at", struct_of(("created_at", _TS, True), ("latency_p50_ms", _L, True), ("outcome", _S, True)), True),
+    ("turns", _L, True),
+    ("cost_micro", _L, True),
+    ("created_at", _TS, True),
+)

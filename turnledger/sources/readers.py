@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnledger.schemas import LABELLED_SET, QUERY_RESULTS, TRACE_EVENTS
+from turnledger.schemas import LABELLED_SET, QUERY_RESULTS, TABLES, TRACE_EVENTS
+from turnledger.sources.listing import partition_values, read_manifest
 
 CORRUPT = "_corrupt_record"
 
@@ -24,16 +27,35 @@ def read_label_set(spark: SparkSession, path: str, limit: int | None = None) ->
     return rows if limit is None else rows.orderBy("query_id").limit(limit)
 
 
+_RUN_RESULTS = T.StructType([*QUERY_RESULTS.fields, T.StructField("run_id", T.StringType())])
+
+
 def read_results(spark: SparkSession, root: str) -> DataFrame:
     """Per-query results of all runs; ``run_id`` is the partition column."""
-    schema = T.StructType([*QUERY_RESULTS.fields, T.StructField("run_id", T.StringType())])
-    return spark.read.schema(schema).option("basePath", root).json(f"{root}/run_id=*/")
+    return spark.read.schema(_RUN_RESULTS).option("basePath", root).json(f"{root}/run_id=*/")
 
 
 def read_latest_results(spark: SparkSession, root: str) -> DataFrame:
-    """Results of the greatest run id; the other runs' folders are not read."""
-    rows = read_results(spark, root)
-    return rows.where(F.col("run_id") == rows.agg(F.max("run_id")).scalar())
+    """Results of the greatest run id, which is found among the names of the runs' folders;
+    no other run's files are opened."""
+    runs = partition_values(spark, root, "run_id")
+    if not runs:
+        return spark.createDataFrame([], _RUN_RESULTS)
+    return spark.read.schema(_RUN_RESULTS).option("basePath", root).json(f"{root}/run_id={runs[-1]}")
+
+
+def read_log_days(spark: SparkSession, root: str, first: date, last: date, schema: T.StructType = TRACE_EVENTS) -> DataFrame:
+    """The rows of a day-partitioned log from the first to the last day. Only the folders of
+    those days are listed and read."""
+    days = [d for d in partition_values(spark, root, "event_date") if first.isoformat() <= d <= last.isoformat()]
+    if not days:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[f"{root}/event_date={d}" for d in days])
+
+
+def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A table as the newest completed load left it."""
+    return spark.read.schema(TABLES[name]).parquet(f"{root}/{name}/{read_manifest(spark, root).entries[name]}")
 
 
 def read_fixture(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

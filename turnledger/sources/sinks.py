@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Mapping
 from dataclasses import asdict
 
@@ -16,6 +17,8 @@ from turnledger.plans.evaluation import journey_counts, run_rows
 from turnledger.plans.traces import load_counts
 from turnledger.schemas import EVAL_RUNS, TABLES, Policy
 from turnledger.session import durable
+from turnledger.sources.listing import Manifest, commit, read_manifest, vacuum
+from turnledger.sources.readers import read_table
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -33,7 +36,9 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def append_runs(runs: DataFrame, path: str) -> None:
-    conform(runs, EVAL_RUNS).write.mode("append").parquet(path)
+    """Append run rows. A run has a folder of its own, so a retry replaces what it wrote."""
+    rows = conform(runs, EVAL_RUNS).withColumn("run", F.col("run_id"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(path)
 
 
 def load_ndjson(spark: SparkSession, source: str, schema: T.StructType, path: str) -> None:
@@ -41,13 +46,22 @@ def load_ndjson(spark: SparkSession, source: str, schema: T.StructType, path: st
 
 
 def reload_tables(frames: Mapping[str, DataFrame], root: str) -> DataFrame:
-    """Replace every table and return the row counts of what was stored."""
-    stored = {}
+    """Replace all tables in one step and return the row counts of what was stored.
+
+    Every table is written to a folder of its own first; one manifest then names the new
+    folders. A load that fails anywhere leaves all tables as they were, tables that are not
+    in ``frames`` stay, and the load before the last can still be read.
+    """
+    spark = next(iter(frames.values())).sparkSession
+    before = read_manifest(spark, root)
+    load = f"load-{uuid.uuid4().hex}"
     for name, df in frames.items():
-        path = f"{root}/{name}"
-        conform(df, TABLES[name]).write.mode("overwrite").parquet(path)
-        stored[name] = df.sparkSession.read.schema(TABLES[name]).parquet(path)
-    return load_counts(stored)
+        conform(df, TABLES[name]).write.parquet(f"{root}/{name}/{load}")
+    entries = before.entries | dict.fromkeys(frames, load)
+    commit(spark, root, before, entries)
+    used = {f"{root}/{n}": {m.entries[n] for m in (before, Manifest(0, entries)) if n in m.entries} for n in entries}
+    vacuum(spark, root, used)
+    return load_counts({name: read_table(spark, root, name) for name in frames})
 
 
 def write_log(events: DataFrame, path: str) -> None:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from datetime import timedelta
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -12,7 +14,9 @@ from turnledger.plans.evaluation import (
     reconstruct,
     with_turns,
 )
-from turnledger.schemas import EVAL_RUNS
+from turnledger.schemas import EVAL_RUNS, TRACE_EVENTS
+from turnledger.session import stored
+from turnledger.sources.readers import read_log_days
 from turnledger.sources.sinks import conform
 
 
@@ -22,19 +26,40 @@ def turns_to_judge(conversations: DataFrame, events: DataFrame) -> DataFrame:
     return with_turns(conversations, reconstruct(log))
 
 
+LOG_DAYS = 1  # how far the log of a conversation lies from its summary's day
+
+
+def log_around(spark: SparkSession, path: str, conversations: DataFrame, days: int = LOG_DAYS) -> DataFrame:
+    """The part of a day-partitioned log that can belong to the conversations: the folders
+    of their days and of ``days`` before and after."""
+    ends = conversations.agg(F.to_date(F.min("created_at")), F.to_date(F.max("created_at"))).first()
+    if ends[0] is None:
+        return spark.createDataFrame([], TRACE_EVENTS)
+    more = timedelta(days=days)
+    return read_log_days(spark, path, ends[0] - more, ends[1] + more)
+
+
 def evaluate_stream(
-    conversations: DataFrame, events: DataFrame, root: str, checkpoint: str, git_sha: str = "unknown", modality: str = "all"
+    conversations: DataFrame,
+    log_path: str,
+    root: str,
+    checkpoint: str,
+    git_sha: str = "unknown",
+    modality: str = "all",
+    log_days: int = LOG_DAYS,
 ) -> StreamingQuery:
     """Judge what arrived since the last trigger and write one run row per batch.
 
-    The checkpoint is the mark, so no conversation is judged twice; the run row carries
+    A batch is stored once and meets only the days of the log it can belong to. The
+    checkpoint is the mark, so no conversation is judged twice; the run row carries
     the newest conversation time for the batch job's mark. An empty batch writes
     nothing, and a replayed batch replaces its own row.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         fresh = batch if modality == "all" else batch.where(F.col("modality") == modality)
-        judged = turns_to_judge(fresh, events)
+        fresh = stored(fresh, "fresh-conversations")
+        judged = turns_to_judge(fresh, log_around(fresh.sparkSession, log_path, fresh, log_days))
         run_id = f"evr_stream_{batch_id:08d}"
         newest = fresh.agg(F.max("created_at").alias("created_at"), F.first(F.lit(run_id)).alias("run_id"))
         row = production_run(production_results(judged, run_id), modality).join(newest, "run_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,8 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from turnledger.plans.readout import outcome_windows
 from turnledger.plans.traces import event_rules, quarantine
+from turnledger.schemas import PARTIALS
+from turnledger.sources.listing import Manifest, commit, read_manifest, vacuum
 
 LATENESS = "10 minutes"
 
@@ -59,18 +62,20 @@ def summary_partials(log: DataFrame) -> DataFrame:
 
 
 def merge_partials(partials: DataFrame) -> DataFrame:
-    return (
-        partials.groupBy("trace_id")
-        .agg(
-            F.max_by("latest", "latest_at").alias("l"),
-            F.sum("turns").alias("turns"),
-            F.sum("cost_micro").alias("cost_micro"),
-            F.min("created_at").alias("created_at"),
-        )
-        .select("trace_id", "l.*", "turns", "cost_micro", "created_at")
+    """Partials of a trace as one partial: merging may be done in any grouping."""
+    return partials.groupBy("trace_id").agg(
+        F.max_by("latest", "latest_at").alias("latest"),
+        F.max("latest_at").alias("latest_at"),
+        F.sum("turns").alias("turns"),
+        F.sum("cost_micro").alias("cost_micro"),
+        F.min("created_at").alias("created_at"),
     )
 
 
+def summaries_of(partials: DataFrame) -> DataFrame:
+    return merge_partials(partials).select("trace_id", "latest.*", "turns", "cost_micro", "created_at")
+
+
 def batch_folder(root: str, make: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` writer with one folder per batch. A replayed batch replaces
     its own folder, so a failure between write and commit changes nothing."""
@@ -81,11 +86,66 @@ def batch_folder(root: str, make: Callable[[DataFrame], DataFrame]) -> Callable[
     return write
 
 
-def upsert_summaries(log: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
-    """Keep one row per trace without rewriting history: batches append partials, and
-    ``current_summaries`` merges them when read."""
+FAN_IN = 8  # segments of a level that become one of the next
+
+
+class SummaryStore:
+    """One partial per trace and segment, in levels, under a manifest.
+
+    A batch adds a segment to level 0. ``FAN_IN`` segments of a level are merged into one of
+    the next, so after ``b`` batches a read opens fewer than ``FAN_IN`` segments per level and
+    there are about ``log(b)`` levels; a row is rewritten once per level. The manifest names
+    the live segments and the batches in each. A batch that is already in it is not written
+    again, whatever level it has moved to, and a failure before the commit changes nothing.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, fan_in: int = FAN_IN) -> None:
+        self.spark, self.root, self.fan_in = spark, root, fan_in
+
+    def segments(self, manifest: Manifest | None = None) -> list[dict]:
+        """Live segments: level, name, first and last batch; a segment holds every batch
+        between its two."""
+        return (manifest or read_manifest(self.spark, self.root)).entries.get("segments", [])
+
+    def _write(self, rows: DataFrame, level: int, first: int, last: int) -> dict:
+        name = f"level{level}-{first:09d}-{last:09d}-{uuid.uuid4().hex[:8]}"
+        rows.write.parquet(f"{self.root}/segments/{name}")
+        return {"level": level, "name": name, "first": first, "last": last}
+
+    def _read(self, segments: list[dict]) -> DataFrame:
+        return self.spark.read.schema(PARTIALS).parquet(*[f"{self.root}/segments/{s['name']}" for s in segments])
+
+    def add(self, partials: DataFrame, batch_id: int) -> None:
+        """Add a batch and compact the levels that are full; one commit for both."""
+        before = read_manifest(self.spark, self.root)
+        live = self.segments(before)
+        if any(s["first"] <= batch_id <= s["last"] for s in live):
+            return
+        live = [*live, self._write(partials, 0, batch_id, batch_id)]
+        level = 0
+        while len(full := [s for s in live if s["level"] == level]) >= self.fan_in:
+            merged = merge_partials(self._read(full))
+            one = self._write(merged, level + 1, min(s["first"] for s in full), max(s["last"] for s in full))
+            live = [s for s in live if s["level"] != level] + [one]
+            level += 1
+        commit(self.spark, self.root, before, {"segments": live})
+        used = {s["name"] for s in [*live, *self.segments(before)]}
+        vacuum(self.spark, self.root, {f"{self.root}/segments": used})
+
+    def read(self) -> DataFrame:
+        """The current summary of every trace."""
+        live = self.segments()
+        return summaries_of(self._read(live) if live else self.spark.createDataFrame([], PARTIALS))
+
+
+def upsert_summaries(log: DataFrame, root: str, checkpoint: str, fan_in: int = FAN_IN) -> StreamingQuery:
+    """Keep one summary per trace: batches add partials, levels of them are merged."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        SummaryStore(batch.sparkSession, root, fan_in).add(summary_partials(batch), batch_id)
+
     return (
-        log.writeStream.foreachBatch(batch_folder(root, summary_partials))
+        log.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -93,7 +153,7 @@ def upsert_summaries(log: DataFrame, root: str, checkpoint: str) -> StreamingQue
 
 
 def current_summaries(spark: SparkSession, root: str) -> DataFrame:
-    return merge_partials(spark.read.parquet(root).drop("batch_id"))
+    return SummaryStore(spark, root).read()
 
 
 # --- rolling rates -----------------------------------------------------------------
