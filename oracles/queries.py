@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from oracles.views import REFUSAL, RUN_METRICS, with_views
 
 _CUST = "'Cust #' || customer_id || ' · ' || upper(tier[1]) || tier[2:]"
 
 
+GROWTH = (1 + 0.01) / (1 - 0.01)
+
+
 def _iso(col: str) -> str:
     return f"strftime({col}, '%Y-%m-%dT%H:%M:%S.%g') || 'Z'"
 
@@ -338,6 +343,22 @@ FROM v_events WHERE event_type IN ('intent_routing', 'synthesis', 'grounding_ver
 u AS (SELECT modality, count(*) FILTER (WHERE outcome = 'refused') / count(*) AS usual_rate FROM v_conv GROUP BY 1)
 SELECT window_start, modality, conversations, refused, refused / conversations AS refusal_rate, usual_rate
 FROM w JOIN u USING (modality) WHERE refused >= 5 AND refused / conversations > 2 * usual_rate""",
+    "refusal_alerts": f"""WITH RECURSIVE w AS (SELECT date_trunc('hour', created_at) AS ts, epoch(date_trunc('hour', created_at)) AS start, modality, count(*) AS conversations,
+  count(*) FILTER (WHERE outcome = 'refused') AS refused FROM v_conv GROUP BY 1, 2, 3),
+o AS (SELECT *, row_number() OVER (PARTITION BY modality ORDER BY start) AS rn FROM w),
+f AS (SELECT ts, start, modality, conversations, refused, rn, 0::DOUBLE AS r, 0::DOUBLE AS c FROM o WHERE rn = 1
+  UNION ALL SELECT o.ts, o.start, o.modality, o.conversations, o.refused, o.rn, (f.r + f.refused) * pow(0.5::DOUBLE, (o.start - f.start) / 3600 / 24),
+    (f.c + f.conversations) * pow(0.5::DOUBLE, (o.start - f.start) / 3600 / 24) FROM f JOIN o ON o.modality = f.modality AND o.rn = f.rn + 1)
+SELECT {_iso('ts')} AS window_start, modality, conversations, refused, round(refused / conversations, 9) AS refusal_rate, round(r / c, 9) AS usual_rate
+FROM f WHERE c >= 20 AND refused >= 5 AND refused / conversations > 2 * (r / c)""",
+    "latency_rolling": f"""WITH b AS (SELECT date_trunc('hour', created_at) AS h, modality, CAST(ceil(ln(latency_p50_ms::DOUBLE) / {math.log(GROWTH)!r}::DOUBLE) AS INTEGER) AS bucket, count(*) AS n
+  FROM v_conv WHERE latency_p50_ms > 0 GROUP BY 1, 2, 3),
+k AS (SELECT DISTINCT h, modality FROM b),
+m AS (SELECT k.h, k.modality, bucket, sum(n) AS n FROM k JOIN b ON b.modality = k.modality AND b.h <= k.h AND b.h > k.h - INTERVAL 24 HOUR GROUP BY 1, 2, 3),
+c AS (SELECT *, sum(n) OVER (PARTITION BY h, modality ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY h, modality) AS total FROM m)
+SELECT {_iso('h')} AS window_start, modality, CAST(sum(n) AS BIGINT) AS measured,
+  {", ".join(f"round(2 * pow({GROWTH!r}::DOUBLE, min(bucket) FILTER (WHERE upto >= round_even({p}::DOUBLE * (total - 1), 0) + 1)) / ({GROWTH!r}::DOUBLE + 1), 3) AS {n}" for n, p in (("latency_p50_ms", 0.5), ("latency_p95_ms", 0.95)))}
+FROM c GROUP BY 1, 2""",
     "conversation_kpis": """SELECT modality, count(*) AS conversations, count(*) FILTER (WHERE outcome = 'contained') / count(*) AS containment_rate,
   count(*) FILTER (WHERE outcome = 'escalated') / count(*) AS escalation_rate, count(*) FILTER (WHERE outcome = 'refused') / count(*) AS refusal_rate,
   sum(turns) FILTER (WHERE outcome = 'contained') / count(*) FILTER (WHERE outcome = 'contained') AS turns_to_resolution,

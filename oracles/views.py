@@ -347,6 +347,8 @@ def with_views(body: str, *extra: str) -> str:
     ctes = [f"{n} AS ({VIEWS[n].strip()})" for n in VIEWS if n in needed]
     if not ctes:
         return body
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return "WITH RECURSIVE " + ",\n".join(ctes) + ",\n" + body[15:]
     if body[:5].upper() == "WITH ":
         return "WITH " + ",\n".join(ctes) + ",\n" + body[5:]
     return "WITH " + ",\n".join(ctes) + "\n" + body

@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from turnledger.plans import live, readout, traces
+from turnledger.plans import evaluation, live, readout, traces
 from turnledger.schemas import EVAL_RUNS
 from turnledger.sources import canonical as c
 from turnledger.sources import listing
@@ -232,6 +232,50 @@ def test_rolling_outcomes_equal_batch_for_closed_windows(spark, sf_dir, tmp_path
     assert closed.exceptAll(readout.outcome_windows(rows, "1 day")).count() == 0
 
 
+def test_refusal_alerts_of_a_stream_equal_the_batch_job(spark, tmp_path):
+    rows = []
+    for h in range(200):
+        for m, channel in enumerate(("voice", "chat")):
+            refused = 9 if (h + 7 * m) % 61 == 60 else h % 3 == 0
+            rows += [(channel, START + timedelta(hours=h, minutes=i), "refused" if i < refused else "contained") for i in range(12)]
+    talks = spark.createDataFrame(rows, "modality string, created_at timestamp, outcome string")
+    expected = sorted(map(tuple, readout.refusal_alerts(talks).collect()))
+    # spikes, judged by the past alone: the first window of a channel never is one
+    assert [(r[0], r[1], r[3]) for r in expected] == sorted(
+        [(START + timedelta(hours=h), ch, 9) for ch, m in (("voice", 0), ("chat", 1)) for h in range(200) if (h + 7 * m) % 61 == 60]
+    )
+    _files(talks, str(tmp_path / "in"), 5, "created_at")
+    query = (
+        ingest.refusal_alert_stream(_stream(spark, talks, str(tmp_path / "in")))
+        .writeStream.format("memory")
+        .queryName("alert_out")
+        .option("checkpointLocation", str(tmp_path / "ckpt"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    got = sorted(map(tuple, spark.table("alert_out").collect()))
+    assert got == expected  # the spikes are in closed windows
+
+
+def test_sketches_merge_and_stay_within_their_accuracy(spark, sf_dir, tmp_path):
+    talks = c.conversations(spark, sf_dir)
+    exact = {r["modality"]: r for r in evaluation.latency_percentiles(talks, ["modality"], "latency_p50_ms").collect()}
+    stored = str(tmp_path / "sketches")
+    _files(talks, str(tmp_path / "in"), 3, "created_at")
+    ingest.sketch_latencies(_stream(spark, talks, str(tmp_path / "in")), stored, str(tmp_path / "ckpt")).awaitTermination()
+    merged = readout.merged_percentiles(spark.read.parquet(stored), ["modality"]).collect()
+    assert {tuple(r) for r in merged} == {
+        tuple(r) for r in readout.merged_percentiles(readout.latency_sketches(talks), ["modality"]).collect()
+    }
+    for r in merged:
+        assert r["measured"] == exact[r["modality"]]["measured"]
+        for p in ("latency_p50_ms", "latency_p95_ms"):
+            assert abs(r[p] - exact[r["modality"]][p]) <= readout.ACCURACY * exact[r["modality"]][p] + 0.001
+    newest = readout.rolling_percentiles(spark.read.parquet(stored), 24 * 366).orderBy(F.desc("window_start")).first()
+    assert newest["measured"] == exact[newest["modality"]]["measured"]
+
+
 def test_incremental_evaluation_judges_each_conversation_once(spark, sf_dir, tmp_path):
     rows = c.conversations(spark, sf_dir)
     events = c.trace_events(spark, sf_dir)

@@ -376,6 +376,17 @@ def refusal_spikes(s, d):
     return readout.refusal_spikes(c.conversations(s, d))
 
 
+@query
+def refusal_alerts(s, d):
+    return readout.refusal_alerts(c.conversations(s, d)).withColumn("window_start", iso_millis("window_start"))
+
+
+@query
+def latency_rolling(s, d):
+    rows = readout.rolling_percentiles(readout.latency_sketches(c.conversations(s, d)))
+    return rows.withColumn("window_start", iso_millis("window_start"))
+
+
 @query
 def conversation_kpis(s, d):
     return readout.conversation_kpis(c.conversations(s, d))

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterable, Mapping, Sequence
+from dataclasses import dataclass
 from datetime import date
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnledger.functions.scoring import ratio
+from turnledger.plans.evaluation import PERCENTILES
 
 # Yearly contacts and handle minutes per channel, dollars per agent
 # minute, and the model cost per call used when no run carries one.
@@ -138,6 +143,125 @@ def refusal_spikes(conversations: DataFrame, width: str = "1 hour", factor: floa
     )
 
 
+# --- alerts -------------------------------------------------------------------------
+
+ALERT_COLUMNS = "window_start timestamp, modality string, conversations long, refused long, refusal_rate double, usual_rate double"
+
+
+@dataclass(frozen=True)
+class Decay:
+    """What counts as a spike of refusals against a channel's own past.
+
+    The usual rate is refused over all conversations, both halved every ``half_life_hours``;
+    a window is judged by the windows before it and only then joins them.
+    """
+
+    half_life_hours: float = 24.0
+    factor: float = 2.0
+    least: int = 5
+    history: float = 20.0  # conversations that the past must weigh before it judges
+
+    def judge(
+        self, windows: Iterable[tuple[int, int, int]], past: tuple[float, float, int] | None
+    ) -> tuple[list[tuple], tuple[float, float, int] | None]:
+        """Spikes among ordered windows (start in seconds, conversations, refused), and the past
+        after them: (refused, conversations, start of the last window)."""
+        found = []
+        for start, conversations, refused in windows:
+            if past is not None:
+                weight = 0.5 ** ((start - past[2]) / 3600 / self.half_life_hours)
+                past = (past[0] * weight, past[1] * weight, start)
+                if past[1] >= self.history and refused >= self.least:
+                    rate, usual = refused / conversations, past[0] / past[1]
+                    if rate > self.factor * usual:
+                        found.append((start, conversations, refused, round(rate, 9), round(usual, 9)))
+            else:
+                past = (0.0, 0.0, start)
+            past = (past[0] + refused, past[1] + conversations, start)
+        return found, past
+
+
+def refusal_windows(conversations: DataFrame, width: str = "1 hour") -> DataFrame:
+    """Conversations and refusals per channel and window."""
+    return (
+        conversations.groupBy(F.window("created_at", width).alias("w"), "modality")
+        .agg(F.count("*").alias("conversations"), F.count_if(F.col("outcome") == "refused").alias("refused"))
+        .select(F.col("w.start").alias("window_start"), "modality", "conversations", "refused")
+    )
+
+
+def refusal_alerts(conversations: DataFrame, width: str = "1 hour", decay: Decay = Decay()) -> DataFrame:
+    """Windows whose refusal rate stands out of their channel's decayed past, in time order.
+
+    Only the window counts of a channel meet in one task: a row per window of the calendar.
+    """
+
+    def judge(key: tuple, windows: pd.DataFrame) -> pd.DataFrame:
+        windows = windows.sort_values("window_start")
+        starts = windows["window_start"].astype("datetime64[s]").astype("int64")
+        found, _ = decay.judge(zip(starts, windows["conversations"], windows["refused"], strict=True), None)
+        return alert_frame(key[0], found)
+
+    counted = refusal_windows(conversations, width).where(F.col("modality").isNotNull())
+    return counted.groupBy("modality").applyInPandas(judge, ALERT_COLUMNS)
+
+
+def alert_frame(modality: str, found: list[tuple]) -> pd.DataFrame:
+    frame = pd.DataFrame(found, columns=["window_start", "conversations", "refused", "refusal_rate", "usual_rate"])
+    frame.insert(1, "modality", modality)
+    kinds = {"modality": "object", "conversations": "int64", "refused": "int64", "refusal_rate": "float64", "usual_rate": "float64"}
+    return frame.assign(window_start=pd.to_datetime(frame["window_start"], unit="s")).astype(kinds)
+
+
+# --- mergeable percentiles ------------------------------------------------------------
+
+ACCURACY = 0.01
+_GROWTH = (1 + ACCURACY) / (1 - ACCURACY)
+
+
+def latency_sketches(conversations: DataFrame, latency: str = "latency_p50_ms", width: str = "1 hour") -> DataFrame:
+    """A sketch of the latencies of every window and channel: counts by logarithmic bucket.
+
+    A bucket holds the values within one percent of its middle, so a sketch has some hundred
+    rows whatever the traffic. Sketches of any windows merge by adding their counts.
+    """
+    bucket = F.ceil(F.ln(F.col(latency)) / F.lit(math.log(_GROWTH))).cast("int")
+    return (
+        conversations.where(F.col(latency) > 0)
+        .groupBy(F.window("created_at", width).alias("w"), "modality", bucket.alias("bucket"))
+        .agg(F.count("*").alias("n"))
+        .select(F.col("w.start").alias("window_start"), "modality", "bucket", "n")
+    )
+
+
+def merged_percentiles(sketches: DataFrame, keys: Sequence[str], percentiles: Mapping[str, float] = PERCENTILES) -> DataFrame:
+    """Nearest-rank percentiles of the merged sketches of a key, each within ``ACCURACY`` of
+    the exact one."""
+    merged = sketches.groupBy(*keys, "bucket").agg(F.sum("n").alias("n"))
+    upto = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = merged.select(
+        *keys, "bucket", "n", F.sum("n").over(upto).alias("upto"), F.sum("n").over(Window.partitionBy(*keys)).alias("total")
+    )
+
+    def at(p: float) -> Column:
+        rank = F.rint(F.lit(p) * (F.col("total") - 1)) + 1
+        bucket = F.min(F.when(F.col("upto") >= rank, F.col("bucket")))
+        return F.round(2 * F.pow(F.lit(_GROWTH), bucket) / (_GROWTH + 1), 3)
+
+    return ranked.groupBy(*keys).agg(F.sum("n").alias("measured"), *[at(p).alias(name) for name, p in percentiles.items()])
+
+
+def rolling_percentiles(sketches: DataFrame, hours: int = 24) -> DataFrame:
+    """Percentiles over the trailing ``hours`` of every window: each sketch is handed to the
+    windows that still see it, then merged. No value is read again."""
+    known = sketches.select("window_start", "modality").distinct()
+    later = F.explode(F.sequence(F.lit(0), F.lit(hours - 1))).alias("ahead")
+    seen = sketches.select("*", later).withColumn(
+        "window_start", F.col("window_start") + F.make_dt_interval(hours=F.col("ahead"))
+    )
+    return merged_percentiles(seen.join(known, ["window_start", "modality"], "left_semi"), ["window_start", "modality"])
+
+
 def intent_drift(rows: DataFrame, split: date, intent: str = "journey", at: str = "created_at") -> DataFrame:
     """Share of each intent before and after ``split`` and its part of the population
     stability index; the index is the sum of the parts."""

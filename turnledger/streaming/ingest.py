@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from turnledger.plans.readout import outcome_windows
+from turnledger.plans.readout import ALERT_COLUMNS, Decay, alert_frame, latency_sketches, outcome_windows, refusal_windows
 from turnledger.plans.traces import event_rules, quarantine
-from turnledger.schemas import PARTIALS
+from turnledger.schemas import PARTIALS, struct_of
 from turnledger.sources.listing import Manifest, commit, read_manifest, vacuum
 
 LATENESS = "10 minutes"
@@ -163,3 +166,63 @@ def rolling_outcomes(summaries: DataFrame, width: str = "1 hour", lateness: str
     """Outcome counts per closed window; rows later than the watermark are left to the
     batch job over the same table."""
     return outcome_windows(summaries.withWatermark("created_at", lateness), width)
+
+
+# --- alerts and sketches -----------------------------------------------------------
+
+_PAST = struct_of(("refused", T.DoubleType(), True), ("conversations", T.DoubleType(), True), ("start", T.LongType(), True))
+
+
+class SpikeWatch(StatefulProcessor):
+    """Keeps the decayed past of a channel and judges every window as it closes.
+
+    Windows of a key close in time order: one that closes in a later batch ends after the
+    watermark of this one.
+    """
+
+    def __init__(self, decay: Decay) -> None:
+        self.decay = decay
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.past = handle.getValueState("past", _PAST)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        windows = pd.concat(list(rows), ignore_index=True).sort_values("window_start")
+        starts = windows["window_start"].astype("datetime64[s]").astype("int64")
+        past = tuple(self.past.get()) if self.past.exists() else None
+        found, past = self.decay.judge(zip(starts, windows["conversations"], windows["refused"]), past)
+        self.past.update((float(past[0]), float(past[1]), int(past[2])))
+        yield alert_frame(key[0], found)
+
+    def close(self) -> None:
+        pass
+
+
+def refusal_alert_stream(
+    conversations: DataFrame, width: str = "1 hour", lateness: str = LATENESS, decay: Decay = Decay()
+) -> DataFrame:
+    """Refusal spikes of closed windows, each judged by the windows before it.
+
+    Rows are counted per window first, so a channel's state sees a row per window.
+    """
+    closed = refusal_windows(conversations.withWatermark("created_at", lateness), width)
+    return (
+        closed.where(F.col("modality").isNotNull())
+        .groupBy("modality")
+        .transformWithStateInPandas(
+            statefulProcessor=SpikeWatch(decay),
+            outputStructType=T._parse_datatype_string(ALERT_COLUMNS),
+            outputMode="Append",
+            timeMode="None",
+        )
+    )
+
+
+def sketch_latencies(conversations: DataFrame, root: str, checkpoint: str, width: str = "1 hour") -> StreamingQuery:
+    """Store the latency sketches of every batch; readers merge them by adding counts."""
+    return (
+        conversations.writeStream.foreachBatch(batch_folder(root, lambda rows: latency_sketches(rows, width=width)))
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
