@@ -313,12 +313,20 @@ def test_token_round_trip(docs, odd, nothing):
     assert token_rows.token_rows(nothing).count() == 0
 
 
-def test_cached_encoding_is_the_plain_one():
-    ids = token_rows.tokenizer()
-    for text in ("a  b \n c\t d ' s 's x's  ", " lead", "trail ", "é à b c  　d", "1 2  33 <|endoftext|> x"):
-        assert ids(text) == token_rows.tokenizer()(text)
-        whole = [token_rows.tokenizer()(text)]
-        assert ids(text) == whole[0]
+def test_cached_encoding_is_the_plain_one(docs):
+    plain, ids = token_rows.plain_encoder(), token_rows.tokenizer()
+    odd = ["a  b \n c\t d ' s 's x's  ", " lead", "trail ", "é à b c  　d", "1 2  33 <|endoftext|> x", "", " ", "\u00a0a b\u00a0 c"]
+    odd += ["end. a, b; c: d! e? f... g.. h.', \"i.\" 1. ². .j ?k it's. it's, x's' 'll, ¼! ", "a.\nb, \n c .", "., ,. a.,b ٣. 一, ﾊ!"]
+    odd += ["w" * 500 + ", " + "v" * 70 + ". x"]
+    for text in odd * 2 + [r["text"] for r in docs.limit(100).collect()]:
+        assert ids(text).tolist() == plain(text)
+
+
+def test_long_caches_start_again(monkeypatch):
+    monkeypatch.setattr(token_rows, "CACHED", 5)
+    ids, plain = token_rows.tokenizer.__wrapped__(), token_rows.plain_encoder()
+    text = " ".join(f"w{i % 13}, q{i % 7}." for i in range(100))
+    assert ids(text).tolist() == plain(text)
 
 
 def test_best_fit_takes_the_tightest_row():

@@ -24,8 +24,9 @@ from __future__ import annotations
 
 import base64
 import re
+import struct
 from collections.abc import Callable, Iterator
-from functools import partial
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +47,8 @@ SCHEMA = (
 )
 
 
-def tokenizer(vocabulary: str = VOCABULARY) -> Callable[[str], list[int]]:
-    """An encoder over a public byte-level vocabulary of ranks."""
+def plain_encoder(vocabulary: str = VOCABULARY) -> Callable[[str], list[int]]:
+    """The encoder of a public byte-level vocabulary of ranks."""
     import tiktoken
 
     # Fixed value: the published splitting pattern of this vocabulary.
@@ -56,26 +57,51 @@ def tokenizer(vocabulary: str = VOCABULARY) -> Callable[[str], list[int]]:
     )
     with open(vocabulary, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    encode = tiktoken.Encoding(
+    return tiktoken.Encoding(
         "rows", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}
     ).encode_ordinary
-    # A blank between two characters that are not white always begins a new piece of the
-    # pattern, so what lies between two such blanks is encoded by itself and remembered.
-    cut = re.compile(r"(?<=\S)(?= \S)")
-    known: dict[str, list[int]] = {}
-
-    def ids(text: str) -> list[int]:
-        out: list[int] = []
-        for word in cut.split(text):
-            found = known.get(word)
-            if found is None:
-                found = encode(word)
-                if len(known) >= CACHED:
-                    known.clear()
-                if len(word) <= 64:
-                    known[word] = found
-            out += found
-        return out
+
+
+# A blank between two characters that are not white always begins a new piece of the
+# pattern, so what lies between two such blanks is encoded by itself and remembered.
+_CUT = re.compile(r" (?<=\S )(?=\S)")
+
+
+class Pieces(dict):
+    """Token ids, as bytes, of a piece of text after ``before``."""
+
+    def __init__(self, encode: Callable[[str], list[int]], before: str, dtype: str):
+        super().__init__()
+        self.encode, self.before, self.kind = encode, before, {"<u2": "<%dH", "<u4": "<%dI"}[dtype]
+        self.marks = {mark: self._bytes(mark) for mark in ",.;:!?"}
+
+    def _bytes(self, text: str) -> bytes:
+        ids = self.encode(text)
+        return struct.pack(self.kind % len(ids), *ids)
+
+    def __missing__(self, piece: str) -> bytes:
+        # a mark after a letter or digit is a piece of the pattern by itself
+        if len(piece) > 1 and piece[-1] in ",.;:!?" and piece[-2].isalnum():
+            found = self[piece[:-1]] + self.marks[piece[-1]]
+        else:
+            found = self._bytes(self.before + piece)
+        if len(piece) <= 64:
+            if len(self) >= CACHED:
+                self.clear()
+            self[piece] = found
+        return found
+
+
+@cache
+def tokenizer(vocabulary: str = VOCABULARY, dtype: str = "<u2") -> Callable[[str], np.ndarray]:
+    """Text to token ids. A Python worker makes one and keeps what it has seen for its
+    later tasks."""
+    encode = plain_encoder(vocabulary)
+    first, others = Pieces(encode, "", dtype), Pieces(encode, " ", dtype)
+
+    def ids(text: str) -> np.ndarray:
+        head, *rest = _CUT.split(text)
+        return np.frombuffer(first[head] + b"".join(map(others.__getitem__, rest)), dtype)
 
     return ids
 
@@ -132,13 +158,14 @@ def _packed(pieces: list[tuple], part: int, first: int, row_len: int, pad_id: in
     rows = best_fit([len(p[2]) for p in pieces], row_len)
     ids = np.full((len(rows), row_len), pad_id, dtype)
     positions = np.zeros((len(rows), row_len), "<u4" if row_len > 1 << 16 else "<u2")
+    count = np.arange(row_len, dtype=positions.dtype)
     lengths, docs, segments = [], [], []
     for r, members in enumerate(rows):
         at, ends = 0, [0]
         for i in members:
             n = len(pieces[i][2])
             ids[r, at : at + n] = pieces[i][2]
-            positions[r, at : at + n] = np.arange(n)
+            positions[r, at : at + n] = count[:n]
             at += n
             ends.append(at)
         lengths.append(ends)
@@ -166,13 +193,13 @@ def _rows_of(
     block_tokens: int,
     pad_id: int,
 ) -> Iterator[pa.RecordBatch]:
-    encode = tokenizer(vocabulary)
     dtype = "<u2" if pad_id < 1 << 16 else "<u4"
+    encode = tokenizer(vocabulary, dtype)
     pieces: list[tuple] = []
     held = made = part = 0
     for batch in batches:
         for i, text, part in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            ids = np.array(encode(text), dtype=dtype)
+            ids = encode(text)
             for segment, at in enumerate(range(0, max(len(ids), 1), row_len)):
                 pieces.append((i, segment, ids[at : at + row_len]))
                 held += min(row_len, len(ids) - at)
