@@ -3,11 +3,13 @@
 import hashlib
 import itertools
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
 import pytest
-from conftest import CLASHING, of, same
+from conftest import CLASHING, COLUMNS, of, same
+from pyspark.sql import functions as F
 
 from turnledger.llm import exact_dedup, mixing, packing, pii
 from turnledger.llm.common import UPPER, text_of, word_count
@@ -195,15 +197,54 @@ def test_shard_draws_keep_totals_and_vary(spark):
     assert 0.3 < spread / (300000 / 32) < 3
 
 
+def test_rows_that_repeat_are_all_delivered(spark):
+    rng = random.Random(11)
+    same_text = " ".join(f"w{rng.randrange(500)}" for _ in range(60))
+    rows = [(None, same_text, "en", "a", 1)] * 40
+    rows += [(i, " ".join(f"w{rng.randrange(500)}" for _ in range(50)), "en", "b", 1) for i in range(60)]
+    frame = spark.createDataFrame(rows, COLUMNS).repartition(4)
+    taken = {r["source"]: r["n"] for r in mixing.mix(frame).groupBy("source").agg(F.sum("taken").alias("n")).collect()}
+    targets = expected_targets({"a": 40 * 60, "b": 60 * 50})
+    words = Counter()
+    for _, t, s in of(mixing.mixed_documents(frame)):
+        words[s] += len(WORD.findall(t))
+    assert words == taken
+    assert all(abs(words[s] - targets[s]) <= 0.02 * targets[s] for s in targets)
+
+
+def test_one_row_of_every_group_stays(spark, odd):
+    text = "one two three four five six seven"
+    rows = [(None, text, "en", "a", 1)] * 20 + [(None, text.upper(), "en", "b", 2)] * 20 + [(3, "x y", "en", "a", 1)] * 5
+    rows += [(7, "p q r", "en", "a", 1), (9, "p q R", "en", "b", 1), (None, "p q r", "en", "a", 1)]
+    frame = spark.createDataFrame(rows, COLUMNS).repartition(5)
+    for keep, winner in (("max", 9), ("min", 7)):
+        kept = [(r["doc_id"], r["text"].lower()) for r in exact_dedup.drop_copies(frame, keep=keep).collect()]
+        assert sorted(kept, key=str) == sorted([(None, text), (3, "x y"), (winner, "p q r")], key=str)
+    once = sorted(map(tuple, exact_dedup.drop_copies(frame).collect()), key=str)
+    assert once == sorted(map(tuple, exact_dedup.drop_copies(frame.repartition(2)).collect()), key=str)
+    texts = [(t or "").translate(FOLD) for _, t, _ in of(odd)]
+    assert sorted((t or "").translate(FOLD) for _, t, _ in of(exact_dedup.drop_copies(odd))) == sorted(set(texts))
+
+
+def test_merges_sort_their_runs(docs):
+    rows = exact_dedup.digests(docs, "doc_id", "text")
+    plan = exact_dedup.tree_merge(rows)._jdf.queryExecution().executedPlan().toString()
+    # two rounds after the first runs: each sends ranges of runs to one place and sorts them
+    assert "HashAggregate" not in plan
+    assert plan.count("SortAggregate") == 6 and plan.count("Sort [range") >= 3
+    assert plan.count("hashpartitioning(range") == 3
+
+
 def test_mixed_documents_hold_the_words_taken(docs, odd, nothing):
-    for frame in (docs, odd.filter("doc_id is not null").dropDuplicates(["doc_id"])):
+    for frame in (docs, odd):
         mixed = mixing.mixed_documents(frame)
         assert mixed.columns == frame.columns
-        words = Counter()
-        for i, t, _ in of(mixed):
-            words[i] += len(WORD.findall(t))
-        taken = {r["doc_id"]: r["taken"] for r in mixing.mix(frame).collect() if r["taken"]}
-        assert words == taken
+        words, taken = Counter(), Counter()
+        for i, t, s in of(mixed):
+            words[i, s] += len(WORD.findall(t))
+        for r in mixing.mix(frame).collect():
+            taken[r["doc_id"], r["source"]] += r["taken"]
+        assert words == +taken
     assert mixing.mixed_documents(nothing).count() == 0
 
 

@@ -271,3 +271,25 @@ def test_pipeline_stages(spark, sf_dir, docs):
             assert 0 < frame.count()
     words = before.selectExpr("sum(regexp_count(text, '[^ \\\\t-\\\\r]+')) AS n").first()["n"]
     assert frame.selectExpr("sum(n_tokens) AS n").first()["n"] == words
+
+
+def test_pipeline_stages_on_odd_and_empty_tables(spark, sf_dir, odd, nothing):
+    for start in (odd, nothing):
+        frame = start
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            frame = corpus_pipeline.store(stage(spark, frame, sf_dir), f"odd-{i}")
+            if i < len(corpus_pipeline.STAGES) - 1:
+                assert frame.columns == start.columns
+        assert (frame.count() == 0) == (start is nothing)
+
+
+def test_one_row_of_a_component_stays(spark):
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(900)}" for _ in range(400)]
+    near = words[:399] + ["other"]
+    rows = [(None, " ".join(words), "en", "a", 1)] * 40 + [(None, " ".join(near), "en", "a", 1)] * 3
+    rows += [(5, "alone here with words of its own", "en", "a", 1)] * 2 + [(6, None, "en", "a", 1), (7, "", "en", "a", 1)]
+    docs = spark.createDataFrame(rows, COLUMNS).repartition(3)
+    assert simhash.near_groups(docs).select("component_id").distinct().count() == 3
+    kept = simhash.drop_near(docs)
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [5, 6, None]

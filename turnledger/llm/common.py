@@ -84,3 +84,19 @@ def slice_of(hashed: Column) -> Column:
 def unsigned_order(hashed: Column) -> Column:
     """A signed hash whose order is the unsigned one: slices then follow each other."""
     return hashed.bitwiseXOR(F.lit(-(1 << 63)))
+
+
+def one_of_each(df: DataFrame, keys: list[str], repeats: DataFrame) -> DataFrame:
+    """The rows of ``df``, but a single one for each key that stands in ``repeats``.
+
+    ``repeats`` holds the keys of more than one row, null being a key. Rows of other keys do
+    not move. Of those of a key the one whose columns hash lowest stays, so reruns agree.
+    """
+    if repeats.isEmpty():
+        return df
+    again = repeats.select(*[F.col(k).alias(f"__again_{i}") for i, k in enumerate(keys)])
+    met = [df[k].eqNullSafe(again[f"__again_{i}"]) for i, k in enumerate(keys)]
+    whole = F.struct(*[F.col(c) for c in df.columns])
+    place = F.struct(F.xxhash64(F.to_json(whole)), F.to_json(whole))
+    single = df.join(again, met, "left_semi").groupBy(*keys).agg(F.min_by(whole, place).alias("__row"))
+    return df.join(again, met, "left_anti").unionByName(single.select("__row.*"))

@@ -30,7 +30,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnledger.llm.common import SPACE, slice_of, store, text_of, unsigned_order, word_count
+from turnledger.llm.common import SPACE, one_of_each, slice_of, store, text_of, unsigned_order, word_count
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -266,32 +266,26 @@ def mixed_documents(
     """The mix itself with the columns of ``df``: a row for each epoch that drew from a document.
 
     Its text holds the words drawn in that epoch: the text as it was if all were drawn, else
-    the drawn runs of words joined by blanks. Rows that repeat an identifier and a text are
-    taken once here. Documents of which nothing was drawn are not in the mix.
+    the drawn runs of words joined by blanks. Rows that repeat an identifier, a source and a
+    text are drawn from as often as they stand there. Documents of which nothing was drawn
+    are not in the mix.
     """
     placed, slots = _plan(df, id_col, text_col, source_col, block_words, seed)
     placed = placed.filter("size > 0")
     slots = store(slots.select("s", "epoch", "block"), "slots")
     drawn = _pieces(placed).join(slots, ["s", "block"])
-    ranges = drawn.groupBy("s", "start", "id", "text_key", "size", "epoch").agg(
-        F.sort_array(F.collect_list(F.struct("lo", "n"))).alias("runs"), F.sum("n").alias("words")
+    own = ("id", "source", "text_key")
+    ranges = drawn.groupBy("s", "start", *own, "size", "epoch").agg(
+        F.sort_array(F.collect_list(F.struct("lo", "n"))).alias("__runs"), F.sum("n").alias("__words")
     )
-    ranges = store(
-        ranges.groupBy("id", "text_key", "size", "epoch").agg(
-            F.max(F.struct("words", "runs")).alias("best")
-        ),
-        "ranges",
-    )
-    ranges = ranges.select(
-        F.col("id").alias("__id"),
-        F.col("text_key").alias("__key"),
-        F.col("size").alias("__size"),
-        F.col("best.words").alias("__words"),
-        F.col("best.runs").alias("__runs"),
-    )
-    key = F.xxhash64(text_of(text_col))
-    here = df.withColumn("__text_key", key).dropDuplicates([id_col, "__text_key"])
-    met = here[id_col].eqNullSafe(ranges["__id"]) & (here["__text_key"] == ranges["__key"])
+    ranges = store(ranges.drop("s", "start", "epoch"), "ranges")
+    ranges = ranges.withColumnsRenamed({c: f"__{c}" for c in (*own, "size")})
+    # A copy is no other text: its ranges meet a single row, not every copy.
+    twice = placed.groupBy(*own).agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+    names = dict(zip(own, (id_col, source_col, "__its_key"), strict=True))
+    repeats = store(twice.select(*[F.col(c).alias(n) for c, n in names.items()]), "repeats")
+    here = one_of_each(df.withColumn("__its_key", F.xxhash64(text_of(text_col))), [*names.values()], repeats)
+    met = [here[n].eqNullSafe(ranges[f"__{c}"]) for c, n in names.items()]
     words = F.split(F.regexp_replace(text_of(text_col), rf"^{SPACE}", ""), SPACE)
     joined = here.join(ranges, met).withColumn("__all", words)
     part = F.array_join(

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnledger.llm.common import arrow_batches, store, text_of
+from turnledger.llm.common import arrow_batches, one_of_each, store, text_of
 from turnledger.llm.components import connected_components
 
 BITS = 64
@@ -312,6 +312,21 @@ def near_links(
     )
 
 
+def _grouped(
+    df: DataFrame, id_col: str, text_col: str, radius: int, shingle: int, blocks: int
+) -> tuple[DataFrame, DataFrame]:
+    """(id, text_key, fp) of all rows, and (fp, root, component_id) of all fingerprints."""
+    rows = fingerprints(df, id_col, text_col, shingle)
+    distinct = store(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
+    roots = connected_components(near_links(distinct, radius, blocks))
+    known = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", "least", F.coalesce("root", "fp").alias("root")
+    )
+    known = store(known, "roots")
+    named = known.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows, store(known.join(named, "root").select("fp", "root", "component_id"), "components")
+
+
 def near_groups(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -321,15 +336,7 @@ def near_groups(
     blocks: int = BLOCKS,
 ) -> DataFrame:
     """One row per document: id, text_key, fingerprint, component_id."""
-    rows = fingerprints(df, id_col, text_col, shingle)
-    distinct = store(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    roots = connected_components(near_links(distinct, radius, blocks))
-    known = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
-    known = store(known, "roots")
-    named = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = store(known.join(named, "root").select("fp", "component_id"), "components")
+    rows, by_fp = _grouped(df, id_col, text_col, radius, shingle, blocks)
     return rows.join(by_fp, "fp").select(
         F.col("id").alias(id_col),
         "text_key",
@@ -338,12 +345,23 @@ def near_groups(
     )
 
 
-def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The document with the least identifier of every component, with all its columns."""
-    kept = near_groups(df, id_col, text_col, **how).filter(
-        F.col(id_col).eqNullSafe(F.col("component_id"))
-    )
-    kept = kept.select(F.col(id_col).alias("__id"), F.col("text_key").alias("__its_key")).distinct()
+def drop_near(
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    radius: int = RADIUS,
+    shingle: int = SHINGLE,
+    blocks: int = BLOCKS,
+) -> DataFrame:
+    """One row of every component, with all its columns: that of the least identifier, null
+    last; of several rows with it the one whose text hashes lowest."""
+    rows, by_fp = _grouped(df, id_col, text_col, radius, shingle, blocks)
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("first")
+    kept = rows.join(by_fp, "fp").groupBy("root").agg(first)
+    kept = store(kept.select(F.col("first.id").alias("__id"), F.col("first.text_key").alias("__its_key")), "kept")
     here = df.withColumn("__text_key", F.xxhash64(text_of(text_col)))
     met = here[id_col].eqNullSafe(kept["__id"]) & (here["__text_key"] == kept["__its_key"])
-    return here.join(kept, met, "left_semi").drop("__text_key")
+    twice = rows.groupBy("id", "text_key").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+    won = twice["id"].eqNullSafe(kept["__id"]) & (twice["text_key"] == kept["__its_key"])
+    repeats = store(twice.join(kept, won, "left_semi").select(F.col("id").alias(id_col), F.col("text_key").alias("__text_key")), "repeats")
+    return one_of_each(here.join(kept, met, "left_semi"), [id_col, "__text_key"], repeats).drop("__text_key")
