@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 from oracles.views import REFUSAL, RUN_METRICS, with_views
+from turnledger.schemas import PAYLOAD
 
 _CUST = "'Cust #' || customer_id || ' · ' || upper(tier[1]) || tier[2:]"
 
@@ -208,6 +209,9 @@ UNION ALL SELECT 'conversations', 'trace_id_unique', count(*) FROM (SELECT trace
     CASE WHEN NOT json_valid(metadata) THEN 'metadata_json' END,
     CASE WHEN event_type = 'user_message' AND trim(coalesce(input_text, '')) = '' THEN 'blank_user_message' END], lambda x: x IS NOT NULL), ',') AS violations
 FROM v_events WHERE violations <> ''""",
+    "undeclared_fields": f"""SELECT event_type, field, count(*) AS events
+FROM (SELECT event_type, unnest(json_keys(CASE WHEN json_valid(md) AND json_type(md) = 'OBJECT' THEN md END)) AS field FROM v_events)
+WHERE field NOT IN ({', '.join(f"'{n}'" for n in PAYLOAD)}) GROUP BY 1, 2""",
     "load_counts": """SELECT 'conversations' AS table_name, count(*) AS row_count FROM v_conv
 UNION ALL SELECT 'conversation_traces', count(*) FROM v_events UNION ALL SELECT 'customers_context', count(*) FROM v_customers
 UNION ALL SELECT 'orders', count(*) FROM v_orders UNION ALL SELECT 'eval_runs', count(*) FROM v_runs""",

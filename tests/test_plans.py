@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from turnledger.plans import (
     clusters,
@@ -451,6 +452,40 @@ def test_anonymous_and_foreign_callers(spark):
     assert [line.split(",")[0] for line in got["f"]["context"].split("\n")[1:]] == ["- order_id=#4524", "- order_id=#4523", "- order_id=#4522"]
 
 
+def test_records_are_held_to_a_closed_schema(spark, tmp_path):
+    schema = "order_id string NOT NULL, quantity int, note string"
+    schema = T.StructType([T.StructField(f.name, f.dataType, f.name != "order_id") for f in T._parse_datatype_string(schema)])
+    lines = [
+        '{"order_id": "a", "quantity": 2}',
+        '{"order_id": "a", "quantity": null, "note": "x"}',
+        '{"quantity": 2, "zip": 1, "colour": "red"}',
+        '{"order_id": "a", "quantity": "many"}',
+        '[1, 2]',
+        "{broken",
+        "   ",
+        '{"order_id": null, "a\'b": 1}',
+    ]
+    (tmp_path / "orders.json").write_text("\n".join(lines))
+    rows = {r["line"]: list(r["violations"]) for r in readers.read_contract(spark, str(tmp_path / "orders.json"), schema).collect()}
+    assert rows == {
+        lines[0]: [], lines[1]: [], lines[2]: ["missing:order_id", "extra:colour", "extra:zip"], lines[3]: ["type:quantity"],
+        lines[4]: ["not_an_object"], lines[5]: ["not_an_object"], lines[7]: ["missing:order_id", "extra:a'b"],
+    }
+
+
+def test_prompts_are_the_same_for_any_page_and_bounded_on_request(spark):
+    turns = spark.createDataFrame(
+        [("t", i, "customer" if i % 2 == 0 else "agent", None if i == 3 else f"x{i}") for i in range(9)] + [("u", 4, "customer", "y")],
+        "trace_id string, turn long, role string, text string",
+    )
+    key = lambda df: sorted(map(tuple, df.collect()))
+    whole = key(texts.router_prompts(turns))
+    assert whole == key(texts.router_prompts(turns, page_turns=2)) == key(texts.router_prompts(turns, page_turns=1))
+    assert whole == key(texts.router_prompts(turns, max_turns=100))
+    short = {(r["trace_id"], r["turn"]): r["prompt"] for r in texts.router_prompts(turns, "{{HISTORY}}>{{UTTERANCE}}", max_turns=2).collect()}
+    assert short["t", 8] == "customer: x6\nagent: x7>x8" and short["t", 0] == "(no prior turns)>x0" == short["u", 4].replace("y", "x0")
+
+
 def test_every_customer_turn_is_prompted(spark):
     turns = spark.createDataFrame(
         [("t", i, "customer" if i % 2 == 0 else "agent", f"x{i}") for i in range(6)], "trace_id string, turn long, role string, text string"

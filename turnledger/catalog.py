@@ -106,6 +106,11 @@ def quarantined_events(s, d):
     return traces.quarantined_events(c.trace_events(s, d))
 
 
+@query
+def undeclared_fields(s, d):
+    return traces.undeclared_fields(c.trace_events(s, d))
+
+
 @query
 def load_counts(s, d):
     return traces.load_counts(

@@ -79,19 +79,36 @@ def lag(
 
 
 def running_sums(
-    df: DataFrame, keys: Sequence[str], slice_by: Column, order: Sequence[str], values: Mapping[str, Column]
+    df: DataFrame,
+    keys: Sequence[str],
+    slice_by: Column,
+    order: Sequence[str],
+    values: Mapping[str, Column],
+    whole_sum: Mapping[str, str] | None = None,
+    whole_max: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Add the inclusive running sum of every ``out: value`` along the order."""
+    """Add the inclusive running sum of every ``out: value`` along the order.
+
+    ``whole_sum`` adds the key's total of some of these sums and ``whole_max`` the key's maximum
+    of columns, each as ``out: in``; both ride on the carry rows and cost no further pass.
+    """
+    whole_sum, whole_max = whole_sum or {}, whole_max or {}
     columns = df.columns
     df = df.select("*", slice_by.alias(_SLICE), *[v.alias(f"__v_{out}") for out, v in values.items()])
     earlier = _across(keys).rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.partitionBy(*keys)
     before = (
         df.groupBy(*keys, _SLICE)
-        .agg(*[F.sum(f"__v_{out}").alias(f"__s_{out}") for out in values])
+        .agg(
+            *[F.sum(f"__v_{out}").alias(f"__s_{out}") for out in values],
+            *[F.max(src).alias(f"__m_{out}") for out, src in whole_max.items()],
+        )
         .select(
             *keys,
             _SLICE,
             *[F.coalesce(F.sum(f"__s_{out}").over(earlier), F.lit(0)).alias(f"__b_{out}") for out in values],
+            *[F.sum(f"__s_{src}").over(everything).alias(out) for out, src in whole_sum.items()],
+            *[F.max(f"__m_{out}").over(everything).alias(out) for out in whole_max],
         )
     )
     w = _inner(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -100,7 +117,7 @@ def running_sums(
     )
     joined = inside.join(before, [*keys, _SLICE])
     return joined.select(
-        *columns, *[(F.col(f"__r_{out}") + F.col(f"__b_{out}")).alias(out) for out in values]
+        *columns, *[(F.col(f"__r_{out}") + F.col(f"__b_{out}")).alias(out) for out in values], *whole_sum, *whole_max
     )
 
 

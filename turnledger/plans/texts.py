@@ -67,26 +67,41 @@ ROUTER_TEMPLATE = "HISTORY:\n{{HISTORY}}\nUTTERANCE: {{UTTERANCE}}"
 NO_HISTORY = "(no prior turns)"
 
 
-def router_prompts(turns: DataFrame, template: str = ROUTER_TEMPLATE) -> DataFrame:
-    """The routing prompt of every customer turn, with all turns before it.
+def router_prompts(
+    turns: DataFrame, template: str = ROUTER_TEMPLATE, max_turns: int | None = None, page_turns: int = PAGE_TURNS
+) -> DataFrame:
+    """The routing prompt of every customer turn, with all turns before it or the last
+    ``max_turns``.
 
     Every turn is rendered: whether a turn is routed or handed to a person is for the
-    policy to say. The output of a long conversation is quadratic in its turns by nature.
+    policy to say. Turns are gathered inside pages, and what stands before a page is one text
+    per page, so a long conversation spreads over tasks. Without a bound its output is
+    quadratic in its turns by nature.
     """
-    before = Window.partitionBy("trace_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    history = _lines(F.collect_list(F.struct("role", "text")).over(before))
-    return (
-        turns.withColumn("history", history)
-        .where(F.col("role") == "customer")
-        .select(
+    line = F.struct("role", "text")
+    if max_turns is None:
+        paged = turns.withColumn("__page", ordered.page_slice("turn", page_turns))
+        here = Window.partitionBy("trace_id", "__page").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+        across = Window.partitionBy("trace_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+        earlier = transcript(turns, page_turns).select(
             "trace_id",
-            "turn",
-            fx.render(
-                template,
-                HISTORY=F.when(F.col("history") == "", NO_HISTORY).otherwise(F.col("history")),
-                UTTERANCE="text",
-            ).alias("prompt"),
+            F.col("page").alias("__page"),
+            F.array_join(F.collect_list(F.nullif("transcript", F.lit(""))).over(across), "\n").alias("__earlier"),
         )
+        inside = paged.withColumn("__inside", _lines(F.collect_list(line).over(here)))
+        parts = [F.nullif(F.col(c), F.lit("")) for c in ("__earlier", "__inside")]
+        told = inside.join(earlier, ["trace_id", "__page"]).withColumn("history", F.concat_ws("\n", *parts))
+    else:
+        last = Window.partitionBy("trace_id").orderBy("turn").rowsBetween(-max_turns, -1)
+        told = turns.withColumn("history", _lines(F.collect_list(line).over(last)))
+    return told.where(F.col("role") == "customer").select(
+        "trace_id",
+        "turn",
+        fx.render(
+            template,
+            HISTORY=F.when(F.col("history") == "", NO_HISTORY).otherwise(F.col("history")),
+            UTTERANCE="text",
+        ).alias("prompt"),
     )
 
 

@@ -241,21 +241,29 @@ def trace_documents(conversations: DataFrame, events: DataFrame, page_size: int
     """Summary plus time-ordered events, nested, in pages of ``page_size`` events.
 
     A page bounds the array, so one endless trace becomes many rows, not one huge one.
-    The totals of a trace come from rows without arrays, so its pages never meet in one
-    task.
+    The totals of a trace ride on the rows that carry positions from slice to slice, so the
+    log is read for nothing else and a trace's pages never meet in one task.
     """
     shown = shown_events(events).select(
         "trace_id", "event_id", shown_kind().alias("event_type"), "timestamp"
     )
-    numbered = ordered.positions(
-        shown, ["trace_id"], ordered.time_slice("timestamp", SLICE_SECONDS), ["timestamp", "event_id"]
+    numbered = ordered.running_sums(
+        shown,
+        ["trace_id"],
+        ordered.time_slice("timestamp", SLICE_SECONDS),
+        ["timestamp", "event_id"],
+        {"position": F.lit(1).cast("long")},
+        whole_sum={"event_count": "position"},
+        whole_max={"last_at": "timestamp"},
     )
     pages = numbered.groupBy(
         "trace_id", F.floor((F.col("position") - 1) / page_size).cast("long").alias("page")
-    ).agg(F.array_sort(F.collect_list(F.struct("position", "event_id", "event_type", "timestamp"))).alias("events"))
-    totals = shown.groupBy("trace_id").agg(F.max("timestamp").alias("last_at"), F.count("*").alias("event_count"))
-    summed = conversations.join(totals, "trace_id", "left")
-    return summed.join(pages, "trace_id", "left").select(
+    ).agg(
+        F.array_sort(F.collect_list(F.struct("position", "event_id", "event_type", "timestamp"))).alias("events"),
+        F.max("event_count").alias("event_count"),
+        F.max("last_at").alias("last_at"),
+    )
+    return conversations.join(pages, "trace_id", "left").select(
         "trace_id",
         "modality",
         customer_label().alias("customer_label"),
@@ -385,3 +393,13 @@ def load_counts(tables: dict[str, DataFrame]) -> DataFrame:
     for part in counted[1:]:
         out = out.unionByName(part)
     return out
+
+
+def undeclared_fields(events: DataFrame) -> DataFrame:
+    """Payload fields that no contract declares, by event kind: the log's extra fields."""
+    extra = F.array_except(F.json_object_keys("metadata"), F.array(*[F.lit(n) for n in PAYLOAD]))
+    return (
+        events.select("event_type", F.explode(extra).alias("field"))
+        .groupBy("event_type", "field")
+        .agg(F.count("*").alias("events"))
+    )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,6 +58,34 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{root}/{name}/{read_manifest(spark, root).entries[name]}")
 
 
+def contract_breaks(line: Column, schema: T.StructType) -> Column:
+    """How a JSON record breaks a closed schema: ``not_an_object``, ``missing:f``, ``type:f`` and
+    ``extra:f``, in this order; a schema says which fields may be null, and no other field
+    may stand there."""
+    keys = F.json_object_keys(line)
+    parsed = F.from_json(line, T.StructType([T.StructField(f.name, f.dataType) for f in schema.fields]))
+    raw = {f.name: F.get_json_object(line, f"$['{f.name}']") for f in schema.fields}
+    missing = [F.when(raw[f.name].isNull(), F.lit(f"missing:{f.name}")) for f in schema.fields if not f.nullable]
+    wrong = [
+        F.when(raw[f.name].isNotNull() & parsed[f.name].isNull(), F.lit(f"type:{f.name}")) for f in schema.fields
+    ]
+    known = F.array(*[F.lit(f.name) for f in schema.fields])
+    extra = F.transform(F.array_sort(F.array_except(keys, known)), lambda k: F.concat(F.lit("extra:"), k))
+    found = F.concat(F.array_compact(F.array(*missing, *wrong)), extra)
+    return F.when(keys.isNull(), F.array(F.lit("not_an_object"))).otherwise(found)
+
+
+def read_contract(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """JSON lines held to a closed schema: ``line``, the parsed ``record`` and its
+    ``violations``; nothing is dropped and no line fails the read."""
+    lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
+    return lines.select(
+        F.col("value").alias("line"),
+        F.from_json("value", schema).alias("record"),
+        contract_breaks(F.col("value"), schema).alias("violations"),
+    )
+
+
 def read_fixture(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A JSON document or list held to its schema; a wrong type fails the read."""
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
