@@ -12,7 +12,7 @@ from turnledger.sources import listing
 from turnledger.sources.readers import bad_rows, good_rows, read_trace_log
 from turnledger.sources.sinks import write_log
 from turnledger.streaming import evaluate, ingest
-from turnledger.streaming.live import live_turn_stream, summary_of_closes
+from turnledger.streaming.live import live_turn_stream, summary_of_closes, verify_after_turn
 
 
 def _files(df, path, parts, order):
@@ -307,8 +307,6 @@ def test_a_batch_reads_only_the_days_of_the_log_it_needs(spark, sf_dir, tmp_path
 
 
 def test_replies_are_verified_after_the_turn(spark, tmp_path):
-    from turnledger.streaming.live import verify_after_turn
-
     schema = "trace_id string, turn long, event_type string, text string"
     log = spark.createDataFrame(
         [
@@ -323,6 +321,30 @@ def test_replies_are_verified_after_the_turn(spark, tmp_path):
     assert [(r["trace_id"], r["claims"], r["supported"], r["verdict"]) for r in row] == [("live_1", 2, 1, "fail")]
 
 
+def test_replies_are_verified_on_tool_results(spark, tmp_path):
+    call = '{"tool_name": "search_knowledge_base", "result_preview": "The blue drill ships tomorrow, ask 555-123-4567."}'
+    fragments = [
+        ("live_1", 1, _at(0), "user_fragment", "Does my red saw come with a free case?"), ("live_1", 2, _at(1), "tool_call", call),
+        ("live_1", 3, _at(2), "assistant_fragment", "The blue drill ships tomorrow. My red saw come with a free case."),
+        ("live_1", 4, _at(3), "turn_complete", None), ("live_1", 5, _at(4), "tool_call", "escalate_to_human"),
+        ("live_1", 6, _at(5), "session_close", None),
+    ]
+    out = _live_out(spark, [fragments], tmp_path, "tool_out")
+    out = spark.createDataFrame(out.collect(), out.schema)
+    tools = {r["tool_name"]: (r["text"], r["pii_redacted"]) for r in out.where("event_type = 'live_tool_call'").collect()}
+    assert tools == {
+        "search_knowledge_base": ("The blue drill ships tomorrow, ask [PHONE_NUMBER].", True), "escalate_to_human": (None, False)
+    }
+    batch = live.tool_calls(spark.createDataFrame(fragments, FRAGMENTS)).orderBy("seq").collect()
+    assert [r["tool_name"] for r in batch] == ["search_knowledge_base", "escalate_to_human"] and batch[1]["result_preview"] is None
+    assert live.session_closes(spark.createDataFrame(fragments, FRAGMENTS)).first()["escalated"]
+    for evidence, supported in ((("tool", "customer"), 2), (("tool",), 1)):
+        folder = str(tmp_path / str(supported))
+        verify_after_turn(out, folder, evidence)(out, 0)
+        row = spark.read.parquet(f"{folder}/batch_id=0").first()
+        assert (row["claims"], row["supported"]) == (2, supported)
+
+
 def test_quarantined_rows_are_kept_with_their_rules(spark, tmp_path):
     source, out, ckpt = (str(tmp_path / n) for n in ("in", "out", "ckpt"))
     rows = [("e1", "trc_1", "stt", None, "{}"), ("e2", "trc_1", None, None, "{bad"), ("e3", "trc_1", "user_message", " ", "{}")]

@@ -118,7 +118,7 @@ def session_closes(fragments: DataFrame, ceiling_seconds: int = DEFAULT_POLICY.s
     inside = marked.where("in_session").drop("in_session")
     kind, at = F.col("kind"), F.unix_micros("timestamp")
     more = marked.groupBy("trace_id").agg(
-        F.coalesce(F.bool_or(F.col("in_session") & (kind == "tool_call") & (F.col("text") == HANDOVER_TOOL)), F.lit(False)).alias(
+        F.coalesce(F.bool_or(F.col("in_session") & (kind == "tool_call") & (tool_name() == HANDOVER_TOOL)), F.lit(False)).alias(
             "escalated"
         ),
         F.count_if(~F.col("in_session")).alias("late_fragments"),
@@ -143,6 +143,11 @@ def session_closes(fragments: DataFrame, ceiling_seconds: int = DEFAULT_POLICY.s
     )
 
 
+def tool_name() -> Column:
+    """The tool of a ``tool_call``: its text is the name or a JSON record of the call."""
+    return F.coalesce(F.get_json_object("text", "$.tool_name"), F.col("text"))
+
+
 def outcome_of(escalated: str) -> Column:
     return F.when(F.col(escalated), "escalated").otherwise("contained")
 
@@ -168,7 +173,13 @@ def close_summaries(closes: DataFrame) -> DataFrame:
 def tool_calls(fragments: DataFrame, ceiling_seconds: int = DEFAULT_POLICY.session_ceiling_seconds) -> DataFrame:
     """The log row of every tool call made while its session was open."""
     inside = bounded_sessions(fragments, ceiling_seconds).where(F.col("in_session") & (F.col("kind") == "tool_call"))
-    return inside.select("trace_id", "seq", F.lit("live_tool_call").alias("event_type"), F.col("text").alias("tool_name"))
+    return inside.select(
+        "trace_id",
+        "seq",
+        F.lit("live_tool_call").alias("event_type"),
+        tool_name().alias("tool_name"),
+        F.get_json_object("text", "$.result_preview").alias("result_preview"),
+    )
 
 
 def tool_mix(fragments: DataFrame, ceiling_seconds: int = DEFAULT_POLICY.session_ceiling_seconds) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -87,8 +88,9 @@ class TurnAssembler(StatefulProcessor):
                 continue
             last = max(last, int(at))
             if kind == "tool_call":
-                escalated = escalated or text == HANDOVER_TOOL
-                out.append(_row(trace_id, "live_tool_call", segment=segment, tool_name=text))
+                name, result = _tool(text)
+                escalated = escalated or name == HANDOVER_TOOL
+                out.append(_row(trace_id, "live_tool_call", segment=segment, tool_name=name, text=result))
             elif kind == "session_close":
                 closed = True
             else:
@@ -152,6 +154,17 @@ class TurnAssembler(StatefulProcessor):
         pass
 
 
+def _tool(text: str | None) -> tuple[str | None, str | None]:
+    """Name and result of a tool call: its text is the name or a JSON record of the call."""
+    try:
+        call = json.loads(text or "")
+    except ValueError:
+        return text, None
+    if not isinstance(call, dict) or "tool_name" not in call:
+        return text, None
+    return call["tool_name"], call.get("result_preview")
+
+
 def _row(trace_id: str, event_type: str, **values) -> tuple:
     values |= {"trace_id": trace_id, "event_type": event_type}
     return tuple(values.get(name) for name in OUTPUT.fieldNames())
@@ -194,7 +207,8 @@ def live_turn_stream(
             timeMode="EventTime",
         )
     )
-    user = F.col("event_type").isin("live_user_transcript", "live_late_fragment")  # may be the customer's words
+    # what may hold the customer's words or data
+    user = F.col("event_type").isin("live_user_transcript", "live_late_fragment", "live_tool_call")
     closing = F.col("event_type") == "live_session_close"
     clean = redact("text")
     return rows.select(
@@ -219,18 +233,16 @@ def summary_of_closes(root: str):
     return batch_folder(root, lambda rows: close_summaries(rows.withColumnRenamed("turn", "turns")))
 
 
-def verify_after_turn(turn_log: DataFrame, root: str):
-    """A ``foreachBatch`` writer that grounds the replies of each batch against what
-    the same conversations said, as stored in ``turn_log``."""
+def verify_after_turn(turn_log: DataFrame, root: str, evidence: Sequence[str] = ("tool", "customer")):
+    """A ``foreachBatch`` writer that grounds the replies of each batch on what is stored
+    for their conversations in ``turn_log``: the results of tools and, unless ``evidence``
+    leaves them out, the customer's words."""
+    roles = {"live_assistant_text": "agent", "live_tool_call": "tool", "live_user_transcript": "customer"}
+    role = F.coalesce(*[F.when(F.col("event_type") == kind, name) for kind, name in roles.items()])
 
     def verdicts(batch: DataFrame) -> DataFrame:
         touched = batch.where(F.col("event_type") == "live_assistant_text").select("trace_id").distinct()
-        kept = turn_log.join(touched, "trace_id", "left_semi").select(
-            "trace_id",
-            "turn",
-            F.when(F.col("event_type") == "live_assistant_text", "agent").otherwise("customer").alias("role"),
-            "text",
-        )
-        return grounding_check(kept.where(F.col("turn").isNotNull()), evidence=("customer",))
+        kept = turn_log.join(touched, "trace_id", "left_semi").select("trace_id", "turn", role.alias("role"), "text")
+        return grounding_check(kept.where((F.col("role") != "agent") | F.col("turn").isNotNull()), evidence=evidence)
 
     return batch_folder(root, verdicts)
