@@ -39,7 +39,7 @@ ROW_LEN = 2048
 BLOCK_TOKENS = 2_000_000
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PAD_ID = 50256
-CACHED = 300_000
+CACHED = 800_000  # pieces a Python worker remembers, some 160 MB
 
 SCHEMA = (
     "part int, row long, ids binary, n_tokens int, cu_seqlens array<int>, positions binary, "
