@@ -36,7 +36,7 @@ def _mark(modality: str) -> str:
     )
 
 
-def _sample(modality: str, n: int, sample_first: bool) -> str:
+def _sample(modality: str, n: int, sample_first: bool, since: str | None = None) -> str:
     user = "('user_message')" if sample_first else "('user_message', 'live_user_transcript')"
     agent = "('agent_response')" if sample_first else "('agent_response', 'live_assistant_text')"
     cond = "" if modality == "all" else f" AND c.modality = '{modality}'"
@@ -44,7 +44,7 @@ def _sample(modality: str, n: int, sample_first: bool) -> str:
     return f"""
 drawn AS (SELECT c.*, u.t AS utterance FROM v_conv c
   LEFT JOIN (SELECT trace_id, arg_min(input_text, ts) AS t FROM v_events WHERE event_type IN {user} GROUP BY 1) u USING (trace_id)
-  WHERE c.created_at > {_mark(modality).format(hours=24)}{cond}{blank}
+  WHERE c.created_at > {since or _mark(modality).format(hours=24)}{cond}{blank}
   ORDER BY md5(c.trace_id || '0'), c.trace_id LIMIT {n}),
 sampled AS (SELECT d.trace_id, d.modality, d.journey, d.outcome, d.utterance, coalesce(a.t, '') AS response_text,
     coalesce(r.conf, 0.0) AS confidence, coalesce(r.verdict = 'pass', false) AS grounded, d.outcome = 'escalated' AS escalate,
@@ -62,6 +62,21 @@ def _rank(p: float, col: str, alias: str) -> str:
     return f"min({col}) FILTER (WHERE rn = CAST(round_even({p}::DOUBLE * (n - 1), 0) AS BIGINT) + 1) AS {alias}"
 
 
+def _production_run(sample: str, run_id: str) -> str:
+    return f"""WITH {sample},
+judged AS (SELECT *, trim(response_text) <> '' AS asked, ends_with(trim(response_text), '?') AND trim(response_text) <> '{REFUSAL}' AS asks,
+    CASE WHEN trim(response_text) = '{REFUSAL}' THEN 'refused' WHEN escalate THEN 'escalated' ELSE 'contained' END AS actual FROM sampled),
+res AS (SELECT '{run_id}' AS run_id, journey, outcome AS derived_outcome, outcome AS expected_outcome, latency_ms, cost_micro,
+    NULL::BOOLEAN AS intent_correct, NULL::BOOLEAN AS hit,
+    CASE WHEN NOT asked THEN 'failed' WHEN asks THEN 'partial' WHEN actual = outcome THEN 'resolved' ELSE 'failed' END AS task_success,
+    CASE WHEN NOT asked THEN 'unknown' WHEN actual = 'refused' OR asks OR grounded THEN 'no' ELSE 'yes' END AS hallucinated FROM judged)
+SELECT run_id, sample_size, containment_rate, CAST(NULL AS DOUBLE) AS refusal_precision, CAST(NULL AS DOUBLE) AS intent_accuracy, CAST(NULL AS DOUBLE) AS retrieval_hit_rate,
+  hallucination_rate, nullif(task_success_order_status, 0.0) AS task_success_order_status, nullif(task_success_product_qa, 0.0) AS task_success_product_qa,
+  nullif(task_success_service_request, 0.0) AS task_success_service_request, latency_p50_ms, latency_p95_ms, cost_per_call_usd,
+  queries_order_status, queries_product_qa, queries_service_request, 'production' AS source, 'all' AS sample_modality
+FROM ({RUN_METRICS.format(source='res')})"""
+
+
 _WORDS = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+')"
 
 _SCORED = f"""
@@ -149,6 +164,10 @@ def _redact(col: str) -> tuple[str, str, str]:
 
 _P1, _P2, _P3 = _redact("text")
 
+_LIVE_TURNS = f"""SELECT trace_id, segment, turn, 'live_user_transcript' AS event_type, {_redact('user_text')[2]} AS text, {_redact('user_text')[2]} <> user_text AS pii_redacted, NULL::VARCHAR AS preview FROM t WHERE user_text <> ''
+UNION ALL SELECT a.trace_id, a.segment, t.turn, 'live_assistant_text', a.agent_text, false, NULL FROM a JOIN t ON t.trace_id = a.trace_id AND t.segment = a.segment WHERE NOT a.cut AND a.agent_text <> ''
+UNION ALL SELECT trace_id, segment, NULL, 'live_interruption', agent_text, false, substring(agent_text, 1, 200) FROM a WHERE cut"""
+
 _BODIES = {
     "trace_list": f"""SELECT trace_id, {_iso('created_at')} AS started_at, modality, {_CUST} AS customer_label, journey AS intent, journey, outcome,
   turns AS turn_count, latency_p50_ms AS total_latency_ms, cost_usd AS total_cost_usd
@@ -266,18 +285,7 @@ FROM v_queries JOIN v_responses USING (trace_id) WHERE trim(response_text) <> ''
 FROM v_queries JOIN v_responses USING (trace_id) GROUP BY 1, 2, 3""",
     "production_sample": f"WITH {_sample('voice', 50, False)} SELECT * FROM sampled",
     "production_sample_first": f"WITH {_sample('voice', 50, True)} SELECT * FROM sampled",
-    "production_eval": f"""WITH {_sample('all', 50, False)},
-judged AS (SELECT *, trim(response_text) <> '' AS asked, ends_with(trim(response_text), '?') AND trim(response_text) <> '{REFUSAL}' AS asks,
-    CASE WHEN trim(response_text) = '{REFUSAL}' THEN 'refused' WHEN escalate THEN 'escalated' ELSE 'contained' END AS actual FROM sampled),
-res AS (SELECT 'evr_prod' AS run_id, journey, outcome AS derived_outcome, outcome AS expected_outcome, latency_ms, cost_micro,
-    NULL::BOOLEAN AS intent_correct, NULL::BOOLEAN AS hit,
-    CASE WHEN NOT asked THEN 'failed' WHEN asks THEN 'partial' WHEN actual = outcome THEN 'resolved' ELSE 'failed' END AS task_success,
-    CASE WHEN NOT asked THEN 'unknown' WHEN actual = 'refused' OR asks OR grounded THEN 'no' ELSE 'yes' END AS hallucinated FROM judged)
-SELECT run_id, sample_size, containment_rate, CAST(NULL AS DOUBLE) AS refusal_precision, CAST(NULL AS DOUBLE) AS intent_accuracy, CAST(NULL AS DOUBLE) AS retrieval_hit_rate,
-  hallucination_rate, nullif(task_success_order_status, 0.0) AS task_success_order_status, nullif(task_success_product_qa, 0.0) AS task_success_product_qa,
-  nullif(task_success_service_request, 0.0) AS task_success_service_request, latency_p50_ms, latency_p95_ms, cost_per_call_usd,
-  queries_order_status, queries_product_qa, queries_service_request, 'production' AS source, 'all' AS sample_modality
-FROM ({RUN_METRICS.format(source='res')})""",
+    "production_eval": _production_run(_sample("all", 50, False), "evr_prod"),
     "batch_preview": " UNION ALL ".join(
         f"SELECT '{m}' AS modality, {_iso(_mark(m).format(hours=168))} AS since_at, "
         f"(SELECT count(*) FROM v_conv WHERE created_at > {_mark(m).format(hours=168)}{'' if m == 'all' else chr(32) + 'AND modality = ' + chr(39) + m + chr(39)}) AS new_count"
@@ -441,9 +449,7 @@ SELECT s.trace_id, s.turn, len(s.c) AS claims, coalesce(t.supported, 0) AS suppo
   CASE WHEN len(s.c) = 0 OR coalesce(t.supported, 0) / len(s.c) >= 0.8 THEN 'pass' ELSE 'fail' END AS verdict
 FROM s LEFT JOIN t ON t.trace_id = s.trace_id AND t.turn = s.turn""",
     "live_turns": f"""WITH {_LIVE}
-SELECT trace_id, segment, turn, 'live_user_transcript' AS event_type, {_redact('user_text')[2]} AS text, {_redact('user_text')[2]} <> user_text AS pii_redacted, NULL::VARCHAR AS preview FROM t WHERE user_text <> ''
-UNION ALL SELECT a.trace_id, a.segment, t.turn, 'live_assistant_text', a.agent_text, false, NULL FROM a JOIN t ON t.trace_id = a.trace_id AND t.segment = a.segment WHERE NOT a.cut AND a.agent_text <> ''
-UNION ALL SELECT trace_id, segment, NULL, 'live_interruption', agent_text, false, substring(agent_text, 1, 200) FROM a WHERE cut""",
+{_LIVE_TURNS}""",
     "live_session_kpis": f"""WITH {_LIVE},
 s AS (SELECT l.trace_id, (epoch_us(max(ts)) - epoch_us(min(ts))) // 1000 AS duration_ms,
   greatest(1, coalesce((SELECT max(turn) FROM t WHERE t.trace_id = l.trace_id), 0)) AS turns,
@@ -460,8 +466,34 @@ SELECT trace_id, 'voice' AS modality, NULL::VARCHAR AS customer_id, NULL::VARCHA
     "live_tool_mix": f"""WITH {_BOUNDED}
 SELECT text AS tool_name, count(*) AS calls, count(DISTINCT trace_id) AS sessions, count(*) / (SELECT count(*) FROM inside WHERE kind = 'tool_call') AS share
 FROM inside WHERE kind = 'tool_call' GROUP BY 1""",
+    "log_store": """SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS event_date, event_type, count(*) AS events, count(DISTINCT trace_id) AS traces,
+  CAST(sum(latency_ms) AS BIGINT) AS latency_ms, count(*) FILTER (WHERE pii_redacted) AS redacted,
+  CAST(sum(coalesce(length(input_text), 0) + coalesce(length(output_text), 0) + coalesce(length(metadata), 0)) AS BIGINT) AS chars
+FROM v_events GROUP BY 1, 2
+UNION ALL SELECT NULL, '(set aside)', count(*), NULL, NULL, NULL, NULL FROM v_events WHERE latency_ms % 8 = 1""",
+    "outcome_stream": """SELECT strftime(date_trunc('hour', created_at), '%Y-%m-%d %H:%M:%S') AS window_start, modality, count(*) AS conversations,
+  count(*) FILTER (WHERE outcome = 'contained') AS contained, count(*) FILTER (WHERE outcome = 'escalated') AS escalated, count(*) FILTER (WHERE outcome = 'refused') AS refused,
+  count(*) FILTER (WHERE outcome = 'refused') / count(*) AS refusal_rate FROM v_conv
+WHERE date_trunc('hour', created_at) + INTERVAL 1 HOUR <= (SELECT max(created_at) FROM v_conv) - INTERVAL 10 MINUTE GROUP BY 1, 2""",
+    "evaluation_stream": f"""SELECT * EXCLUDE (queries_order_status, queries_product_qa, queries_service_request), 'unknown' AS git_sha,
+  (SELECT {_iso('max(created_at)')} FROM v_conv) AS created_at
+FROM ({_production_run(_sample("all", 10**15, False, "TIMESTAMP '1970-01-01 00:00:00'"), "evr_stream_00000000")})""",
+    "live_turn_stream": f"""WITH {_BOUNDED},
+s AS ({_LIVE_TURNS})
+SELECT *, NULL::BIGINT AS duration_ms, NULL::VARCHAR AS outcome, NULL::VARCHAR AS closed_at FROM s
+UNION ALL SELECT trace_id, NULL, turns, event_type, NULL, false, NULL, duration_ms, CASE WHEN escalated THEN 'escalated' ELSE 'contained' END, {_iso('closed_at')}
+FROM closes JOIN (SELECT trace_id, min(ts) AS first_at FROM v_live GROUP BY 1) USING (trace_id)
+WHERE first_at + INTERVAL 600 SECOND <= (SELECT max(ts) FROM v_live) - INTERVAL 600 SECOND""",
+    "latest_results": """SELECT run_id, query_id, journey, utterance, response_text, derived_outcome, intent_correct, hit, task_success
+FROM v_golden WHERE run_id = (SELECT max(run_id) FROM v_golden)""",
+    "reload_store": """SELECT 'conversations' AS table_name, count(*) AS row_count FROM v_conv
+UNION ALL SELECT 'conversation_traces', count(*) FROM v_events UNION ALL SELECT 'customers_context', count(*) FROM v_customers
+UNION ALL SELECT 'eval_runs', count(*) FROM v_runs""",
 }
 
+# Stores hold what the batch jobs compute.
+STORED = {"summary_store": "conversation_rollup", "run_store": "eval_run_list", "label_store": "label_set", "bulk_load": "customer_list"}
+
 
 def _fill(body: str) -> str:
     from oracles.views import HIT
@@ -470,3 +502,4 @@ def _fill(body: str) -> str:
 
 
 ORACLES = {name: with_views(_fill(body)) for name, body in _BODIES.items()}
+ORACLES |= {name: ORACLES[twin] for name, twin in STORED.items()}

@@ -24,8 +24,11 @@ from turnledger.plans import (
     traces,
     vectors,
 )
+from turnledger.schemas import CUSTOMERS_CONTEXT, EVAL_RUNS
 from turnledger.session import configure
 from turnledger.sources import canonical as c
+from turnledger.sources import readers, sinks
+from turnledger.streaming import backfill
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -538,3 +541,107 @@ def live_session_summaries(s, d):
 @query
 def live_tool_mix(s, d):
     return live.tool_mix(c.live_fragments(s, d))
+
+
+# --- stores and streams, read back ------------------------------------------------
+
+
+@query
+def log_store(s, d):
+    """The streamed day log per day and kind, and the number of lines set aside."""
+    sent = F.pmod("latency_ms", F.lit(8))
+    log, aside = backfill.log_backfill(c.trace_events(s, d), twice=sent == 0, broken=sent == 1)
+    chars = sum(F.coalesce(F.length(n), F.lit(0)) for n in ("input_text", "output_text", "metadata"))
+    days = log.groupBy(F.col("event_date").cast("string").alias("event_date"), "event_type").agg(
+        F.count("*").alias("events"),
+        F.count_distinct("trace_id").alias("traces"),
+        F.sum("latency_ms").alias("latency_ms"),
+        F.count_if("pii_redacted").alias("redacted"),
+        F.sum(chars).cast("long").alias("chars"),
+    )
+    lines = aside.agg(F.lit("(set aside)").alias("event_type"), F.count("*").alias("events"))
+    return days.unionByName(lines, allowMissingColumns=True)
+
+
+@query
+def summary_store(s, d):
+    return backfill.summary_backfill(c.summary_log(s, d)).withColumn("created_at", iso_millis("created_at"))
+
+
+@query
+def outcome_stream(s, d):
+    return backfill.outcome_backfill(c.conversations(s, d))
+
+
+@query
+def evaluation_stream(s, d):
+    rows = backfill.evaluation_backfill(c.conversations(s, d), c.trace_events(s, d))
+    return rows.withColumn("created_at", iso_millis("created_at"))
+
+
+@query
+def live_turn_stream(s, d):
+    """Turns and closes as the keyed stream writes them; tool rows have a job of their own."""
+    rows = backfill.live_backfill(c.live_fragments(s, d)).where("event_type <> 'live_tool_call'")
+    close = F.col("event_type") == "live_session_close"
+    return rows.select(
+        "trace_id",
+        F.when(~close, F.col("segment")).alias("segment"),
+        "turn",
+        "event_type",
+        "text",
+        "pii_redacted",
+        "preview",
+        "duration_ms",
+        "outcome",
+        iso_millis("closed_at").alias("closed_at"),
+    )
+
+
+@query
+def run_store(s, d):
+    """Appended runs, some of them twice as after a lost reply, read back as the list."""
+    path = backfill.new_folder(s, "eval-runs")
+    rows = _runs(s, d)
+    sinks.append_runs(rows, path)
+    sinks.append_runs(rows.where(F.col("run_id").endswith("5")), path)
+    return runs.newest_first(s.read.schema(EVAL_RUNS).parquet(path)).drop("created_at")
+
+
+@query
+def latest_results(s, d):
+    """The stored results of the greatest run; no other run is opened."""
+    root = backfill.new_folder(s, "runs")
+    sinks.write_run(_golden(s, d), {"git_sha": "unknown"}, root)
+    rows = readers.read_latest_results(s, f"{root}/results")
+    return rows.select(
+        "run_id", "query_id", "journey", "utterance", "response_text", "derived_outcome", "intent_correct", "hit", "task_success"
+    )
+
+
+@query
+def reload_store(s, d):
+    """Row counts after a load that held customers twice and a reload of two tables."""
+    root = backfill.new_folder(s, "warehouse")
+    people, talks = c.customers(s, d), c.conversations(s, d)
+    frames = {"conversations": talks, "conversation_traces": c.trace_events(s, d), "customers_context": people}
+    sinks.reload_tables({**frames, "eval_runs": _runs(s, d), "customers_context": people.unionAll(people)}, root)
+    sinks.reload_tables({"customers_context": people, "conversations": talks}, root)
+    return traces.load_counts({n: readers.read_table(s, root, n) for n in (*frames, "eval_runs")})
+
+
+@query
+def label_store(s, d):
+    path = backfill.new_folder(s, "labels")
+    sinks.write_label_set(_labels(s, d), path)
+    rows = readers.read_label_set(s, path)
+    return rows.withColumns({n: F.array_join(n, "|") for n in ("must_contain", "must_not_contain")})
+
+
+@query
+def bulk_load(s, d):
+    """Customers as JSON lines, loaded under their schema and listed."""
+    root = backfill.new_folder(s, "bulk")
+    c.customers(s, d).write.json(f"{root}/lines")
+    sinks.load_ndjson(s, f"{root}/lines", CUSTOMERS_CONTEXT, f"{root}/table")
+    return customers.customer_list(s.read.schema(CUSTOMERS_CONTEXT).parquet(f"{root}/table"))
