@@ -8,8 +8,8 @@ what is gathered grows with the corpus.
 
 Documents are dealt into blocks of about ``BLOCK_BYTES`` of text by a hash. A block adds up
 its own words and pairs and hands on its sorted distinct keys, cut into ranges of the key;
-each range sums the keys of all blocks and answers every block, in the order of its keys,
-with the counts in the whole corpus. A frequent word or pair costs one key a block,
+each range sums the keys of all blocks and answers the blocks that sent it some, in the order
+of their keys, with the counts in the whole corpus. The totals of all words are summed once. A frequent word or pair costs one key a block,
 wherever it stands. Blocks, ranges and their tasks grow in number with the text, not in
 size, and nothing is broadcast or gathered at the driver.
 
@@ -114,10 +114,8 @@ def unpack_counts(packed: bytes) -> np.ndarray:
 
 
 KEYS = "kind int, range int, block int, keys binary, background binary, target binary"
-COUNTS = (
-    "block int, kind int, range int, background binary, target binary, "
-    "n_words long, n_background long, n_target long"
-)
+COUNTS = "block int, kind int, range int, background binary, target binary"
+TOTALS = "kind int, n_words long, n_background long, n_target long"
 
 
 def _ranges_of(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -171,11 +169,24 @@ def _counted(batches: Iterator[pa.RecordBatch], bits: tuple[int, int]) -> Iterat
                 )
 
 
-def _summed(table: pa.Table, blocks: int) -> pa.Table:
-    """The counts of one range over all blocks, for each block those of its own keys.
+def _totals(table: pa.Table) -> pa.Table:
+    """The number of different words of one range and their totals; none for pairs."""
+    kind = table.column("kind")[0].as_py()
+    sums = [0, 0, 0]
+    if kind == 0:
+        theirs = [unpack_keys(k.as_py()) for k in table.column("keys")]
+        sums[0] = int((np.unique(np.concatenate(theirs)) != START).sum())
+        for i, c in enumerate(("background", "target"), 1):
+            counts = (unpack_counts(x.as_py()) for x in table.column(c))
+            sums[i] = sum(int(n[k != START].sum()) for k, n in zip(theirs, counts, strict=True))
+    names = ["n_words", "n_background", "n_target"]
+    return pa.table(
+        {"kind": pa.array([kind], pa.int32())} | {n: pa.array([x], pa.int64()) for n, x in zip(names, sums, strict=True)}
+    )
 
-    A range of words also tells every block its number of words and their totals.
-    """
+
+def _summed(table: pa.Table) -> pa.Table:
+    """The counts of one range over all blocks, for each block those of its own keys."""
     kind, which = table.column("kind")[0].as_py(), table.column("range")[0].as_py()
     theirs = [unpack_keys(k.as_py()) for k in table.column("keys")]
     sizes = [len(k) for k in theirs]
@@ -189,20 +200,15 @@ def _summed(table: pa.Table, blocks: int) -> pa.Table:
     made: dict[int, tuple] = {}
     for block, s, e in zip(table.column("block").to_pylist(), ends - sizes, ends, strict=True):
         made[block] = tuple(pack_counts(total[back[s:e]]) for total in sums)
-    to = range(blocks) if kind == 0 else sorted(made)
-    word = keys != START
-    totals = (int(word.sum()), *(int(x[word].sum()) for x in sums)) if kind == 0 else (0, 0, 0)
+    to = sorted(made)
     n = len(to)
     return pa.table(
         {
-            "block": pa.array(list(to), pa.int32()),
+            "block": pa.array(to, pa.int32()),
             "kind": pa.array(np.full(n, kind, np.int32)),
             "range": pa.array(np.full(n, which, np.int32)),
-            "background": pa.array([made.get(b, (b"", b""))[0] for b in to], pa.binary()),
-            "target": pa.array([made.get(b, (b"", b""))[1] for b in to], pa.binary()),
-            "n_words": pa.array(np.full(n, totals[0], np.int64)),
-            "n_background": pa.array(np.full(n, totals[1], np.int64)),
-            "n_target": pa.array(np.full(n, totals[2], np.int64)),
+            "background": pa.array([made[b][0] for b in to], pa.binary()),
+            "target": pa.array([made[b][1] for b in to], pa.binary()),
         }
     )
 
@@ -233,9 +239,11 @@ def _scored(docs: pa.Table, counts: pa.Table) -> pa.Table:
         keys = [np.unique(x) for x in _keys_of_block([texts[i] for i in full])]
         if any(len(keys[k]) != len(x) for k in (0, 1) for x in of[k]):
             raise ValueError("a block was not answered for all its words and pairs")
-        n_words = int(counts.column("n_words").to_numpy().sum())
+        # Every row of the words carries the corpus totals.
+        whole = counts.slice(int(np.flatnonzero(kinds == 0)[0]), 1)
+        n_words, *totals = (whole.column(c)[0].as_py() for c in ("n_words", "n_target", "n_background"))
         places = max(1 << WORD_BITS, n_words + 1) - 1
-        totals = [int(counts.column(c).to_numpy().sum()) + ALPHA * places for c in ("n_target", "n_background")]
+        totals = [t + ALPHA * places for t in totals]
         # Whole texts at a time, about AT_ONCE words of them.
         cut = np.cumsum(sizes[full]) // AT_ONCE
         for some in np.split(full, np.flatnonzero(np.diff(cut)) + 1):
@@ -283,15 +291,21 @@ def score(
     # Both uses below read this one exchange.
     dealt = dealt.repartition(2 * blocks, "block")
     keys = dealt.mapInArrow(partial(_counted, bits=ranges), KEYS)
-    summed = partial(_summed, blocks=blocks)
 
     def sums(table: pa.Table) -> pa.Table:
-        return summed(table)
+        return _summed(table)
+
+    def totals(table: pa.Table) -> pa.Table:
+        return _totals(table)
 
     def scores(docs: pa.Table, counts: pa.Table) -> pa.Table:
         return _scored(docs, counts)
 
-    counts = keys.groupBy("kind", "range").applyInArrow(sums, COUNTS)
+    # Both read one exchange of the keys. The totals are two rows, one for words, one for pairs.
+    by_range = keys.groupBy("kind", "range")
+    whole = by_range.applyInArrow(totals, TOTALS).groupBy("kind")
+    whole = whole.agg(*[F.sum(c).alias(c) for c in ("n_words", "n_background", "n_target")])
+    counts = by_range.applyInArrow(sums, COUNTS).join(F.broadcast(whole), "kind")
     made = dealt.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(
         scores, f"id {kind}, n_tokens long, h_target double, h_background double, score double"
     )
