@@ -9,9 +9,10 @@ what is gathered grows with the corpus.
 Documents are dealt into blocks of about ``BLOCK_BYTES`` of text by a hash. A block adds up
 its own words and pairs and hands on its sorted distinct keys, cut into ranges of the key;
 each range sums the keys of all blocks and answers the blocks that sent it some, in the order
-of their keys, with the counts in the whole corpus. The totals of all words are summed once. A frequent word or pair costs one key a block,
-wherever it stands. Blocks, ranges and their tasks grow in number with the text, not in
-size, and nothing is broadcast or gathered at the driver.
+of their keys, with the counts in the whole corpus. The totals of all words are summed once
+and broadcast, two rows. A frequent word or pair costs one key a block, wherever it stands.
+Blocks, ranges and their tasks grow in number with the text, not in size, and nothing is
+gathered at the driver.
 
 The score of a document is H_target - H_background in bits per token; lower is closer to
 the target.
