@@ -396,6 +396,12 @@ SELECT intent, before, after, p, q, CASE WHEN p > 0 AND q > 0 THEN round((q - p)
     "claims": f"""WITH s AS (SELECT trace_id, turn, list_filter(list_transform(string_split(regexp_replace({_STRIP.format('text')}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)),
     lambda x: {_STRIP.format('x')}), lambda x: length(x) >= 12) AS c FROM v_turns WHERE role = 'agent')
 SELECT trace_id, turn, i - 1 AS claim_no, c[i] AS claim FROM (SELECT *, unnest(generate_series(1, len(c))) AS i FROM s)""",
+    "injection_families": """WITH f AS (SELECT modality, regexp_replace(lower(utterance), '\\s+', ' ', 'g') AS u FROM v_messages),
+t AS (SELECT modality, count(*) AS n FROM f GROUP BY 1),
+h AS (SELECT modality, 'override' AS family FROM f WHERE regexp_matches(u, 'ignore.{0,30}instructions')
+  UNION ALL SELECT modality, 'disclosure' FROM f WHERE regexp_matches(u, 'reveal.{0,30}prompt')
+  UNION ALL SELECT modality, 'any' FROM f WHERE regexp_matches(u, 'ignore.{0,30}instructions|reveal.{0,30}prompt'))
+SELECT modality, family, count(*) AS flagged, count(*) / any_value(n) AS share FROM h JOIN t USING (modality) GROUP BY 1, 2""",
     "injection_flags": """SELECT modality, count(*) AS messages, count(*) FILTER (WHERE f) AS flagged, count(*) FILTER (WHERE f) / count(*) AS flag_rate
 FROM (SELECT modality, regexp_matches(utterance, '(?i)((ignore|disregard|forget)\\s+(all\\s+|any\\s+)?(the\\s+)?(previous|prior|above)\\s+instructions|reveal\\s+(your\\s+|the\\s+)?(system\\s+)?prompt|you\\s+are\\s+now\\s+(a|an|the)\\s+)') AS f FROM v_messages) GROUP BY 1""",
     "transcript": """SELECT trace_id, turn // 256 AS page, count(*) AS turns, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS transcript FROM v_turns GROUP BY 1, 2""",

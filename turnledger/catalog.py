@@ -438,6 +438,11 @@ def injection_flags(s, d):
     return texts.injection_flags(c.incoming_messages(s, d))
 
 
+@query
+def injection_families(s, d):
+    return texts.injection_families(c.incoming_messages(s, d))
+
+
 @query
 def transcript(s, d):
     return texts.transcript(c.turns(s, d))

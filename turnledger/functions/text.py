@@ -26,6 +26,17 @@ INJECTION_PATTERNS = (
     r"you\s+are\s+now\s+(a|an|the)\s+",
 )
 
+# What an injected instruction tries to do, by family; looked for in folded text.
+INJECTION_FAMILIES = {
+    "override": r"\b(ignore|disregard|forget|override|bypass)\b.{0,30}\b(instructions?|rules|guidelines|polic(y|ies)|guardrails)\b",
+    "disclosure": r"\b(reveal|show|print|repeat|output|leak)\b.{0,30}\b(system prompt|prompt|hidden instructions?|initial instructions?)\b",
+    "persona": r"\byou are now (a|an|the)\b|\b(pretend to be|act as|roleplay as)\b|\b(developer|jailbreak|unrestricted) mode\b",
+    "forged_turn": r"(^|\n) ?(system|assistant|developer) ?:|<\|?(system|im_start|endoftext)\|?>|\[/?inst\]|### ?(instruction|system)",
+    "tool_abuse": r"\b(call|invoke|run|execute)\b.{0,20}\b(tool|function|command)\b.{0,40}\b(refund|discount|delete|transfer|admin)\b",
+}
+# Characters that show nothing and split words for a pattern.
+UNSEEN = r"[\u00AD\u200B-\u200F\u202A-\u202E\u2060-\u2064\uFEFF]"
+
 
 def _c(col: str | Column) -> Column:
     return F.col(col) if isinstance(col, str) else col
@@ -111,6 +122,19 @@ def injection_like(text: str | Column) -> Column:
     return F.coalesce(_c(text), F.lit("")).rlike("(?i)" + "|".join(f"(?:{p})" for p in INJECTION_PATTERNS))
 
 
+def folded(text: str | Column) -> Column:
+    """Lower case without unseen characters, with single blanks; line breaks stay."""
+    seen = F.regexp_replace(F.lower(F.coalesce(_c(text), F.lit(""))), UNSEEN, "")
+    return F.regexp_replace(F.regexp_replace(seen, r"[ \t\r\f\u00A0]+", " "), r"\n+", "\n")
+
+
+def injection_families(text: str | Column) -> Column:
+    """The families of injected instructions in a text, in their order; none for null."""
+    body = folded(text)
+    found = [F.when(body.rlike(pattern), F.lit(name)) for name, pattern in INJECTION_FAMILIES.items()]
+    return F.array_compact(F.array(*found))
+
+
 def render(template: str | Column, **values: str | Column) -> Column:
     """Fill ``{{KEY}}`` markers of a prompt template with columns."""
     out = F.lit(template) if isinstance(template, str) else template

@@ -49,6 +49,23 @@ def injection_flags(messages: DataFrame) -> DataFrame:
     )
 
 
+def injection_families(messages: DataFrame) -> DataFrame:
+    """Messages per channel and family of injected instruction, with their share of the channel.
+
+    Each message counts once in every family it shows; ``any`` counts it once.
+    """
+    found = fx.injection_families("utterance")
+    rows = messages.select("modality", F.when(F.size(found) > 0, F.concat(found, F.array(F.lit("any")))).alias("found"))
+    # one pass: a channel has a row per set of families, then a row per family
+    sets = rows.groupBy("modality", "found").agg(F.count("*").alias("n"))
+    total = F.sum("n").over(Window.partitionBy("modality"))
+    each = sets.select("modality", "found", "n", total.alias("messages")).select(
+        "modality", "messages", "n", F.explode("found").alias("family")
+    )
+    counted = each.groupBy("modality", "family", "messages").agg(F.sum("n").alias("flagged"))
+    return counted.select("modality", "family", "flagged", ratio(F.col("flagged"), F.col("messages")).alias("share"))
+
+
 def _lines(turn_structs: Column) -> Column:
     return F.array_join(F.transform(turn_structs, lambda t: F.concat(t["role"], F.lit(": "), t["text"])), "\n")
 
