@@ -27,6 +27,22 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
 
 
+EVENTS_PER_TASK = 50_000  # each becomes up to eleven log rows with texts and payloads
+
+
+def dealt(events: DataFrame, rows: int = EVENTS_PER_TASK) -> DataFrame:
+    """Deal out events whose rows carry costly work, at most about ``rows`` to a task.
+
+    A file split counts bytes, and a few bytes of an event become many log rows: with splits
+    alone a task grows with the table until splits reach their full size. The narrow events
+    move once, in order of time, so that the log rows of a task fall on few days.
+    """
+    parts = -(-events.count() // rows)
+    if parts <= events.sparkSession.sparkContext.defaultParallelism:
+        return spread(events, "event_id")
+    return events.repartitionByRange(parts, "created_at", "event_id")
+
+
 def _pad(col: Column, width: int) -> Column:
     return F.lpad(col.cast("string"), width, "0")
 
@@ -126,7 +142,7 @@ def trace_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     Only row numbers are unrolled; texts and payloads are built afterwards, for the
     rows and columns that a query keeps.
     """
-    base = spread(events_base(spark, sf_dir), "event_id")
+    base = dealt(events_base(spark, sf_dir))
     rows = _with_conversation_columns(base)
     k = F.col("k")
     trace = F.col("trace_id")
@@ -307,7 +323,7 @@ def eval_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def judge_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw text a judge returned for each trace: clean, fenced, chatty and broken."""
-    rows = _with_conversation_columns(spread(events_base(spark, sf_dir), "event_id"))
+    rows = _with_conversation_columns(dealt(events_base(spark, sf_dir)))
     k = F.col("k")
     success = (
         F.when(k % 4 == 0, "resolved").when(k % 4 == 1, "Partial ").when(k % 4 == 2, "failed").otherwise("RESOLVED")
