@@ -24,9 +24,23 @@ RUNTIME_CONF = {
 }
 
 
+# Adaptive execution joins small shuffle partitions but never cuts large ones, so it starts
+# from many: what a task reads is then bounded by the advisory size, however large the input.
+INITIAL_PARTITIONS = 400
+# Logs shrink more than tenfold in files; a split of this size is some hundred MB of rows to sort.
+SPLIT_BYTES = 32 << 20
+_SPLIT = "spark.sql.files.maxPartitionBytes"
+_INITIAL = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+
+
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    wanted = max(INITIAL_PARTITIONS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if int(spark.conf.get(_INITIAL, "1")) < wanted:
+        spark.conf.set(_INITIAL, str(wanted))
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_SPLIT)) > SPLIT_BYTES:
+        spark.conf.set(_SPLIT, str(SPLIT_BYTES))
     return spark
 
 
@@ -85,12 +99,13 @@ def scratch(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, reader: SparkSession | None = None) -> DataFrame:
     """Write a frame as a table in the scratch folder and read it back.
 
     Later plans see its true size and choose their joins by it; a lost executor costs a
-    read, not a recomputation.
+    read, not a recomputation. ``reader`` is the session that goes on with it, by default
+    the frame's own.
     """
     path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return (reader or df.sparkSession).read.schema(df.schema).parquet(path)
