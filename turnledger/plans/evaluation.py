@@ -276,34 +276,42 @@ def reconstruct(events: DataFrame, live: bool = True) -> DataFrame:
     """First utterance, final reply, last routing confidence and verdict per trace.
 
     One conditional aggregation instead of four scans and joins; every aggregate
-    combines map-side. ``live`` also reads the live-voice kinds.
+    combines map-side. ``live`` also reads the live-voice kinds. Texts make Spark sort the
+    rows of a task before they combine, so a row brings only the fields its kind is read for.
     """
     user = USER_KINDS if live else USER_KINDS[:1]
     agent = AGENT_KINDS if live else AGENT_KINDS[:1]
-    rows = events.where(
-        F.col("event_type").isin(*user, *agent, "intent_routing", "grounding_verification")
-    ).select("trace_id", "event_type", "event_id", "timestamp", "input_text", "output_text", "metadata")
-    at = F.struct("timestamp", "event_id")
-
-    def when(*kinds: str) -> Column:
-        return F.when(F.col("event_type").isin(*kinds), at)
-
     meta = F.col("metadata")
-    return rows.groupBy("trace_id").agg(
-        F.min_by("input_text", when(*user)).alias("utterance"),
-        F.max_by("output_text", when(*agent)).alias("response_text"),
-        F.max_by(F.get_json_object(meta, "$.confidence"), when("intent_routing"))
-        .try_cast("double")
-        .alias("router_confidence"),
-        F.max_by(
+
+    def of(*kinds: str) -> Column:
+        return F.col("event_type").isin(*kinds)
+
+    rows = events.where(of(*user, *agent, "intent_routing", "grounding_verification")).select(
+        "trace_id",
+        "event_type",
+        F.struct("timestamp", "event_id").alias("at"),
+        F.when(of(*user), F.col("input_text")).alias("heard"),
+        F.when(of(*agent), F.col("output_text")).alias("said"),
+        F.when(of("intent_routing"), F.get_json_object(meta, "$.confidence").try_cast("double")).alias("confidence"),
+        F.when(
+            of("grounding_verification"),
             F.struct(
                 F.get_json_object(meta, "$.verdict").alias("verdict"),
                 F.get_json_object(meta, "$.score").try_cast("double").alias("score"),
             ),
-            when("grounding_verification"),
         ).alias("check"),
     )
 
+    def when(*kinds: str) -> Column:
+        return F.when(of(*kinds), F.col("at"))
+
+    return rows.groupBy("trace_id").agg(
+        F.min_by("heard", when(*user)).alias("utterance"),
+        F.max_by("said", when(*agent)).alias("response_text"),
+        F.max_by("confidence", when("intent_routing")).alias("router_confidence"),
+        F.max_by("check", when("grounding_verification")).alias("check"),
+    )
+
 
 def production_sample(
     conversations: DataFrame,

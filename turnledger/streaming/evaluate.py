@@ -50,16 +50,20 @@ def evaluate_stream(
 ) -> StreamingQuery:
     """Judge what arrived since the last trigger and write one run row per batch.
 
-    A batch is stored once and meets only the days of the log it can belong to. The
+    A batch is stored once and meets only the days of the log it can belong to. The session
+    of a stream runs without adaptive execution, so the stored batch is judged in the
+    caller's, where large partitions are cut and hot traces split. The
     checkpoint is the mark, so no conversation is judged twice; the run row carries
     the newest conversation time for the batch job's mark. An empty batch writes
     nothing, and a replayed batch replaces its own row.
     """
 
+    spark = conversations.sparkSession
+
     def write(batch: DataFrame, batch_id: int) -> None:
         fresh = batch if modality == "all" else batch.where(F.col("modality") == modality)
-        fresh = stored(fresh, "fresh-conversations")
-        judged = turns_to_judge(fresh, log_around(fresh.sparkSession, log_path, fresh, log_days))
+        fresh = stored(fresh, "fresh-conversations", spark)
+        judged = turns_to_judge(fresh, log_around(spark, log_path, fresh, log_days))
         run_id = f"evr_stream_{batch_id:08d}"
         newest = fresh.agg(F.max("created_at").alias("created_at"), F.first(F.lit(run_id)).alias("run_id"))
         row = production_run(production_results(judged, run_id), modality).join(newest, "run_id")
