@@ -39,7 +39,8 @@ def log_backfill(events: DataFrame, twice: Column, broken: Column) -> tuple[Data
     """(day log, lines set aside) after a transport that is not reliable.
 
     Events marked ``twice`` are delivered a second time; of those marked ``broken`` half a line
-    arrives before the whole one. The log holds every event once, whatever the order.
+    arrives before the whole one. The log holds every event once, whatever the order. Lines
+    repeat their field names and most of their payload, so they are sent compressed.
     """
     spark = events.sparkSession
     root = new_folder(spark, "log-backfill")
@@ -47,7 +48,7 @@ def log_backfill(events: DataFrame, twice: Column, broken: Column) -> tuple[Data
     whole = events.select(line.alias("line"), twice.alias("twice"), broken.alias("broken"))
     half = F.substr("line", F.lit(1), F.floor(F.length("line") / 2).cast("int"))
     sent = F.array_compact(F.array(F.when(F.col("broken"), half), F.col("line"), F.when(F.col("twice"), F.col("line"))))
-    whole.select(F.explode(sent).alias("value")).write.text(f"{root}/lines")
+    whole.select(F.explode(sent).alias("value")).write.text(f"{root}/lines", compression="gzip")
     lines = read_trace_log(spark, f"{root}/lines", stream=True)
     ingest.append_log(ingest.deduplicated(good_rows(lines)), f"{root}/log", f"{root}/log-place").awaitTermination()
     aside = lines.writeStream.foreachBatch(ingest.batch_folder(f"{root}/aside", bad_rows))
