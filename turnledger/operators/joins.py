@@ -6,6 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 NULL_PARTS = 1024
+FEW_ROWS = 100_000  # narrow rows that go along with every task
+
+
+def few(table: DataFrame) -> DataFrame:
+    """Let a table of few narrow rows travel to the rows it meets, not they to it.
+
+    For tables that stay small while the other side grows; ``table`` is counted, so it should
+    be a stored one. A larger one is left to Spark.
+    """
+    return F.broadcast(table) if table.limit(FEW_ROWS + 1).count() <= FEW_ROWS else table
 
 
 def lookup(rows: DataFrame, table: DataFrame, key: str, spread_by: str) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnledger.functions.text import unroll, words
+from turnledger.operators.joins import few
 from turnledger.operators.ranking import top_k
 from turnledger.session import scratch, stored
 
@@ -43,17 +44,23 @@ def impact(tf: Column, length: Column, mean_length: float) -> Column:
 
 def write_index(passages: DataFrame, root: str) -> None:
     """Write the index of ``(passage_id, content)``. Its summary is written last: a folder
-    without one is not an index."""
+    without one is not an index.
+
+    Passages are put in order by narrow rows that carry no words, and only those are kept in
+    order; the words move once, by block. Texts meet by ``passage_id`` before they are cut,
+    since a text is shorter than the list of its words.
+    """
     spark = passages.sparkSession
-    spoken = passages.select("passage_id", unroll(words("content")).alias("term")).where(F.col("term").isNotNull())
-    counted = spoken.groupBy("passage_id", "term").agg(F.count("*").alias("tf"))
-    whole = counted.groupBy("passage_id").agg(
+    # in a struct, a missing identifier is one like any other
+    texts = passages.select(F.struct("passage_id").alias("key"), "content").repartition("key")
+    spoken = texts.select("key", unroll(words("content")).alias("term")).where(F.col("term").isNotNull())
+    counted = spoken.groupBy("key", "term").agg(F.count("*").alias("tf"))
+    whole = counted.groupBy("key").agg(
         F.sum("tf").alias("length"),
         F.count("*").alias("distinct_words"),
         F.max_by("term", F.struct("tf", "term")).alias("commonest"),
-        F.collect_list(F.struct("term", "tf")).alias("entries"),
     )
-    alike = whole.repartitionByRange("commonest", "length", "passage_id").sortWithinPartitions(
+    alike = stored(whole.select("key.passage_id", *whole.columns[1:]), "alike").repartitionByRange("commonest", "length", "passage_id").sortWithinPartitions(
         "commonest", "length", "passage_id"
     )
     numbered = alike.withColumn("block", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS))
@@ -62,9 +69,10 @@ def write_index(passages: DataFrame, root: str) -> None:
     rows = passages.count()
     words_read = forward.agg(F.sum("length")).first()[0] or 0
     mean_length = words_read / rows if rows else 0.0
-    entries = forward.select("block", "passage_id", "length", "distinct_words", F.inline("entries"))
+    placed = forward.withColumn("key", F.struct("passage_id"))
     blocks = (
-        entries.repartitionByRange("block")
+        counted.join(placed.hint("shuffle_hash"), "key")
+        .repartition("block")
         .groupBy("block", "term")
         .agg(
             F.max(impact(F.col("tf"), F.col("length"), mean_length)).alias("best"),
@@ -127,14 +135,17 @@ def score(index: PassageIndex, asked: DataFrame, reached: DataFrame | None = Non
     word with a query, or of those in the ``reached`` (query_id, block) pairs only.
 
     Posting rows meet the query words and move once, by block; after that a block's pairs
-    are made and summed where they are.
+    are made and summed where they are. The queries that reach a block come to it as one list,
+    so that its postings are not sent out again for each of them.
     """
     rows = index.postings.select("block", "term", "postings")
+    rows = rows.join(few(asked.select("term").distinct()), "term", "left_semi").repartition("block")
     if reached is not None:
-        rows = rows.join(reached.select("block").distinct(), "block", "left_semi")
-    rows = rows.join(asked.select("term").distinct(), "term", "left_semi").repartition("block").join(asked, "term")
+        by = reached.groupBy("block").agg(F.collect_set("query_id").alias("by"))
+        rows = rows.join(by.hint("shuffle_hash"), "block")
+    rows = rows.join(few(asked), "term")
     if reached is not None:
-        rows = rows.join(reached.select("query_id", "block"), ["query_id", "block"], "left_semi")
+        rows = rows.where(F.array_contains("by", F.col("query_id")))
     each = rows.select("block", "query_id", "query_words", "idf", F.inline("postings"))
     part = F.col("idf") * impact(F.col("tf"), F.col("length"), index.mean_length)
     summed = each.groupBy("block", "passage_id", "query_id", "query_words", "distinct_words").agg(
@@ -152,7 +163,7 @@ def score(index: PassageIndex, asked: DataFrame, reached: DataFrame | None = Non
 def block_bounds(index: PassageIndex, asked: DataFrame) -> DataFrame:
     """(query_id, block, bound): no passage of the block scores more. A block's rows lie in
     one file, so the sums are made before anything moves."""
-    met = index.postings.select("block", "term", "best").join(asked, "term")
+    met = index.postings.select("block", "term", "best").join(few(asked), "term")
     return met.groupBy("query_id", "block").agg(F.sum(F.col("idf") * F.col("best")).alias("bound"))
 
 

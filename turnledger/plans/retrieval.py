@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from turnledger.functions.scoring import ratio
 from turnledger.functions.text import claims, render, unroll, words
+from turnledger.operators.joins import few
 from turnledger.operators.ranking import top_k
 from turnledger.plans.index import PassageIndex, best_passages, score, weighted_terms
 from turnledger.schemas import DEFAULT_POLICY
@@ -53,7 +54,7 @@ def _deep_ranks(scored: DataFrame, wanted: DataFrame) -> DataFrame:
     )
     higher = Window.partitionBy("query_id", "list").orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, -1)
     steps = (
-        each.join(wanted.select("query_id", "list").distinct(), ["query_id", "list"], "left_semi")
+        each.join(few(wanted.select("query_id", "list").distinct()), ["query_id", "list"], "left_semi")
         .groupBy("query_id", "list", "step")
         .agg(F.count("*").alias("n"))
         .withColumn("above", F.coalesce(F.sum("n").over(higher), F.lit(0)))
@@ -63,7 +64,7 @@ def _deep_ranks(scored: DataFrame, wanted: DataFrame) -> DataFrame:
     mine = wanted.withColumnsRenamed({"passage_id": "id", "score": "s"})
     first = (F.col("score") > F.col("s")) | ((F.col("score") == F.col("s")) & (F.col("passage_id") < F.col("id")))
     beside = (
-        each.join(mine, ["query_id", "list", "step"])
+        each.join(few(mine), ["query_id", "list", "step"])
         .groupBy("query_id", F.col("id").alias("passage_id"), "list")
         .agg(F.count_if(first).alias("beside"))
     )
@@ -138,7 +139,7 @@ def hybrid_search(index: PassageIndex, queries: DataFrame, k: int = 5, candidate
     cut, to the ``candidates`` that are reranked. The rerank column is the share of the
     query's words in the passage; ``rerank_with`` swaps in a model.
     """
-    scored = stored(score(index, weighted_terms(index, queries)), "scored")
+    scored = stored(score(index, stored(weighted_terms(index, queries), "asked")), "scored")
     head = fused_ranks(scored, candidates)
     return top_k(head, ["query_id"], [F.desc("rerank_score"), "fused_rank"], k)
 
