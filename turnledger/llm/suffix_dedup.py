@@ -11,13 +11,16 @@ unit, so units tile all starts, and equal strings belong to equal grams at equal
     * A unit whose gram and 64-bit digest equal an earlier unit's is removed whole; its bytes
       are not compared. Whole copies and the inside of long passages go this way.
     * What is left, different units around the same gram, is sorted.
+A unit is sent once, sorted by gram and digest, and judged as it streams by: of equal units
+in a batch of texts only the first is sent, so a passage that stands everywhere costs one
+row per batch. Texts move once, to meet their units and their spans in the same place.
 
 The sort orders the suffixes of these units to ``depth`` bytes: multikey quicksort by
 words down to ``SHALLOW`` bytes, then blind tries for the groups that still agree. A trie
 node looks only at the byte where its group first differs; all tries of a task grow level
 by level together. Suffixes in one leaf are equal strings, and all but the earliest go.
 A gram with more than ``FULL`` different units is not gathered: its strings meet by a
-128-bit hash in a minimum that combines before the shuffle, which gives the same result.
+128-bit hash as units of one start do, which gives the same result.
 
 Defined results
     * A null text counts as empty; a text shorter than ``depth`` loses nothing.
@@ -41,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnledger.llm.common import arrow_batches, store, text_of
-from turnledger.llm.first_seen import order, place, slim_documents, start_of, tag_of
+from turnledger.llm.first_seen import slim_documents, start_of, tag_of
 
 DEPTH = 100
 GRAM = 20
@@ -50,6 +53,7 @@ SHALLOW = 24
 FULL = 1 << 15
 PART = 1 << 22
 WINDOWS_AT_ONCE = 1 << 18
+JUDGED_AT_ONCE = 1 << 16
 LOW = np.uint64((1 << 24) - 1)
 
 
@@ -88,7 +92,7 @@ def units(data: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray,
 
 
 def _text_units(text: bytes, depth: int):
-    """Units of a whole text and its stretches that repeat an earlier unit of itself."""
+    """(start, number of starts, gram hash, digest) of the units of a whole text."""
     starts, counts, keys, digests = [], [], [], []
     digest = xxhash.xxh3_64_intdigest
     for at in range(0, len(text) - depth + 1, PART):
@@ -100,55 +104,145 @@ def _text_units(text: bytes, depth: int):
         counts.append(count)
         keys.append(key)
     start, count, key = map(np.concatenate, (starts, counts, keys))
-    unit = np.array(digests, np.uint64).view(np.int64)
-    new = np.zeros(len(unit), bool)
-    new[np.unique(unit ^ (key << 1), return_index=True)[1]] = True
-    again = np.flatnonzero(~new)
-    return start, count, key, unit, new, again
+    return start, count, key, np.array(digests, np.uint64).view(np.int64)
+
+
+def _rank(ids: list) -> np.ndarray:
+    """Numbers in the order of the identifiers, null first."""
+    null = np.array([i is None for i in ids], bool)
+    number = np.array([0 if i is None else i for i in ids], np.int64)
+    return np.unique(np.stack([~null, number], axis=1), axis=0, return_inverse=True)[1].reshape(-1)
+
+
+def _first_of(rank: np.ndarray, where: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first of each kind, those that come later); a row listed again is neither."""
+    by = np.lexsort((where, rank, *same))
+    head = np.zeros(len(by), bool)
+    head[:1] = True
+    for c in same:
+        head[1:] |= c[by][1:] != c[by][:-1]
+    first = by[np.maximum.accumulate(np.where(head, np.arange(len(by)), 0))]
+    later = (rank[by] != rank[first]) | (where[by] != where[first])
+    return by[head], by[later]
 
 
 def _units_of(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
-    """A row per unit; a row without key for a stretch that surely goes, n then in bytes."""
+    """A row per unit; a row without key for a stretch that surely goes, n then in bytes.
+
+    Of units with the same gram and digest in a batch of texts only the first is sent on.
+    """
     for batch in batches:
         texts = batch.column("text").cast(pa.binary())
         cols: list[list[np.ndarray]] = [[], [], [], [], []]
-        sure: list[list[np.ndarray]] = [[], [], []]
         for i, t in enumerate(texts):
             text = t.as_py()
             if len(text) < depth:
                 continue
-            start, count, key, unit, new, again = _text_units(text, depth)
-            for c, x in zip(cols, (np.full(int(new.sum()), i), key[new], unit[new], start[new], count[new]), strict=True):
+            start, count, key, unit = _text_units(text, depth)
+            for c, x in zip(cols, (np.full(len(start), i), key, unit, start, count), strict=True):
                 c.append(x)
-            if len(again):
-                breaks = np.flatnonzero(np.diff(again) > 1) + 1
-                runs = np.split(again, breaks)
-                head = start[[r[0] for r in runs]]
-                tail = np.array([start[r[-1]] + count[r[-1]] - 1 + depth for r in runs])
-                for c, x in zip(sure, (np.full(len(runs), i), head, tail - head), strict=True):
-                    c.append(x)
         if not cols[0]:
             continue
         which, key, unit, start, count = map(np.concatenate, cols)
-        if sure[0]:
-            also, head, size = map(np.concatenate, sure)
-            gone = pa.nulls(len(also), pa.int64())
-            which, start, count = (np.concatenate(p) for p in ((which, also), (start, head), (count, size)))
-            key, unit = (pa.concat_arrays([pa.array(x), gone]) for x in (key, unit))
-        at = pa.array(which)
+        tag = batch.column("tag").to_numpy()
+        where = (start << 31) | tag[which]
+        new, again = _first_of(_rank(batch.column("id").to_pylist())[which], where, unit, key)
+        new.sort()
+        again.sort()
+        # Neighbours that go make one stretch.
+        head = np.ones(len(again), bool)
+        head[1:] = (np.diff(again) > 1) | (np.diff(which[again]) > 0)
+        last = again[np.append(head[1:], True)[: len(again)]]
+        again = again[head]
+        size = start[last] + count[last] - 1 + depth - start[again]
+        gone = pa.nulls(len(again), pa.int64())
+        rows = np.concatenate([new, again])
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column("id").take(at),
-                batch.column("tag").take(at),
-                pa.array(key),
-                pa.array(unit),
-                pa.array(start.astype(np.int64)),
-                pa.array(count.astype(np.int32)),
+                batch.column("id").take(pa.array(which[rows])),
+                pa.array(where[rows]),
+                pa.concat_arrays([pa.array(key[new]), gone]),
+                pa.array(np.concatenate([unit[new], np.zeros(len(again), np.int64)])),
+                pa.array(np.concatenate([count[new], size]).astype(np.int32)),
             ],
-            names=["id", "tag", "key", "unit", "start", "n"],
+            names=["id", "where", "key", "unit", "n"],
         )
 
 
+def _judged(batches: Iterator[pa.RecordBatch], depth: int, full: int) -> Iterator[pa.RecordBatch]:
+    """What goes, without key and n in bytes, and the different units of one gram.
+
+    Rows come sorted by key, unit and order. The first rows of the units of the last key wait
+    for the rows that follow, ``full`` of them at most.
+    """
+    # Columns: id, whether there is one, where, key, unit, n.
+    wait = np.zeros((6, 0), np.int64)
+    sent = 0
+
+    def out(rows, key, n, over):
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(rows[0], mask=rows[1] == 0),
+                pa.array(rows[2]),
+                key,
+                pa.array(n.astype(np.int32)),
+                pa.array(over),
+            ],
+            names=["id", "where", "key", "n", "full"],
+        )
+
+    def gone(rows, n):
+        return out(rows, pa.nulls(rows.shape[1], pa.int64()), n, np.zeros(rows.shape[1], bool))
+
+    def judge(rows, end):
+        nonlocal wait, sent
+        rows = np.concatenate([wait, rows], axis=1)
+        if not rows.shape[1]:
+            return
+        number, known, where, key, unit, n = rows
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (unit[1:] != unit[:-1])
+        first = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+        # A row listed again is not later than itself.
+        later = (known != known[first]) | (number != number[first]) | (where != where[first])
+        if later.any():
+            yield gone(rows[:, later], n[later] - 1 + depth)
+        heads = rows[:, new]
+        begin = np.flatnonzero(np.append(True, heads[3][1:] != heads[3][:-1]))
+        of = np.diff(np.append(begin, heads.shape[1]))
+        of[0] += sent
+        ready = heads.shape[1] if end else begin[-1]
+        if not end and of[-1] > full:
+            ready = heads.shape[1] - 1
+        each = np.repeat(of, np.diff(np.append(begin, heads.shape[1])))[:ready]
+        give = heads[:, :ready][:, each > 1]
+        if give.shape[1]:
+            yield out(give, pa.array(give[3]), give[5], each[each > 1] > full)
+        wait = heads[:, ready:]
+        sent = 0 if end else of[-1] - wait.shape[1]
+
+    held: list[np.ndarray] = []
+    for batch in batches:
+        key = batch.column("key")
+        if key.null_count:
+            sure = batch.filter(key.is_null())
+            ids = sure.column("id")
+            yield out(
+                np.stack([ids.fill_null(0), ids.is_valid(), sure.column("where")]),
+                pa.nulls(len(sure), pa.int64()),
+                sure.column("n").to_numpy(),
+                np.zeros(len(sure), bool),
+            )
+            batch = batch.filter(key.is_valid())
+        ids = batch.column("id")
+        cols = (ids.fill_null(0), ids.is_valid(), *(batch.column(c) for c in ("where", "key", "unit", "n")))
+        held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in cols]))
+        if sum(r.shape[1] for r in held) >= JUDGED_AT_ONCE:
+            yield from judge(np.concatenate(held, axis=1), end=False)
+            held = []
+    yield from judge(np.concatenate([np.zeros((6, 0), np.int64), *held], axis=1), end=True)
+
+
 # Deep-shallow sorting
 
 
@@ -253,10 +347,7 @@ def _sorted_of(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.Rec
 
     def out(rows):
         key, ids, where, counts, texts = rows
-        null = np.array([i is None for i in ids])
-        number = np.array([0 if i is None else i for i in ids], np.int64)
-        rank = np.unique(np.stack([~null, number], axis=1), axis=0, return_inverse=True)[1].reshape(-1)
-        found = _later_windows(rank, np.array(where, np.int64), np.array(counts, np.int64), texts, depth)
+        found = _later_windows(_rank(ids), np.array(where, np.int64), np.array(counts, np.int64), texts, depth)
         if found is None:
             return None
         u, s, e = found
@@ -294,7 +385,7 @@ def _cut_out(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.Recor
     """The bytes of the wanted units of each text."""
     for batch in batches:
         texts = batch.column("text").cast(pa.binary())
-        which, keys, wheres, counts, parts, full = [], [], [], [], [], []
+        which, keys, wheres, counts, parts = [], [], [], [], []
         for i, wanted in enumerate(batch.column("wanted").to_pylist()):
             text = texts[i].as_py()
             for w in wanted:
@@ -303,7 +394,6 @@ def _cut_out(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.Recor
                 keys.append(w["key"])
                 wheres.append(w["where"])
                 counts.append(w["n"])
-                full.append(w["full"])
                 parts.append(text[at : at + w["n"] - 1 + depth])
         yield pa.RecordBatch.from_arrays(
             [
@@ -311,15 +401,14 @@ def _cut_out(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.Recor
                 batch.column("id").take(pa.array(which, pa.int64())),
                 pa.array(wheres, pa.int64()),
                 pa.array(counts, pa.int32()),
-                pa.array(full, pa.bool_()),
                 pa.array(parts, pa.binary()),
             ],
-            names=["key", "id", "where", "n", "full", "bytes"],
+            names=["key", "id", "where", "n", "bytes"],
         )
 
 
 def _strings_of(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
-    """Every string of the units of overfull grams, by a 128-bit hash."""
+    """Every string of the units of overfull grams, as units of one start by a 128-bit hash."""
     digest = xxhash.xxh3_128_digest
     for batch in batches:
         which, wheres, high, low = [], [], [], []
@@ -331,12 +420,52 @@ def _strings_of(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.Re
             wheres.append(where + (np.arange(n, dtype=np.int64) << 31))
             high.append(hashed[::2])
             low.append(hashed[1::2])
-        if which:
-            at, where, a, b = map(np.concatenate, (which, wheres, high, low))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(pa.array(at)), pa.array(where), pa.array(a), pa.array(b)],
-                names=["id", "where", "a", "b"],
-            )
+        if not which:
+            continue
+        at, where, a, b = map(np.concatenate, (which, wheres, high, low))
+        new, again = _first_of(_rank(batch.column("id").to_pylist())[at], where, b, a)
+        rows = np.concatenate([new, again])
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("id").take(pa.array(at[rows])),
+                pa.array(where[rows]),
+                pa.concat_arrays([pa.array(a[new]), pa.nulls(len(again), pa.int64())]),
+                pa.array(b[rows]),
+                pa.array(np.concatenate([np.ones(len(new)), np.full(len(again), depth)]).astype(np.int32)),
+            ],
+            names=["id", "where", "key", "unit", "n"],
+        )
+
+
+def _meet(rows: DataFrame, depth: int, full: int) -> DataFrame:
+    """Equal units of all tasks, in one shuffle: see ``_judged``."""
+    # Stretches that surely go only pass through; no task gets all of them.
+    spread = F.coalesce("key", F.xxhash64("id", "where"))
+    moved = rows.repartition(spread).sortWithinPartitions("key", "unit", "id", "where")
+    return moved.mapInArrow(
+        partial(_judged, depth=depth, full=full), "id long, where long, key long, n int, full boolean"
+    )
+
+
+def _gone(judged: DataFrame) -> DataFrame:
+    return judged.filter("key is null").select(
+        "id",
+        tag_of("where").alias("tag"),
+        start_of("where").alias("start"),
+        (start_of("where") + F.col("n")).alias("end"),
+    )
+
+
+def _bytes_of(slim: DataFrame, open_: DataFrame, depth: int) -> DataFrame:
+    """Units with their bytes. The texts are moved as in ``report``, so Spark moves them once."""
+    wanted = open_.groupBy("id", tag_of("where").alias("tag")).agg(
+        F.collect_list(F.struct("key", "where", "n")).alias("wanted")
+    )
+    theirs = wanted.select(F.col("id").alias("its_id"), F.col("tag").alias("its_tag"), "wanted")
+    met = slim["id"].eqNullSafe(theirs["its_id"]) & (slim["tag"] == theirs["its_tag"])
+    return slim.join(theirs, met).select("id", "text", "wanted").mapInArrow(
+        partial(_cut_out, depth=depth), "key long, id long, where long, n int, bytes binary"
+    )
 
 
 def repeated_bytes(
@@ -351,66 +480,19 @@ def repeated_bytes(
         raise ValueError("a string must be longer than a gram")
     arrow_batches(df.sparkSession, rows=500, mbytes=8)
     slim = slim_documents(df, id_col, text_col)
-    rows = slim.mapInArrow(
-        partial(_units_of, depth=depth),
-        "id long, tag long, key long, unit long, start long, n int",
-    ).select("id", place("start", "tag").alias("where"), "key", "unit", "n")
-    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("times"))
-    keys = store(counts.filter("times > 1 and key is not null").select("key"), "gram-keys")
-    marked = rows.join(keys.withColumn("again", F.lit(True)), "key", "left")
-    rows = store(marked.filter("again or key is null").drop("again"), "units")
-
-    sure = rows.filter("key is null").select(
-        "id",
-        tag_of("where").alias("tag"),
-        start_of("where").alias("start"),
-        (start_of("where") + F.col("n")).alias("end"),
-    )
-    known = rows.filter("key is not null")
-    heads = known.groupBy("key", "unit").agg(F.min(order()).alias("first"), F.first("n").alias("n"))
-    heads = store(heads, "heads")
-    later = known.join(heads.select("key", "unit", "first"), ["key", "unit"])
-    later = later.filter(order() != F.col("first")).select(
-        "id",
-        tag_of("where").alias("tag"),
-        start_of("where").alias("start"),
-        (start_of("where") + F.col("n") - 1 + depth).alias("end"),
-    )
+    unit_rows = "id long, where long, key long, unit long, n int"
+    rows = slim.mapInArrow(partial(_units_of, depth=depth), unit_rows)
+    judged = store(_meet(rows, depth, full), "units")
 
-    contested = heads.groupBy("key").agg(F.count(F.lit(1)).alias("of")).filter("of > 1")
-    open_ = heads.join(contested, "key").select(
-        F.col("first.id").alias("id"),
-        F.col("first.where").alias("where"),
-        "key",
-        "n",
-        (F.col("of") > full).alias("full"),
-    )
-    wanted = open_.groupBy("id", tag_of("where").alias("tag")).agg(
-        F.collect_list(F.struct("key", "where", "n", "full")).alias("wanted")
-    )
-    theirs = wanted.select(F.col("id").alias("its_id"), F.col("tag").alias("its_tag"), "wanted")
-    met = slim["id"].eqNullSafe(theirs["its_id"]) & (slim["tag"] == theirs["its_tag"])
-    cut = slim.join(theirs, met).select("id", "text", "wanted").mapInArrow(
-        partial(_cut_out, depth=depth),
-        "key long, id long, where long, n int, full boolean, bytes binary",
-    )
-    # A row listed twice gives its units twice; one of each is enough.
-    cut = store(cut, "cut-out")
-    ordered = cut.filter("not full").repartition("key").sortWithinPartitions("key", "id", "where")
+    cut = _bytes_of(slim, judged.filter("key is not null and not full"), depth)
+    ordered = cut.repartition("key").sortWithinPartitions("key", "id", "where")
     sorted_ = ordered.mapInArrow(
         partial(_sorted_of, depth=depth), "id long, tag long, start long, end long"
     )
-    strings = cut.filter("full").mapInArrow(
-        partial(_strings_of, depth=depth), "id long, where long, a long, b long"
-    )
-    earliest = strings.groupBy("a", "b").agg(F.min(order()).alias("first"))
-    hashed = strings.join(earliest, ["a", "b"]).filter(order() != F.col("first")).select(
-        "id",
-        tag_of("where").alias("tag"),
-        start_of("where").alias("start"),
-        (start_of("where") + depth).alias("end"),
-    )
-    return sure.unionByName(later).unionByName(sorted_).unionByName(hashed)
+    # Equal strings are equal units of one start; the different ones need no further look.
+    cut = _bytes_of(slim, judged.filter("key is not null and full"), depth)
+    strings = cut.mapInArrow(partial(_strings_of, depth=depth), unit_rows)
+    return _gone(judged).unionByName(sorted_).unionByName(_gone(_meet(strings, depth, full)))
 
 
 def _merged(spans: list[dict]) -> list[tuple[int, int]]:
