@@ -96,7 +96,7 @@ def files_of(*folders):
     return sizes
 
 
-def test_suffix_removal_moves_texts_once_and_units_once(spark, tmp_path):
+def test_suffix_removal_moves_texts_once_and_units_once(spark, tmp_path, monkeypatch):
     rng = random.Random(9)
     shared = [prose(rng, 60) for _ in range(40)]
     rows = []
@@ -108,17 +108,26 @@ def test_suffix_removal_moves_texts_once_and_units_once(spark, tmp_path):
     threshold = spark.conf.get(name)
     manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
     folders = [scratch_folder(spark), *(d.getPath() for d in manager.localDirs())]
+    seen = {}
+
+    def store(df, name, store=suffix_dedup.store):
+        stored = store(df, name)
+        # Before Spark cleans up what it shuffled for this table.
+        seen.update(files_of(*folders))
+        return stored
+
+    monkeypatch.setattr(suffix_dedup, "store", store)
     try:
         spark.conf.set(name, "-1")
         before = files_of(*folders)
         report = suffix_dedup.report(spark.read.parquet(f"{tmp_path}/d"))
         assert report.agg({"n_removed": "sum"}).first()[0] > 0
-        after = files_of(*folders)
+        seen.update(files_of(*folders))
     finally:
         spark.conf.set(name, threshold)
-    made = sum(size for f, size in after.items() if f not in before)
-    # 4.1 times these files, in which passages pack well; 6.4 when texts and units moved twice.
-    assert made < 5 * sum(files_of(f"{tmp_path}/d").values())
+    made = sum(size for f, size in seen.items() if f not in before)
+    # 5.6 times these files, in which passages pack well; 11.8 when units and texts moved twice.
+    assert made < 7 * sum(files_of(f"{tmp_path}/d").values())
 
 
 def test_units_are_judged_alike_however_batches_fall(monkeypatch):
